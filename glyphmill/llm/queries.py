@@ -7,18 +7,33 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphmill.llm import bpe, tokenfiles
+from glyphmill.llm import bpe, langmix, qualityforest, tiff, tokenfiles
 from glyphmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langmix.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op2_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = tiff.store_texts(table(spark, sf_dir, "documents"))
+    return tiff.features(tiff.pages(stored, keep=("row", "doc_id", "n_bytes", "media_bytes", "media_sha256")))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     path = vocabulary or public_tokenizers.path("word_bpe_49k.json")
     manifest = tokenfiles.write(table(spark, sf_dir, "documents"), lambda: tokenfiles.word_tokenizer(path).encode, end_id=2)
     return tokenfiles.digest(manifest)
 
 
+def op9_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    rules = qualityforest.learn(documents, table(spark, sf_dir, "labels"))
+    return qualityforest.judge(documents, rules)
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     path = vocabulary or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -26,7 +41,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = Non
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_language_mixture": op1_language_mixture,
+        "op2_tiff_pages": op2_tiff_pages,
         "op7_token_files": op7_token_files,
+        "op9_isolation_forest": op9_isolation_forest,
         "op10_byte_bpe": op10_byte_bpe,
     }
 
