@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphmill.llm import bpe, langmix, qualityforest, tiff, tokenfiles
+from glyphmill.llm import bpe, langmix, licences, pfair, qualityforest, tiff, tokenfiles
 from glyphmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,14 @@ def op2_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.features(tiff.pages(stored, keep=("row", "doc_id", "n_bytes", "media_bytes", "media_sha256")))
 
 
+def op3_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"), licences.known(spark))
+
+
+def op6_pfair_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pfair.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     path = vocabulary or public_tokenizers.path("word_bpe_49k.json")
     manifest = tokenfiles.write(table(spark, sf_dir, "documents"), lambda: tokenfiles.word_tokenizer(path).encode, end_id=2)
@@ -43,6 +51,8 @@ def queries() -> dict[str, Query]:
     return {
         "op1_language_mixture": op1_language_mixture,
         "op2_tiff_pages": op2_tiff_pages,
+        "op3_licence_digests": op3_licence_digests,
+        "op6_pfair_mixture": op6_pfair_mixture,
         "op7_token_files": op7_token_files,
         "op9_isolation_forest": op9_isolation_forest,
         "op10_byte_bpe": op10_byte_bpe,
@@ -50,4 +60,7 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_licence_digests": licences.ORACLE,
+        "op6_pfair_mixture": pfair.ORACLE,
+    }
