@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphmill.llm import bpe, langmix, licences, pfair, qualityforest, tiff, tokenfiles
+from glyphmill.llm import bpe, langmix, licences, pfair, qualityforest, tiff, tokenfiles, warc
 from glyphmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,12 @@ def op3_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"), licences.known(spark))
 
 
+def op5_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    index = warc.CaptureIndex.build(warc.write_archives(pages))
+    return warc.read_captures(warc.look_up(index, pages))
+
+
 def op6_pfair_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfair.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
 
@@ -47,11 +53,21 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = Non
     return bpe.round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+OP5_SQL = """
+with p as (select page_id, sha256(coalesce(html, '')) as d, strlen(coalesce(html, ''))::bigint as n from pages),
+f as (select d, min(page_id) as first from p where n >= 100 group by d)
+select page_id, n as payload_bytes, p.d as payload_digest, case when page_id > first then 'revisit' else 'response' end as record_type,
+       case when page_id > first then first end as refers_to
+from p left join f on p.d = f.d
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_language_mixture": op1_language_mixture,
         "op2_tiff_pages": op2_tiff_pages,
         "op3_licence_digests": op3_licence_digests,
+        "op5_warc_index": op5_warc_index,
         "op6_pfair_mixture": op6_pfair_mixture,
         "op7_token_files": op7_token_files,
         "op9_isolation_forest": op9_isolation_forest,
@@ -62,5 +78,6 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_licence_digests": licences.ORACLE,
+        "op5_warc_index": OP5_SQL,
         "op6_pfair_mixture": pfair.ORACLE,
     }
