@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphmill.llm import bpe, langmix, licences, pfair, qualityforest, tiff, tokenfiles, warc
+from glyphmill.llm import bpe, langmix, licences, neardup, pfair, qualityforest, tiff, tokenfiles, warc
 from glyphmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,10 @@ def op7_token_files(spark: SparkSession, sf_dir: str, vocabulary: str | None = N
     return tokenfiles.digest(manifest)
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     rules = qualityforest.learn(documents, table(spark, sf_dir, "labels"))
@@ -70,6 +74,7 @@ def queries() -> dict[str, Query]:
         "op5_warc_index": op5_warc_index,
         "op6_pfair_mixture": op6_pfair_mixture,
         "op7_token_files": op7_token_files,
+        "op8_near_duplicates": op8_near_duplicates,
         "op9_isolation_forest": op9_isolation_forest,
         "op10_byte_bpe": op10_byte_bpe,
     }
