@@ -6,6 +6,11 @@ find-first-set on three words gives the lowest rank.  A merge leaves the
 entries of vanished pairs where they are; they are skipped when they come up.
 A piece of n bytes takes O(n log n) steps, however long it is.
 
+Short pieces are encoded many at a time: one linked list holds them all, a
+bucket holds the positions of 64 neighbouring ranks (a leaf word of the tree),
+and numpy takes from the lowest bucket each piece's first entry at once.
+Pieces don't meet, so each still merges in the order it would alone.
+
 Defined results: a null text is an empty one, an empty text has no ids;
 repeated rows give repeated rows; other columns of the input are ignored;
 an empty table gives an empty table.
@@ -20,14 +25,19 @@ from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from glyphmill.llm.common import batches_of, open_store, rows_of
+from glyphmill.llm.common import batches_of, chunks, open_store, rows_of
 
-#: Pieces kept per Python worker before its memory of them is emptied, and the longest piece kept.
+#: Parts of texts kept per Python worker before its memory of them is emptied, and the longest part kept.
 MEMO_ENTRIES, MEMO_CHARS = 400_000, 48
+#: Pieces of more bytes are encoded one by one.
+SHORT = 64
+#: Characters of text whose new pieces are encoded together.
+TOGETHER = 8 << 20
 
 
 class RankBitmap:
@@ -74,6 +84,9 @@ class BpeCodec:
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.queue = RankBitmap(max(ranks.values(), default=0) + 1)
         self.memo: dict[str, tuple[str, int, bytes]] = {}
+        pairs = sorted((ranks[token[:k]] << 32 | ranks[token[k:]], rank) for token, rank in ranks.items() for k in range(1, len(token)) if token[:k] in ranks and token[k:] in ranks)
+        self.pair_keys, self.pair_ranks = np.array([*(k for k, _ in pairs), 1 << 62], np.int64), np.array([*(r for _, r in pairs), -1], np.int64)
+        self.of_byte = np.array([ranks.get(bytes([i]), -1) for i in range(256)], np.int64)
 
     def encode_piece(self, piece: bytes) -> list[int]:
         ranks, queue = self.ranks, self.queue
@@ -120,8 +133,90 @@ class BpeCodec:
             i = after[i]
         return ids
 
+    def _pair_rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left << 32 | right
+        at = np.searchsorted(self.pair_keys, key)
+        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], -1)
+
+    def encode_short(self, pieces: list[bytes]) -> list[list[int]]:
+        """Ids of pieces that are no tokens themselves, by one queue for all."""
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        size = int(lengths.sum())
+        token = self.of_byte[np.frombuffer(b"".join(pieces), np.uint8)]
+        owner = np.append(np.repeat(np.arange(len(pieces)), lengths), -1)
+        after, before, gone = np.arange(1, size + 1), np.arange(-1, size - 1), np.zeros(size, bool)
+        rank = np.append(np.where(owner[:-2] == owner[1:-1], self._pair_rank(token[:-1], token[1:]), -1), -1)
+        buckets: dict[int, list[np.ndarray]] = {}
+        queue = RankBitmap((max(self.ranks.values()) >> 6) + 1)
+
+        def offer(at: np.ndarray) -> None:
+            word = rank[at] >> 6
+            order = np.argsort(word, kind="stable")
+            at, word = at[order], word[order]
+            cuts = np.flatnonzero(np.diff(word)) + 1
+            for w, part in zip(word[np.append(0, cuts)].tolist(), np.split(at, cuts), strict=True):
+                if w in buckets:
+                    buckets[w].append(part)
+                else:
+                    buckets[w] = [part]
+                    queue.add(w)
+
+        if len(first := np.flatnonzero(rank >= 0)):
+            offer(first)
+        while (word := queue.first()) >= 0:
+            entries = buckets.pop(word)
+            queue.discard(word)
+            at = entries[0] if len(entries) == 1 else np.concatenate(entries)
+            at = at[rank[at] >> 6 == word]
+            if not len(at):
+                continue
+            key = np.unique((owner[at] << 6 | rank[at] & 63) << 32 | at)
+            at, own = key & 0xFFFFFFFF, key >> 38
+            lead = np.append(True, own[1:] != own[:-1])
+            if len(rest := at[~lead]):
+                buckets[word] = [rest]
+                queue.add(word)
+            at, own = at[lead], own[lead]
+            right = after[at]
+            end = after[right]
+            token[at] = rank[at]
+            gone[right], rank[right], rank[at] = True, -1, -1
+            after[at] = end
+            inner = owner[end] == own
+            mid, end = at[inner], end[inner]
+            before[end] = mid
+            rank[mid] = self._pair_rank(token[mid], token[end])
+            left = before[at]
+            inner = (left >= 0) & (owner[left] == own)
+            left, here = left[inner], at[inner]
+            rank[left] = self._pair_rank(token[left], token[here])
+            new = np.concatenate([mid, left])
+            if len(new := new[rank[new] >= 0]):
+                offer(new)
+        counts = np.bincount(owner[:-1][~gone], minlength=len(pieces))
+        ids, ends = token[~gone].tolist(), np.cumsum(counts).tolist()
+        return [ids[e - n : e] for e, n in zip(ends, counts.tolist(), strict=True)]
+
+    def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
+        found: list[list[int] | None] = [None] * len(pieces)
+        short = []
+        for k, piece in enumerate(pieces):
+            if (whole := self.ranks.get(piece)) is not None:
+                found[k] = [whole]
+            elif len(piece) <= SHORT:
+                short.append(k)
+            else:
+                found[k] = self.encode_piece(piece)
+        if short:
+            for k, ids in zip(short, self.encode_short([pieces[k] for k in short]), strict=True):
+                found[k] = ids
+        return found
+
     def encode(self, text: str) -> list[int]:
-        return [i for piece in self.pattern.findall(text) for i in self.encode_piece(piece.encode())]
+        pieces = self.pattern.findall(text)
+        new = list(dict.fromkeys(pieces))
+        ids = dict(zip(new, self.encode_pieces([x.encode() for x in new]), strict=True))
+        return [i for piece in pieces for i in ids[piece]]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -138,23 +233,26 @@ class BpeCodec:
         first, *rest = text.split(" ")
         return ([first] if first else []) + [" " + x for x in rest]
 
-    def round_trip(self, text: str) -> tuple[int, str, str]:
-        """Number of ids; SHA-256 of the ids in decimal, joined by commas; SHA-256 of the bytes they decode to."""
-        memo, found, parts = self.memo, [], self.parts(text)
-        for part in parts:
-            known = memo.get(part)
-            if known is None:
-                ids = self.encode(part)
-                known = ",".join(map(str, ids)), len(ids), self.decode(ids)
-                if len(part) <= MEMO_CHARS:
-                    if len(memo) >= MEMO_ENTRIES:
-                        memo.clear()
-                    memo[part] = known
-            found.append(known)
-        if not found:
-            return 0, hashlib.sha256(b"").hexdigest(), hashlib.sha256(b"").hexdigest()
-        names, counts, data = zip(*found, strict=True)
-        return sum(counts), hashlib.sha256(",".join(names).encode()).hexdigest(), hashlib.sha256(b"".join(data)).hexdigest()
+    def round_trip(self, texts: list[str]) -> list[tuple[int, str, str]]:
+        """For each text: number of ids; SHA-256 of the ids in decimal, joined by commas; SHA-256 of the bytes they decode to."""
+        memo = self.memo
+        if len(memo) >= MEMO_ENTRIES:
+            memo.clear()
+        new = dict.fromkeys(p for text in texts for p in self.parts(text) if p not in memo)
+        split = [self.pattern.findall(part) for part in new]
+        pieces = list(dict.fromkeys(x for xs in split for x in xs))
+        ids_of = dict(zip(pieces, self.encode_pieces([x.encode() for x in pieces]), strict=True))
+        for part, xs in zip(new, split, strict=True):
+            ids = ids_of[xs[0]] if len(xs) == 1 else [i for x in xs for i in ids_of[x]]
+            memo[part] = ",".join(map(str, ids)), len(ids), self.decode(ids)
+        out = []
+        for text in texts:
+            names, counts, data = zip(*map(memo.__getitem__, self.parts(text)), strict=True) if text else ((), (), ())
+            out.append((sum(counts), hashlib.sha256(",".join(names).encode()).hexdigest(), hashlib.sha256(b"".join(data)).hexdigest()))
+        for part in new:
+            if len(part) > MEMO_CHARS:
+                del memo[part]
+        return out
 
 
 _UNSAFE = re.compile(r"\s (?:\s|\Z)")
@@ -196,7 +294,7 @@ def round_trip(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks_path, pattern)
-        rows = ((i, *own.round_trip(t or "")) for i, t in rows_of(batches, "i", "t"))
+        rows = ((i, *x) for part in chunks(rows_of(batches, "i", "t"), TOGETHER) for (i, _), x in zip(part, own.round_trip([t or "" for _, t in part]), strict=True))
         yield from batches_of(rows, pa.schema([("i", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]))
 
     return (

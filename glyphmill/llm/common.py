@@ -88,6 +88,19 @@ def rows_of(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
             yield from zip(*(part.column(n).to_pylist() for n in names), strict=True)
 
 
+def chunks(rows: Iterator[tuple], chars: int, most: int = 10_000) -> Iterator[list[tuple]]:
+    """Lists of rows whose second fields have about ``chars`` characters together."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[1] or "")
+        if size >= chars or len(held) >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def batches_of(rows: Iterator[tuple], schema: pa.Schema, sizes=None, most: int = 4000) -> Iterator[pa.RecordBatch]:
     """Arrow batches of row tuples; ``sizes`` (bytes of a row) also bounds a batch by FLUSH_BYTES."""
     held, weight = [], 0
