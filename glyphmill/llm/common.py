@@ -101,6 +101,22 @@ def chunks(rows: Iterator[tuple], chars: int, most: int = 10_000) -> Iterator[li
         yield held
 
 
+def with_columns(df: DataFrame, column: str, kinds: str, work) -> DataFrame:
+    """``df`` with more columns (``kinds``: their DDL), which ``work`` makes as tuples from lists of values of ``column``; nothing is shuffled."""
+    names = df.columns
+    types = pa.schema(df.sparkSession.createDataFrame([], kinds).limit(0).toArrow().schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                made = zip(*work(part.column(names.index(column)).to_pylist()), strict=True)
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(c, f.type) for c, f in zip(made, types, strict=True))], names=[*part.schema.names, *types.names])
+
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return df.mapInArrow(run, f"{own}, {kinds}")
+
+
 def batches_of(rows: Iterator[tuple], schema: pa.Schema, sizes=None, most: int = 4000) -> Iterator[pa.RecordBatch]:
     """Arrow batches of row tuples; ``sizes`` (bytes of a row) also bounds a batch by FLUSH_BYTES."""
     held, weight = [], 0

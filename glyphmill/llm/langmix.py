@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import batches_of, rows_of
+from glyphmill.llm.common import rows_of, with_columns
 
 #: Hash buckets of the trigrams, as a power of two.
 BITS = 14
@@ -106,7 +106,7 @@ def learn(df: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
         if found:
             yield pa.RecordBatch.from_pydict({"l": list(found), "n": [x.astype("<i8").tobytes() for x in found.values()]})
 
-    def add(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def add(key, frame):
         return pd.DataFrame({"l": [key[0]], "n": [sum(np.frombuffer(x, "<i8") for x in frame["n"]).tobytes()]})
 
     parts = sample.select("l", "t").mapInArrow(count, "l string, n binary").groupBy("l").applyInPandas(add, "l string, n binary")
@@ -115,20 +115,16 @@ def learn(df: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
     return Mixture(names, np.array([got[k] for k in names], float).reshape(len(names), 1 << BITS))
 
 
-def predict(df: DataFrame, model: Mixture, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lang_pred, score, mixture): the largest part's language and proportion, and all parts as a map."""
-    schema = pa.schema([("i", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("mixture", pa.map_(pa.string(), pa.float64()))])
+def predict(df: DataFrame, model: Mixture, text_col: str = "text") -> DataFrame:
+    """``df`` with lang_pred and score: the largest part's language and proportion; and mixture, all parts as a map."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows():
-            for i, text in rows_of(batches, "i", "t"):
-                parts = model.infer(text or "")
-                lang, score = next(iter(parts.items()), ("und", 0.0))
-                yield i, lang, min(score, 1.0), list(parts.items())
+    def work(texts: list[str | None]):
+        for text in texts:
+            parts = model.infer(text or "")
+            lang, score = next(iter(parts.items()), ("und", 0.0))
+            yield lang, min(score, 1.0), list(parts.items())
 
-        yield from batches_of(rows(), schema)
-
-    return df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInArrow(run, "i long, lang_pred string, score double, mixture map<string,double>").withColumnRenamed("i", id_col)
+    return with_columns(df, text_col, "lang_pred string, score double, mixture map<string,double>", work)
 
 
 def held_out(id_col: str = "doc_id", folds: int = 5) -> Column:
@@ -139,4 +135,4 @@ def held_out(id_col: str = "doc_id", folds: int = 5) -> Column:
 def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Learn from the folds that are not held out, then predict every text."""
     model = learn(df.where(~held_out(id_col)), lang_col, id_col, text_col)
-    return predict(df, model, id_col, text_col).withColumn("held_out", held_out(id_col))
+    return predict(df.select(id_col, text_col), model, text_col).withColumn("held_out", held_out(id_col)).drop(text_col)

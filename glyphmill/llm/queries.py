@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphmill.llm import bpe, langmix, licences, neardup, pfair, qualityforest, tiff, tokenfiles, warc
+from glyphmill.llm import bpe, langmix, licences, neardup, pfair, qualityforest, suffixes, tiff, tokenfiles, warc
 from glyphmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +27,10 @@ def op3_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"), licences.known(spark))
 
 
+def op4_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     index = warc.CaptureIndex.build(warc.write_archives(pages))
@@ -71,12 +76,14 @@ def queries() -> dict[str, Query]:
         "op1_language_mixture": op1_language_mixture,
         "op2_tiff_pages": op2_tiff_pages,
         "op3_licence_digests": op3_licence_digests,
+        "op4_repeat_removal": op4_repeat_removal,
         "op5_warc_index": op5_warc_index,
         "op6_pfair_mixture": op6_pfair_mixture,
         "op7_token_files": op7_token_files,
         "op8_near_duplicates": op8_near_duplicates,
         "op9_isolation_forest": op9_isolation_forest,
         "op10_byte_bpe": op10_byte_bpe,
+        "pipeline": corpus_pipeline.run,
     }
 
 
