@@ -1,21 +1,531 @@
-"""All queries on the driver's tables, with their SQL counterparts."""
+"""All queries on the driver's tables, with their SQL counterparts for DuckDB.
+
+The tables stand in for the catalogue's own: sources of documents for
+repositories, labels for validation results, regions and nations for a
+hierarchy, turns of conversations for lines of verse, events for records with
+versions, pages for trees.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from glyphmill.functions import text as T
+from glyphmill.functions.collate import sort_columns
+from glyphmill.operators import catalog, nodes, parallels, quality, relational
+from glyphmill.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(function: Query) -> Query:
+        _QUERIES[function.__name__] = function
+        if sql:
+            _SQL[function.__name__] = sql
+        return function
+
+    return add
+
+
+# ---- production statistics
+
+@query("select lang, count(*) as prod from (select distinct source, lang from documents) group by lang")
+def lang_prod(spark, d):
+    repos = table(spark, d, "documents").groupBy("source").agg(F.collect_set("lang").alias("langs"))
+    return relational.production(repos.select(F.explode("langs").alias("lang")), "lang")
+
+
+@query("select lang, source, count(*) as prod from documents group by lang, source")
+def lang_source_prod(spark, d):
+    return relational.production(table(spark, d, "documents"), "lang", "source")
+
+
+@query("""select lang, sum(n)::bigint as prod, string_agg(source || ':' || n, ',' order by n desc, source) as sources
+          from (select lang, source, count(*) as n from documents group by all) group by lang""")
+def lang_display(spark, d):
+    counts = relational.production(table(spark, d, "documents"), "lang", "source", name="n")
+    total = counts.groupBy("lang").agg(F.sum("n").alias("prod"))
+    return total.join(relational.ordered_counts(counts, "lang", "source", "n", "sources"), "lang").select("lang", "prod", "sources")
+
+
+@query("""select source, docs, langs, labelled from
+            (select source, sum(n)::bigint as docs, string_agg(lang || ':' || n, ',' order by n desc, lang) as langs
+             from (select source, lang, count(*) as n from documents group by all) group by source)
+          left join (select source, count(distinct doc_id) as labelled from documents join labels using (doc_id) group by source) using (source)""")
+def source_display(spark, d):
+    documents = table(spark, d, "documents")
+    counts = relational.production(documents, "source", "lang", name="n")
+    labelled = documents.join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi").groupBy("source").agg(F.count("*").alias("labelled"))
+    docs = counts.groupBy("source").agg(F.sum("n").alias("docs"))
+    return docs.join(relational.ordered_counts(counts, "source", "lang", "n", "langs"), "source").join(labelled, "source", "left").select("source", "docs", "langs", "labelled")
+
+
+@query("""select c_custkey as id, c_name as name, n_name as nation, orders, priorities from customer left join nation on c_nationkey = n_nationkey
+          left join (select o_custkey, sum(n)::bigint as orders, string_agg(o_orderpriority || ':' || n, ',' order by n desc, o_orderpriority) as priorities
+                     from (select o_custkey, o_orderpriority, count(*) as n from orders group by all) group by o_custkey) on o_custkey = c_custkey""")
+def people_display(spark, d):
+    counts = relational.production(table(spark, d, "orders"), "o_custkey", "o_orderpriority", name="n")
+    orders = counts.groupBy("o_custkey").agg(F.sum("n").alias("orders")).join(relational.ordered_counts(counts, "o_custkey", "o_orderpriority", "n", "priorities"), "o_custkey")
+    people = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    return people.join(orders, F.col("c_custkey") == F.col("o_custkey"), "left").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("n_name").alias("nation"), "orders", "priorities")
+
+
+@query("""select c_custkey, replace(c_name, '#', ' ') as print_name, split_part(c_name, '#', 2) || ', ' || split_part(c_name, '#', 1) as inverted_name from customer""")
+def names_generated(spark, d):
+    from glyphmill.sources.readers import names
+
+    parts = table(spark, d, "customer").select("c_custkey", F.split("c_name", "#").alias("name"))
+    return parts.withColumns(names("name")).drop("name")
+
+
+# ---- predicates, lookups, joins, sets
+
+@query("select json_extract(props, '$.k')::bigint as k, count(*) as n from events group by 1")
+def json_props(spark, d):
+    return table(spark, d, "events").groupBy(F.get_json_object("props", "$.k").cast("bigint").alias("k")).agg(F.count("*").alias("n"))
+
+
+@query("select c_custkey as key, c_name as name from customer where c_name glob 'Customer#*[05]?'")
+def glob_filter(spark, d):
+    return table(spark, d, "customer").where(T.glob(F.col("c_name"), "Customer#*[05]?")).select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"))
+
+
+@query("""select code, id::bigint as id from (values ('3'), ('FRANCE'), ('7'), ('NOWHERE'), ('GERMANY')) v(code)
+          left join (select code, min_by(id, rank * 1000 + id) as id from
+            (select n_name as code, 0 as rank, n_nationkey as id from nation union all select n_nationkey::varchar, 1, n_nationkey from nation) group by code) using (code)""")
+def fallback_lookup(spark, d):
+    codes = spark.createDataFrame([("3",), ("FRANCE",), ("7",), ("NOWHERE",), ("GERMANY",)], "code string")
+    nation = table(spark, d, "nation").select("n_name", F.col("n_nationkey").cast("string").alias("n_code"), F.col("n_nationkey").cast("bigint").alias("id"))
+    return relational.first_match(codes, "code", nation, ["n_name", "n_code"], "id")
+
+
+@query("""select doc_id, (case when toxic = 1 then 3 when quality = 0 then 2 when quality is null then 1 else 0 end)::bigint as status
+          from documents left join labels using (doc_id)""")
+def status_ladder(spark, d):
+    joined = table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id", "left")
+    status = quality.ladder((F.col("quality").isNull(), quality.WARNING), (F.col("quality") == 0, quality.ERROR), (F.col("toxic") == 1, quality.FATAL))
+    return joined.select("doc_id", status.cast("bigint").alias("status"))
+
+
+@query("""select doc_id, source, (case when toxic = 1 then 3 else 2 end)::bigint as status from documents join labels using (doc_id) where toxic = 1 or quality = 0""")
+def errors_listing(spark, d):
+    listed = status_ladder(spark, d).where(F.col("status") >= quality.ERROR).join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    return listed.select("doc_id", "source", "status").orderBy("source", F.desc("status"), "doc_id")
+
+
+@query("""select c_custkey::varchar as ident, c_name as label from customer where c_custkey in (select o_custkey from orders)
+          union select '!' || o_clerk, o_clerk from (select o_orderstatus as o_clerk from orders)""")
+def owners_union(spark, d):
+    orders = table(spark, d, "orders")
+    known = table(spark, d, "customer").join(orders, F.col("c_custkey") == F.col("o_custkey"), "left_semi").select(F.col("c_custkey").cast("string").alias("ident"), F.col("c_name").alias("label"))
+    others = orders.select(F.concat(F.lit("!"), "o_orderstatus").alias("ident"), F.col("o_orderstatus").alias("label"))
+    return known.unionByName(others).distinct().orderBy(*sort_columns(F.col("label"), F.col("ident")))
+
+
+@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_custkey is not null)")
+def anti_join(spark, d):
+    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+
+
+@query("select n_nationkey from nation where n_regionkey in (select r_regionkey from region where r_name like 'A%')")
+def semi_join(spark, d):
+    return table(spark, d, "nation").join(table(spark, d, "region").where("r_name like 'A%'"), F.col("n_regionkey") == F.col("r_regionkey"), "left_semi").select("n_nationkey")
+
+
+@query("select p_name, count(*) as n from part group by p_name having count(*) > 1")
+def dup_having(spark, d):
+    return relational.duplicates(table(spark, d, "part"), "p_name")
+
+
+@query("select count(quality) as labelled from documents left join labels using (doc_id)")
+def count_non_null(spark, d):
+    return table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left").agg(F.count("quality").alias("labelled"))
+
+
+@query("select o_orderstatus as status, max(o_orderdate) as latest from orders group by 1")
+def max_mtime(spark, d):
+    return table(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.max("o_orderdate").alias("latest"))
+
+
+@query("""select c_mktsegment as key, string_agg(distinct o_orderpriority, '|' order by o_orderpriority) as values
+          from orders join customer on o_custkey = c_custkey group by 1""")
+def collect_distinct(spark, d):
+    joined = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return joined.groupBy(F.col("c_mktsegment").alias("key")).agg(F.array_join(F.array_sort(F.collect_set("o_orderpriority")), "|").alias("values"))
+
+
+# ---- windows and pages
+
+@query("""select o_orderkey as key, (row_number() over (order by o_orderkey) - 1)::bigint as pos, ((row_number() over (order by o_orderkey) - 1) // 100 + 1)::bigint as page from orders""")
+def row_number_page(spark, d):
+    placed = relational.positions(table(spark, d, "orders").select(F.col("o_orderkey").alias("key")), F.expr("key div 8192"), ["key"])
+    return placed.select("key", "pos", F.expr("pos div 100 + 1").alias("page"))
+
+
+@query("select conv_id, turn, row_number() over (partition by conv_id order by turn)::bigint as n from conversations")
+def doc_order_number(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).cast("bigint").alias("n"))
+
+
+@query("""select conv_id, turn, last_value(case when role = 'user' then turn end ignore nulls) over (partition by conv_id order by turn) as last_user_turn from conversations""")
+def carry_forward(spark, d):
+    return relational.carried(table(spark, d, "conversations"), "conv_id", "turn", F.when(F.col("role") == "user", F.col("turn")), "last_user_turn").select("conv_id", "turn", "last_user_turn")
+
+
+@query("""select conv_id, segment, role, count(*) as n from
+            (select conv_id, role, sum(new) over (partition by conv_id order by turn)::bigint as segment from
+              (select *, case when lag(role) over (partition by conv_id order by turn) is not distinct from role and row_number() over (partition by conv_id order by turn) > 1 then 0 else 1 end as new from conversations))
+          group by all""")
+def run_segments(spark, d):
+    return relational.runs(table(spark, d, "conversations"), "conv_id", "turn", "role").select("conv_id", F.col("segment").cast("bigint").alias("segment"), "role", "n")
+
+
+@query("""select c_custkey as key, c_name as name, (select count(*) from customer where c_acctbal > 0) as total
+          from customer where c_acctbal > 0 order by c_name, c_custkey limit 50 offset 50""")
+def page_limit_offset(spark, d):
+    found = table(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"))
+    return relational.page(found, sort_columns(F.col("name"), F.col("key")), 2, 50)
+
+
+# ---- hierarchies
+
+def _tree(spark, d) -> DataFrame:
+    top = spark.createDataFrame([(0, "world", None)], "rid int, id string, parent int")
+    regions = table(spark, d, "region").select((F.col("r_regionkey") + 100).alias("rid"), F.col("r_name").alias("id"), F.lit(0).alias("parent"))
+    nations = table(spark, d, "nation").select((F.col("n_nationkey") + 1000).alias("rid"), F.col("n_name").alias("id"), (F.col("n_regionkey") + 100).alias("parent"))
+    return top.unionByName(regions).unionByName(nations)
+
+
+_TREE_SQL = """tree(rid, parent) as (select 0, null union all select r_regionkey + 100, 0 from region union all select n_nationkey + 1000, n_regionkey + 100 from nation),
+               up(rid, root, depth) as (select rid, rid, 0 from tree union all select up.rid, tree.parent, depth + 1 from up join tree on up.root = tree.rid)"""
+
+
+@query(f"with recursive {_TREE_SQL} select rid::int as rid, root::int as root, depth::int as depth from up")
+def closure(spark, d):
+    return relational.closure(_tree(spark, d))
+
+
+@query(f"""with recursive {_TREE_SQL} select root::int as root, count(c_custkey) as customers from up join customer on c_nationkey + 1000 = rid where root is not null group by root""")
+def subtree_prod(spark, d):
+    counts = relational.production(table(spark, d, "customer").select((F.col("c_nationkey") + 1000).alias("rid")), "rid", name="n")
+    return relational.closure(_tree(spark, d)).where("root is not null").join(counts, "rid").groupBy("root").agg(F.sum("n").alias("customers"))
+
+
+@query(f"""with recursive {_TREE_SQL} select n_nationkey, n_name from nation where n_nationkey + 1000 in (select rid from up where root = 102)""")
+def subtree_filter(spark, d):
+    tree = _tree(spark, d)
+    nation = table(spark, d, "nation").select((F.col("n_nationkey") + 1000).alias("rid"), "n_nationkey", "n_name")
+    return relational.below(nation, relational.closure(tree), 102).select("n_nationkey", "n_name")
+
+
+# ---- text
+
+_FOLD_SQL = "trim(replace(replace(replace(replace(lower(strip_accents({0})), 'ß', 'ss'), 'œ', 'oe'), 'æ', 'ae'), 'đ', 'd'), ' ' || chr(10))"
+
+
+@query(f"select doc_id, {_FOLD_SQL.format('text')} as folded from documents")
+def normalize_text(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.fold(F.col("text")).alias("folded"))
+
+
+@query("select doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g'), ' ') as text from documents")
+def normalize_space(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.normalize_space(F.col("text")).alias("text"))
+
+
+_TRIGRAMS_SQL = "list_distinct([substr({0}, i, 3) for i in range(1, length({0}) - 1)])"
+
+
+@query(f"select item_id, len({_TRIGRAMS_SQL.format('text')})::bigint as n from benchmark")
+def trigram_counts(spark, d):
+    return table(spark, d, "benchmark").select("item_id", F.size(T.trigrams(F.col("text"))).cast("bigint").alias("n"))
+
+
+@query(f"""with s as (select item_id, {_TRIGRAMS_SQL.format('text')} as g from benchmark)
+           select a.item_id as id1, b.item_id as id2, round(len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))), 6) as coeff
+           from s a join s b on b.item_id = a.item_id + 1""")
+def jaccard_pairs_scalar(spark, d):
+    s = table(spark, d, "benchmark").select("item_id", T.trigrams(F.col("text")).alias("g"))
+    nxt = s.select((F.col("item_id") - 1).alias("item_id"), F.col("item_id").alias("id2"), F.col("g").alias("h"))
+    return s.join(nxt, "item_id").select(F.col("item_id").alias("id1"), "id2", F.round(T.jaccard(F.col("g"), F.col("h")), 6).alias("coeff"))
+
+
+# ---- parallel passages
+
+_PAIRS_SQL = f"""s as (select conv_id * 1000 + turn as id, {_TRIGRAMS_SQL.format('lower(text)')} as g from conversations),
+    c as (select a.id as id1, b.id as id2, len(list_intersect(a.g, b.g)) as inter, len(a.g) + len(b.g) as n2 from s a join s b on a.id < b.id),
+    pairs as (select id1, id2, round(inter / (n2 - inter), 6) as coeff from c where 10 * inter >= 3 * (n2 - inter))"""
+
+
+def _pairs(spark, d) -> DataFrame:
+    turns = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    return parallels.similar_pairs(turns, "id", F.lower("text"))
+
+
+@query(f"with {_PAIRS_SQL} select id1, id2, coeff from pairs")
+def jaccard_selfjoin(spark, d):
+    return _pairs(spark, d).select("id1", "id2", parallels.coefficient().alias("coeff"))
+
+
+@query(f"with {_PAIRS_SQL} select id1 as id, id2, coeff from pairs union all select id2, id1, coeff from pairs")
+def jaccard_symmetric(spark, d):
+    return parallels.mirrored(_pairs(spark, d))
+
+
+@query("""with n as (select conv_id, text, row_number() over (partition by conv_id order by turn) - 1 as ix, count(*) over (partition by conv_id) as n from conversations),
+          g as (select type, size, conv_id, n, ix // size as g, string_agg(chr((97 + ix)::int), '' order by ix) as letters, string_agg(text, ' ' order by ix) as t
+                from n, (values (1, 4), (2, 2), (4, 1)) k(type, size) where (ix // size + 1) * size <= n group by all)
+          select type::int as type, conv_id, conv_id || case when type = 1 and n <= 4 then '' else letters end as number, regexp_replace(' ' || t || ' ', '\\s{2,}', ' ', 'g') as text from g""")
+def passages(spark, d):
+    return parallels.passages(table(spark, d, "conversations"), "conv_id", "turn", "text")
+
+
+@query("""select conv_id, (count(*) // 4)::bigint as verses, (count(*) // 2)::bigint as hemistiches, count(*) as padas from conversations group by conv_id""")
+def parallels_counts_pivot(spark, d):
+    kinds = parallels.passages(table(spark, d, "conversations"), "conv_id", "turn", "text")
+    count = lambda kind: F.count_if(F.col("type") == kind)
+    return kinds.groupBy("conv_id").agg(count(parallels.VERSE).alias("verses"), count(parallels.HEMISTICH).alias("hemistiches"), count(parallels.PADA).alias("padas"))
+
+
+@query(f"""with q as (select item_id, {_TRIGRAMS_SQL.format('text')} as g from benchmark),
+    s as (select conv_id * 1000 + turn as id, {_TRIGRAMS_SQL.format('text')} as g from conversations),
+    c as (select item_id, id, len(list_intersect(q.g, s.g)) as inter, len(q.g) + len(s.g) as n2 from q, s),
+    r as (select item_id, id, round(inter / (n2 - inter), 6) as coeff from c where inter > 0)
+    select item_id, id, coeff, total from (select *, count(*) over (partition by item_id) as total, row_number() over (partition by item_id order by coeff desc, id) as k from r) where k <= 50""")
+def parallels_search(spark, d):
+    turns = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    return parallels.nearest(table(spark, d, "benchmark").select("item_id", F.col("text").alias("q")), "item_id", F.col("q"), turns, "id", F.col("text"))
+
+
+# ---- catalogue
+
+FIELDS = ["ident", "repo", "lang", "summary"]
+LANGUAGES = {"en": ["english"], "fr": ["french"], "de": ["german"], "es": ["spanish", "castilian"]}
+
+
+def _index(spark, d) -> DataFrame:
+    own = {"ident": F.col("doc_id"), "repo": F.col("source"), "lang": F.col("lang"), "summary": F.col("text")}
+    return catalog.folded_index(table(spark, d, "documents"), own, "doc_id")
+
+
+def _found(spark, d, q: str, number: int = 1) -> DataFrame:
+    found = catalog.search(_index(spark, d), q, FIELDS, {k: k for k in LANGUAGES}, LANGUAGES).select("doc_id", F.col("repo").alias("source"), "lang")
+    return relational.page(found, [F.col("doc_id")], number, catalog.PER_PAGE).select("doc_id", "source", "lang", "total")
+
+
+_SUMMARY = _FOLD_SQL.format("text")
+
+
+def _page_sql(where: str, number: int = 1) -> str:
+    return f"""with i as (select doc_id, source, lang, {_SUMMARY} as summary from documents), f as (select * from i where {where})
+               select doc_id, source, lang, (select count(*) from f) as total from f order by doc_id limit 50 offset {50 * (number - 1)}"""
+
+
+@query(_page_sql("contains(doc_id::varchar, 'mentoi') or contains(source, 'mentoi') or contains(lang, 'mentoi') or contains(summary, 'mentoi')"))
+def catalog_search_unscoped(spark, d):
+    return _found(spark, d, "Mentoi")
+
+
+@query(_page_sql("contains(source, 'src1') and contains(summary, 'tion')", 2))
+def catalog_search_scoped(spark, d):
+    return _found(spark, d, 'repo:src1 AND summary:"tion"', 2)
+
+
+@query(_page_sql("false"))
+def catalog_search_short(spark, d):
+    return _found(spark, d, "en summary:tion")
+
+
+@query(_page_sql("lang = 'es'"))
+def catalog_search_lang_name(spark, d):
+    return _found(spark, d, "lang:Castil")
+
+
+@query(_page_sql("lang = 'de' and contains(summary, 'keit')"))
+def catalog_search_lang_code(spark, d):
+    return _found(spark, d, "lang:de keit")
+
+
+@query(_page_sql("true", 3))
+def catalog_search_all(spark, d):
+    return _found(spark, d, "", 3)
+
+
+@query(f"""with i as (select doc_id, source, {_SUMMARY} as summary from documents)
+           select doc_id from i where contains(source, 'src1') and (contains(summary, 'ation') or not contains(summary, 'ing'))""")
+def boolean_query(spark, d):
+    return catalog.search_boolean(_index(spark, d), "repo:src1 and (summary=ation or not summary:ing)", FIELDS).select("doc_id")
+
+
+@query("""with p as (select item_id, string_split(lower(text), 'ti') as parts from benchmark),
+          e as (select item_id, parts, unnest(range(1, len(parts))) as i from p)
+          select item_id, (list_sum(list_transform(parts[1:i], lambda x: length(x))) + (i - 1) * 2)::bigint as start, 2::bigint as length from e""")
+def match_offsets(spark, d):
+    return catalog.occurrences(table(spark, d, "benchmark").withColumn("low", F.lower("text")), "item_id", F.col("low"), "ti")
+
+
+# ---- records with versions
+
+@query("""with b as (select user_id, max(event_id) as s from events where event_id < 6000 group by 1), n as (select user_id, max(event_id) as s from events where event_id >= 3000 group by 1)
+          select user_id, case when b.s is null then 'insert' when n.s is null then 'delete' when n.s > b.s then 'update' else 'keep' end as action
+          from b full join n using (user_id)""")
+def change_classes(spark, d):
+    events = table(spark, d, "events")
+    at = lambda rows: rows.groupBy("user_id").agg(F.max("event_id").alias("s"))
+    return relational.change_classes(at(events.where("event_id < 6000")), at(events.where("event_id >= 3000")), "user_id", "s")
+
+
+@query("select user_id, max(event_id) as version, max_by(value, event_id) as value from events group by user_id")
+def cdc_latest(spark, d):
+    return relational.latest(table(spark, d, "events"), "user_id", "event_id", "value").select("user_id", F.col("event_id").alias("version"), "value")
+
+
+@query("""select * from (select user_id, max(event_id) as version, max_by(value, event_id) as value, max_by(event_type, event_id) as kind from events group by user_id) where kind <> 'purchase'""")
+def cdc_delete(spark, d):
+    newest = relational.latest(table(spark, d, "events"), "user_id", "event_id", "value", "event_type")
+    return newest.where("event_type <> 'purchase'").select("user_id", F.col("event_id").alias("version"), "value", F.col("event_type").alias("kind"))
+
+
+@query("""with o as (select user_id as key, max_by(value, event_id) as value from events where event_id < 5000 group by 1), n as (select user_id as key, max_by(value, event_id) as value from events where event_id >= 5000 group by 1)
+          select * from n union all select * from o where key not in (select key from n)""")
+def upsert_merge(spark, d):
+    events = table(spark, d, "events")
+    rows = lambda part: relational.latest(part, "user_id", "event_id", "value").select(F.col("user_id").alias("key"), "value")
+    return relational.upsert(rows(events.where("event_id < 5000")), rows(events.where("event_id >= 5000")), "key")
+
+
+def _records(spark, d) -> DataFrame:
+    data = """named_struct('itemType', case when event_type = 'purchase' then 'book' when event_type = 'click' then 'journalArticle' else event_type end,
+      'shortTitle', case when event_id % 7 = 0 then ' ' else concat('k', get_json_object(props, '$.k')) end, 'title', '', 'date', case when user_id % 5 = 0 then 'n.d.' else cast(user_id as string) end,
+      'extra', case when event_id % 11 = 0 then concat('Shorthand: S', event_id) end, 'pages', '', 'DOI', '', 'url', '', 'deleted', cast(event_id % 13 = 0 as int),
+      'creators', array(named_struct('creatorType', 'author', 'firstName', 'A', 'lastName', concat('N', user_id % 10), 'name', '')), 'tags', cast(array() as array<struct<tag:string>>))"""
+    return table(spark, d, "events").select(F.col("event_id").cast("string").alias("key"), F.col("event_id").alias("version"), F.expr(data).alias("data"))
+
+
+_BIB_SQL = """r as (select event_id, event_id::varchar as key, case when event_id % 7 <> 0 then 'k' || json_extract_string(props, '$.k') end as short_title, event_id % 13 = 0 as deleted,
+    case when event_type in ('purchase', 'click') then
+      coalesce(case when event_id % 11 = 0 then 'S' || event_id end, 'N' || (user_id % 10) || ', A' || case when user_id % 5 = 0 then '' else ' ' || user_id end) || ' ' || event_id end as sort_key from events)"""
+
+
+@query(f"with {_BIB_SQL} select key, sort_key from r")
+def bib_sort_key(spark, d):
+    from glyphmill.operators import biblio
+
+    return _records(spark, d).select("key", biblio.sort_key(F.col("key"), F.col("data")).alias("sort_key"))
+
+
+@query(f"with {_BIB_SQL} select short_title, max(event_id) as version, max_by(sort_key, event_id) as sort_key from r where short_title is not null and sort_key is not null and not deleted group by 1")
+def bib_admission(spark, d):
+    from glyphmill.operators import biblio
+
+    return biblio.admitted(_records(spark, d)).select("short_title", "version", "sort_key")
+
+
+@query("""select 'discount in range' as rule, count(*) as violations from lineitem where l_discount < 0 or l_discount > 1
+          union all select 'order exists', count(*) from lineitem where l_orderkey not in (select o_orderkey from orders)
+          union all select 'order key unique', count(*) from (select o_orderkey from orders group by 1 having count(*) > 1)
+          union all select 'customer name shape', count(*) from customer where not regexp_matches(c_name, '^Customer#[0-9]+$')
+          union all select 'positive balance', count(*) from customer where c_acctbal < 0""")
+def constraints_report(spark, d):
+    lineitem, orders, customer = (table(spark, d, n) for n in ("lineitem", "orders", "customer"))
+    return relational.violations({
+        "discount in range": lineitem.where("l_discount < 0 or l_discount > 1"),
+        "order exists": relational.orphans(lineitem, "l_orderkey", orders.select("o_orderkey"), "o_orderkey"),
+        "order key unique": relational.duplicates(orders, "o_orderkey"),
+        "customer name shape": customer.where(~F.col("c_name").rlike("^Customer#[0-9]+$")),
+        "positive balance": customer.where("c_acctbal < 0"),
+    })
+
+
+# ---- trees
+
+def _nodes(spark, d) -> DataFrame:
+    return nodes.nodes(table(spark, d, "pages"), "page_id", "html", tolerant=True)
+
+
+def _xpath(path: str) -> Query:
+    def run(spark, d):
+        return nodes.XPath(_nodes(spark, d)).find(path).select(F.col("doc_id").alias("page_id"), "pre", "name")
+
+    return run
+
+
+PATHS = {
+    "xpath_child": "/html/head/title",
+    "xpath_descendant": "//p",
+    "xpath_ancestor": "//p/ancestor::body",
+    "xpath_sibling": "//h1/following-sibling::p",
+    "xpath_following": "//title/following::p",
+    "xpath_stuck": "//body/stuck-child::*",
+    "xpath_predicate": "//meta[@charset='utf-8']",
+    "xpath_functions": "//p[regex('tion') and not(empty())]",
+}
+for _name, _path in PATHS.items():
+    _QUERIES[_name] = _xpath(_path)
+_SQL["xpath_predicate_count"] = "select count(*) as n from pages where regexp_matches(html, '<meta charset=\"utf-8\">')"
+
+
+@query(_SQL.pop("xpath_predicate_count"))
+def xpath_predicate_count(spark, d):
+    return _xpath("//meta[@charset='utf-8']")(spark, d).agg(F.count_distinct("page_id").alias("n"))
+
+
+@query()
+def html_text(spark, d):
+    return table(spark, d, "pages").select("page_id", T.html_text(F.col("html")).alias("text"))
+
+
+@query()
+def grapheme_issues(spark, d):
+    return quality.odd_clusters(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query()
+def rule_unique_href(spark, d):
+    return quality.unique_attribute(_nodes(spark, d), "href", "an address occurs twice")
+
+
+@query()
+def rule_nested_links(spark, d):
+    return quality.forbidden(_nodes(spark, d), "//a//a", "a link within a link")
+
+
+@query()
+def lang_inheritance(spark, d):
+    return quality.inherited(_nodes(spark, d), "lang", "und").select(F.col("doc_id").alias("page_id"), "pre", F.col("value").alias("lang"))
+
+
+@query()
+def stream_ingest(spark, d):
+    import uuid
+
+    from glyphmill.streaming.ingest import VersionedTable, ingest
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    at = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    schema = table(spark, d, "events").schema
+    source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
+    into = VersionedTable(spark, at, "user_id bigint, event_id bigint, value double")
+    ingest(source.select("user_id", "event_id", "value", "event_type"), into, "user_id", "event_id", F.col("event_type") == "purchase", f"{at}-checkpoint")
+    return into.read().select(F.col("user_id").alias("key"), "value")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """A page of a search, joined with the production of each document's language and source."""
+    found = catalog.search(_index(spark, sf_dir), "repo:src1 tion", FIELDS).select("doc_id", F.col("repo").alias("source"), "lang")
+    counted = found.join(lang_source_prod(spark, sf_dir), ["lang", "source"])
+    return relational.page(counted, [*sort_columns(F.col("source"), F.col("doc_id"))], 1, catalog.PER_PAGE)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
