@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from glyphmill.llm.common import StoreWriter, batches_of, materialise, open_store, rows_of, shared_dir
+from glyphmill.llm.common import StoreWriter, batches_of, chunks, materialise, open_store, rows_of, shared_dir
 
 #: Words kept per Python worker before its memory of them is emptied, and the longest word kept.
 MEMO_ENTRIES, MEMO_CHARS = 600_000, 48
@@ -99,7 +99,7 @@ def write(df: DataFrame, encoder: Callable[[], Callable[[list[str]], list[np.nda
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, ids, offsets, docs = encoder(), None, [0], []
-        for row in _chunks(rows_of(batches, "i", "t")):
+        for row in chunks(rows_of(batches, "i", "t"), 1 << 20):
             ids = ids or StoreWriter(folder, ".bin")
             for (doc, _), tokens in zip(row, encode([t or "" for _, t in row]), strict=True):
                 ids.write(np.append(tokens, end_id).astype(dtype).tobytes())
@@ -113,22 +113,10 @@ def write(df: DataFrame, encoder: Callable[[], Callable[[list[str]], list[np.nda
             yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "bin": [ids.close()], "idx": [idx.close()], "n_docs": [len(docs)], "n_tokens": [offsets[-1]]})
 
     sorted_rows = df.selectExpr(f"`{id_col}` as i", f"`{text_col}` as t").repartitionByRange("i").sortWithinPartitions("i")
-    manifest = materialise(sorted_rows.mapInArrow(run, "part int, bin string, idx string, n_docs long, n_tokens long"))
+    manifest = materialise(sorted_rows.mapInArrow(run, "part long, bin string, idx string, n_docs long, n_tokens long"))
     rows = sorted(manifest.collect())  # one for each task
     bases = itertools.accumulate((r.n_tokens for r in rows), initial=0)
-    return spark.createDataFrame([(*r, b) for r, b in zip(rows, bases, strict=False)], "part int, bin string, idx string, n_docs long, n_tokens long, base long").repartition(max(1, len(rows)))
-
-
-def _chunks(rows: Iterator[tuple], chars: int = 1 << 20) -> Iterator[list[tuple]]:
-    held, size = [], 0
-    for row in rows:
-        held.append(row)
-        size += len(row[1] or "")
-        if size >= chars or len(held) >= 2000:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
+    return spark.createDataFrame([(*r, b) for r, b in zip(rows, bases, strict=False)], "part long, bin string, idx string, n_docs long, n_tokens long, base long").repartition(max(1, len(rows)))
 
 
 def mapped(uri: str) -> pa.Buffer:
