@@ -28,8 +28,20 @@ from pyspark.sql import DataFrame
 
 from glyphmill.llm.common import StoreWriter, batches_of, chunks, materialise, open_store, rows_of, shared_dir
 
-#: Words kept per Python worker before its memory of them is emptied, and the longest word kept.
-MEMO_ENTRIES, MEMO_CHARS = 600_000, 48
+#: Parts kept per Python worker before its memory of them is emptied; longer ones count by their characters too.
+MEMO_ENTRIES, MEMO_CHARS = 1_200_000, 48
+
+
+class _Numbers(dict):
+    """Numbers parts as they are asked for; ``new`` has those that came last."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, part: str) -> int:
+        self[part] = n = len(self)
+        self.new.append(part)
+        return n
 
 
 class WordTokenizer:
@@ -49,12 +61,13 @@ class WordTokenizer:
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number, self.long = _Numbers(), 0
         self.ids = np.zeros(1 << 16, "<u4")
         self.start = np.zeros(1 << 12, np.int64)  # of each known part, and the end of the last
 
-    def learn(self, parts: list[str]) -> None:
-        n = len(self.number)
+    def learn(self) -> None:
+        parts, self.number.new = self.number.new, []
+        n = len(self.number) - len(parts)
         coded = [x.ids for x in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
         lengths = np.fromiter(map(len, coded), np.int64, len(coded))
         flat = np.fromiter(itertools.chain.from_iterable(coded), "<u4", int(lengths.sum()))
@@ -65,23 +78,21 @@ class WordTokenizer:
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.start[n + 1 : n + 1 + len(parts)] = end + np.cumsum(lengths)
         self.ids[end : end + len(flat)] = flat
-        self.number.update(zip(parts, range(n, n + len(parts)), strict=True))
+        if any(len(x) > MEMO_CHARS for x in parts):
+            self.long += sum(len(x) for x in parts if len(x) > MEMO_CHARS)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.number) >= MEMO_ENTRIES:
+        if len(self.number) >= MEMO_ENTRIES or self.long >= MEMO_CHARS * MEMO_ENTRIES:
             self.clear()
-        split = [text.replace("\n", " ").split(" ") for text in texts]
-        new = dict.fromkeys(x for parts in split for x in parts if x not in self.number)
-        if new:
-            self.learn(list(new))
+        known = self.number.__getitem__
+        asked = [np.fromiter(map(known, parts), np.int64, len(parts)) for parts in (text.replace("\n", " ").split(" ") for text in texts)]
+        if self.number.new:
+            self.learn()
         out = []
-        for parts in split:
-            at = np.fromiter(map(self.number.__getitem__, parts), np.int64, len(parts))
+        for at in asked:
             begin, length = self.start[at], self.start[at + 1] - self.start[at]
             ends = np.cumsum(length)
             out.append(self.ids[np.arange(ends[-1]) + np.repeat(begin - ends + length, length)])
-        if len(self.number) >= MEMO_ENTRIES or any(len(x) > MEMO_CHARS * 100 for x in new):
-            self.clear()
         return out
 
 
