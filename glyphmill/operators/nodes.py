@@ -142,7 +142,7 @@ def nodes(df: DataFrame, key: str, content: str, tolerant: bool = False) -> Data
             for at in range(0, len(frame), 100):
                 part = frame.iloc[at : at + 100]
                 rows = [r for i, c in zip(part["k"], part["c"], strict=True) for r in parse(int(i), c or "")]
-                out = pd.DataFrame(rows, columns=names)
+                out = pd.DataFrame(rows, columns=names, dtype=object)
                 for n in ("pre", "post", "level", "parent_pre", "sib", "line", "col"):
                     out[n] = out[n].astype("Int32")
                 yield out

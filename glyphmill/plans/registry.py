@@ -476,6 +476,18 @@ def xpath_predicate_count(spark, d):
     return _xpath("//meta[@charset='utf-8']")(spark, d).agg(F.count_distinct("page_id").alias("n"))
 
 
+@query("""with l as (select conv_id, turn, trim(regexp_replace(replace(text, chr(39), '’'), '\\s+', ' ', 'g'), ' ') as t from conversations)
+          select conv_id as doc_id, string_agg(t, chr(10) order by turn) filter (t <> '') as logical, count(*)::int as lines from l group by conv_id""")
+def edition_displays(spark, d):
+    from glyphmill.operators import editions
+
+    # A conversation is an edition: a verse with a line for each turn.
+    line = F.concat(F.lit("<l><lb n='"), "turn", F.lit("'/>"), T.quote_xml(F.col("text")), F.lit("</l>"))
+    listed = table(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", line.alias("x")))).alias("l"))
+    whole = F.concat(F.lit("<TEI><text><body><div type='edition'><lg>"), F.array_join(F.transform("l", lambda x: x["x"]), ""), F.lit("</lg></div></body></text></TEI>"))
+    return editions.displays(listed.select("conv_id", whole.alias("x")), "conv_id", "x").select("doc_id", "logical", "lines")
+
+
 @query()
 def html_text(spark, d):
     return table(spark, d, "pages").select("page_id", T.html_text(F.col("html")).alias("text"))

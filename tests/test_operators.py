@@ -226,3 +226,29 @@ def test_events(spark):
     assert [r.name for r in webhook_names(events, ["bot"]).collect()] == ["s"]
     lines = spark.createDataFrame([("all",), ("bib",), (" r1 ",), ("x",)], "value string")
     assert dict(routed(lines, spark.createDataFrame([("r1",)], "repo string")).collect()) == {"all": "all", "bib": "bib", "r1": "repository", "x": "junk"}
+
+
+EDITION = """<TEI><teiHeader><titleStmt><title>T  1</title><editor><persName>A B</persName></editor><editor><persName>A B</persName></editor></titleStmt><summary>S</summary></teiHeader>
+<text><body><div type="edition" xml:lang="san"><pb n="1"/><p><lb n="1"/>foo <choice><sic>bra</sic><corr>bar</corr></choice> <gap reason="lost" quantity="3" unit="character"/>
+<supplied reason="lost" cert="low">xx</supplied>ba<lb n="2" break="no"/>z<note>N 1</note> <g type="numeral">1/4</g> <g type="dot"/><del>old</del> <choice><unclear>a</unclear><unclear>b</unclear></choice><zz/></p>
+<lg><l>one</l><l>two</l></lg></div></body></text></TEI>"""
+
+
+def test_editions(spark):
+    from glyphmill.operators import editions
+
+    df = spark.createDataFrame([(1, EDITION), (2, "<a>"), (3, "<TEI/>")], "id int, x string")
+    got = {r.doc_id: r for r in editions.displays(df, "id", "x", {"dot": ("•", ".")}).collect()}
+    one = got[1]
+    assert one.logical == "foo bar [3+] [xx?]baz ¼ • (a/b)\none\ntwo" and one.search == "foo bar ... xxbaz 1/4 . a\none\ntwo"
+    assert "foo bra [***] [xx?]ba-\n(2) z" in one.physical and "⟦old⟧" in one.physical and "¿bra?⟨bar⟩" in one.full
+    assert (one.title, one.editors, one.summary, one.langs, one.notes, one.lines, one.unknown) == ("T 1", ["A B"], "S", ["san"], ["N 1"], 2, ["zz"])
+    assert got[2].error and got[3].logical == "" and got[3].langs == ["und"]
+
+
+def test_gaps_and_fractions():
+    from glyphmill.operators.editions import fraction, gap_views
+
+    assert gap_views("lost", "3", "character") == {"logical": "[3+]", "physical": "[***]", "full": "[3+]", "search": "..."}
+    assert gap_views()["logical"] == "[…]" and gap_views()["search"] == "....." and gap_views("lost", "2", "line", "low")["logical"] == "[ca. 2 lost lines]"
+    assert fraction("1/4") == "¼" and fraction("7/9") == "⁷⁄₉" and fraction("x") == "x"
