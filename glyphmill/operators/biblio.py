@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 from glyphmill.operators.relational import latest
 
 #: Kinds of items that have an entry, and creators that come first in one.
-ITEM_TYPES = ("book", "bookSection", "journalArticle", "conferencePaper", "thesis", "report", "webpage", "encyclopediaArticle", "document", "manuscript", "magazineArticle")
+ITEM_TYPES = ("book", "journalArticle", "conferencePaper", "report", "bookSection", "thesis", "webpage", "document", "newspaperArticle", "dataset", "blogPost")
 SORTED_CREATORS = ("author", "editor", "translator", "contributor")
 
-RECORD = "struct<key:string,version:bigint,data:struct<itemType:string,shortTitle:string,title:string,date:string,extra:string,pages:string,DOI:string,url:string,deleted:int,creators:array<struct<creatorType:string,firstName:string,lastName:string,name:string>>,tags:array<struct<tag:string>>>>"
+MORE_FIELDS = ("publicationTitle", "journalAbbreviation", "bookTitle", "proceedingsTitle", "websiteTitle", "blogTitle", "volume", "issue", "edition", "series", "seriesNumber", "place", "publisher", "institution", "university", "thesisType", "reportType", "repository")
+
+RECORD = "struct<key:string,version:bigint,data:struct<itemType:string,shortTitle:string,title:string,date:string,extra:string,pages:string,DOI:string,url:string,deleted:int,creators:array<struct<creatorType:string,firstName:string,lastName:string,name:string>>,tags:array<struct<tag:string>>," + ",".join(f"{n}:string" for n in MORE_FIELDS) + ">>"
 
 
 def read_jsonl(spark, path: str) -> DataFrame:
@@ -98,6 +100,78 @@ def by_creator(records: DataFrame) -> DataFrame:
     return records.select(F.explode("data.creators").alias("c"), "key").select(name_first_last(F.col("c")).alias("creator"), F.col("c.creatorType").alias("kind"), "key")
 
 
+def _given(c: Column) -> Column:
+    return F.nullif(F.trim(c), F.lit(""))
+
+
+def _around(left: str, c: Column, right: str = "") -> Column:
+    """Null if there is nothing to stand between."""
+    return F.concat(F.lit(left), _given(c), F.lit(right))
+
+
+def names_of(data: Column, kind: str) -> Column:
+    """Creators of a kind, the first by last name; null if there are none."""
+    own = F.filter(data["creators"], lambda c: c["creatorType"] == kind)
+    shown = F.transform(own, lambda c, i: F.when(i == 0, name_last_first(c)).otherwise(name_first_last(c)))
+    last = F.element_at(shown, -1)
+    listed = F.when(F.size(shown) == 1, F.get(shown, 0)).otherwise(F.concat(F.array_join(F.slice(shown, 1, F.size(shown) - 1), ", "), F.lit(" and "), last))
+    return F.when(F.size(shown) > 0, listed)
+
+
+def ordinal_edition(c: Column) -> Column:
+    """``2`` as ``2nd edition``; words stay."""
+    n = F.regexp_extract(c, r"^\s*(\d+)\s*$", 1)
+    suffix = F.when(n.rlike("1[123]$"), "th").when(n.endswith("1"), "st").when(n.endswith("2"), "nd").when(n.endswith("3"), "rd").otherwise("th")
+    return F.when(n != "", F.concat(n, suffix, F.lit(" edition"))).otherwise(_given(c))
+
+
+#: What an entry has between its title and its place, by kind of item: fields with what stands around them.
+INSIDE = {
+    "journalArticle": (("<i>", "publicationTitle", "</i>"), ("", "volume", ""), ("(", "issue", ")")),
+    "newspaperArticle": (("<i>", "publicationTitle", "</i>"), ("", "edition", "")),
+    "bookSection": (("In: <i>", "bookTitle", "</i>"), ("vol. ", "volume", ""), ("", "series", ""), ("", "seriesNumber", "")),
+    "conferencePaper": (("In: <i>", "proceedingsTitle", "</i>"), ("vol. ", "volume", ""), ("", "series", "")),
+    "book": (("vol. ", "volume", ""), ("", "series", ""), ("", "seriesNumber", "")),
+    "thesis": (("", "thesisType", ""), ("", "university", "")),
+    "report": (("", "reportType", ""), ("", "institution", "")),
+    "webpage": (("<i>", "websiteTitle", "</i>"),),
+    "blogPost": (("<i>", "blogTitle", "</i>"),),
+    "dataset": (("", "repository", ""),),
+    "document": (),
+}
+#: Kinds whose own title is that of a whole work.
+WHOLE = ("book", "thesis", "report", "document", "dataset")
+
+
+def entry(data: Column) -> Column:
+    """An entry as markup: who, when, what, in what, where, pages, identifiers; null for kinds without one."""
+    who = F.coalesce(names_of(data, "author"), F.concat(names_of(data, "editor"), F.lit(" (ed.)")))
+    when = F.coalesce(clean_blank(data["date"]), F.lit("n.d."))
+    title = F.when(data["itemType"].isin(*WHOLE), _around("<i>", data["title"], "</i>")).otherwise(_around("“", data["title"], "”"))
+    inside = F.lit(None).cast("string")
+    for kind, fields in INSIDE.items():
+        parts = [_around(a, data[f], b) if f != "edition" else ordinal_edition(data[f]) for a, f, b in fields]
+        inside = F.when(data["itemType"] == kind, F.nullif(F.concat_ws(" ", *parts), F.lit("")) if parts else F.lit(None)).otherwise(inside)
+    editors = F.when(names_of(data, "author").isNotNull(), F.concat(F.lit("Edited by "), names_of(data, "editor")))
+    edition = F.when(data["itemType"] == "book", ordinal_edition(data["edition"]))
+    where = F.nullif(F.concat_ws(": ", _given(data["place"]), _given(data["publisher"])), F.lit(""))
+    pages = F.when(is_page_range(data["pages"]), _around("pp. ", data["pages"])).otherwise(_around("p. ", data["pages"]))
+    ids = F.coalesce(F.concat(F.lit("DOI: "), clean_doi(data["DOI"])), _around("URL: ", data["url"]))
+    body = F.concat_ws(". ", F.concat_ws(" ", who, when), title, inside, editors, edition, where, pages, ids)
+    return F.when(data["itemType"].isin(*ITEM_TYPES), F.concat(F.regexp_replace(body, r"\.\. ", ". "), F.lit(".")))
+
+
+#: Tags of titles and the classes that stand for them.
+RICH_TEXT = {"i": "italics", "b": "bold", "sub": "sub", "sup": "sup"}
+
+
+def rich_text(c: Column) -> Column:
+    """The tags that titles may have as spans; all other tags go, their contents stay."""
+    for tag, name in RICH_TEXT.items():
+        c = F.regexp_replace(F.regexp_replace(c, f"(?i)<{tag}>", f'<span class="{name}">'), f"(?i)</{tag}>", "</span>")
+    return F.regexp_replace(c, r"(?i)<(?!/?span\b)[^>]*>", "")
+
+
 def reference(data: Column, form: str = "default") -> Column:
     """``Name date``, only the date (``omitname``), or ``ibid.``"""
     date = F.coalesce(clean_blank(data["date"]), F.lit("n.d."))

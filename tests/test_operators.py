@@ -175,15 +175,49 @@ def test_quality(spark):
 def test_bibliography(spark):
     kind = f"key string, version long, data {biblio.RECORD.split('data:')[1][:-1]}"
     creator = lambda last, kind="author": (kind, "F", last, "")
-    data = lambda kind, title, extra="", date="1990", deleted=0, people=(): (kind, title, "t", date, extra, "1-2", "https://doi.org/10.1/x", "", deleted, list(people), [("t1",)])
+    data = lambda kind, title, extra="", date="1990", deleted=0, people=(): (kind, title, "t", date, extra, "1-2", "https://doi.org/10.1/x", "", deleted, list(people), [("t1",)], "J", "", "B", *[None] * 3, "4", "2", "2", *[None] * 9)
     rows = [("k1", 1, data("book", "A", people=[creator("Zed")])), ("k2", 2, data("book", "A", "Shorthand: SH", people=[creator("Abe")])), ("k3", 3, data("podcast", "B")), ("k4", 4, data("book", " ")), ("k5", 5, data("book", "C", deleted=1)), ("k6", 6, data("thesis", "D", date="n.d.", people=[creator("X", "editor"), creator("Y"), creator("W")]))]
     df = spark.createDataFrame(rows, kind)
     assert {(r.short_title, r.key, r.sort_key) for r in biblio.admitted(df).collect()} == {("A", "k2", "SH k2"), ("D", "k6", "X, F k6")}
     got = {r.key: r for r in df.select("key", biblio.reference(F.col("data")).alias("r"), biblio.clean_doi(F.col("data.DOI")).alias("doi"), biblio.is_page_range(F.col("data.pages")).alias("pp")).collect()}
     assert got["k1"].r == "Zed 1990" and got["k6"].r == "X et al. n.d." and got["k1"].doi == "10.1/x" and got["k1"].pp
+    entries = {r[0]: r[1] for r in df.select("key", biblio.entry(F.col("data"))).collect()}
+    assert entries["k1"] == "Zed, F 1990. <i>t</i>. vol. 4. 2nd edition. pp. 1-2. DOI: 10.1/x." and entries["k3"] is None and entries["k6"].startswith("Y, F and F W n.d.")
     assert {r.key for r in biblio.sync(df, df.limit(0), df.where("key = 'k1'")).collect()} == {"k2", "k3", "k4", "k5", "k6"}
 
 
+def test_rich_text(spark):
+    from glyphmill.operators.biblio import ordinal_edition, rich_text
+
+    assert column(spark, ["a <i>b</i> <u>c</u> <B>d</B>"], rich_text) == ['a <span class="italics">b</span> c <span class="bold">d</span>']
+    assert column(spark, ["1", "12", "23", "revised", ""], ordinal_edition) == ["1st edition", "12th edition", "23rd edition", "revised", None]
+
+
+def test_languages_and_scripts(spark):
+    from glyphmill.operators import languages
+
+    iso3 = spark.createDataFrame([("fra", "fre", "fra", "fr", "French"), ("tam", "tam", "tam", "ta", "Tamil")], "Id string, Part2b string, Part2t string, Part1 string, Ref_Name string")
+    names = spark.createDataFrame([("fra", "French", "French"), ("tam", "Tamil", "Tamil"), ("tam", "Tamul", "Tamul")], "Id string, Print_Name string, Inverted_Name string")
+    iso5 = spark.createDataFrame([("dra", "Dravidian languages")], "code string, label string")
+    own = spark.createDataFrame([("tam", "Old Tamil", "Tamil, Old", "source"), ("xxx", "Special", "Special", ""), ("fra", "", "", "study")], "Id string, Print_Name string, Inverted_Name string, type string")
+    listed, codes = languages.languages(iso3, names, iso5, own)
+    got = {r.id: r for r in listed.collect()}
+    assert len(got) == 9 and (got["tam"].name, got["tam"].inverted_name, got["tam"].custom, got["tam"].project, got["tam"].iso) == ("Old Tamil", "Tamil, Old", True, True, 3)
+    assert got["fra"].parent == got["study"].rid and not got["fra"].custom and got["xxx"].custom and got["xxx"].parent == got["source"].rid and got["dra"].iso == 5 and got["lang"].parent is None
+    assert {(r.code, r.id) for r in codes.where("id = 'fra'").collect()} == {("fra", "fra"), ("fre", "fra"), ("fr", "fra")}
+    xml = "<script><id>source</id><script><id>arabic</id><id>arab</id><name>Arabic</name><script><id>jawi</id></script></script><script><id>latin</id></script></script>"
+    scripts = languages.scripts(nodes.nodes(spark.createDataFrame([(1, xml)], "id int, x string"), "id", "x"))
+    got = [(r.rid, r.id, r.parent) for r in scripts.orderBy("rid").collect()]
+    assert got == [(1, "source", None), (2, "arabic", 1), (3, "jawi", 2), (4, "arabic_other", 2), (5, "latin", 1), (6, "source_other", 1)]
+
+
+def test_prosody(spark):
+    from glyphmill.functions.prosody import is_pattern, render_pattern
+
+    assert column(spark, ["-+=2", "12-||"], render_pattern) == ["⏑–⏓⏖", "12⏑||"]
+    assert column(spark, ["-+|", "", "abc"], is_pattern) == [True, False, False]
+
+
 def test_tables_with_tabs(spark, tmp_path):
     (tmp_path / "s.tsv").write_text("names\ttext\tdescription\tsearch\na b a\tX\t\t\nc\t\td\tq\n")
     got = {r.name: (r.text, r.description, r.search) for r in readers.symbols(spark, f"file://{tmp_path}/s.tsv").collect()}
@@ -252,3 +286,29 @@ def test_gaps_and_fractions():
     assert gap_views("lost", "3", "character") == {"logical": "[3+]", "physical": "[***]", "full": "[3+]", "search": "..."}
     assert gap_views()["logical"] == "[…]" and gap_views()["search"] == "....." and gap_views("lost", "2", "line", "low")["logical"] == "[ca. 2 lost lines]"
     assert fraction("1/4") == "¼" and fraction("7/9") == "⁷⁄₉" and fraction("x") == "x"
+
+
+def test_addresses(spark):
+    from glyphmill.functions import web
+
+    assert column(spark, ["a b/é"], lambda c: web.format_url("http://x/%s", c)) == ["http://x/a%20b/%C3%A9"]
+    assert column(spark, ["/a/b.tar.gz", "C:\\x\\y.xml", ".z"], web.base_name) == ["b.tar", "y", ".z"]
+    assert column(spark, ["u?x=1&page=12", "u"], web.page_of) == [12, None]
+    assert column(spark, ["/dictionaries/mw/?page=1", "x"], web.dictionary_of) == ["mw", None]
+    assert column(spark, [1, 3], lambda c: web.count_of(c, "line"), "int") == ["1 line", "3 lines"]
+    assert column(spark, [0], web.format_date, "long") == ["1970-01-01 00:00"]
+    assert column(spark, ['<a href="../x">'], web.absolute_links("http://h/d/e/")) == ['<a href="http://h/d/x">']
+
+
+def test_collected_material(spark, tmp_path):
+    from glyphmill.sources import collections as C
+
+    (tmp_path / "d.tsv").write_text("mw\t2\t<hw>b</hw> x\nmw\t1\tpre <hw>a <i>q</i></hw> one <hw>c</hw> two\nap\t1\t<p>\n")
+    pages = C.dictionary_pages(spark, f"file://{tmp_path}/d.tsv", "m*")
+    assert [(r.page, r.head) for r in C.dictionary_entries(pages).orderBy("page", "n").collect()] == [(1, "a q"), (1, "c"), (2, "b")]
+    xml = "<doc><H1><arie n='5' ref='R'/></H1><H2>Place  A</H2><pb n='3'/><INSCRIPTION><S>one</S></INSCRIPTION><H2>B</H2><INSCRIPTION>two</INSCRIPTION></doc>"
+    tree = nodes.nodes(spark.createDataFrame([(1, xml)], "id int, x string"), "id", "x")
+    assert [tuple(r)[2:] for r in C.report_entries(tree).orderBy("pre").collect()] == [("R", "5", "Place A", "3", "one"), ("R", "5", "B", "3", "two")]
+    sheet = "<o><table><table-row><table-cell><p>K</p></table-cell><table-cell>L</table-cell></table-row><table-row><table-cell number-columns-repeated='2'>v</table-cell></table-row><table-row><table-cell/><table-cell>w</table-cell></table-row></table></o>"
+    rows = C.spreadsheet_rows(nodes.nodes(spark.createDataFrame([(1, sheet)], "id int, x string"), "id", "x"))
+    assert [r.html for r in C.spreadsheet_cards(rows).orderBy("row").collect()] == ["<dl><dt>K</dt><dd>v</dd><dt>L</dt><dd>v</dd></dl>", "<dl><dt>L</dt><dd>w</dd></dl>"]
