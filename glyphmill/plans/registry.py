@@ -443,6 +443,46 @@ def constraints_report(spark, d):
     })
 
 
+@query("select page_id, try_cast(nullif(regexp_extract(url, '[?&]page=(\\d+)', 1), '') as int) as page from pages")
+def url_page(spark, d):
+    from glyphmill.functions import web
+
+    return table(spark, d, "pages").select("page_id", web.page_of(F.col("url")).alias("page"))
+
+
+@query("select page_id, replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') as quoted from pages")
+def quote_xml(spark, d):
+    return table(spark, d, "pages").select("page_id", T.quote_xml(F.col("html")).alias("quoted"))
+
+
+@query("""with b as (select *, row_number() over (order by event_id) as n from events where event_id % 50 = 0)
+          select 'report' || (user_id % 5) as report, strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M') as at, count(*)::varchar || case when count(*) = 1 then ' event' else ' events' end as n from b group by 1, 2""")
+def formatted_counts(spark, d):
+    from glyphmill.functions import web
+
+    events = table(spark, d, "events").where("event_id % 50 = 0")
+    seconds = F.unix_seconds(F.date_trunc("minute", F.col("ts").cast("timestamp")))
+    counted = events.groupBy(F.concat(F.lit("report"), F.col("user_id") % 5).alias("report"), web.format_date(seconds).alias("at")).agg(F.count("*").alias("c"))
+    return counted.select("report", "at", web.count_of(F.col("c"), "event").alias("n"))
+
+
+@query(f"""with {_BIB_SQL}, e as (select event_id, user_id, event_type from events where event_type in ('purchase', 'click'))
+          select event_id::varchar as key, 'N' || (user_id % 10) || ' ' || case when user_id % 5 = 0 then 'n.d.' else user_id::varchar end as reference from e""")
+def bib_reference(spark, d):
+    from glyphmill.operators import biblio
+
+    records = _records(spark, d).where(F.col("data.itemType").isin("book", "journalArticle"))
+    return records.select("key", biblio.reference(F.col("data")).alias("reference"))
+
+
+@query("""select short_title as title, n from (select 'k' || json_extract_string(props, '$.k') as short_title, count(*) as n from events where event_id % 7 <> 0 group by 1) where n > 1""")
+def bib_duplicates(spark, d):
+    from glyphmill.operators import biblio
+
+    titles = _records(spark, d).select(biblio.short_title(F.col("data")).alias("title")).where("title is not null")
+    return relational.duplicates(titles, "title")
+
+
 # ---- trees
 
 def _nodes(spark, d) -> DataFrame:
