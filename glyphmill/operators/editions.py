@@ -244,6 +244,25 @@ def header(root: Element) -> dict:
     return {"title": "; ".join(of("title")) or None, "authors": of("author"), "editors": of("persName"), "summary": " ".join(summary.words().split()) or None if summary else None}
 
 
+#: What goes before and after an element of the internal form in its searchable text; elements in SKIPPED have none.
+AROUND = {**dict.fromkeys(("para", "verse", "quote", "elist", "dlist"), ("", "\n")), **dict.fromkeys(("item", "key", "value"), (" ", ""))}
+SKIPPED = frozenset("note head display npage nline ncell".split())
+
+
+def searchable_text(e: Element) -> str:
+    """Q14: the text of an internal document that a search sees; of a split, its search branch; a space where a verse line breaks."""
+    if e.name is None:
+        return e.text
+    if e.name in SKIPPED:
+        return ""
+    if e.name == "split":
+        return "".join(searchable_text(c) for c in e.children if c.name == "search")
+    before, after = AROUND.get(e.name, ("", ""))
+    if e.name == "verse-line" and e.attrs.get("break") in ("true", "yes", "on", "1"):
+        before = " "
+    return before + "".join(map(searchable_text, e.children)) + after
+
+
 SCHEMA = "doc_id long, title string, authors array<string>, editors array<string>, summary string, langs array<string>, logical string, physical string, full string, search string, notes array<string>, lines int, unknown array<string>, error string"
 
 

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SCHEMA = "doc_id long, pre int, post int, level int, parent_pre int, sib int, kind string, name string, attrs map<string,string>, data string, line int, col int, error string"
+SCHEMA = "doc_id long, pre int, post int, level int, parent_pre int, sib int, kind string, name string, attrs map<string,string>, data string, line int, col int, error string, path string"
 
 #: HTML elements that have no end tag.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -28,6 +28,7 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 class _Open:
     row: dict
     children: int = 0
+    names: dict = field(default_factory=dict)
 
 
 @dataclass
@@ -44,9 +45,12 @@ class _Builder:
 
     def _row(self, kind, name, attrs, data, line, col) -> dict:
         parent = self.stack[-1] if self.stack else None
-        row = {"doc_id": self.doc_id, "pre": len(self.rows), "post": -1, "level": len(self.stack), "parent_pre": parent.row["pre"] if parent else None, "sib": parent.children if parent else 0, "kind": kind, "name": name, "attrs": attrs, "data": data, "line": line, "col": col, "error": None}
+        row = {"doc_id": self.doc_id, "pre": len(self.rows), "post": -1, "level": len(self.stack), "parent_pre": parent.row["pre"] if parent else None, "sib": parent.children if parent else 0, "kind": kind, "name": name, "attrs": attrs, "data": data, "line": line, "col": col, "error": None, "path": "/" if kind == "tree" else None}
         if parent:
             parent.children += 1
+            if kind == "tag":
+                k = parent.names[name] = parent.names.get(name, 0) + 1
+                row["path"] = f"{parent.row['path'].rstrip('/')}/{name}[{k}]"
         self.rows.append(row)
         return row
 
@@ -167,13 +171,20 @@ def texts(df: DataFrame) -> DataFrame:
     return tags.select("doc_id", "pre").join(joined, ["doc_id", "pre"], "left").withColumn("text", F.coalesce("text", F.lit("")))
 
 
-# ---- XPath
+class XPathError(ValueError):
+    pass
 
-AXES = ("self", "child", "descendant", "descendant-or-self", "parent", "ancestor", "ancestor-or-self", "following-sibling", "preceding-sibling", "following", "preceding", "stuck-child", "stuck-parent", "stuck-following-sibling", "stuck-preceding-sibling")
 
+def locate(df: DataFrame, path: str) -> DataFrame:
+    """The nodes of all documents with a path like ``/a[1]/b[2]`` (``/`` is the tree)."""
+    if not re.fullmatch(r"/|(?:/[^/\[\]]+\[[1-9][0-9]*\])+", path):
+        raise XPathError(f"no path {path!r}")
+    return df.where(F.col("path") == path)
 
-class XPathError(ValueError):
-    pass
+
+# ---- XPath
+
+AXES = ("self", "child", "descendant", "descendant-or-self", "parent", "ancestor", "ancestor-or-self", "following-sibling", "preceding-sibling", "following", "preceding", "stuck-child", "stuck-parent", "stuck-following-sibling", "stuck-preceding-sibling")
 
 
 @dataclass(frozen=True)
@@ -346,6 +357,15 @@ class XPath:
         start = self.df.where("kind = 'tree'") if context is None or absolute else context
         return self._walk(steps, start.select(*[F.col(x) for x in self.df.columns]))
 
+    def matches(self, pattern: str) -> DataFrame:
+        """The nodes that match a pattern: those that it finds from some node above."""
+        return self.find(pattern if pattern.startswith("/") else f"//{pattern}")
+
+    def first(self, path: str) -> DataFrame:
+        """Of each document the first node in document order that a path finds."""
+        found = self.find(path)
+        return found.join(found.groupBy("doc_id").agg(F.min("pre").alias("pre")), ["doc_id", "pre"], "left_semi")
+
     def _walk(self, steps: list[Step], current: DataFrame) -> DataFrame:
         for step in steps:
             current = self._step(current, step)

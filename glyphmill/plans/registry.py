@@ -315,7 +315,8 @@ def _index(spark, d) -> DataFrame:
 
 
 def _found(spark, d, q: str, number: int = 1) -> DataFrame:
-    found = catalog.search(_index(spark, d), q, FIELDS, {k: k for k in LANGUAGES}, LANGUAGES).select("doc_id", F.col("repo").alias("source"), "lang")
+    found = catalog.search(_index(spark, d), q, FIELDS, {k: k for k in LANGUAGES}, LANGUAGES).select("doc_id", F.col("repo").alias("source"), "lang").persist()
+    # Kept for the page and its total, so that the texts are folded once.
     return relational.page(found, [F.col("doc_id")], number, catalog.PER_PAGE).select("doc_id", "source", "lang", "total")
 
 

@@ -312,3 +312,20 @@ def test_collected_material(spark, tmp_path):
     sheet = "<o><table><table-row><table-cell><p>K</p></table-cell><table-cell>L</table-cell></table-row><table-row><table-cell number-columns-repeated='2'>v</table-cell></table-row><table-row><table-cell/><table-cell>w</table-cell></table-row></table></o>"
     rows = C.spreadsheet_rows(nodes.nodes(spark.createDataFrame([(1, sheet)], "id int, x string"), "id", "x"))
     assert [r.html for r in C.spreadsheet_cards(rows).orderBy("row").collect()] == ["<dl><dt>K</dt><dd>v</dd><dt>L</dt><dd>v</dd></dl>", "<dl><dt>L</dt><dd>w</dd></dl>"]
+
+
+def test_paths_and_patterns(spark):
+    tree = nodes.nodes(spark.createDataFrame([(1, XML)], "id int, x string"), "id", "x")
+    assert [r.path for r in tree.where("kind = 'tag'").orderBy("pre").collect()] == ["/a[1]", "/a[1]/b[1]", "/a[1]/b[1]/c[1]", "/a[1]/b[2]", "/a[1]/b[2]/c[1]", "/a[1]/d[1]", "/a[1]/d[1]/c[1]", "/a[1]/d[1]/c[1]/e[1]"]
+    assert nodes.locate(tree, "/a[1]/b[2]").count() == nodes.locate(tree, "/").count() == 1
+    with pytest.raises(nodes.XPathError):
+        nodes.locate(tree, "/a")
+    find = nodes.XPath(tree)
+    assert find.matches("b/c").count() == 2 and find.matches("d//e").count() == 1 and find.first("//c").first().path == "/a[1]/b[1]/c[1]"
+
+
+def test_searchable_text():
+    from glyphmill.operators.editions import searchable_text, tree_of
+
+    xml = "<document><div><head>H</head><para>a<split><display>X</display><search>y</search></split><note>n</note></para><verse><verse-line>b</verse-line><verse-line break='true'>c</verse-line></verse><dlist><key>k</key><value>v</value></dlist></div></document>"
+    assert searchable_text(tree_of(nodes.parse_xml(1, xml))) == "ay\nb c\n k v\n"
