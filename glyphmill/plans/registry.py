@@ -248,19 +248,19 @@ def trigram_counts(spark, d):
 
 
 @query(f"""with s as (select item_id, {_TRIGRAMS_SQL.format('text')} as g from benchmark)
-           select a.item_id as id1, b.item_id as id2, round(len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))), 6) as coeff
+           select a.item_id as id1, b.item_id as id2, ((1000000 * len(list_intersect(a.g, b.g))) // (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))))::double / 1e6 as coeff
            from s a join s b on b.item_id = a.item_id + 1""")
 def jaccard_pairs_scalar(spark, d):
     s = table(spark, d, "benchmark").select("item_id", T.trigrams(F.col("text")).alias("g"))
     nxt = s.select((F.col("item_id") - 1).alias("item_id"), F.col("item_id").alias("id2"), F.col("g").alias("h"))
-    return s.join(nxt, "item_id").select(F.col("item_id").alias("id1"), "id2", F.round(T.jaccard(F.col("g"), F.col("h")), 6).alias("coeff"))
+    return s.join(nxt, "item_id").select(F.col("item_id").alias("id1"), "id2", (F.floor(T.jaccard(F.col("g"), F.col("h")) * 1e6 + 1e-7) / 1e6).alias("coeff"))
 
 
 # ---- parallel passages
 
 _PAIRS_SQL = f"""s as (select conv_id * 1000 + turn as id, {_TRIGRAMS_SQL.format('lower(text)')} as g from conversations),
     c as (select a.id as id1, b.id as id2, len(list_intersect(a.g, b.g)) as inter, len(a.g) + len(b.g) as n2 from s a join s b on a.id < b.id),
-    pairs as (select id1, id2, round(inter / (n2 - inter), 6) as coeff from c where 10 * inter >= 3 * (n2 - inter))"""
+    pairs as (select id1, id2, ((1000000 * inter) // (n2 - inter))::double / 1e6 as coeff from c where 10 * inter >= 3 * (n2 - inter))"""
 
 
 def _pairs(spark, d) -> DataFrame:
@@ -296,7 +296,7 @@ def parallels_counts_pivot(spark, d):
 @query(f"""with q as (select item_id, {_TRIGRAMS_SQL.format('text')} as g from benchmark),
     s as (select conv_id * 1000 + turn as id, {_TRIGRAMS_SQL.format('text')} as g from conversations),
     c as (select item_id, id, len(list_intersect(q.g, s.g)) as inter, len(q.g) + len(s.g) as n2 from q, s),
-    r as (select item_id, id, round(inter / (n2 - inter), 6) as coeff from c where inter > 0)
+    r as (select item_id, id, ((1000000 * inter) // (n2 - inter))::double / 1e6 as coeff from c where inter > 0)
     select item_id, id, coeff, total from (select *, count(*) over (partition by item_id) as total, row_number() over (partition by item_id order by coeff desc, id) as k from r) where k <= 50""")
 def parallels_search(spark, d):
     turns = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
