@@ -15,6 +15,7 @@ columns are ignored; an empty table gives an empty one.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -129,11 +130,11 @@ class Rules:
 
 
 def fit(features: np.ndarray, good: np.ndarray, spare: float = 0.002) -> Rules:
-    """Grow on every second row; calibrate on the others.  Rows that fail the base rules don't belong here."""
+    """Limits from all good rows; grow on every second row and calibrate on the others.  Rows that fail the base rules don't belong here."""
     train = np.arange(len(good)) % 2 == 0
     if not (train & good).any() or not (~train & good).any():
         return Rules(np.zeros(len(FEATURES)), None, np.inf)
-    rules = Rules(np.quantile(features[train & good], 1 - spare, axis=0), None, np.inf)
+    rules = Rules(np.quantile(features[good], 1 - spare, axis=0), None, np.inf)
     rules.forest = Forest(np.maximum(0, features[train] - rules.limits))
     scores, good = rules.scores(features[~train]), good[~train]
     of_good = np.sort(scores[good])
@@ -148,7 +149,7 @@ def _measure(df: DataFrame, id_col: str, text_col: str, rules: Rules | None) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = rows_of(batches, "i", "t")
-        while part := [(i, *statistics(t or "")) for (i, t), _ in zip(rows, range(1000), strict=False)]:
+        while part := [(i, *statistics(t or "")) for i, t in itertools.islice(rows, 1000)]:
             ids, counts, features = zip(*part, strict=True)
             features, failed = np.array(features), np.array([base_failed(c) for c in counts])
             if rules is None:
