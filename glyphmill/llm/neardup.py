@@ -9,12 +9,12 @@ to the pairs of halves, which changes no table's buckets of two and more.
 
 Documents that share a table key are candidates.  A bucket's members are tied
 to its smallest one; the components of these ties are clusters.  Within a
-cluster every document is compared with every other one until they are known
-to be one component, on full sets, through an index from shingles to
-documents.  Clusters over ``CHUNK`` documents are dealt out: each chunk also
-gets the cluster's pivots, so what hangs together in several chunks is found
-through them; documents left outside the cluster's largest component are then
-compared with all chunks, block by block.
+cluster every document is compared with every other one unless both are known
+to be in one component, on full sets, through an index from shingles to
+documents.  Clusters of over ``CHUNK_BYTES`` of text are dealt out: each chunk
+also gets the cluster's pivots, so what hangs together in several chunks is
+found through them; documents left outside the cluster's largest component are
+then compared with all chunks, block by block.
 
 Defined results: texts without words have the empty set and no links; rows of
 a null id have no links; texts with equal sets are compared once; rows with
@@ -39,8 +39,8 @@ from glyphmill.llm.components import connected_components
 WORDS, HALVES = 5, 14
 #: Documents are linked if 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Documents compared in one place, and those of a larger cluster that all its chunks share.
-CHUNK, PIVOTS = 400, 8
+#: Text compared in one place, about; and documents of a larger cluster that all its chunks share.
+CHUNK_BYTES, PIVOTS = 4 << 20, 8
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _ODD = np.random.default_rng(20240501).integers(1, 1 << 63, 4 * HALVES + WORDS + 4, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -86,27 +86,29 @@ def half_keys(shingle_set: np.ndarray) -> np.ndarray:
 
 
 def signatures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, set_digest, first, second) of every row; the last three are null for empty sets."""
+    """(id, n_bytes, n_shingles, set_digest, first, second) of every row; the last three are null for empty sets."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for i, text in rows_of(batches, "i", "t"):
                 own = shingles(text or "")
                 if not len(own):
-                    yield i, 0, None, None, None
+                    yield i, len(text or ""), 0, None, None, None
                     continue
                 keys = half_keys(own).view(np.int64)
-                yield i, len(own), xxhash.xxh3_128_digest(own.tobytes()), keys[:HALVES], keys[HALVES:]
+                yield i, len(text.encode()), len(own), xxhash.xxh3_128_digest(own.tobytes()), keys[:HALVES], keys[HALVES:]
 
-        yield from batches_of(rows(), pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("set_digest", pa.binary()), ("first", pa.list_(pa.int64())), ("second", pa.list_(pa.int64()))]))
+        yield from batches_of(rows(), pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_shingles", pa.int64()), ("set_digest", pa.binary()), ("first", pa.list_(pa.int64())), ("second", pa.list_(pa.int64()))]))
 
-    return df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInArrow(run, "id long, n_shingles long, set_digest binary, first array<long>, second array<long>")
+    return df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInArrow(run, "id long, n_bytes long, n_shingles long, set_digest binary, first array<long>, second array<long>")
 
 
 def candidate_ties(signed: DataFrame) -> DataFrame:
     """(a, b): each table bucket's members tied to its smallest; ``signed`` has a row for each distinct set."""
-    halves = signed.select("id", "second", F.posexplode("first").alias("i", "x"))
+    halves = signed.select("id", F.posexplode("first").alias("i", "x"))
     shared = halves.groupBy("i", "x").agg(F.count("*").alias("n")).where("n > 1").select("i", "x")
-    second = halves.join(shared, ["i", "x"]).select("id", "i", "x", F.posexplode("second").alias("j", "y"))
+    mine = halves.join(shared, ["i", "x"]).groupBy("id").agg(F.collect_list("i").alias("mine"))  # at most HALVES
+    second = mine.join(signed.select("id", "first", "second"), "id").select("id", F.explode("mine").alias("i"), "first", "second")
+    second = second.select("id", "i", F.get("first", "i").alias("x"), F.posexplode("second").alias("j", "y"))
     keyed = second.select("id", F.xxhash64("i", "x", "j", "y").alias("key"))
     least = keyed.groupBy("key").agg(F.min("id").alias("b"), F.count("*").alias("n")).where("n > 1").select("key", "b")
     return keyed.join(least, "key").where("id <> b").groupBy(F.col("id").alias("a"), "b").agg(F.lit(1)).select("a", "b")
@@ -136,22 +138,37 @@ class SetIndex:
 
 
 def group_components(index: SetIndex, percent: int = PERCENT) -> np.ndarray:
-    """The number of each document's component, counted by its first document."""
+    """The number of each document's component, counted by its first document.
+
+    One component is grown from the first document while that finds more; then
+    each document outside of it is compared with all.  A link that neither
+    finds would be within that component.
+    """
     n = len(index.sizes)
-    found = np.full(n, -1)
-    for k in range(n):
-        if found[k] >= 0:
-            continue
-        found[k], queue = k, [k]
-        while queue and (found < 0).any():
-            new = np.flatnonzero(index.linked(queue.pop(), percent) & (found < 0))
-            found[new] = k
-            queue += new.tolist()
-    return found
+    root = np.arange(n)
+
+    def find(k: int) -> int:
+        while root[k] != k:
+            root[k] = k = root[root[k]]
+        return int(k)
+
+    inside, queue, idle = np.zeros(n, bool), [0], 0
+    inside[0] = True
+    while queue and idle < 3 and not inside.all():
+        new = np.flatnonzero(index.linked(queue.pop(), percent) & ~inside)
+        inside[new] = True
+        queue += new.tolist()
+        idle = 0 if len(new) else idle + 1
+    root[inside] = 0
+    for k in np.flatnonzero(~inside).tolist():
+        for other in np.flatnonzero(index.linked(k, percent)).tolist():
+            a, b = sorted((find(k), find(other)))
+            root[b] = a
+    return np.array([find(k) for k in range(n)])
 
 
 def _grouped(df: DataFrame, keys: list[str], columns: list[str], work, schema: pa.Schema, kinds: str) -> DataFrame:
-    """Rows that ``work`` makes of each group's rows (of ``columns``); groups are bounded by CHUNK."""
+    """Rows that ``work`` makes of each group's rows (of ``columns``); groups are bounded by CHUNK_BYTES."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = rows_of(batches, *keys, *columns)
         groups = itertools.groupby(rows, key=lambda r: r[: len(keys)])
@@ -186,10 +203,11 @@ def _outer_links(percent: int):
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def confirmed_components(texts: DataFrame, clusters: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(node, component) by confirmed links; ``texts`` has (id, text) and ``clusters`` (node, component) of all candidates."""
-    sizes = clusters.groupBy("component").agg(F.count("*").alias("n"))
-    dealt = clusters.join(sizes, "component").select(F.col("node").alias("id"), "component", F.ceil(F.col("n") / CHUNK).alias("chunks")).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")))
+def confirmed_components(texts: DataFrame, clusters: DataFrame, sizes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(node, component) by confirmed links; ``texts`` has (id, text), ``clusters`` (node, component) of all candidates and ``sizes`` (id, n_bytes)."""
+    known = clusters.join(sizes, F.col("node") == F.col("id"))
+    total = known.groupBy("component").agg(F.ceil(F.sum("n_bytes") / CHUNK_BYTES).alias("chunks"))
+    dealt = known.join(total, "component").select("id", "component", "chunks", F.pmod(F.xxhash64("id"), F.col("chunks")).alias("chunk"))
     dealt = materialise(dealt.join(texts, "id"))
     large = dealt.where("chunks > 1")
     pivots = large.groupBy("component", "chunks").agg(F.slice(F.array_sort(F.collect_set(F.when(F.col("chunk") == 0, F.struct(F.xxhash64("id").alias("h"), "id")))), 1, PIVOTS).alias("p")).select("component", "chunks", F.explode("p.id").alias("id"))
@@ -206,7 +224,7 @@ def confirmed_components(texts: DataFrame, clusters: DataFrame, percent: int = P
     main = named.groupBy("cluster", "component").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
     asking = named.join(main, "cluster").where("component <> main").select("id", "cluster", "component")
     if not asking.isEmpty():
-        blocks = asking.groupBy("cluster").agg(F.ceil(F.count("*") / CHUNK).alias("blocks"))
+        blocks = asking.join(sizes, "id").groupBy("cluster").agg(F.ceil(F.sum("n_bytes") / CHUNK_BYTES).alias("blocks"))
         asking = asking.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")))
         text = dealt.select("id", "text", "chunk", "chunks", F.col("component").alias("cluster"))
         asked = text.join(named.select("id", "component"), "id").join(blocks, "cluster").select("cluster", "chunk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "id", "component", F.lit(False).alias("asks"), "text")
@@ -227,11 +245,12 @@ def _named(ids: DataFrame, links: DataFrame) -> DataFrame:
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row."""
     signed = materialise(signatures(df, id_col, text_col))
-    classes = signed.where("set_digest is not null and id is not null").groupBy("set_digest").agg(F.min("id").alias("rep"))
-    heads = classes.join(signed.withColumnRenamed("set_digest", "d"), [F.col("rep") == F.col("id"), F.col("set_digest") == F.col("d")]).select("id", "first", "second").dropDuplicates(["id"])
-    clusters = materialise(connected_components(candidate_ties(heads)))
+    heads = signed.where("set_digest is not null and id is not null").groupBy("set_digest").agg(F.min(F.struct("id", "n_bytes", "first", "second")).alias("h"))
+    heads = materialise(heads.select("set_digest", "h.*"))
+    clusters = connected_components(candidate_ties(heads))
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    found = confirmed_components(texts, clusters, percent)
+    found = confirmed_components(texts, clusters, heads.groupBy("id").agg(F.sum("n_bytes").alias("n_bytes")), percent)
+    classes = heads.select("set_digest", F.col("id").alias("rep"))
     found = found.groupBy("node").agg(F.min("component").alias("component"))
     named = classes.join(found, F.col("rep") == F.col("node"), "left").select("set_digest", F.coalesce("component", "rep").alias("component"))
     own = F.coalesce("component", "id")
