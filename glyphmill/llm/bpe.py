@@ -30,9 +30,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from glyphmill.llm.common import batches_of, chunks, open_store, rows_of
+from glyphmill.llm.common import batches_of, chunks, forgetting, map_arrow, open_store, rows_of
 
-#: Parts of texts kept per Python worker before its memory of them is emptied, and the longest part kept.
+#: Parts of texts that a task keeps before its memory of them is emptied, and the longest part kept.
 MEMO_ENTRIES, MEMO_CHARS = 400_000, 48
 #: Pieces of more bytes are encoded one by one.
 SHORT = 64
@@ -295,10 +295,7 @@ def round_trip(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks_path, pattern)
         rows = ((i, *x) for part in chunks(rows_of(batches, "i", "t"), TOGETHER) for (i, _), x in zip(part, own.round_trip([t or "" for _, t in part]), strict=True))
-        yield from batches_of(rows, pa.schema([("i", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]))
+        yield from forgetting(own.memo, batches_of(rows, pa.schema([("i", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])))
 
-    return (
-        df.selectExpr(f"`{id_col}` as i", f"`{text_col}` as t")
-        .mapInArrow(run, "i long, n_tokens long, ids_sha256 string, decoded_sha256 string")
-        .withColumnRenamed("i", id_col)
-    )
+    rows = df.selectExpr(f"`{id_col}` as i", f"`{text_col}` as t")
+    return map_arrow(rows, run, "i long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("i", id_col)

@@ -88,6 +88,24 @@ def rows_of(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
             yield from zip(*(part.column(n).to_pylist() for n in names), strict=True)
 
 
+#: Rows of an Arrow batch: texts are long, and both sides hold whole batches.
+BATCH_ROWS = 1000
+
+
+def map_arrow(df: DataFrame, run, kinds: str) -> DataFrame:
+    """``df.mapInArrow`` with batches of at most BATCH_ROWS rows, a setting of the session."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df.mapInArrow(run, kinds)
+
+
+def forgetting(memo: dict, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; then, or if a task ends early, ``memo`` is emptied: workers outlive tasks."""
+    try:
+        yield from batches
+    finally:
+        memo.clear()
+
+
 def chunks(rows: Iterator[tuple], chars: int, most: int = 10_000) -> Iterator[list[tuple]]:
     """Lists of rows whose second fields have about ``chars`` characters together."""
     held, size = [], 0
@@ -114,7 +132,7 @@ def with_columns(df: DataFrame, column: str, kinds: str, work) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(c, f.type) for c, f in zip(made, types, strict=True))], names=[*part.schema.names, *types.names])
 
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInArrow(run, f"{own}, {kinds}")
+    return map_arrow(df, run, f"{own}, {kinds}")
 
 
 def batches_of(rows: Iterator[tuple], schema: pa.Schema, sizes=None, most: int = 4000) -> Iterator[pa.RecordBatch]:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import batches_of, materialise, rows_of
+from glyphmill.llm.common import batches_of, forgetting, map_arrow, materialise, rows_of
 from glyphmill.llm.components import connected_components
 
 WORDS, HALVES = 5, 14
@@ -45,7 +45,8 @@ CHUNK_BYTES, PIVOTS = 4 << 20, 8
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _ODD = np.random.default_rng(20240501).integers(1, 1 << 63, 4 * HALVES + WORDS + 4, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHINGLE, _MINIMA, _TAIL = _ODD[:WORDS], _ODD[WORDS : WORDS + 4 * HALVES], _ODD[WORDS + 4 * HALVES :]
-_MEMO_ENTRIES = 1_000_000
+#: Words whose hashes a task keeps before it forgets them; all are forgotten when it ends, as workers live on.
+_MEMO_ENTRIES = 400_000
 _memo: dict[bytes, int] = {}
 
 
@@ -97,9 +98,9 @@ def signatures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 keys = half_keys(own).view(np.int64)
                 yield i, len(text.encode()), len(own), xxhash.xxh3_128_digest(own.tobytes()), keys[:HALVES], keys[HALVES:]
 
-        yield from batches_of(rows(), pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_shingles", pa.int64()), ("set_digest", pa.binary()), ("first", pa.list_(pa.int64())), ("second", pa.list_(pa.int64()))]))
+        yield from forgetting(_memo, batches_of(rows(), pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_shingles", pa.int64()), ("set_digest", pa.binary()), ("first", pa.list_(pa.int64())), ("second", pa.list_(pa.int64()))])))
 
-    return df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInArrow(run, "id long, n_bytes long, n_shingles long, set_digest binary, first array<long>, second array<long>")
+    return map_arrow(df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")), run, "id long, n_bytes long, n_shingles long, set_digest binary, first array<long>, second array<long>")
 
 
 def candidate_ties(signed: DataFrame) -> DataFrame:
@@ -172,9 +173,9 @@ def _grouped(df: DataFrame, keys: list[str], columns: list[str], work, schema: p
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = rows_of(batches, *keys, *columns)
         groups = itertools.groupby(rows, key=lambda r: r[: len(keys)])
-        yield from batches_of((x for _, g in groups for x in work([r[len(keys) :] for r in g])), schema)
+        yield from forgetting(_memo, batches_of((x for _, g in groups for x in work([r[len(keys) :] for r in g])), schema))
 
-    return df.select(*keys, *columns).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, kinds)
+    return map_arrow(df.select(*keys, *columns).repartition(*keys).sortWithinPartitions(*keys), run, kinds)
 
 
 def _roots(percent: int):
