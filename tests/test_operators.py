@@ -1,5 +1,6 @@
 """Small cases with known results, and comparisons with plain Python."""
 
+import collections
 import itertools
 import random
 
@@ -329,3 +330,12 @@ def test_searchable_text():
 
     xml = "<document><div><head>H</head><para>a<split><display>X</display><search>y</search></split><note>n</note></para><verse><verse-line>b</verse-line><verse-line break='true'>c</verse-line></verse><dlist><key>k</key><value>v</value></dlist></div></document>"
     assert searchable_text(tree_of(nodes.parse_xml(1, xml))) == "ay\nb c\n k v\n"
+
+
+def test_every_event_is_counted(spark):
+    from glyphmill.plans import registry
+
+    data = "/root/testdata/sf0.001"
+    want = collections.Counter((f"report{r.user_id % 5}", r.at) for r in spark.read.parquet(f"{data}/events.parquet").selectExpr("user_id", "substring(cast(cast(ts as timestamp) as string), 1, 16) as at").collect())
+    got = {(r.report, r.at): r.n for r in registry.queries()["formatted_counts"](spark, data).collect()}
+    assert got == {k: f"{n} event" + "s" * (n != 1) for k, n in want.items()}
