@@ -9,8 +9,13 @@ deadline; so at any slot each source is less than one block from its weight.
 A source's later blocks follow in later cycles; when a source has ended, its
 slots stay empty and the others keep their order.
 
-The cycle is made once, from the shares alone; its size is bounded by
-``resolution`` plus the number of sources.  Positions within a source come
+Shares are the integer weights themselves (``resolution`` None), so nothing is
+rounded and the bound holds for the target weights at any length; a cycle then
+has as many slots as the weights' sum, for square roots of sizes at most
+sqrt(sources * documents).  With a ``resolution`` weights are first rounded to
+that many shares, and the bound holds for the rounded ones only.
+
+The cycle is made once, from the shares alone.  Positions within a source come
 from ranks within buckets of the hash and running sums of bucket sizes, so a
 source of any size is spread over tasks.
 
@@ -30,15 +35,18 @@ from pyspark.sql import Window
 BLOCK_DOCS, RESOLUTION = 8, 1000
 #: About so many rows share a bucket of the hash.
 BUCKET_ROWS = 512
+#: Slots whose picks are listed together, so that lists stay short while they grow.
+STEP_SLOTS = 512
 
 
-def shares(counts: DataFrame, weight: str, resolution: int = RESOLUTION) -> DataFrame:
+def shares(counts: DataFrame, weight: str, resolution: int | None = RESOLUTION) -> DataFrame:
     """One row: sorted source keys, the shares of each (at least 1), and their sum; ``weight`` is SQL over key and n."""
+    share = "w" if resolution is None else f"({resolution} * w) div greatest(total, 1L)"
     weighted = counts.selectExpr("key", f"cast({weight} as bigint) as w")
     total = weighted.agg(F.sum("w").alias("total"))  # one row
     return (
         weighted.crossJoin(F.broadcast(total))  # by that one row
-        .selectExpr("key", f"greatest(1L, ({resolution} * w) div greatest(total, 1L)) as c")
+        .selectExpr("key", f"greatest(1L, {share}) as c")
         .agg(F.sort_array(F.collect_list(F.struct("key", "c"))).alias("s"))
         .selectExpr("s.key as keys", "s.c as c", "cast(size(s) as bigint) as n", "aggregate(s.c, 0L, (a, x) -> a + x) as cycle")
         .where("n > 0")
@@ -47,26 +55,31 @@ def shares(counts: DataFrame, weight: str, resolution: int = RESOLUTION) -> Data
 
 def cycle(shared: DataFrame) -> DataFrame:
     """(key, j, c, cycle, slot_in_cycle): where in a cycle each source's block j goes, earliest deadline first."""
-    step = """
-        aggregate(sequence(0L, cycle - 1), named_struct('x', array_repeat(0L, cast(n as int)), 'out', cast(array() as array<bigint>)),
-          (acc, t) -> transform(array(array_min(transform(
-              filter(sequence(0, cast(n as int) - 1), i -> acc.x[i] < c[i] and (acc.x[i] * cycle) div c[i] <= t),
-              i -> (((acc.x[i] + 1) * cycle + c[i] - 1) div c[i]) * 1000000 + i))),
-            m -> named_struct('x', transform(acc.x, (v, k) -> v + if(k = m % 1000000, 1L, 0L)), 'out', concat(acc.out, array(m % 1000000))))[0]
+    sources = shared.selectExpr("posexplode(arrays_zip(keys, c)) as (pick, own)", "cycle").selectExpr("cast(pick as bigint) as pick", "own.keys as key", "own.c as c", "cycle")
+    blocks = sources.selectExpr("pick", "c", "cycle", "explode(sequence(0L, c - 1)) as j")
+    released = blocks.selectExpr("(j * cycle) div c as slot", "(((j + 1) * cycle + c - 1) div c) * 1000000 + pick as due")
+    slots = shared.selectExpr("explode(sequence(0L, cycle - 1)) as slot", "cast(null as bigint) as due").unionByName(released).groupBy("slot").agg(F.collect_list("due").alias("due"))
+    steps = slots.groupBy(F.expr(f"slot div {STEP_SLOTS}").alias("step")).agg(F.sort_array(F.collect_list(F.struct("slot", "due"))).alias("s")).selectExpr("step", "s.due as due")
+    # One row with a number for each slot; blocks that wait are kept as due * 1000000 + pick.
+    none = "cast(array() as array<bigint>)"
+    picked = f"""
+        aggregate(steps, named_struct('wait', {none}, 'out', cast(array() as array<array<bigint>>)), (acc, step) -> transform(array(
+          aggregate(step.due, named_struct('wait', acc.wait, 'out', {none}), (a, new) -> transform(array(concat(a.wait, new)),
+            w -> named_struct('wait', array_remove(w, array_min(w)), 'out', concat(a.out, array(array_min(w) % 1000000))))[0])),
+          z -> named_struct('wait', z.wait, 'out', concat(acc.out, array(z.out))))[0]
         ).out
     """
-    picks = shared.selectExpr("keys", "c", "cycle", f"posexplode({step}) as (slot_in_cycle, pick)")
+    picks = steps.agg(F.sort_array(F.collect_list(F.struct("step", "due"))).alias("steps")).selectExpr(f"posexplode(flatten({picked})) as (slot_in_cycle, pick)")
     own = Window.partitionBy("pick").orderBy("slot_in_cycle")
-    return picks.select(
-        F.expr("keys[cast(pick as int)]").alias("key"), (F.row_number().over(own) - 1).cast("long").alias("j"),
-        F.expr("c[cast(pick as int)]").alias("c"), "cycle", F.col("slot_in_cycle").cast("long").alias("slot_in_cycle"),
-    )
+    numbered = picks.select("pick", (F.row_number().over(own) - 1).cast("long").alias("j"), F.col("slot_in_cycle").cast("long").alias("slot_in_cycle"))
+    return numbered.join(sources, "pick").select("key", "j", "c", "cycle", "slot_in_cycle")
 
 
-def mix(df: DataFrame, weight: str = "floor(sqrt(n))", source_col: str = "source", id_col: str = "doc_id", block_docs: int = BLOCK_DOCS, resolution: int = RESOLUTION) -> DataFrame:
+def mix(df: DataFrame, weight: str = "floor(sqrt(n))", source_col: str = "source", id_col: str = "doc_id", block_docs: int = BLOCK_DOCS, resolution: int | None = RESOLUTION) -> DataFrame:
     """``df`` with block (of its source), slot and place (in the slot); the mixture is its rows by slot and place.
 
-    ``weight`` is a source's target weight, as SQL over its key and its number of documents ``n``.
+    ``weight`` is a source's target weight, as SQL over its key and its number of documents ``n``;
+    with a ``resolution`` of None weights are met exactly.
     """
     text = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     keyed = df.select(*[F.col(c).alias(f"own_{k}") for k, c in enumerate(df.columns)], F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("")).alias("key"), F.md5(text.cast("binary")).alias("hash"), F.col(id_col).alias("id"))
@@ -82,7 +95,7 @@ def mix(df: DataFrame, weight: str = "floor(sqrt(n))", source_col: str = "source
         .withColumn("block", F.expr(f"seq div {block_docs}"))
     )
     shared = slots.groupBy("key").agg(F.first("c").alias("c"), F.first("cycle").alias("cycle"))
-    # The cycle has at most resolution + sources rows, and a row for each source.
+    # Broadcast: a row for each source, and one for each slot of the cycle (see above).
     numbered = placed.join(F.broadcast(shared), "key").withColumn("j", F.expr("block % c"))
     return numbered.join(F.broadcast(slots.select("key", "j", "slot_in_cycle")), ["key", "j"]).select(
         *[F.col(f"own_{k}").alias(c) for k, c in enumerate(df.columns)],

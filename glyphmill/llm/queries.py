@@ -38,7 +38,7 @@ def op5_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pfair_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pfair.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    return pfair.mix(table(spark, sf_dir, "documents").select("doc_id", "source"), resolution=None)
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:

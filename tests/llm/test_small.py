@@ -217,6 +217,27 @@ def test_mixture_deviates_by_less_than_a_block(spark):
             assert j * cycle // part <= slot < -(-(j + 1) * cycle // part)  # between release and deadline
 
 
+def test_mixture_meets_the_true_weights(spark):
+    sizes = {"big": 9000, **{f"s{k}": 40 + 7 * k for k in range(25)}, None: 1}
+    rows = [(i, s) for s, n in sizes.items() for i in range(n)]
+    got = pfair.mix(spark.createDataFrame(rows, "doc_id long, source string"), block_docs=1, resolution=None).collect()
+    weights = {k: int(n**0.5) for k, n in sizes.items()}
+    total = sum(weights.values())
+    slots = {k: sorted(r.slot for r in got if r.source == k) for k in sizes}
+    assert len({r.slot for r in got}) == len(rows) and all(len(slots[k]) == n for k, n in sizes.items())
+    for source, n in sizes.items():
+        have = 0
+        for prefix in range(1, slots[source][-1] + 2):  # as long as the source has blocks
+            have += slots[source][have] == prefix - 1
+            assert abs(have * total - prefix * weights[source]) < total
+
+
+def test_mixture_of_many_sources(spark):
+    counts = spark.createDataFrame([("=big", 5_000_000), *((f"={k}", 5000) for k in range(1999))], "key string, n long")
+    shared = pfair.shares(counts, "floor(sqrt(n))", None).first()
+    assert dict(zip(shared["keys"], shared["c"], strict=True))["=big"] == 2236 and shared["cycle"] == 2236 + 1999 * 70
+
+
 def test_mixing_frames(spark, odd, empty):
     assert pfair.mix(odd).drop("block", "slot", "place").columns == odd.columns and pfair.mix(odd).count() == len(ODD)
     assert pfair.mix(empty).count() == 0
