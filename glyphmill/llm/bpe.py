@@ -289,13 +289,14 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
     return df.selectExpr(f"`{id_col}` as i", f"`{ids_col}` as x").mapInArrow(run, "i long, bytes binary").withColumnRenamed("i", id_col)
 
 
-def round_trip(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256): encodes and decodes every text without shipping its ids."""
+def round_trip(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", number_col: str | None = None) -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded_sha256, and a long column ``number_col`` if named): encodes and decodes every text without shipping its ids."""
+    more = [number_col] if number_col else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks_path, pattern)
-        rows = ((i, *x) for part in chunks(rows_of(batches, "i", "t"), TOGETHER) for (i, _), x in zip(part, own.round_trip([t or "" for _, t in part]), strict=True))
-        yield from forgetting(own.memo, batches_of(rows, pa.schema([("i", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])))
+        rows = ((i, *x, *kept) for part in chunks(rows_of(batches, "i", "t", *more), TOGETHER) for (i, _, *kept), x in zip(part, own.round_trip([r[1] or "" for r in part]), strict=True))
+        yield from forgetting(own.memo, batches_of(rows, pa.schema([("i", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), *((c, pa.int64()) for c in more)])))
 
-    rows = df.selectExpr(f"`{id_col}` as i", f"`{text_col}` as t")
-    return map_arrow(rows, run, "i long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("i", id_col)
+    rows = df.selectExpr(f"`{id_col}` as i", f"`{text_col}` as t", *(f"`{c}`" for c in more))
+    return map_arrow(rows, run, "i long, n_tokens long, ids_sha256 string, decoded_sha256 string" + "".join(f", `{c}` long" for c in more)).withColumnRenamed("i", id_col)

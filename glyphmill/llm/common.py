@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -9,6 +10,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of payload after which a Python stage hands its rows on.
 FLUSH_BYTES = 8 << 20
@@ -41,6 +43,27 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def in_written_order(df: DataFrame, name: str = "position") -> tuple[DataFrame, int]:
+    """``df`` with each row's number, from 0, in the order in which its folder was written; and the number of rows.
+
+    Reads pack and split files by length, so that order is only in the names of
+    the parts and in the rows' places in them.  A ``df`` that is not a folder as
+    it was read is written first, which keeps its own order.
+    """
+    if df._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        df = materialise(df)
+    spark, columns = df.sparkSession, df.columns
+    counts = df.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count("*").alias("n")).collect()  # a row for each file
+    numbers = lambda file: [int(n) for n in re.findall(r"^part-(\d+)|-c(\d+)\b", file) for n in n if n]
+    befores, total = [], 0
+    for file, n in sorted(counts, key=lambda r: (numbers(r.file), r.file)):
+        befores.append((file, total))
+        total += n
+    placed = df.select(*columns, F.col("_metadata.file_name").alias("file of row"), F.col("_metadata.row_index").alias("row in file"))
+    starts = spark.createDataFrame(befores, "`file of row` string, before long")
+    return placed.join(F.broadcast(starts), "file of row").select(*columns, (F.col("before") + F.col("row in file")).alias(name)), total
+
+
 def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a URI and the path in it; works on executors, for any store pyarrow knows."""
     if uri.startswith("file:"):

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from glyphmill.llm import queries
+from glyphmill.llm import pfair, queries
 from tests.llm.test_small import brute_components, brute_removal
 
 DATA = "/root/testdata/sf0.001"
@@ -53,3 +53,19 @@ def test_pipeline(spark):
         else:
             assert docs.columns == documents.columns
             docs = spark.createDataFrame(docs.collect(), documents.schema)
+
+
+def test_the_mixture_is_the_order_of_the_result(spark, monkeypatch):
+    kept, materialise = [], corpus_pipeline.materialise
+    monkeypatch.setattr(corpus_pipeline, "materialise", lambda df: kept.append(materialise(df)) or kept[-1])
+    monkeypatch.setattr(corpus_pipeline, "ORDERED_ROWS", 30)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = corpus_pipeline.run(spark, DATA).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    unmixed, mixed = kept[-2:]
+    assert len(mixed.inputFiles()) > 1
+    want = [r.doc_id for r in pfair.mix(unmixed, resolution=None).orderBy("slot", "place").collect()]
+    assert [r.doc_id for r in got] == want and [r.position for r in got] == list(range(len(want)))
+    assert want != [r.doc_id for r in unmixed.collect()] and want != sorted(want)
