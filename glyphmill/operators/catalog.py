@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmill.functions.collate import sort_columns
@@ -246,12 +246,15 @@ def search_boolean(index: DataFrame, query: str, fields: list[str]) -> DataFrame
 # ---- matches within a text
 
 def occurrences(df: DataFrame, key: str, text: Column, term: str) -> DataFrame:
-    """Q12: (key, start, length) of a term's occurrences from the left that don't overlap; starts from 0, in characters of the folded text."""
+    """Q12: (key, start, length) of a term's occurrences from the left that don't overlap; starts from 0, in characters of the folded text.
+
+    Only the lengths of the parts between them leave a row; one running sum over these gives all starts.
+    """
     parts = F.split(text, r"\Q" + term.replace(r"\E", r"\E\\E\Q") + r"\E", -1)
-    lengths = F.transform(parts, lambda p: F.length(p) + len(term))
-    starts = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.aggregate(F.slice(lengths, F.lit(1), i), F.lit(0), lambda a, x: a + x) - len(term))
-    found = df.where(text.contains(term)).select(key, F.explode(starts).alias("start"))
-    return found.select(key, F.col("start").cast("long").alias("start"), F.lit(len(term)).cast("long").alias("length"))
+    ends = df.where(text.contains(term)).select(F.col(key), F.monotonically_increasing_id().alias("row"), F.transform(parts, lambda p: F.length(p) + len(term)).alias("lengths"))
+    listed = ends.select(key, "row", F.posexplode(F.slice("lengths", F.lit(1), F.size("lengths") - 1)).alias("at", "n"))
+    start = F.sum("n").over(Window.partitionBy("row").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)) - len(term)
+    return listed.select(key, start.cast("long").alias("start"), F.lit(len(term)).cast("long").alias("length"))
 
 
 def display_offsets(display: str, start: int, length: int) -> tuple[int, int]:

@@ -371,6 +371,14 @@ def match_offsets(spark, d):
     return catalog.occurrences(table(spark, d, "benchmark").withColumn("low", F.lower("text")), "item_id", F.col("low"), "ti")
 
 
+@query("""with p as (select doc_id, string_split(lower(text), 'ti') as parts from documents where contains(lower(text), 'ti')),
+          e as (select doc_id, unnest(range(1, len(parts) + 1)) as i, unnest(parts) as part from p),
+          s as (select doc_id, i, (sum(length(part) + 2) over (partition by doc_id order by i) - 2)::bigint as start, max(i) over (partition by doc_id) as n from e)
+          select doc_id, start, 2::bigint as length from s where i < n""")
+def match_offsets_documents(spark, d):
+    return catalog.occurrences(table(spark, d, "documents").withColumn("low", F.lower("text")), "doc_id", F.col("low"), "ti")
+
+
 # ---- records with versions
 
 @query("""with b as (select user_id, max(event_id) as s from events where event_id < 6000 group by 1), n as (select user_id, max(event_id) as s from events where event_id >= 3000 group by 1)

@@ -3,6 +3,7 @@
 import collections
 import itertools
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -339,3 +340,19 @@ def test_every_event_is_counted(spark):
     want = collections.Counter((f"report{r.user_id % 5}", r.at) for r in spark.read.parquet(f"{data}/events.parquet").selectExpr("user_id", "substring(cast(cast(ts as timestamp) as string), 1, 16) as at").collect())
     got = {(r.report, r.at): r.n for r in registry.queries()["formatted_counts"](spark, data).collect()}
     assert got == {k: f"{n} event" + "s" * (n != 1) for k, n in want.items()}
+
+
+def test_offsets_of_a_long_text(spark):
+    text = "".join("x" * (k % 5) + "ti" for k in range(100_000))
+    want = [m.start() for m in re.finditer("ti", text)]
+    df = spark.createDataFrame([(1, text), (1, "é\nti"), (2, None)], "id int, t string")
+    found = catalog.occurrences(df, "id", F.col("t"), "ti")
+    assert sorted(map(tuple, found.collect())) == sorted([(1, s, 2) for s in want] + [(1, 2, 2)])  # rows of one key are texts of their own
+
+
+def test_offsets_of_whole_documents(spark):
+    from glyphmill.plans import registry
+
+    data = "/root/testdata/sf0.001"
+    want = sorted((r.doc_id, m.start(), 2) for r in spark.read.parquet(f"{data}/documents.parquet").collect() for m in re.finditer("ti", r.text.lower()))
+    assert sorted(map(tuple, registry.queries()["match_offsets_documents"](spark, data).collect())) == want
