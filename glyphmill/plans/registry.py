@@ -303,6 +303,16 @@ def parallels_search(spark, d):
     return parallels.nearest(table(spark, d, "benchmark").select("item_id", F.col("text").alias("q")), "item_id", F.col("q"), turns, "id", F.col("text"))
 
 
+@query(f"""with q as (select item_id, {_TRIGRAMS_SQL.format('text')} as g from benchmark),
+    s as (select doc_id, {_TRIGRAMS_SQL.format('text')} as g from documents),
+    c as (select item_id, doc_id, len(list_intersect(q.g, s.g)) as inter, len(q.g) + len(s.g) as n2 from q, s),
+    r as (select item_id, doc_id, ((1000000 * inter) // (n2 - inter))::double / 1e6 as coeff from c where inter > 0)
+    select item_id, doc_id, coeff, total from (select *, count(*) over (partition by item_id) as total, row_number() over (partition by item_id order by coeff desc, doc_id) as k from r) where k <= 50""")
+def parallels_search_documents(spark, d):
+    passages = table(spark, d, "benchmark").select("item_id", F.col("text").alias("q"))
+    return parallels.nearest(passages, "item_id", F.col("q"), table(spark, d, "documents").select("doc_id", "text"), "doc_id", F.col("text"))
+
+
 # ---- catalogue
 
 FIELDS = ["ident", "repo", "lang", "summary"]

@@ -356,3 +356,24 @@ def test_offsets_of_whole_documents(spark):
     data = "/root/testdata/sf0.001"
     want = sorted((r.doc_id, m.start(), 2) for r in spark.read.parquet(f"{data}/documents.parquet").collect() for m in re.finditer("ti", r.text.lower()))
     assert sorted(map(tuple, registry.queries()["match_offsets_documents"](spark, data).collect())) == want
+
+
+def test_trigrams_of_odd_and_long_texts(spark):
+    texts = ["", "ab", "abc", "a\nb\nc\x00\x00é\U0001f600日本語\U0001f600日本", "aaaaaa", "$.^[(a", "".join(chr(97 + k * k % 23) for k in range(200_000))]
+    for text, grams in spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.trigrams(F.col("t"))).collect():
+        assert grams == list(dict.fromkeys(text[k : k + 3] for k in range(len(text) - 2)))
+
+
+def test_passages_are_found_in_documents(spark):
+    from glyphmill.plans import registry
+
+    data = "/root/testdata/sf0.001"
+    grams = lambda t: {t[k : k + 3] for k in range(len(t) - 2)}
+    documents = [(r.doc_id, grams(r.text)) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
+    want = []
+    for q in spark.read.parquet(f"{data}/benchmark.parquet").collect():
+        own = grams(q.text)
+        scored = sorted((-(1_000_000 * len(own & g) // len(own | g)), i) for i, g in documents if own & g)
+        want += [(q.item_id, i, -c / 1e6, len(scored)) for c, i in scored[:50]]
+    got = registry.queries()["parallels_search_documents"](spark, data).select("item_id", "doc_id", "coeff", "total").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
