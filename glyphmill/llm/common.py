@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 import uuid
@@ -23,11 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder's URI under ``spark.checkpoint.dir``, which driver and executors share.
 
-    Where the session has no such setting (tests on one machine), a temporary
-    folder of this machine is set as its checkpoint folder.
+    Where a session on one machine has no such setting (tests), a temporary
+    folder of this machine is set as its checkpoint folder; a cluster without
+    the setting is an error, as its executors couldn't read such a folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: a folder that driver and executors share is needed")
         base = "file://" + tempfile.mkdtemp(prefix="glyphmill-")
         spark.sparkContext.setCheckpointDir(base)
     if "://" not in base and not base.startswith("file:"):
@@ -35,24 +39,79 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/glyphmill/{uuid.uuid4().hex}"
 
 
+#: Folders written within each ``temporaries`` block that is open.
+_open_blocks: list[list[str]] = []
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later steps neither redo it nor lose it with an executor."""
     spark = df.sparkSession
     at = shared_dir(spark)
     df.write.parquet(at)
+    for block in _open_blocks[-1:]:
+        block.append(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
+def discard(spark: SparkSession, folders: list[str]) -> None:
+    """Delete folders that ``materialise`` wrote and that nothing reads any more."""
+    for at in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextlib.contextmanager
+def temporaries(spark: SparkSession) -> Iterator[list[str]]:
+    """Delete at the end what is materialised in the block, but for the folders that are taken out of the list it gives."""
+    made: list[str] = []
+    _open_blocks.append(made)
+    try:
+        yield made
+    finally:
+        _open_blocks.remove(made)
+        discard(spark, made)
+
+
+def kept_from(spark: SparkSession, make) -> tuple[DataFrame, str]:
+    """``make()`` materialised, without the intermediate folders it needed; and its own folder."""
+    with temporaries(spark) as made:
+        out = materialise(make())
+        at = made.pop()
+    for block in _open_blocks[-1:]:
+        block.append(at)
+    return out, at
+
+
+#: A group of more rows than this, and than this part of all, has its rows met where they are.
+HOT_ROWS, HOT_GROUPS = 1000, 10_000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], total: int, size: str = "n") -> DataFrame:
+    """``rows`` joined with the one row of their group in ``groups``, whose column ``size`` counts the group's rows (of ``total``).
+
+    Rows of hot groups aren't sent to one task: at most HOT_GROUPS groups can
+    have more than that part of all rows, so these are broadcast.  Both frames
+    are read twice and should be cheap to read.
+    """
+    least = max(HOT_ROWS, total // HOT_GROUPS)
+    if total <= least:
+        return rows.join(groups.drop(size), on)
+    hot = groups.where(F.col(size) > least).drop(size)
+    cold = groups.where(F.col(size) <= least).drop(size)
+    return rows.join(F.broadcast(hot), on).unionByName(rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on))
+
+
 def in_written_order(df: DataFrame, name: str = "position") -> tuple[DataFrame, int]:
     """``df`` with each row's number, from 0, in the order in which its folder was written; and the number of rows.
 
     Reads pack and split files by length, so that order is only in the names of
     the parts and in the rows' places in them.  A ``df`` that is not a folder as
-    it was read is written first, which keeps its own order.
+    it was read is written first, which keeps its own order.  A column called
+    ``name`` is replaced.
     """
     if df._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
         df = materialise(df)
-    spark, columns = df.sparkSession, df.columns
+    spark, columns = df.sparkSession, [c for c in df.columns if c.lower() != name.lower()]
     counts = df.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count("*").alias("n")).collect()  # a row for each file
     numbers = lambda file: [int(n) for n in re.findall(r"^part-(\d+)|-c(\d+)\b", file) for n in n if n]
     befores, total = [], 0

@@ -5,17 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import materialise
+from glyphmill.llm.common import join_groups, kept_from, materialise
 
 
 def connected_components(links: DataFrame) -> DataFrame:
     """(node, component) for every node in ``links`` (a, b); a component is named by its smallest node.
 
     Each round points every node's larger neighbours, then its smaller ones, to
-    its smallest neighbour.  A round takes joins on nodes against minima that
-    are aggregated before the shuffle, so a node with many links makes no large
-    group.  Links from a node to itself and null nodes are ignored.
+    its smallest neighbour.  Minima are aggregated before the shuffle, and the
+    links of nodes with very many meet the minimum where they are, so no node
+    makes a large group.  Links from a node to itself and null nodes are
+    ignored.  The rounds' folders are deleted at the end.
     """
+    return kept_from(links.sparkSession, lambda: _stars(links))[0]
+
+
+def _stars(links: DataFrame) -> DataFrame:
     links = materialise(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     while True:
@@ -23,10 +28,11 @@ def connected_components(links: DataFrame) -> DataFrame:
         if not state["n"] or state == before:
             roots = links.groupBy("b").agg(F.lit(1)).select(F.col("b").alias("node"), F.col("b").alias("component"))
             return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
-        before = state
+        before, count = state, state["n"]
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.select("a", F.col("m").alias("b")))
-        links = materialise(small.distinct())
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        large = join_groups(both.where("b > a"), least, ["a"], 2 * count).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        large = materialise(large.distinct())
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = join_groups(large, least, ["a"], count).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        links = materialise(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())

@@ -9,17 +9,19 @@ to the pairs of halves, which changes no table's buckets of two and more.
 
 Documents that share a table key are candidates.  A bucket's members are tied
 to its smallest one; the components of these ties are clusters.  Within a
-cluster every document is compared with every other one unless both are known
-to be in one component, on full sets, through an index from shingles to
-documents.  Clusters of over ``CHUNK_BYTES`` of text are dealt out: each chunk
+cluster every document is compared with every other one, on full sets, through
+an index from shingles to documents, unless both are known to be in one
+component or the triangle inequality of the Jaccard distance rules a link out.  Clusters of over ``CHUNK_BYTES`` of text are dealt out: each chunk
 also gets the cluster's pivots, so what hangs together in several chunks is
 found through them; documents left outside the cluster's largest component are
 then compared with all chunks, block by block.
 
 Defined results: texts without words have the empty set and no links; rows of
 a null id have no links; texts with equal sets are compared once; rows with
-equal ids are one document with the links of each; other columns are
-ignored; an empty table gives an empty one.
+equal ids and different texts are documents of their own, each with the links
+of its text; other columns are ignored; an empty table gives an empty one.
+``unlike`` keeps one row of each component, so repeated rows leave one, and of
+texts under one id each is judged by itself.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import batches_of, forgetting, map_arrow, materialise, rows_of
+from glyphmill.llm.common import batches_of, forgetting, in_written_order, join_groups, map_arrow, materialise, rows_of
 from glyphmill.llm.components import connected_components
 
 WORDS, HALVES = 5, 14
@@ -87,32 +89,33 @@ def half_keys(shingle_set: np.ndarray) -> np.ndarray:
 
 
 def signatures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, n_shingles, set_digest, first, second) of every row; the last three are null for empty sets."""
+    """(id, t, n_bytes, n_shingles, set_digest, first, second) of every row; the last three are null for empty sets.  ``t`` is a hash of the text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
-            for i, text in rows_of(batches, "i", "t"):
+            for i, t, text in rows_of(batches, "i", "h", "t"):
                 own = shingles(text or "")
                 if not len(own):
-                    yield i, len(text or ""), 0, None, None, None
+                    yield i, t, len(text or ""), 0, None, None, None
                     continue
                 keys = half_keys(own).view(np.int64)
-                yield i, len(text.encode()), len(own), xxhash.xxh3_128_digest(own.tobytes()), keys[:HALVES], keys[HALVES:]
+                yield i, t, len(text.encode()), len(own), xxhash.xxh3_128_digest(own.tobytes()), keys[:HALVES], keys[HALVES:]
 
-        yield from forgetting(_memo, batches_of(rows(), pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_shingles", pa.int64()), ("set_digest", pa.binary()), ("first", pa.list_(pa.int64())), ("second", pa.list_(pa.int64()))])))
+        yield from forgetting(_memo, batches_of(rows(), pa.schema([("id", pa.int64()), ("t", pa.int64()), ("n_bytes", pa.int64()), ("n_shingles", pa.int64()), ("set_digest", pa.binary()), ("first", pa.list_(pa.int64())), ("second", pa.list_(pa.int64()))])))
 
-    return map_arrow(df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")), run, "id long, n_bytes long, n_shingles long, set_digest binary, first array<long>, second array<long>")
+    texts = df.select(F.col(id_col).alias("i"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t"))
+    return map_arrow(texts, run, "id long, t long, n_bytes long, n_shingles long, set_digest binary, first array<long>, second array<long>")
 
 
 def candidate_ties(signed: DataFrame) -> DataFrame:
-    """(a, b): each table bucket's members tied to its smallest; ``signed`` has a row for each distinct set."""
-    halves = signed.select("id", F.posexplode("first").alias("i", "x"))
-    shared = halves.groupBy("i", "x").agg(F.count("*").alias("n")).where("n > 1").select("i", "x")
-    mine = halves.join(shared, ["i", "x"]).groupBy("id").agg(F.collect_list("i").alias("mine"))  # at most HALVES
-    second = mine.join(signed.select("id", "first", "second"), "id").select("id", F.explode("mine").alias("i"), "first", "second")
-    second = second.select("id", "i", F.get("first", "i").alias("x"), F.posexplode("second").alias("j", "y"))
-    keyed = second.select("id", F.xxhash64("i", "x", "j", "y").alias("key"))
-    least = keyed.groupBy("key").agg(F.min("id").alias("b"), F.count("*").alias("n")).where("n > 1").select("key", "b")
-    return keyed.join(least, "key").where("id <> b").groupBy(F.col("id").alias("a"), "b").agg(F.lit(1)).select("a", "b")
+    """(a, b): each table bucket's members tied to its smallest; ``signed`` (node, first, second) has a row for each distinct set."""
+    halves = signed.select("node", F.posexplode("first").alias("i", "x"))
+    shared = halves.groupBy("i", "x").agg(F.count("*").alias("n")).where("n > 1")
+    mine = join_groups(halves, shared, ["i", "x"], HALVES * signed.count()).groupBy("node").agg(F.collect_list("i").alias("mine"))  # at most HALVES
+    second = mine.join(signed, "node").select("node", F.explode("mine").alias("i"), "first", "second")
+    second = second.select("node", "i", F.get("first", "i").alias("x"), F.posexplode("second").alias("j", "y"))
+    keyed = materialise(second.select("node", F.xxhash64("i", "x", "j", "y").alias("key")))
+    least = keyed.groupBy("key").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1")
+    return join_groups(keyed, least, ["key"], keyed.count()).where("node <> b").groupBy(F.col("node").alias("a"), "b").agg(F.lit(1)).select("a", "b")
 
 
 class SetIndex:
@@ -128,22 +131,30 @@ class SetIndex:
         self.count = np.bincount(self.shingle)
         self.first = np.cumsum(self.count) - self.count
 
-    def linked(self, k: int, percent: int = PERCENT) -> np.ndarray:
-        """Which documents are linked with document k (itself among them)."""
+    def overlaps(self, k: int) -> np.ndarray:
+        """How many shingles each document shares with document k."""
         own = self.shingle[self.starts[k] : self.starts[k] + self.sizes[k]]
         count = self.count[own]
         ends = np.cumsum(count)
         at = np.arange(ends[-1]) + np.repeat(self.first[own] - ends + count, count)
-        both = np.bincount(self.holders[at], minlength=len(self.sizes))
+        return np.bincount(self.holders[at], minlength=len(self.sizes))
+
+    def linked(self, k: int, percent: int = PERCENT) -> np.ndarray:
+        """Which documents are linked with document k (itself among them)."""
+        both = self.overlaps(k)
         return 100 * both >= percent * (self.sizes + self.sizes[k] - both)
 
 
 def group_components(index: SetIndex, percent: int = PERCENT) -> np.ndarray:
     """The number of each document's component, counted by its first document.
 
-    One component is grown from the first document while that finds more; then
-    each document outside of it is compared with all.  A link that neither
-    finds would be within that component.
+    A component is grown from each document that none has reached, as long as
+    that finds more: the documents asked are compared with all others.  A link
+    that this can miss is between two documents not asked, which two asked ones
+    brought into different components; the distance of those two, less their
+    distances from them, must then be within the limit (the triangle inequality
+    of the Jaccard distance).  All such documents but those of the largest
+    component are asked as well.
     """
     n = len(index.sizes)
     root = np.arange(n)
@@ -153,19 +164,51 @@ def group_components(index: SetIndex, percent: int = PERCENT) -> np.ndarray:
             root[k] = k = root[root[k]]
         return int(k)
 
-    inside, queue, idle = np.zeros(n, bool), [0], 0
-    inside[0] = True
-    while queue and idle < 3 and not inside.all():
-        new = np.flatnonzero(index.linked(queue.pop(), percent) & ~inside)
+    inside, asked = np.zeros(n, bool), np.zeros(n, bool)
+    bringer, distance = np.arange(n), np.zeros(n)
+    pivots: dict[int, np.ndarray] = {}
+
+    def ask(k: int) -> np.ndarray:
+        both = index.overlaps(k)
+        union = index.sizes + index.sizes[k] - both
+        asked[k] = True
+        pivots[k] = apart = (1 - both / union).astype(np.float32)
+        near = np.flatnonzero(100 * both >= percent * union)
+        new = near[~inside[near]]
         inside[new] = True
-        queue += new.tolist()
-        idle = 0 if len(new) else idle + 1
-    root[inside] = 0
-    for k in np.flatnonzero(~inside).tolist():
-        for other in np.flatnonzero(index.linked(k, percent)).tolist():
-            a, b = sorted((find(k), find(other)))
-            root[b] = a
-    return np.array([find(k) for k in range(n)])
+        bringer[new], distance[new] = k, apart[new]
+        roots = np.unique([find(k), *np.unique(root[near])])
+        roots = sorted({find(int(r)) for r in roots})
+        root[roots] = roots[0]
+        root[new] = roots[0]
+        return new
+
+    for start in range(n):
+        if inside[start]:
+            continue
+        inside[start] = True
+        queue, idle = [start], 0
+        while queue and idle < 3:
+            k = queue.pop()
+            new = ask(k).tolist()
+            queue += new
+            idle = 0 if new else idle + 1
+        if len(pivots) > 64:  # their distances are only needed from documents that brought others
+            brought = set(np.unique(bringer[~asked & inside]).tolist())
+            for k in [k for k in pivots if k not in brought]:
+                del pivots[k]
+    component = np.array([find(k) for k in range(n)])
+    quiet = np.flatnonzero(~asked)
+    if len(quiet) and len(sizes := np.bincount(component[quiet], minlength=n).nonzero()[0]) > 1:
+        largest = sizes[np.argmax(np.bincount(component[quiet], minlength=n)[sizes])]
+        reach = {int(p): float(distance[quiet[bringer[quiet] == p]].max()) for p in np.unique(bringer[quiet])}
+        limit = 1 - percent / 100 + 1e-6
+        for k in quiet[component[quiet] != largest].tolist():
+            mine = pivots[int(bringer[k])]
+            if any(find(p) != find(k) and mine[p] - distance[k] - far <= limit for p, far in reach.items()):
+                ask(k)
+        component = np.array([find(k) for k in range(n)])
+    return component
 
 
 def _grouped(df: DataFrame, keys: list[str], columns: list[str], work, schema: pa.Schema, kinds: str) -> DataFrame:
@@ -205,11 +248,11 @@ _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def confirmed_components(texts: DataFrame, clusters: DataFrame, sizes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(node, component) by confirmed links; ``texts`` has (id, text), ``clusters`` (node, component) of all candidates and ``sizes`` (id, n_bytes)."""
-    known = clusters.join(sizes, F.col("node") == F.col("id"))
-    total = known.groupBy("component").agg(F.ceil(F.sum("n_bytes") / CHUNK_BYTES).alias("chunks"))
-    dealt = known.join(total, "component").select("id", "component", "chunks", F.pmod(F.xxhash64("id"), F.col("chunks")).alias("chunk"))
-    dealt = materialise(dealt.join(texts, "id"))
+    """(node, component) by confirmed links; ``texts`` has (id, t, text), ``clusters`` (node, component) of all candidates and ``sizes`` (node, id, t, n_bytes)."""
+    known = clusters.join(sizes, "node").select("id", "t", "node", "component", "n_bytes")
+    total = known.groupBy("component").agg(F.ceil(F.sum("n_bytes") / CHUNK_BYTES).alias("chunks"), F.count("*").alias("n"))
+    dealt = join_groups(materialise(known), total, ["component"], clusters.count()).select("id", "t", F.col("node"), "component", "chunks", F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk"))
+    dealt = materialise(dealt.join(texts, ["id", "t"]).select(F.col("node").alias("id"), "component", "chunks", "chunk", "text"))
     large = dealt.where("chunks > 1")
     pivots = large.groupBy("component", "chunks").agg(F.slice(F.array_sort(F.collect_set(F.when(F.col("chunk") == 0, F.struct(F.xxhash64("id").alias("h"), "id")))), 1, PIVOTS).alias("p")).select("component", "chunks", F.explode("p.id").alias("id"))
     spread = pivots.join(dealt.select("id", "text"), "id").select("id", "component", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(True).alias("pivot"), "text")
@@ -225,7 +268,7 @@ def confirmed_components(texts: DataFrame, clusters: DataFrame, sizes: DataFrame
     main = named.groupBy("cluster", "component").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
     asking = named.join(main, "cluster").where("component <> main").select("id", "cluster", "component")
     if not asking.isEmpty():
-        blocks = asking.join(sizes, "id").groupBy("cluster").agg(F.ceil(F.sum("n_bytes") / CHUNK_BYTES).alias("blocks"))
+        blocks = asking.join(sizes.select(F.col("node").alias("id"), "n_bytes"), "id").groupBy("cluster").agg(F.ceil(F.sum("n_bytes") / CHUNK_BYTES).alias("blocks"))
         asking = asking.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")))
         text = dealt.select("id", "text", "chunk", "chunks", F.col("component").alias("cluster"))
         asked = text.join(named.select("id", "component"), "id").join(blocks, "cluster").select("cluster", "chunk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "id", "component", F.lit(False).alias("asks"), "text")
@@ -243,16 +286,46 @@ def _named(ids: DataFrame, links: DataFrame) -> DataFrame:
     return ids.join(found, "id", "left").select("id", "cluster", F.coalesce("component", "id").alias("component"))
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """(id, n_shingles, component_id, kept) of every row."""
+def _judged(df: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """(id, t, n_shingles, component_id, component) of every row; the last is one value for each component, where an id may stand in several."""
     signed = materialise(signatures(df, id_col, text_col))
-    heads = signed.where("set_digest is not null and id is not null").groupBy("set_digest").agg(F.min(F.struct("id", "n_bytes", "first", "second")).alias("h"))
+    heads = signed.where("set_digest is not null and id is not null").groupBy("set_digest").agg(F.min(F.struct("id", "t", "n_bytes", "first", "second")).alias("h"))
     heads = materialise(heads.select("set_digest", "h.*"))
-    clusters = connected_components(candidate_ties(heads))
-    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    found = confirmed_components(texts, clusters, heads.groupBy("id").agg(F.sum("n_bytes").alias("n_bytes")), percent)
-    classes = heads.select("set_digest", F.col("id").alias("rep"))
+    if heads.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        heads = heads.withColumn("node", F.col("id"))
+    else:  # one id has texts of its own: nodes are numbers in the order of ids
+        heads = in_written_order(heads.repartitionByRange("id", "set_digest").sortWithinPartitions("id", "set_digest"), "node")[0]
+    clusters = connected_components(candidate_ties(heads.select("node", "first", "second")))
+    texts = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text")).where("id is not null and text is not null")
+    found = confirmed_components(texts, clusters, heads.select("node", "id", "t", "n_bytes"), percent)
     found = found.groupBy("node").agg(F.min("component").alias("component"))
-    named = classes.join(found, F.col("rep") == F.col("node"), "left").select("set_digest", F.coalesce("component", "rep").alias("component"))
-    own = F.coalesce("component", "id")
-    return signed.join(named, "set_digest", "left").select(F.col("id").alias(id_col), "n_shingles", own.alias("component_id"), own.eqNullSafe(F.col("id")).alias("kept"))
+    named = heads.select("set_digest", "node", "id").join(found, "node", "left").select("set_digest", "id", F.coalesce("component", "node").alias("component"))
+    least = named.groupBy("component").agg(F.min("id").alias("least"), F.count("*").alias("n"))
+    named = materialise(named)
+    named = join_groups(named, least, ["component"], named.count()).select("set_digest", "component", "least")
+    linked = [F.when(F.col("id").isNotNull(), F.col(c)) for c in ("least", "component")]
+    return signed.join(named, "set_digest", "left").select("id", "t", "n_shingles", F.coalesce(linked[0], "id").alias("component_id"), linked[1].alias("component"))
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """(id, n_shingles, component_id, kept) of every row; ``kept`` tells whether the id is the component's smallest."""
+    judged = _judged(df, id_col, text_col, percent)
+    return judged.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("component_id").eqNullSafe(F.col("id")).alias("kept"))
+
+
+def unlike(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """``df`` with one row of each component, one with its smallest id; rows without words and rows of a null id all stay."""
+    judged = materialise(_judged(df, id_col, text_col, percent))
+    # Of a component that has its smallest id with several texts, the one with the least hash stays.
+    chosen = judged.where("component is not null and id = component_id").groupBy("component").agg(F.min("t").alias("t"), F.count("*").alias("n"))
+    first = judged.where("component is not null and id = component_id").select("id", "t", "component").distinct()
+    first = first.join(chosen.drop("n"), ["component", "t"]).select("id", "t")
+    gone = judged.where("component is not null").select("id", "t").distinct().join(first, ["id", "t"], "left_anti")
+    own = df.columns
+    keyed = df.select(*[F.col(f"`{c}`").alias(f"own_{k}") for k, c in enumerate(own)], F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"))
+    repeated = judged.where("component is not null").groupBy("id", "t").agg(F.count("*").alias("n")).where("n > 1").select("id", "t")
+    out = keyed.join(gone, ["id", "t"], "left_anti")
+    if not repeated.isEmpty():
+        twice = out.join(repeated, ["id", "t"], "left_semi").dropDuplicates(["id", "t"])
+        out = out.join(repeated, ["id", "t"], "left_anti").unionByName(twice)
+    return out.select(*[F.col(f"own_{k}").alias(c) for k, c in enumerate(own)])
