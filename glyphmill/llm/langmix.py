@@ -11,7 +11,8 @@ within the penalty need no iteration at all, and lose nothing by it.
 Defined results: null texts and texts without a letter are ``und`` with score
 0, as is every text when nothing could be learnt; ties go to the language
 first in alphabetical order; repeated rows give repeated rows; other columns
-are ignored; an empty table gives an empty one.
+stay, unless they are called like one that is made, which takes their place;
+an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -124,7 +125,10 @@ def predict(df: DataFrame, model: Mixture, text_col: str = "text") -> DataFrame:
             lang, score = next(iter(parts.items()), ("und", 0.0))
             yield lang, min(score, 1.0), list(parts.items())
 
-    return with_columns(df, text_col, "lang_pred string, score double, mixture map<string,double>", work)
+    made = {"lang_pred", "score", "mixture"}
+    if text_col in made:
+        raise ValueError(f"the text's column can't be called {text_col}")
+    return with_columns(df.drop(*[c for c in df.columns if c.lower() in made]), text_col, "lang_pred string, score double, mixture map<string,double>", work)
 
 
 def held_out(id_col: str = "doc_id", folds: int = 5) -> Column:
