@@ -5,8 +5,9 @@ strips or tiles, undoes no compression, PackBits, LZW or deflate and the
 horizontal predictor, and crops tiles to the image.
 
 Defined results: a null text is an empty one, whose payload is 64 zero bytes;
-files that are damaged or use something else give one row with ``error`` set
-(at the page where it shows) and no pixels; a null file gives no row; repeated
+files that are damaged, that claim more pixels than their bytes can hold, or
+that use something else give one row with ``error`` set (at the page where it
+shows) and no pixels; a null file gives no row; repeated
 rows give repeated rows; other columns are ignored; an empty table gives an
 empty one.
 """
@@ -71,9 +72,9 @@ def pack_bits(data: bytes) -> bytes:
     return bytes(out)
 
 
-def unpack_bits(data: bytes) -> bytes:
+def unpack_bits(data: bytes, most: int | None = None) -> bytes:
     out, i = bytearray(), 0
-    while i < len(data):
+    while i < len(data) and (most is None or len(out) < most):
         n = data[i]
         if n < 128:
             out += data[i + 1 : i + 2 + n]
@@ -135,8 +136,9 @@ def lzw_encode(data: bytes) -> bytes:
 _BYTE = [bytes([i]) for i in range(256)]
 
 
-def lzw_decode(data: bytes) -> bytes:
-    table, out = [*_BYTE, b"", b""], []
+def lzw_decode(data: bytes, most: int | None = None) -> bytes:
+    """The strip or tile; with ``most``, decoding ends once there are so many bytes."""
+    table, out, size = [*_BYTE, b"", b""], [], 0
     acc, have, width, i, n, old = 0, 0, 9, 0, len(data), None
     while True:
         while have < width:
@@ -166,13 +168,32 @@ def lzw_decode(data: bytes) -> bytes:
         else:
             raise TiffError("LZW: unknown code")
         out.append(now)
+        size += len(now)
+        if most is not None and size >= most:
+            return b"".join(out)
         old = now
         if len(table) >= (1 << width) - 1 and width < 12:
             width += 1
 
 
 ENCODE = {NONE: bytes, LZW: lzw_encode, DEFLATE: lambda x: zlib.compress(x, 6), PACKBITS: pack_bits}
-DECODE = {NONE: bytes, LZW: lzw_decode, DEFLATE: zlib.decompress, OLD_DEFLATE: zlib.decompress, PACKBITS: unpack_bits}
+
+
+def inflate(data: bytes, most: int | None = None) -> bytes:
+    if most is None:
+        return zlib.decompress(data)
+    stream = zlib.decompressobj()
+    out = stream.decompress(data, most)
+    if not stream.eof:
+        stream.decompress(stream.unconsumed_tail, 1)  # reads on to the checksum, if that comes next
+    return out
+
+
+DECODE = {NONE: lambda x, most=None: x[:most], LZW: lzw_decode, DEFLATE: inflate, OLD_DEFLATE: inflate, PACKBITS: unpack_bits}
+#: The most bytes that a byte of each coder can stand for (LZW: a code of 9 bits or more for at most 3838 bytes; deflate: 258 bytes in 2 bits).
+MOST_FROM_A_BYTE = {NONE: 1, LZW: 3838, DEFLATE: 1032, OLD_DEFLATE: 1032, PACKBITS: 64}
+#: A tile's side can exceed its image by no more than this.
+MOST_PADDING = 1 << 16
 
 
 # ---- files
@@ -227,7 +248,7 @@ def _directories(data: bytes, order: str) -> Iterator[dict[int, tuple]]:
         for k in range(n):
             entry = at + 2 + 12 * k
             tag, kind, count = struct.unpack_from(order + "HHI", data, entry)
-            if kind in TYPE_FORMAT:
+            if kind in TYPE_FORMAT and count <= len(data):
                 form = f"{order}{count}{TYPE_FORMAT[kind]}"
                 where = entry + 8 if struct.calcsize(form) <= 4 else struct.unpack_from(order + "I", data, entry + 8)[0]
                 tags[tag] = struct.unpack_from(form, data, where)
@@ -246,15 +267,26 @@ def _page(data: bytes, tags: dict[int, tuple], order: str) -> np.ndarray:
     kind = np.dtype(np.uint8) if bits == {8} else np.dtype(order + "u2")
     tiled = TILE_OFFSETS in tags
     width, height = (one(TILE_WIDTH), one(TILE_HEIGHT)) if tiled else (cols, min(one(STRIP_ROWS, rows), rows))
+    if not width or not height or not samples:
+        raise TiffError("no size of strips or tiles, or no samples")
     offsets, sizes = (tags[TILE_OFFSETS], tags[TILE_BYTES]) if tiled else (tags[STRIP_OFFSETS], tags[STRIP_BYTES])
-    out = np.zeros((rows, cols, samples), kind.newbyteorder("="))
-    places = [(y, x) for y in range(0, rows, height) for x in range(0, cols, width)]
-    if len(offsets) < len(places) or len(sizes) < len(places):
+    blocks = -(-rows // height) * -(-cols // width)
+    if len(offsets) < blocks or len(sizes) < blocks:
         raise TiffError("too few strips or tiles")
+    if width > cols + MOST_PADDING or height > rows + MOST_PADDING:
+        raise TiffError("tiles are far larger than their image")
+    # What the bytes present can decode to bounds every array and list made below.
+    present = sum(max(0, min(size, len(data) - at)) for at, size in zip(offsets[:blocks], sizes[:blocks], strict=True))
+    if rows * cols * samples * kind.itemsize > present * MOST_FROM_A_BYTE[coding]:
+        raise TiffError("more pixels than the bytes present can hold")
+    out = np.zeros((rows, cols, samples), kind.newbyteorder("="))
+    places = ((y, x) for y in range(0, rows, height) for x in range(0, cols, width))
     for (y, x), at, size in zip(places, offsets, sizes, strict=False):
-        raw = DECODE[coding](data[at : at + size])
         tall = height if tiled else min(height, rows - y)
         want = tall * width * samples * kind.itemsize
+        if want > size * MOST_FROM_A_BYTE[coding]:
+            raise TiffError("a strip or tile is too short")
+        raw = DECODE[coding](data[at : at + size], want)
         if len(raw) < want:
             raise TiffError("a strip or tile is too short")
         block = np.frombuffer(raw, kind, tall * width * samples).reshape(tall, width, samples)
@@ -274,7 +306,7 @@ def read_pages(data: bytes) -> Iterator[tuple[int, np.ndarray | None, str | None
         for tags in _directories(data, order):
             yield page, _page(data, tags, order), None
             page += 1
-    except (TiffError, struct.error, zlib.error, KeyError, ValueError, IndexError) as e:
+    except (TiffError, struct.error, zlib.error, KeyError, ValueError, IndexError, TypeError, OverflowError, MemoryError) as e:
         yield page, None, str(e) or type(e).__name__
 
 
@@ -309,7 +341,7 @@ def store(payload: bytes) -> bytes:
     """The payload as pages of 64 columns.  Its checksum picks coder, predictor, layout and byte order, so equal payloads give equal files."""
     pick = zlib.crc32(payload)
     image = np.frombuffer(payload, np.uint8).reshape(-1, PAGE_WIDTH)
-    coder = (LZW, PACKBITS, PACKBITS, *[DEFLATE] * 13)[pick % 16]
+    coder = (LZW, PACKBITS, DEFLATE)[pick % 3]
     return write_tiff([image[y : y + PAGE_ROWS] for y in range(0, len(image), PAGE_ROWS)], coder, 1 + (pick >> 4) % 2, bool((pick >> 5) % 2), "<>"[(pick >> 6) % 2])
 
 
