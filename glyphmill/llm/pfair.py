@@ -17,26 +17,36 @@ that many shares, and the bound holds for the rounded ones only.
 
 The cycle is made once, from the shares alone.  Positions within a source come
 from ranks within buckets of the hash and running sums of bucket sizes, so a
-source of any size is spread over tasks.
+source of any size is spread over tasks, as are rows without an id.
 
 Defined results: a null source is a source of its own; null ids count as
-empty texts; rows with equal ids take neighbouring places in some order;
-other columns stay; an empty table gives an empty one.
+empty texts; rows with equal ids take neighbouring places in the order of a
+hash of all their columns, which leaves only rows that are alike without an
+order; other columns stay, unless they are called block, slot or place, which
+the made ones replace; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql.types import DataType
 
 BLOCK_DOCS, RESOLUTION = 8, 1000
 #: About so many rows share a bucket of the hash.
 BUCKET_ROWS = 512
 #: Slots whose picks are listed together, so that lists stay short while they grow.
 STEP_SLOTS = 512
+#: The hash of a null id.
+NO_ID = hashlib.md5(b"").hexdigest()
+
+
+def _has_map(kind: DataType) -> bool:
+    return "map<" in kind.simpleString() or "variant" in kind.simpleString()
 
 
 def shares(counts: DataFrame, weight: str, resolution: int | None = RESOLUTION) -> DataFrame:
@@ -57,15 +67,15 @@ def cycle(shared: DataFrame) -> DataFrame:
     """(key, j, c, cycle, slot_in_cycle): where in a cycle each source's block j goes, earliest deadline first."""
     sources = shared.selectExpr("posexplode(arrays_zip(keys, c)) as (pick, own)", "cycle").selectExpr("cast(pick as bigint) as pick", "own.keys as key", "own.c as c", "cycle")
     blocks = sources.selectExpr("pick", "c", "cycle", "explode(sequence(0L, c - 1)) as j")
-    released = blocks.selectExpr("(j * cycle) div c as slot", "(((j + 1) * cycle + c - 1) div c) * 1000000 + pick as due")
-    slots = shared.selectExpr("explode(sequence(0L, cycle - 1)) as slot", "cast(null as bigint) as due").unionByName(released).groupBy("slot").agg(F.collect_list("due").alias("due"))
+    released = blocks.selectExpr("(j * cycle) div c as slot", "struct(((j + 1) * cycle + c - 1) div c as by, pick) as due")
+    slots = shared.selectExpr("explode(sequence(0L, cycle - 1)) as slot", "cast(null as struct<by: bigint, pick: bigint>) as due").unionByName(released).groupBy("slot").agg(F.collect_list("due").alias("due"))
     steps = slots.groupBy(F.expr(f"slot div {STEP_SLOTS}").alias("step")).agg(F.sort_array(F.collect_list(F.struct("slot", "due"))).alias("s")).selectExpr("step", "s.due as due")
-    # One row with a number for each slot; blocks that wait are kept as due * 1000000 + pick.
-    none = "cast(array() as array<bigint>)"
+    # One row with a number for each slot; blocks that wait are kept as (due, pick), which differ as each source's dues do.
+    none, empty = "cast(array() as array<bigint>)", "cast(array() as array<struct<by: bigint, pick: bigint>>)"
     picked = f"""
-        aggregate(steps, named_struct('wait', {none}, 'out', cast(array() as array<array<bigint>>)), (acc, step) -> transform(array(
+        aggregate(steps, named_struct('wait', {empty}, 'out', cast(array() as array<array<bigint>>)), (acc, step) -> transform(array(
           aggregate(step.due, named_struct('wait', acc.wait, 'out', {none}), (a, new) -> transform(array(concat(a.wait, new)),
-            w -> named_struct('wait', array_remove(w, array_min(w)), 'out', concat(a.out, array(array_min(w) % 1000000))))[0])),
+            w -> named_struct('wait', array_remove(w, array_min(w)), 'out', concat(a.out, array(array_min(w).pick))))[0])),
           z -> named_struct('wait', z.wait, 'out', concat(acc.out, array(z.out))))[0]
         ).out
     """
@@ -81,14 +91,18 @@ def mix(df: DataFrame, weight: str = "floor(sqrt(n))", source_col: str = "source
     ``weight`` is a source's target weight, as SQL over its key and its number of documents ``n``;
     with a ``resolution`` of None weights are met exactly.
     """
+    own = [c for c in df.columns if c.lower() not in ("block", "slot", "place")]
     text = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    keyed = df.select(*[F.col(c).alias(f"own_{k}") for k, c in enumerate(df.columns)], F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("")).alias("key"), F.md5(text.cast("binary")).alias("hash"), F.col(id_col).alias("id"))
+    alike = F.xxhash64(*[F.col(f"`{c}`") for c in own if not _has_map(df.schema[c].dataType)])
+    keyed = df.select(*[F.col(f"`{c}`").alias(f"own_{k}") for k, c in enumerate(own)], F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("")).alias("key"), F.md5(text.cast("binary")).alias("hash"), F.col(id_col).alias("id"), alike.alias("alike"))
     digits = max(1, math.ceil(math.log(max(df.count(), 1) / BUCKET_ROWS, 16)))
-    keyed = keyed.withColumn("bucket", F.substring("hash", 1, digits))
+    # Rows without an id share one hash: they go between the smaller and the larger ones of its bucket, dealt by the other hash.
+    spread = F.when(F.col("id").isNull(), F.substring(F.lpad(F.hex("alike"), 16, "0"), 1, digits)).when(F.col("hash") < NO_ID, "").otherwise("~")
+    keyed = keyed.withColumn("bucket", F.concat(F.substring("hash", 1, digits), spread))
     sizes = keyed.groupBy("key", "bucket").agg(F.count("*").alias("rows"))
     before = sizes.select("key", "bucket", F.coalesce(F.sum("rows").over(Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     slots = cycle(shares(sizes.groupBy("key").agg(F.sum("rows").alias("n")), weight, resolution))
-    rank = F.row_number().over(Window.partitionBy("key", "bucket").orderBy("hash", "id"))
+    rank = F.row_number().over(Window.partitionBy("key", "bucket").orderBy("hash", "id", F.lpad(F.hex("alike"), 16, "0")))
     placed = (
         keyed.withColumn("rank", rank.cast("long")).join(before, ["key", "bucket"])
         .withColumn("seq", F.col("before") + F.col("rank") - 1)
@@ -98,7 +112,7 @@ def mix(df: DataFrame, weight: str = "floor(sqrt(n))", source_col: str = "source
     # Broadcast: a row for each source, and one for each slot of the cycle (see above).
     numbered = placed.join(F.broadcast(shared), "key").withColumn("j", F.expr("block % c"))
     return numbered.join(F.broadcast(slots.select("key", "j", "slot_in_cycle")), ["key", "j"]).select(
-        *[F.col(f"own_{k}").alias(c) for k, c in enumerate(df.columns)],
+        *[F.col(f"own_{k}").alias(c) for k, c in enumerate(own)],
         "block", F.expr("(block div c) * cycle + slot_in_cycle").alias("slot"), F.expr(f"seq % {block_docs}").alias("place"),
     )
 
