@@ -43,7 +43,8 @@ def op6_pfair_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_token_files(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     path = vocabulary or public_tokenizers.path("word_bpe_49k.json")
-    manifest = tokenfiles.write(table(spark, sf_dir, "documents"), lambda: tokenfiles.word_tokenizer(path).encode, end_id=2)
+    largest = tokenfiles.word_tokenizer(path).tokenizer.get_vocab_size(with_added_tokens=True) - 1
+    manifest = tokenfiles.write(table(spark, sf_dir, "documents"), lambda: tokenfiles.word_tokenizer(path).encode, end_id=2, largest_id=largest)
     return tokenfiles.digest(manifest)
 
 
