@@ -3,18 +3,25 @@
 Of every window of ``LENGTH`` bytes, the 32-byte string with the least hash is
 its anchor, so equal windows have equal anchors at equal places.  Windows in a
 row with one anchor share an entry: the anchor, and the text that its windows
-cover (its context).  Entries meet by the anchor's hash.  Of equal contexts the
-first stands for all.  Where an anchor has several contexts, the suffixes that
-begin at it are sorted into an enhanced suffix array; a stack scan over the
-common-prefix lengths gives the tree of intervals, each a string with all its
-occurrences.  The texts before the anchors, read backwards, are scanned the
-same way within each interval: its nodes are where the occurrences' left
-extensions differ.  A node of both gives a maximal repeat with all its
-occurrences, and every occurrence but the first is marked.
-
-Anchors with very many contexts are found beforehand; their windows are
-entries of their own, with the window's hash in the anchor's place, so no
-anchor makes a large group.  Which anchors those are changes no result.
+cover (its context).  Entries meet by the anchor's hash, which decides nothing
+by itself.  Of contexts with equal bytes (told by a cryptographic digest of
+128 bits) the first stands for all.  Where an anchor has several contexts, the
+suffixes that begin at it are sorted into an enhanced suffix array; a stack
+scan over the common-prefix lengths gives the tree of intervals, each a string
+with all its occurrences.  The texts before the anchors, read backwards, are
+scanned the same way within each interval: its nodes are where the
+occurrences' left extensions differ.  A node of both gives a maximal repeat
+with all its occurrences, and every occurrence but the first is marked.
+
+No anchor makes a large group.  One with more than ``HOT_CONTEXTS`` different
+contexts sends their windows by themselves, each by its own hash; equal ones
+become one before they are sent, and what meets is compared by its bytes in
+the same tree.  Anchors that would fill more than a small part of all buckets
+are found beforehand and their windows become entries of their own, whose
+bytes are told apart as those of contexts are.  Which anchors take which way
+changes no result.
+
+``repeat_groups`` gives the maximal repeats themselves, with all occurrences.
 
 Defined results: a null text is an empty one; texts under ``LENGTH`` bytes stay
 whole; rows of a null id stay whole and repeat nothing; rows with equal ids
@@ -31,6 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,8 +50,12 @@ SPAN = LENGTH - GRAM + 1  # anchors that a window can have
 CHUNK_BYTES, SEND_ENTRIES = 1 << 18, 1 << 19
 #: Entries of a bucket, about.
 BUCKET_ENTRIES = 150_000
-#: Anchors with more contexts than this, or than this part of all entries, become windows: at most HOT_PARTS of them.
-HOT_CONTEXTS, HOT_PARTS = 4000, 20_000
+#: Contexts of one anchor that are compared in one place.
+HOT_CONTEXTS = 4000
+#: Anchors with more than this part of all entries are found beforehand, and none with less than half of it.
+HOT_PARTS = 100_000
+#: Entries whose anchors are counted together, and windows of hot anchors that a task holds to find equal ones.
+COUNT_ENTRIES, HELD_WINDOWS = 4_000_000, 200_000
 
 _RNG = np.random.default_rng(20240502)
 _BYTE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64)
@@ -87,8 +99,14 @@ def context_hashes(grams: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndar
     return mixed ^ (mixed >> np.uint64(32))
 
 
-# Columns of entries as they travel: anchor's hash, context's hash, document, anchor, windows before it, windows in all less one.
-FIELDS = (("h", "<u8"), ("c", "<u8"), ("doc", "<i8"), ("pos", "<u4"), ("back", "u1"), ("wide", "u1"))
+def digests(raw: bytes, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """128 bits, as two columns, of the bytes from window ``lo`` to the end of window ``hi``."""
+    made = b"".join([hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(lo.tolist(), (hi + LENGTH).tolist(), strict=True)])
+    return np.frombuffer(made, "<u8").reshape(-1, 2)
+
+
+# Columns of entries as they travel: anchor's hash, context's digest in two parts, document, anchor, windows before it, windows in all less one.
+FIELDS = (("h", "<u8"), ("c", "<u8"), ("d", "<u8"), ("doc", "<i8"), ("pos", "<u4"), ("back", "u1"), ("wide", "u1"))
 
 
 def _pack(columns: list[np.ndarray]) -> bytes:
@@ -107,25 +125,28 @@ def _unpack(blobs: list[bytes]) -> list[np.ndarray]:
     return [np.concatenate(x) for x in zip(*parts, strict=True)]
 
 
-def text_entries(rows: Iterator[tuple], hot: np.ndarray | None) -> Iterator[list[np.ndarray]]:
-    """FIELDS of the documents (id, text) in chunks; anchors in ``hot`` (sorted) give an entry for each window."""
+def text_entries(rows: Iterator[tuple], hot: np.ndarray | None, exact: bool = True) -> Iterator[list[np.ndarray]]:
+    """FIELDS of the documents (id, text) in chunks; anchors in ``hot`` (sorted) give an entry for each window.
+
+    Unless ``exact``, digests are replaced by hashes that are cheaper and only good for counting.
+    """
     def flush(ids: list[int], texts: list[bytes]) -> list[np.ndarray]:
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         stop = np.cumsum(sizes)
         owner = np.repeat(np.arange(len(texts)), sizes)
-        data = np.frombuffer(b"".join(texts), np.uint8)
-        grams, pos, lo, hi = entries(data, stop[owner])
-        h, c = grams[pos], context_hashes(grams, lo, hi)
+        raw = b"".join(texts)
+        grams, pos, lo, hi = entries(np.frombuffer(raw, np.uint8), stop[owner])
+        h = grams[pos]
         if hot is not None and len(hot) and len(h):
             found = hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h
             if found.any():
                 count = (hi - lo + 1)[found]
                 start = np.repeat(lo[found] - np.cumsum(count) + count, count) + np.arange(count.sum())
-                own = context_hashes(grams, start, start)
-                h, c = np.append(h[~found], own), np.append(c[~found], np.zeros(len(own), np.uint64))
+                h = np.append(h[~found], context_hashes(grams, start, start))
                 pos, lo, hi = np.append(pos[~found], start), np.append(lo[~found], start), np.append(hi[~found], start)
+        both = digests(raw, lo, hi) if exact else np.stack([context_hashes(grams, lo, hi), np.zeros(len(h), np.uint64)], axis=1)
         who = owner[pos]
-        return [h, c, np.array(ids, np.int64)[who], pos - (stop - sizes)[who], pos - lo, hi - lo]
+        return [h, both[:, 0], both[:, 1], np.array(ids, np.int64)[who], pos - (stop - sizes)[who], pos - lo, hi - lo]
 
     ids, texts, size = [], [], 0
     for i, text in rows:
@@ -141,7 +162,7 @@ def text_entries(rows: Iterator[tuple], hot: np.ndarray | None) -> Iterator[list
                 ids, texts, size = [], [], 0
             if len(raw) > CHUNK_BYTES:
                 out = flush([i], [part])
-                out[3] = out[3] + at
+                out[4] = out[4] + at
                 yield out
             else:
                 ids.append(i), texts.append(part)
@@ -163,17 +184,17 @@ def _gathered(parts: Iterator[list[np.ndarray]]) -> Iterator[list[np.ndarray]]:
 
 
 def _sorted_runs(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Entries whose h isn't alone, by h, c, document and position; where an h begins, where an (h, c) begins."""
+    """Entries whose h isn't alone, by h, digest, document and position; where an h begins, where a context begins."""
     h = columns[0]
     order = np.argsort(h, kind="stable")
     same = h[order][1:] == h[order][:-1]
     order = order[np.append(same, False) | np.append(False, same)]
     columns = [x[order] for x in columns]
-    order = np.lexsort((columns[3], columns[2], columns[1], columns[0]))
+    h, c, d, doc, pos = columns[:5]
+    order = np.lexsort((pos, doc, d, c, h))
     columns = [x[order] for x in columns]
-    new_h = np.append(True, columns[0][1:] != columns[0][:-1])[: len(order)]
-    new_c = new_h | np.append(True, columns[1][1:] != columns[1][:-1])[: len(order)]
-    return columns, new_h, new_c
+    differ = [np.append(True, x[1:] != x[:-1])[: len(order)] for x in columns[:3]]
+    return columns, differ[0], differ[0] | differ[1] | differ[2]
 
 
 # ---- the tree of common-prefix intervals
@@ -240,16 +261,14 @@ def _anchors(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for columns in _gathered(text_entries(rows_of(batches, "id", "text"), hot)):
-                h, doc = columns[0], columns[2]
+                h, doc = columns[0], columns[3]
                 order = np.argsort(h, kind="stable")
                 same = h[order][1:] == h[order][:-1]
                 again = order[np.append(same, False) | np.append(False, same)]
                 drop = np.zeros(len(h), bool)
                 if len(again):
-                    part = [x[again] for x in columns]
-                    by = np.lexsort((part[3], part[2], part[1], part[0]))
-                    again = again[by]
-                    drop[again[1:][(h[again][1:] == h[again][:-1]) & (columns[1][again][1:] == columns[1][again][:-1])]] = True
+                    again = again[np.lexsort([x[again] for x in columns[4::-1]])]
+                    drop[again[1:][np.logical_and.reduce([x[again][1:] == x[again][:-1] for x in columns[:3]])]] = True
                 kind = np.where(drop, doc.astype(np.uint64) * np.uint64(_PLACE[2]) >> np.uint64(40), h >> np.uint64(24)) % np.uint64(buckets)
                 for chosen, marks in ((drop, True), (~drop, False)):
                     at = np.flatnonzero(chosen)
@@ -264,27 +283,45 @@ def _anchors(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
 
 
 def _hot_anchors(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """Hashes (sorted) of at most HOT_PARTS anchors with very many contexts; the number of entries."""
+    """Hashes (sorted) of all anchors with 1/HOT_PARTS of the entries or more, and of none with less than half of that; the number of entries.
+
+    Equal contexts that are sent together count once.  A task drops counts of
+    under 1/(2 HOT_PARTS) of what it counts at a time, so what is dropped of an
+    anchor is at most that part of all entries, and the rest of it is enough.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, found = 0, []
-        for columns in _gathered(text_entries(rows_of(batches, "id", "text"), None)):
-            total += len(columns[0])
-            h = np.sort(columns[0])
-            edge = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-            often = np.diff(np.append(edge, len(h)))
-            found += [(int(a), int(n)) for a, n in zip(h[edge].view(np.int64)[often >= 8], often[often >= 8], strict=True)]
-        yield from batches_of(iter([(None, total), *found]), pa.schema([("h", pa.int64()), ("n", pa.int64())]))
+        def rows():
+            held, total, size = [], 0, 0
+
+            def counted():
+                h, often = np.unique(np.concatenate(held), return_counts=True)
+                most = often >= max(2, size // (2 * HOT_PARTS))
+                return zip(h[most].view(np.int64).tolist(), often[most].tolist(), strict=True)
+
+            for columns in _gathered(text_entries(rows_of(batches, "id", "text"), None, exact=False)):
+                total += len(columns[0])
+                _, first = np.unique(columns[0] * np.uint64(_PLACE[8]) + columns[1], return_index=True)
+                held.append(columns[0][first])
+                size += len(first)
+                if size >= COUNT_ENTRIES:
+                    yield from counted()
+                    held, size = [], 0
+            if held:
+                yield from counted()
+            yield None, total
+
+        yield from batches_of(rows(), pa.schema([("h", pa.int64()), ("n", pa.int64())]))
 
     counted = docs.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     counted = materialise(counted.where(f"h is null or n >= {HOT_CONTEXTS}"))
     total = counted.where("h is null").agg(F.sum("n")).first()[0] or 0
-    rows = counted.where(f"h is not null and n >= {max(HOT_CONTEXTS, total // HOT_PARTS)}").collect()
+    rows = counted.where(f"h is not null and n >= {max(HOT_CONTEXTS, total // (2 * HOT_PARTS))}").collect()  # at most 2 HOT_PARTS
     return np.sort(np.array([r["h"] for r in rows], np.int64).view(np.uint64)), total
 
 
 def _meet(anchored: DataFrame) -> DataFrame:
-    """(id, lo, hi, h, pos): windows marked (h null), or contexts that an anchor of several has."""
-    schema = pa.schema([*_MARKS, ("h", pa.int64()), ("pos", pa.int32())])
+    """(id, lo, hi, h, pos, apart): windows marked (h null), or contexts that an anchor of several has; ``apart`` if it has more than HOT_CONTEXTS."""
+    schema = pa.schema([*_MARKS, ("h", pa.int64()), ("pos", pa.int32()), ("apart", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, group in itertools.groupby(rows_of(batches, "bucket", "marks", "entries"), key=lambda r: r[0]):
@@ -292,47 +329,82 @@ def _meet(anchored: DataFrame) -> DataFrame:
             for _, marks, blob in group:
                 (marked if marks else met).append(blob)
             if marked:
-                _, _, doc, pos, back, wide = _unpack(marked)
-                yield from _emit(doc, pos, back, wide, None)
+                yield from _emit(*_unpack(marked)[3:], None, None)
             if met:
-                (h, _, doc, pos, back, wide), new_h, new_c = _sorted_runs(_unpack(met))
+                columns, new_h, new_c = _sorted_runs(_unpack(met))
                 again = ~new_c
-                yield from _emit(*(x[again] for x in (doc, pos, back, wide)), None)
+                yield from _emit(*(x[again] for x in columns[3:]), None, None)
                 group_of = np.cumsum(new_h) - 1
-                several = (np.bincount(group_of[new_c], minlength=1) > 1)[group_of] & new_c if len(h) else new_c
-                yield from _emit(*(x[several] for x in (doc, pos, back, wide)), h[several])
+                contexts = np.bincount(group_of[new_c], minlength=1)
+                several = (contexts > 1)[group_of] & new_c if len(group_of) else new_c
+                yield from _emit(*(x[several] for x in columns[3:]), columns[0][several], contexts[group_of[several]] > HOT_CONTEXTS)
 
-    def _emit(doc, pos, back, wide, h) -> Iterator[pa.RecordBatch]:
-        lo = pos.astype(np.int32) - back
-        if len(doc):
-            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(lo), pa.array(lo + wide.astype(np.int32)), pa.nulls(len(doc), pa.int64()) if h is None else pa.array(h.view(np.int64)), pa.array(pos.astype(np.int32))], schema=schema)
+    def _emit(doc, pos, back, wide, h, apart) -> Iterator[pa.RecordBatch]:
+        lo, n = pos.astype(np.int32) - back, len(doc)
+        if n:
+            more = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.bool_())] if h is None else [pa.array(h.view(np.int64)), pa.array(pos.astype(np.int32)), pa.array(apart)]
+            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(lo), pa.array(lo + wide.astype(np.int32)), *more], schema=schema)
 
-    return anchored.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "id long, lo int, hi int, h long, pos int")
+    return anchored.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "id long, lo int, hi int, h long, pos int, apart boolean")
 
 
 def _contexts(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """(h, id, pos, before, after) of the contexts asked for."""
-    lists = asked.groupBy("id").agg(F.collect_list(F.struct("h", "pos", "lo", "hi")).alias("asked"))
+    """(h, id, pos, before, after) of the contexts asked for; of those ``apart`` each window, by its own hash.
+
+    Of equal windows in a task the first is sent; the others are marks, whose
+    ``before`` and ``after`` are null and whose last window is in ``h``.
+    """
+    lists = asked.groupBy("id").agg(F.collect_list(F.struct("h", "pos", "lo", "hi", "apart")).alias("asked"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, tuple[int, int]] = {}
+
+        def sent():
+            for window, (i, at) in held.items():
+                yield xxhash.xxh3_64_intdigest(window) - (1 << 63), i, at, b"", window
+            held.clear()
+
         def rows():
             for i, text, asked in rows_of(batches, "id", "text", "asked"):
                 raw = text.encode()
                 for x in asked:
-                    yield x["h"], i, x["pos"], raw[x["lo"] : x["pos"]], raw[x["pos"] : x["hi"] + LENGTH]
-
-        yield from batches_of(rows(), pa.schema([("h", pa.int64()), ("id", pa.int64()), ("pos", pa.int32()), ("before", pa.binary()), ("after", pa.binary())]), most=20_000)
+                    if not x["apart"]:
+                        yield x["h"], i, x["pos"], raw[x["lo"] : x["pos"]], raw[x["pos"] : x["hi"] + LENGTH]
+                        continue
+                    for at in range(x["lo"], x["hi"] + 1):
+                        window = raw[at : at + LENGTH]
+                        first = held.get(window)
+                        if first is None or (i, at) < first:
+                            held[window] = (i, at)
+                        if first is not None and first != (i, at):
+                            later = max(first, (i, at))
+                            yield later[1], later[0], later[1], None, None
+                    if len(held) >= HELD_WINDOWS:
+                        yield from sent()
+            yield from sent()
+
+        yield from batches_of(rows(), _CONTEXTS, lambda r: 168, most=20_000)
 
     return docs.join(lists, "id").select("id", "text", "asked").mapInArrow(run, "h long, id long, pos int, before binary, after binary")
 
 
+_CONTEXTS = pa.schema([("h", pa.int64()), ("id", pa.int64()), ("pos", pa.int32()), ("before", pa.binary()), ("after", pa.binary())])
+
+
 def _compare(contexts: DataFrame, block: int = 20_000) -> DataFrame:
     """(id, lo, hi): windows that begin earlier in another context of the same anchor."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             held: list[tuple] = []
             for _, group in itertools.groupby(rows_of(batches, "h", "id", "pos", "before", "after"), key=lambda r: r[0]):
-                held += group  # an anchor's contexts stay together; they are at most HOT_CONTEXTS, or that part of all
+                last = None
+                for row in group:
+                    if row[4] is None:  # a mark already
+                        yield row[1], row[2], row[0]
+                    elif last is not None and row[3:] == last[3:]:  # the bytes of the context before it, which begins earlier
+                        yield row[1], row[2] - len(row[3]), row[2] + len(row[4]) - LENGTH
+                    else:
+                        held.append(last := row)  # an anchor's contexts stay together; HOT_CONTEXTS of them at most
                 if len(held) >= block:
                     yield from marks(held)
                     held = []
@@ -348,7 +420,7 @@ def _compare(contexts: DataFrame, block: int = 20_000) -> DataFrame:
 
         yield from batches_of(rows(), _MARKS, most=50_000)
 
-    return contexts.repartition("h").sortWithinPartitions("h").mapInArrow(run, "id long, lo int, hi int")
+    return contexts.repartition("h").sortWithinPartitions("h", "before", "after", "id", "pos").mapInArrow(run, "id long, lo int, hi int")
 
 
 def _cut(rows: Iterator[tuple]) -> Iterator[tuple]:
@@ -369,7 +441,7 @@ def repeat_marks(docs: DataFrame) -> DataFrame:
     """(id, lo, hi): windows from ``lo`` to ``hi`` of a document begin earlier elsewhere; ``docs`` has unique ids and texts."""
     hot, total = _hot_anchors(docs)
     met = materialise(_meet(_anchors(docs, hot, max(1, total // BUCKET_ENTRIES))))
-    found = _compare(_contexts(docs, met.where("h is not null").select("id", "h", "pos", "lo", "hi")))
+    found = _compare(_contexts(docs, met.where("h is not null").select("id", "h", "pos", "lo", "hi", "apart")))
     return met.where("h is null").select("id", "lo", "hi").unionByName(found)
 
 
@@ -402,3 +474,90 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kinds = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if carry is not None else "") + "".join(f", {n} {k}" for n, k in extra)
     out = marked.select("id", "text", "marks", *names).mapInArrow(run, kinds).withColumnRenamed("id", id_col)
     return out.withColumnsRenamed(dict(zip(names, carry or (), strict=True)))
+
+
+# ---- the groups themselves
+
+def repeat_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 2000) -> DataFrame:
+    """(repeat, n_bytes, occurrences, id, start, cut): the maximal repeats of LENGTH bytes and more, a row for each occurrence.
+
+    A repeat is maximal if neither the bytes before all its occurrences nor
+    those after them agree; shorter and longer ones that overlap are all given.
+    Each is found at the anchor of its first window, which all its occurrences
+    share.  Suffixes are compared for ``reach`` bytes: a longer repeat is given
+    with the length found so far, and ``cut`` is true.  Contexts with equal
+    bytes are one leaf of the tree; its occurrences are joined to what it is
+    part of.  An anchor's different contexts are compared in one task, so this
+    is for tables without an anchor of millions of different contexts.
+    """
+    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
+    docs = materialise(docs.groupBy("id").agg(F.min("text").alias("text")))
+    kinds = "h long, id long, pos long, leaf binary, back int, least int, before binary, after binary, cut boolean"
+    schema = pa.schema([("h", pa.int64()), ("id", pa.int64()), ("pos", pa.int64()), ("leaf", pa.binary()), ("back", pa.int32()), ("least", pa.int32()), ("before", pa.binary()), ("after", pa.binary()), ("cut", pa.bool_())])
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            for i, text in rows_of(batches, "id", "text"):
+                raw = text.encode()
+                for h, _, _, _, pos, back, wide in (row for part in text_entries(iter([(i, text)]), None, exact=False) for row in zip(*(x.tolist() for x in part), strict=True)):
+                    # One byte before the first window too: it tells whether all occurrences go on to the left.
+                    before, after = raw[max(0, pos - back - 1) : pos], raw[pos : pos + reach]
+                    leaf = hashlib.blake2b(b"%d,%d,%d," % (back, wide, len(before)) + before + after, digest_size=16).digest()
+                    yield h - (1 << 63), i, pos, leaf, back, back - wide, before, after, pos + reach < len(raw)
+
+        yield from batches_of(rows(), schema, lambda r: reach)
+
+    found = materialise(docs.mapInArrow(contexts, kinds))
+    leaves = found.groupBy("h", "leaf").agg(F.first("back").alias("back"), F.first("least").alias("least"), F.first("before").alias("before"), F.first("after").alias("after"), F.max("cut").alias("cut"), F.count("*").alias("n"))
+    parts_kind = "repeat binary, n_bytes long, back long, leaf binary, cut boolean, n long"
+    parts_schema = pa.schema([("repeat", pa.binary()), ("n_bytes", pa.int64()), ("back", pa.int64()), ("leaf", pa.binary()), ("cut", pa.bool_()), ("n", pa.int64())])
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            for _, group in itertools.groupby(rows_of(batches, "h", "leaf", "back", "least", "before", "after", "cut", "n"), key=lambda r: r[0]):
+                held = [r[1:] for r in group]
+                if len(held) > 1 or held[0][6] > 1:
+                    for members, back, length in _maximal_groups([r[1:5] for r in held], [r[6] for r in held]):
+                        _, _, _, before, after, _, _ = held[members[0]]
+                        name = hashlib.blake2b(before[len(before) - back :] + after[: length - back], digest_size=16).digest()
+                        for k in members:
+                            yield name, length, back, held[k][0], held[k][5] and length - back == reach, held[k][6]
+
+        yield from batches_of(rows(), parts_schema)
+
+    parts = materialise(leaves.repartition("h").sortWithinPartitions("h").select("h", "leaf", "back", "least", "before", "after", "cut", "n").mapInArrow(groups, parts_kind))
+    occurrences = parts.groupBy("repeat").agg(F.sum("n").alias("occurrences"), F.max("cut").alias("cut"))
+    named = parts.drop("cut", "n").join(occurrences, "repeat")
+    out = named.join(found.select("leaf", "id", "pos"), "leaf")
+    return out.select(F.lower(F.hex("repeat")).alias("repeat"), "n_bytes", "occurrences", F.col("id").alias(id_col), (F.col("pos") - F.col("back")).alias("start"), "cut")
+
+
+def _maximal_groups(contexts: list[tuple[int, int, bytes, bytes]], weights: list[int]) -> Iterator[tuple[list[int], int, int]]:
+    """(members, bytes before the anchor, length) of the maximal repeats of LENGTH bytes and more, from contexts (most and fewest bytes before the anchor in its windows, text before it, text from it on).
+
+    A member of weight 2 and more repeats by itself.  Strings whose first window has another anchor belong to that one.
+    """
+    def alone(sizes: list[int], common: list[int], own: list[int]) -> Iterator[tuple[int, int, int]]:
+        """Nodes of single members that repeat, where no interval has their whole length."""
+        for k, (size, x) in enumerate(zip(sizes, own, strict=True)):
+            if weights[x] > 1 and size > max((common[j] for j in (k - 1, k) if 0 <= j < len(common)), default=-1):
+                yield k, k, size
+
+    order = sorted(range(len(contexts)), key=lambda k: contexts[k][3])
+    rights = [contexts[k][3] for k in order]
+    lcp = [_common(a, b) for a, b in itertools.pairwise(rights)]
+    right_nodes = [(a, b, depth) for a, b, depth, _ in lcp_intervals(lcp, GRAM)]
+    for first, last, depth in (*right_nodes, *alone([len(x) for x in rights], lcp, order)):
+        members = sorted((contexts[k][2][::-1], k) for k in order[first : last + 1])
+        own = [k for _, k in members]
+        before = [_common(a, b) for (a, _), (b, _) in itertools.pairwise(members)]
+        left_nodes = [(a, b, deep) for a, b, deep, _ in lcp_intervals(before, 1)]
+        if before and not min(before):
+            left_nodes.append((0, len(members) - 1, 0))
+        for a, b, back in (*left_nodes, *alone([len(x) for x, _ in members], before, own)):
+            chosen = own[a : b + 1]
+            after = [contexts[k][3] for k in chosen]
+            # The interval's depth counts only if these members alone don't go on to the right together.
+            deep = _common(min(after), max(after))
+            if deep == depth and back + depth >= LENGTH and all(contexts[k][1] <= back <= contexts[k][0] for k in chosen):
+                yield chosen, back, back + depth
