@@ -56,16 +56,42 @@ def test_pipeline(spark):
 
 
 def test_the_mixture_is_the_order_of_the_result(spark, monkeypatch):
-    kept, materialise = [], corpus_pipeline.materialise
-    monkeypatch.setattr(corpus_pipeline, "materialise", lambda df: kept.append(materialise(df)) or kept[-1])
+    kept, keep = [], corpus_pipeline.kept_from
+    monkeypatch.setattr(corpus_pipeline, "discard", lambda spark, folders: None)
+    monkeypatch.setattr(corpus_pipeline, "kept_from", lambda spark, make: kept.append(keep(spark, make)) or kept[-1])
     monkeypatch.setattr(corpus_pipeline, "ORDERED_ROWS", 30)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         got = corpus_pipeline.run(spark, DATA).collect()
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    unmixed, mixed = kept[-2:]
+    (unmixed, _), (mixed, _) = kept[-2:]
     assert len(mixed.inputFiles()) > 1
     want = [r.doc_id for r in pfair.mix(unmixed, resolution=None).orderBy("slot", "place").collect()]
     assert [r.doc_id for r in got] == want and [r.position for r in got] == list(range(len(want)))
     assert want != [r.doc_id for r in unmixed.collect()] and want != sorted(want)
+
+
+def test_pipeline_on_odd_rows(spark):
+    """Every stage keeps what it should of null, empty, repeated and clashing rows, whatever other columns there are."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, slot int, position int, component int"
+    a, b = "the first of the texts has these words in it", "quite another text stands here under the same number"
+    long = " ".join(f"word{k}" for k in range(20_000))
+    rows = [(3, a, "en", "s"), (5, a, "en", "s"), (5, b, "en", "t"), (9, b, "en", None), (9, b, "en", None), (None, "no number but a few words", None, "t"), (None, None, None, None), (1, None, "en", "s"), (2, "", None, "s"), (4, long, "en", "t"), (6, "123 !!", "en", "s")]
+    docs = spark.createDataFrame([(*r, len(r[1] or ""), 0.5, 1, 2, 3) for r in rows], schema)
+    texts = {
+        "language ID": sorted([a, a, b, b, b, "no number but a few words", long]),
+        "MinHash near-dedup": sorted([a, b, "no number but a few words", long]),
+    }
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, DATA).collect()
+        if name in texts:
+            assert sorted(r.text for r in got) == texts[name]
+        docs = spark.createDataFrame([tuple(r) + (0.5, 1, 2, 3) for r in got], schema)
+    done = corpus_pipeline.STAGES[-1][1](spark, docs, DATA).collect()
+    assert sorted(r.decoded_sha256 for r in done) == sorted(hashlib.sha256(x.encode()).hexdigest() for x in texts["MinHash near-dedup"])
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), DATA).count() == 0
+    whole = docs.unionByName(spark.createDataFrame([(None, None, None, None, None, None, None, None, None), (7, None, None, None, None, None, None, None, None)], schema))
+    for _, stage in corpus_pipeline.STAGES[1:]:
+        assert stage(spark, whole, DATA).count() == whole.count()

@@ -389,3 +389,208 @@ def test_repeat_frames(spark, odd, empty):
     assert suffixes.remove_repeats(empty).count() == 0
     twice = spark.createDataFrame([(1, "p" * 150), (1, "q" * 150), (2, "p" * 120)], "doc_id long, text string")
     assert sorted((r.doc_id, r.n_removed) for r in suffixes.remove_repeats(twice).collect()) == [(1, 0), (1, 149), (2, 120)]  # the first window of a run stays
+
+
+def test_outliers_do_not_slow_a_group_down():
+    """Near-copies behind outliers, and several families, are compared with few documents."""
+    import time
+
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 1 << 60, 80, dtype=np.uint64)
+    sets = [np.unique(rng.integers(0, 1 << 60, 60, dtype=np.uint64)) for _ in range(5)]
+    for _ in range(20_000):
+        own = base.copy()
+        own[rng.integers(0, 80, 3)] = rng.integers(0, 1 << 60, 3, dtype=np.uint64)
+        sets.append(np.unique(own))
+    start = time.perf_counter()
+    found = neardup.group_components(neardup.SetIndex(sets))
+    assert time.perf_counter() - start < 10 and found[:5].tolist() == [0, 1, 2, 3, 4] and (found[5:] == 5).all()
+
+
+def test_families_that_touch_equal_brute_force():
+    rng = np.random.default_rng(12)
+    for _ in range(60):
+        base, sets = rng.integers(0, 1 << 60, 40, dtype=np.uint64), []
+        for _ in range(rng.integers(2, 6)):
+            kin = base.copy()
+            kin[rng.integers(0, 40, rng.integers(2, 14))] = rng.integers(0, 1 << 60, 1, dtype=np.uint64)
+            for _ in range(rng.integers(1, 25)):
+                own = kin.copy()
+                own[rng.integers(0, 40, rng.integers(0, 4))] = rng.integers(0, 1 << 60, 1, dtype=np.uint64)
+                sets.append(np.unique(own))
+        rng.shuffle(order := np.arange(len(sets)))
+        sets = [sets[k] for k in order]
+        root = list(range(len(sets)))
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in itertools.combinations(range(len(sets)), 2):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            if 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+        assert neardup.group_components(neardup.SetIndex(sets)).tolist() == [find(k) for k in range(len(sets))]
+
+
+def test_texts_under_one_id_are_documents_of_their_own(spark):
+    a, b = "one two three four five six seven eight", "nine ten eleven twelve thirteen fourteen"
+    df = spark.createDataFrame([(3, a, 1), (5, a, 1), (5, b, 2), (9, b, 3), (9, b, 3), (11, None, 4), (None, a, 5), (12, "", 6), (12, "", 6)], "doc_id long, text string, component int")
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(df).collect()), key=repr)
+    assert got == sorted([(3, 3, True), (5, 3, False), (5, 5, True), (9, 5, False), (9, 5, False), (11, 11, True), (None, None, True), (12, 12, True), (12, 12, True)], key=repr)
+    left = neardup.unlike(df)
+    assert left.columns == df.columns
+    assert sorted(map(tuple, left.collect()), key=repr) == sorted([(3, a, 1), (5, b, 2), (11, None, 4), (None, a, 5), (12, "", 6), (12, "", 6)], key=repr)
+    again = spark.createDataFrame([(7, a, 1), (7, a, 2), (7, a + " x", 3), (8, a, 4)], "doc_id long, text string, n int")
+    assert [r.doc_id for r in neardup.unlike(again).collect()] == [7]
+
+
+def test_hot_groups_meet_where_they_are(spark):
+    from glyphmill.llm import common
+
+    rows = spark.range(5000).selectExpr("id", "case when id % 3 = 0 then 0 else id end as k")
+    groups = rows.groupBy("k").agg(F.min("id").alias("m"), F.count("*").alias("n"))
+    got = common.join_groups(rows, groups, ["k"], 5000)
+    assert got.count() == 5000 and got.where("m <> case when k = 0 then 0 else id end").isEmpty()
+
+
+def test_clashing_columns(spark):
+    names = ["score", "mixture", "lang_pred", "slot", "block", "place", "key", "rank", "position", "id", "t", "component", "kept", "n_bytes", "row", "kept_text", "held_out", "hash", "bucket"]
+    docs = spark.range(40).selectExpr("id as doc_id", "concat('some words of a text ', id) as text", "'en' as lang", "concat('s', id % 3) as source", "9L as n_chars", *[f"{k} as `{n}`" for k, n in enumerate(names)])
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality", "1 as score")
+    path, pattern, words = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, public_tokenizers.path("word_bpe_49k.json")
+    for df in (
+        langmix.identify(docs), langmix.predict(docs, langmix.learn(docs)), pfair.mix(docs), neardup.near_duplicates(docs), neardup.unlike(docs), suffixes.remove_repeats(docs), suffixes.remove_repeats(docs, carry=("lang", "source")),
+        licences.scan(docs, licences.known(spark)), qualityforest.judge(docs, qualityforest.learn(docs, labels)), bpe.round_trip(docs, path, pattern), bpe.encode(docs, path, pattern),
+        tokenfiles.digest(tokenfiles.write(docs, lambda: tokenfiles.word_tokenizer(words).encode, 2)), tiff.features(tiff.pages(tiff.store_texts(docs), keep=("row", "doc_id", "n_bytes", "media_bytes", "media_sha256"))),
+    ):
+        assert df.count() == 40
+    mixed = pfair.mix(docs)
+    assert mixed.where("slot = 3 and block = 4 and place = 5").count() < 40 and mixed.select("key").distinct().count() == 1
+
+
+def test_many_sources_and_rows_without_ids(spark):
+    counts = spark.range(1_000_000, 1_000_003).selectExpr("concat('=', id) as key", "1L as n")
+    shared = pfair.shares(counts, "n", None).selectExpr("keys", "c", "n", "cycle")
+    assert sorted(r.slot_in_cycle for r in pfair.cycle(shared).collect()) == [0, 1, 2]
+    rows = spark.range(3000).selectExpr("case when id % 3 > 0 then id end as doc_id", "concat('s', id % 2) as source", "id as n")
+    got = pfair.mix(rows, block_docs=1).collect()
+    assert len({r.slot for r in got}) == 3000 and got == pfair.mix(rows, block_docs=1).collect()
+
+
+def test_wide_vocabularies(spark, empty):
+    docs = spark.createDataFrame([(1, "x"), (2, "y"), (2, "x")], "doc_id long, text string")
+    encoder = lambda: lambda texts: [np.array([70_000, 5], "<u4") for _ in texts]
+    got = tokenfiles.digest(tokenfiles.write(docs, encoder, 2, largest_id=70_000)).orderBy("start").collect()
+    want = zlib.crc32(np.array([70_000, 5, 2], "<u4").tobytes())
+    assert [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got] == [(1, 0, 3, want), (2, 3, 3, want), (2, 6, 3, want)]
+    with pytest.raises(Exception, match="doesn't fit"):
+        tokenfiles.write(docs, encoder, 2, largest_id=60_000)
+    with pytest.raises(OverflowError):
+        tokenfiles.width_of(1 << 32)
+
+
+def _tiff_of(tags, order="<"):
+    import struct
+
+    out = b"II" + struct.pack("<HI", 42, 8) + struct.pack("<H", len(tags))
+    for tag, value in sorted(tags.items()):
+        out += struct.pack("<HHII", tag, 4, 1, value)
+    return out + bytes(4) + b"\0" * 64
+
+
+def test_headers_that_lie_give_errors(spark):
+    lies = [
+        _tiff_of({tiff.WIDTH: 64, tiff.HEIGHT: 64, tiff.BITS: 8, tiff.TILE_OFFSETS: 8, tiff.TILE_BYTES: 9}),
+        _tiff_of({tiff.WIDTH: 2_000_000, tiff.HEIGHT: 2_000_000, tiff.BITS: 8, tiff.STRIP_OFFSETS: 8, tiff.STRIP_BYTES: 9}),
+        _tiff_of({tiff.WIDTH: 2_000_000, tiff.HEIGHT: 2_000_000, tiff.BITS: 8, tiff.STRIP_ROWS: 1, tiff.STRIP_OFFSETS: 8, tiff.STRIP_BYTES: 9}),
+        _tiff_of({tiff.WIDTH: 4, tiff.HEIGHT: 4, tiff.BITS: 8, tiff.SAMPLES: 0, tiff.STRIP_OFFSETS: 8, tiff.STRIP_BYTES: 9}),
+        _tiff_of({tiff.WIDTH: 4, tiff.HEIGHT: 4, tiff.BITS: 8, tiff.TILE_WIDTH: 4_000_000_000, tiff.TILE_HEIGHT: 1, tiff.TILE_OFFSETS: 8, tiff.TILE_BYTES: 9}),
+    ]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(lies)], "doc_id long, media binary")
+    got = tiff.pages(df, keep=("doc_id",)).collect()
+    assert len(got) == len(lies) and all(r.error and r.pixels is None for r in got)
+
+
+def repeated_rows(seed, count=120):
+    random.seed(seed)
+    passages = ["".join(random.choices("ab é", k=260)) for _ in range(4)]
+    pieces = [lambda: random.choice(passages)[random.randint(0, 120) :][: random.randint(90, 220)], lambda: "".join(random.choices("abcd", k=random.randint(0, 90))), lambda: "ab" * random.randint(0, 90)]
+    return [(i * 7 % 181, "".join(random.choice(pieces)() for _ in range(random.randint(0, 4)))) for i in range(count)]
+
+
+def test_colliding_hashes_remove_nothing_that_differs(spark, monkeypatch):
+    """Hashes of a few bits bring unlike texts together all the time; bytes and digests still tell them apart."""
+    whole = suffixes.gram_hashes
+    monkeypatch.setattr(suffixes, "gram_hashes", lambda data: (whole(data) & np.uint64(0b11)) << np.uint64(40))
+    monkeypatch.setattr(suffixes, "context_hashes", lambda grams, lo, hi: np.zeros(len(lo), np.uint64))
+    for hot in (4000, 5):
+        monkeypatch.setattr(suffixes, "HOT_CONTEXTS", hot)
+        rows = repeated_rows(13, 60)
+        got = suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == brute_removal(rows)
+
+
+def test_an_anchor_with_very_many_contexts(spark, monkeypatch):
+    """100,000 contexts of one anchor, a third of them within windows that repeat."""
+    monkeypatch.setattr(suffixes, "HELD_WINDOWS", 5000)
+    random.seed(14)
+    head = "".join(random.choices("abcdefgh", k=60))
+    rows = [(i, head + (f"{i:06d}" * 7 if i % 3 else "same " * 8 + f"{i:06d}")) for i in range(20_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = suffixes.remove_repeats(df).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == brute_removal(rows)
+
+
+def test_hot_anchors_are_found_whatever_the_tasks(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "HOT_CONTEXTS", 50)
+    random.seed(17)
+    heads = ["".join(random.choices("abcdefgh", k=80)) for _ in range(6)]
+    rows = [(i, heads[i % 6] + f"{i:05d}" * 20) for i in range(1800)]
+    for parts in (1, 7):
+        hot, total = suffixes._hot_anchors(spark.createDataFrame(rows, "id long, text string").repartition(parts))
+        assert len(hot) and total >= 1800
+
+
+def brute_groups(rows):
+    texts = {i: t.encode() for i, t in rows}
+    windows, groups = collections.defaultdict(list), collections.defaultdict(set)
+    for i, raw in texts.items():
+        for k in range(len(raw) - 99):
+            windows[raw[k : k + 100]].append((i, k))
+    strings = set()
+    for places in windows.values():
+        for (i, a), (j, b) in itertools.combinations(places, 2):
+            x, y = texts[i], texts[j]
+            if a and b and x[a - 1] == y[b - 1]:
+                continue  # seen from the window before
+            n = 100
+            while a + n < len(x) and b + n < len(y) and x[a + n] == y[b + n]:
+                n += 1
+            strings.add(x[a : a + n])
+    for s in strings:
+        for i, raw in texts.items():
+            at = raw.find(s)
+            while at >= 0:
+                groups[s].add((i, at))
+                at = raw.find(s, at + 1)
+    return sorted((len(s), sorted(p)) for s, p in groups.items())
+
+
+def test_repeat_groups_equal_brute_force(spark):
+    for seed in (15, 16):
+        rows = repeated_rows(seed, 40)
+        rows = list(dict(rows).items()) + [(900, rows[3][1]), (901, "only " * 60)]
+        found = suffixes.repeat_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        groups = collections.defaultdict(list)
+        for r in found:
+            assert not r.cut
+            groups[r["repeat"], r.n_bytes, r.occurrences].append((r.doc_id, r.start))
+        assert all(len(p) == n == len(set(p)) for (_, _, n), p in groups.items())
+        assert sorted((n, sorted(p)) for (_, n, _), p in groups.items()) == brute_groups(rows)
+    long = "".join(random.choices("abcdefgh", k=600))
+    cut = suffixes.repeat_groups(spark.createDataFrame([(1, long), (2, "x" + long)], "doc_id long, text string"), reach=300).collect()
+    assert {r.cut for r in cut} == {True} and all(r.occurrences == 2 for r in cut)
+    assert suffixes.repeat_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
