@@ -10,6 +10,7 @@ from __future__ import annotations
 import html.parser
 import re
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -63,6 +64,11 @@ def quote_xml(c: Column) -> Column:
     return c
 
 
+def quote_html(c: Column) -> Column:
+    """As F23, and the apostrophe."""
+    return F.replace(quote_xml(c), F.lit("'"), F.lit("&#x27;"))
+
+
 def graphemes(c: Column) -> Column:
     """F16: extended grapheme clusters."""
     return F.regexp_extract_all(c, F.lit(r"(\X)"), F.lit(1))
@@ -118,6 +124,7 @@ def fold_passage_text(s: str) -> str:
     return "".join(kept).strip()
 
 
+# Editorial numbers in brackets; punctuation that goes, and characters with another spelling.
 _BRACKETS = re.compile(r"\[\d+.*?\]")
 _PUNCTUATION = str.maketrans({**dict.fromkeys("◉◆“”.+\\,|/\"॥।*!"), "_": " ", "ә": "ə", "'": "’", "ʼ": "’"})
 
@@ -155,39 +162,73 @@ def html_text_of(s: str | None) -> str:
     return "".join(parser.parts)
 
 
-# Scripts by the start of their letters' names, and the kinds of clusters that are in order.
-SCRIPT_NAMES = ("LATIN", "CYRILLIC", "TAMIL", "DEVANAGARI", "GRANTHA", "KHMER", "JAVANESE")
+# Scripts by the start of their letters' names; clusters of Latin letters that have no script but are in order.
+SCRIPT_NAMES = ("TAMIL", "TELUGU", "KHMER", "DEVANAGARI", "GRANTHA", "KANNADA", "BALINESE")
+VALID_CLUSTERS = (
+    "r\u0325", "L\u0325", "R\u0325", "m\u0303", "ə\u0304", "l\u0325", "m\u0310",
+    "r\u0325\u0304", "L\u0325\u0304", "R\u0325\u0304", "l\u0325\u0304", "n\u0306",
+)
+#: The one Cyrillic letter that counts as valid.
+CYRILLIC_SCHWA = "ә"
+
+
+@lru_cache(maxsize=None)
+def letters_named(start: str) -> str:
+    """A regular expression's class of all characters whose names begin with ``start`` and a space."""
+    at = [c for c in range(0x80, 0x1F000) if unicodedata.name(chr(c), "").startswith(start + " ")]
+    edges = [(g[0], g[-1]) for g in _stretches(at)]
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in edges) + "]"
+
+
+def _stretches(numbers: list[int]) -> list[list[int]]:
+    out: list[list[int]] = []
+    for n in numbers:
+        if out and out[-1][-1] == n - 1:
+            out[-1].append(n)
+        else:
+            out.append([n])
+    return out
+
+
+def script(c: Column) -> Column:
+    """the script that all of a cluster's characters belong to by their names, in upper case; else null."""
+    out = F.lit(None).cast("string")
+    for name in reversed(SCRIPT_NAMES):
+        out = F.when(c.rlike(rf"\A{letters_named(name)}+\z"), name).otherwise(out)
+    return out
 
 
-def script_of(cluster: str) -> str | None:
-    """F17."""
-    name = unicodedata.name(cluster[0], "")
-    return next((s.lower() for s in SCRIPT_NAMES if name.startswith(s)), None)
+def is_valid_cluster(c: Column) -> Column:
+    """a single character must not be Cyrillic (but for the small schwa); several need one script, or be in the list; in NFC."""
+    single = (c == CYRILLIC_SCHWA) | ~c.rlike(letters_named("CYRILLIC"))
+    return F.when(F.length(c) == 1, single).otherwise(script(c).isNotNull() | c.isin(*VALID_CLUSTERS))
 
 
-def is_valid_cluster(cluster: str) -> bool:
-    """single letters must not be Cyrillic (but for schwa); clusters of several need a known script."""
-    if len(cluster) == 1:
-        return cluster in "әӘ" or script_of(cluster) != "cyrillic"
-    return cluster == "\r\n" or script_of(cluster) not in (None, "cyrillic")
+def char_name_of(c: str) -> str:
+    return unicodedata.name(c, f"U+{ord(c):04X}")
 
 
-# Tamil letters.
-TAMIL_VOWELS = dict(zip("அஆஇஈஉஊஎஏஐஒஓஔ", ("a", "ā", "i", "ī", "u", "ū", "e", "ē", "ai", "o", "ō", "au"), strict=True))
-TAMIL_SIGNS = dict(zip("ாிீுூெேைொோௌ", ("ā", "i", "ī", "u", "ū", "e", "ē", "ai", "o", "ō", "au"), strict=True))
-TAMIL_CONSONANTS = dict(zip("கஙசஞடணதநபமயரலவழளறன", ("k", "ṅ", "c", "ñ", "ṭ", "ṇ", "t", "n", "p", "m", "y", "r", "l", "v", "ḻ", "ḷ", "ṟ", "ṉ"), strict=True))
+# Tamil letters and what stands for each; the vowel a is what a consonant has without a sign.
+TAMIL_INHERENT = "அ"
+TAMIL_VOWELS = {"அ": "a", "ஆ": "ā", "இ": "i", "ஈ": "ī", "உ": "u", "ஊ": "ū", "எ": "e", "ஏ": "ē", "ஐ": "ai", "ஒ": "o", "ஓ": "ō", "ஔ": "au"}
+TAMIL_SIGNS = {"ா": "ā", "ி": "i", "ீ": "ī", "ு": "u", "ூ": "ū", "ெ": "e", "ே": "ē", "ை": "ai", "ொ": "o", "ோ": "ō", "ௌ": "au"}
+TAMIL_CONSONANTS = {
+    "க": "k", "ங": "ṅ", "ச": "c", "ஜ": "j", "ஞ": "ñ", "ட": "ṭ", "ண": "ṇ", "த": "t", "ந": "n", "ன": "ṉ", "ப": "p", "ம": "m",
+    "ய": "y", "ர": "r", "ற": "ṟ", "ல": "l", "ள": "ḷ", "ழ": "ḻ", "வ": "v", "ஶ": "ś", "ஷ": "ṣ", "ஸ": "s", "ஹ": "h",
+}
+TAMIL_OTHERS = {"ஂ": "ṃ", "ஃ": "ḥ", "ௐ": "oṃ", **dict(zip("௦௧௨௩௪௫௬௭௮௯", "0123456789", strict=True)), "௰": "10", "௱": "100", "௲": "1000"}
 TAMIL_VIRAMA = "்"
 
 
-def romanise_tamil(s: str) -> str:
-    """a consonant has the vowel a unless a sign or the virama follows."""
-    out = []
-    for c, after in zip(s, s[1:] + "\0", strict=True):
-        if c in TAMIL_CONSONANTS:
-            out.append(TAMIL_CONSONANTS[c] + ("" if after in TAMIL_SIGNS or after == TAMIL_VIRAMA else "a"))
-        elif c != TAMIL_VIRAMA:
-            out.append(TAMIL_SIGNS.get(c) or TAMIL_VOWELS.get(c) or ("ḵ" if c == "ஃ" else c))
-    return "".join(out)
+def tamil_to_latin(c: Column) -> Column:
+    """a consonant has the vowel a unless a sign or the virama follows; what is no Tamil letter stays."""
+    voiced = F.regexp_replace(c, f"([{''.join(TAMIL_CONSONANTS)}])(?![{''.join(TAMIL_SIGNS)}{TAMIL_VIRAMA}])", f"$1{TAMIL_INHERENT}")
+    every = TAMIL_VOWELS | TAMIL_SIGNS | TAMIL_CONSONANTS | TAMIL_OTHERS
+    for letter, latin in every.items():
+        if len(latin) > 1:
+            voiced = F.replace(voiced, F.lit(letter), F.lit(latin))
+    single = {k: v for k, v in every.items() if len(v) == 1}
+    return F.translate(voiced, "".join(single) + TAMIL_VIRAMA, "".join(single.values()))
 
 
 class Batched:
@@ -220,10 +261,18 @@ fold_passage = Batched(_null_safe(fold_passage_text))
 clean_passage = Batched(_null_safe(clean_passage_text))
 clean_file = Batched(_null_safe(clean_file_text))
 html_text = Batched(html_text_of)
-tamil_to_latin = Batched(_null_safe(romanise_tamil))
+nfc = Batched(_null_safe(lambda s: unicodedata.normalize("NFC", s)))
+char_names = Batched(_null_safe(lambda s: ", ".join(map(char_name_of, s))))
 
 
 def register(spark) -> None:
-    """The functions under their names in SQL."""
-    for name, function in (("fold", fold), ("fold_passage", fold_passage), ("clean_passage", clean_passage), ("clean_file", clean_file), ("html_text", html_text), ("tamil_to_latin", tamil_to_latin)):
+    """UD: the functions under their names in SQL; those that are expressions are made SQL functions, so the optimiser sees through them."""
+    for name, function in (("fold", fold), ("fold_passage", fold_passage), ("clean_passage", clean_passage), ("clean_file", clean_file), ("html_text", html_text), ("nfc", nfc)):
         spark.udf.register(name, function.udf)
+    grams = "case when length({0}) >= 3 then array_distinct(transform(sequence(1, length({0}) - 2), i -> substring({0}, i, 3))) else cast(array() as array<string>) end"
+    a, b = grams.format("a"), grams.format("b")
+    both = f"size(array_intersect({a}, {b}))"
+    spark.sql(f"create or replace temporary function jaccard(a string, b string) returns double return case when length(a) < 3 and length(b) < 3 then 0.0D else {both} / (size({a}) + size({b}) - {both}) end")
+    spark.sql(r"create or replace temporary function page_from_url(url string) returns int return try_cast(nullif(regexp_extract(url, r'[?&]page=(\d+)', 1), '') as int)")
+    quoted = "replace(replace(url_encode(printf(format, a)), '%2F', '/'), '%3A', ':')"
+    spark.sql(f"create or replace temporary function format_url(format string, a string) returns string return replace({quoted}, '+', '%20')")

@@ -6,11 +6,15 @@ hold; Q10, Q11 the boolean language with or, and, not and parentheses.
 
 from __future__ import annotations
 
+import itertools
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from glyphmill.functions.collate import sort_columns
 from glyphmill.functions.text import fold, fold_text
@@ -257,15 +261,36 @@ def occurrences(df: DataFrame, key: str, text: Column, term: str) -> DataFrame:
     return listed.select(key, start.cast("long").alias("start"), F.lit(len(term)).cast("long").alias("length"))
 
 
-def display_offsets(display: str, start: int, length: int) -> tuple[int, int]:
-    """Q13: where a match of the folded text stands in the displayed one; characters that folding spells out are covered whole."""
-    spans, at = [], 0
-    for c in display:
-        n = len(fold_expansion(c))
-        spans.append((at, at + n))
-        at += n
-    hit = [k for k, (a, b) in enumerate(spans) if a < start + length and b > start]
-    return (hit[0], len(hit)) if hit else (0, 0)
+def display_matches(df: DataFrame, key: str, text: str, term: str) -> DataFrame:
+    """Q13: (key, start, length) of a term's occurrences, as places in the text as it is displayed.
+
+    The text is compared folded; a character that folding spells out is covered
+    whole, and no match reaches back into what the one before it covers: what
+    is left of it counts, if anything is.
+    """
+    wanted = "".join(map(fold_expansion, term))
+
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([covered(t or "", wanted) for t in texts])
+
+    found = pandas_udf(run, "array<struct<start:bigint,length:bigint>>")(F.col(text))
+    return df.select(F.col(key), F.explode(found).alias("m")).select(key, "m.start", "m.length")
+
+
+def covered(display: str, term: str) -> list[dict]:
+    """The places in ``display`` of a folded term's occurrences from the left."""
+    folded = [fold_expansion(c) for c in display]
+    ends = list(itertools.accumulate(map(len, folded)))
+    whole, out, done = "".join(folded), [], 0  # characters of ``display`` before ``done`` are covered
+    at = whole.find(term) if term else -1
+    while at >= 0:
+        first = max(bisect_right(ends, at), done)
+        after = bisect_left(ends, at + len(term)) + 1
+        if after > first:
+            out.append({"start": first, "length": after - first})
+            done = after
+        at = whole.find(term, at + len(term))
+    return out
 
 
 def fold_expansion(c: str) -> str:

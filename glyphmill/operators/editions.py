@@ -11,6 +11,7 @@ by page and line), ``full`` everything with its brackets, ``search`` plain text.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -22,7 +23,7 @@ from glyphmill.operators.nodes import parse_xml
 
 VIEWS = ("logical", "physical", "full", "search")
 
-# Brackets by element and by the value of its attribute ("" for any other).
+# Fixed values (as are SPACES, FRACTIONS, AROUND and SKIPPED): brackets by element and by the value of its attribute ("" for any other).
 BRACKETS = {
     "supplied": ("reason", {"lost": "[]", "omitted": "⟨⟩", "subaudible": "⟨⟩", "explanation": "()", "undefined": "[]", "": "[]"}),
     "unclear": ("", {"": "()"}),
@@ -37,8 +38,14 @@ BRACKETS = {
 }
 #: Which of a choice's parts each view takes.
 CHOICES = {("sic", "corr"): {"logical": "corr", "physical": "sic", "search": "corr"}, ("orig", "reg"): {"logical": "reg", "physical": "orig", "search": "reg"}, ("abbr", "expan"): {"logical": "expan", "physical": "abbr", "search": "expan"}}
-SPACES = {"binding-hole": "◯", "vacat": "_", "semantic": "_", "feature": "_", "defect": "_", "undefined": "_", "descender": "_", "ascender": "_"}
-FRACTIONS = {"1/4": "¼", "1/2": "½", "3/4": "¾", "1/7": "⅐", "1/9": "⅑", "1/10": "⅒", "1/3": "⅓", "2/3": "⅔", "1/5": "⅕", "2/5": "⅖", "3/5": "⅗", "4/5": "⅘", "1/6": "⅙", "5/6": "⅚", "1/8": "⅛", "3/8": "⅜", "5/8": "⅝", "7/8": "⅞"}
+# What stands for a space of each type; the types that are as wide as their quantity.
+SPACES = {"semantic": "_", "binding-hole": "◯", "descender": "⊔", "ascender": "⊓", "defect": "□", "feature": "_", "vacat": "_", "unclassified": "_"}
+WIDE_SPACES = frozenset(("semantic", "vacat", "unclassified"))
+# Fractions that are characters.
+FRACTIONS = {
+    (0, 3): "↉", (1, 2): "½", (1, 3): "⅓", (1, 4): "¼", (1, 5): "⅕", (1, 6): "⅙", (1, 7): "⅐", (1, 8): "⅛", (1, 9): "⅑",
+    (2, 3): "⅔", (2, 5): "⅖", (3, 4): "¾", (3, 5): "⅗", (3, 8): "⅜", (4, 5): "⅘", (5, 6): "⅚", (5, 8): "⅝", (7, 8): "⅞",
+}
 TRANSPARENT = frozenset("TEI text body roleName measure date placeName persName term gloss foreign hi seg num title q quote cit abbr expan am subst rdg lem w".split())
 IGNORED = frozenset("teiHeader editionStmt facsimile handShift publicationStmt encodingDesc revisionDesc certainty listBibl listApp fw".split())
 BLOCKS = frozenset("p ab lg l div list item head".split())
@@ -50,36 +57,48 @@ def plural(unit: str, n: int) -> str:
     return unit if n == 1 else f"{unit}s"
 
 
-def gap_views(reason: str = "", quantity: str = "", unit: str = "", precision: str = "") -> dict[str, str]:
-    """what stands for a gap in each view."""
-    reason, unit = reason or "undefined", unit or "character"
+def space_view(kind: str = "", quantity: str = "") -> str:
+    """What stands for a space in the views that show it; unknown types are semantic."""
+    kind = kind if kind in SPACES else "semantic"
+    return SPACES[kind] * (max(1, int(quantity)) if kind in WIDE_SPACES and quantity.isdigit() else 1)
+
+
+#: How a gap of a known size is shown by its unit: logical, physical and searchable form.  {a} is "ca. " or nothing, {n} the
+#: quantity, {s} its sign, {dots} and {stars} that many characters, {what} the reason and the unit.
+GAP_FORMS = {
+    "character": ("[{a}{n}{s}]", "[{stars}]", "{dots}"),
+    "component": ("[{a}{dots}]", "[{a}{dots}]", GAP_MARK),
+    "": ("[{a}{n} {what}]", "[{a}{n} {what}]", 5 * GAP_MARK),
+}
+
+
+def gap_views(reason: str = "", quantity: str = "", unit: str = "", precision: str = "", uncertain: bool = False) -> dict[str, str]:
+    """what stands for a gap in each view, and its tooltip."""
     if reason == "ellipsis":
-        return dict.fromkeys(VIEWS, "…")
-    shown = "lost or illegible" if reason == "undefined" else reason
+        return dict.fromkeys(VIEWS, "…") | {"tip": ""}
+    unit = unit or "character"
+    why = ("possibly " if uncertain else "") + ("lost or illegible" if reason in ("", "undefined") else reason)
     named = "character component" if unit == "component" else unit
-    about = "ca. " if precision == "low" else ""
     if not quantity.isdigit():
-        text = "[…]" if unit == "character" else f"[unknown number of {shown} {plural(named, 2)}]"
-        return {"logical": text, "physical": text, "full": text, "search": 5 * GAP_MARK}
-    n = int(quantity)
-    if unit == "character":
-        logical, physical, search = f"[{about}{n}{ {'lost': '+', 'illegible': '×'}.get(reason, '*') }]", f"[{n * '*'}]", n * GAP_MARK
-    elif unit == "component":
-        logical, physical, search = f"[{about}{n * '.'}]", f"[{about}{n * '.'}]", GAP_MARK
-    else:
-        logical = physical = f"[{about}{n} {shown} {plural(named, n)}]"
-        search = 5 * GAP_MARK
-    return {"logical": logical, "physical": physical, "full": logical, "search": search}
+        text = "[…]" if unit == "character" else f"[unknown number of {why} {plural(named, 2)}]"
+        return {"logical": text, "physical": text, "full": text, "search": 5 * GAP_MARK, "tip": f"Unknown number of {why} {plural(named, 2)}"}
+    n, what, low = int(quantity), f"{why} {plural(named, int(quantity))}", precision == "low"
+    parts = {"a": "ca. " if low else "", "n": n, "s": {"lost": "+", "illegible": "×"}.get(why, "*"), "dots": n * GAP_MARK, "stars": n * "*", "what": what}
+    logical, physical, search = (form.format(**parts) for form in GAP_FORMS.get(unit, GAP_FORMS[""]))
+    return {"logical": logical, "physical": physical, "full": logical, "search": search, "tip": f"{'About ' if low else ''}{n} {what}"}
+
+
+_FRACTION = re.compile(r"(\d+)[/⁄](\d+)", re.ASCII)
 
 
 def fraction(text: str) -> str:
-    """a precomposed character, else raised and lowered digits."""
-    if text in FRACTIONS:
-        return FRACTIONS[text]
-    above, slash, below = text.partition("/")
-    if not slash:
+    """a precomposed character, else raised and lowered digits; a text that begins with no fraction stays."""
+    found = _FRACTION.match(text)
+    if not found:
         return text
-    return above.translate(str.maketrans("0123456789", "⁰¹²³⁴⁵⁶⁷⁸⁹")) + "⁄" + below.translate(str.maketrans("0123456789", "₀₁₂₃₄₅₆₇₈₉"))
+    above, below = int(found[1]), int(found[2])
+    raised = str(above).translate(str.maketrans("0123456789", "⁰¹²³⁴⁵⁶⁷⁸⁹")) + "⁄" + str(below).translate(str.maketrans("0123456789", "₀₁₂₃₄₅₆₇₈₉"))
+    return FRACTIONS.get((above, below), raised)
 
 
 @dataclass
@@ -144,13 +163,14 @@ class Edition:
         elif e.name == "choice":
             self.choice(e, views)
         elif e.name == "gap":
-            for v, text in gap_views(*(e.attrs.get(k, "") for k in ("reason", "quantity", "unit", "precision"))).items():
+            unsure = any(c.name == "certainty" and c.attrs.get("match") == ".." and c.attrs.get("locus") == "name" for c in e.children)
+            for v, text in gap_views(*(e.attrs.get(k, "") for k in ("reason", "quantity", "unit", "precision")), unsure).items():
                 if v in views:
                     self.put(text, v)
         elif e.name in ("pb", "lb", "milestone"):
             self.milestone(e, views)
         elif e.name == "space":
-            self.put(SPACES.get(e.attrs.get("type", ""), "_") * max(1, int(e.attrs["quantity"]) if e.attrs.get("quantity", "").isdigit() else 1), *shown)
+            self.put(space_view(e.attrs.get("type", ""), e.attrs.get("quantity", "")), *shown)
             self.put(" ", *(v for v in views if v == "search"))
         elif e.name == "g":
             text, search = self.symbol(e)

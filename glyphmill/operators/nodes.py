@@ -14,11 +14,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SCHEMA = "doc_id long, pre int, post int, level int, parent_pre int, sib int, kind string, name string, attrs map<string,string>, data string, line int, col int, error string, path string"
+SCHEMA = "doc_id long, pre int, post int, level int, parent_pre int, sib int, kind string, name string, attrs map<string,string>, data string, line int, col int, error string, path string, chars int, chars_end int"
 
 #: HTML elements that have no end tag.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -39,13 +39,14 @@ class _Builder:
     rows: list[dict] = field(default_factory=list)
     stack: list[_Open] = field(default_factory=list)
     ended: int = 0
+    chars: int = 0
 
     def __post_init__(self):
         self.start("tree", None, None, 1, 0)
 
     def _row(self, kind, name, attrs, data, line, col) -> dict:
         parent = self.stack[-1] if self.stack else None
-        row = {"doc_id": self.doc_id, "pre": len(self.rows), "post": -1, "level": len(self.stack), "parent_pre": parent.row["pre"] if parent else None, "sib": parent.children if parent else 0, "kind": kind, "name": name, "attrs": attrs, "data": data, "line": line, "col": col, "error": None, "path": "/" if kind == "tree" else None}
+        row = {"doc_id": self.doc_id, "pre": len(self.rows), "post": -1, "level": len(self.stack), "parent_pre": parent.row["pre"] if parent else None, "sib": parent.children if parent else 0, "kind": kind, "name": name, "attrs": attrs, "data": data, "line": line, "col": col, "error": None, "path": "/" if kind == "tree" else None, "chars": self.chars, "chars_end": None}
         if parent:
             parent.children += 1
             if kind == "tag":
@@ -58,6 +59,8 @@ class _Builder:
         self.stack.append(_Open(self._row(kind, name, attrs, None, line, col)))
 
     def leaf(self, kind, data, line, col) -> None:
+        if kind == "string":
+            self.chars += len(data)
         if kind == "string" and self.rows[-1]["kind"] == "string" and self.stack and self.rows[-1]["parent_pre"] == self.stack[-1].row["pre"]:
             self.rows[-1]["data"] += data
             return
@@ -66,7 +69,8 @@ class _Builder:
         self.ended += 1
 
     def end(self) -> None:
-        self.stack.pop().row["post"] = self.ended
+        row = self.stack.pop().row
+        row["post"], row["chars_end"] = self.ended, self.chars
         self.ended += 1
 
     def close(self) -> list[dict]:
@@ -140,18 +144,25 @@ def nodes(df: DataFrame, key: str, content: str, tolerant: bool = False) -> Data
     """The rows of all documents' trees; one row with ``error`` for a document that can't be parsed."""
     parse = parse_html if tolerant else parse_xml
     names = [x.split()[0] for x in SCHEMA.split(", ")]
+    types = [{"long": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(x.split()[1], pa.map_(pa.string(), pa.string())) for x in SCHEMA.split(", ")]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for at in range(0, len(frame), 100):
-                part = frame.iloc[at : at + 100]
-                rows = [r for i, c in zip(part["k"], part["c"], strict=True) for r in parse(int(i), c or "")]
-                out = pd.DataFrame(rows, columns=names, dtype=object)
-                for n in ("pre", "post", "level", "parent_pre", "sib", "line", "col"):
-                    out[n] = out[n].astype("Int32")
-                yield out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 100):
+                part = batch.slice(at, 100)
+                rows = [r for i, c in zip(part.column("k").to_pylist(), part.column("c").to_pylist(), strict=True) for r in parse(i, c or "")]
+                columns = [[r.get(n) for r in rows] if n != "attrs" else [None if r.get(n) is None else list(r[n].items()) for r in rows] for n in names]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
-    return df.select(F.col(key).cast("long").alias("k"), F.col(content).alias("c")).where("k is not null").mapInPandas(run, SCHEMA)
+    return df.select(F.col(key).cast("long").alias("k"), F.col(content).alias("c")).where("k is not null").mapInArrow(run, SCHEMA)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """Nodes that are parsed once for a path of several steps: written to the checkpoint folder where there is one, else cached."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir():
+        return df.checkpoint()
+    return df.persist()
 
 
 def with_stuck(df: DataFrame) -> DataFrame:
@@ -163,12 +174,16 @@ def with_stuck(df: DataFrame) -> DataFrame:
 
 
 def texts(df: DataFrame) -> DataFrame:
-    """(doc_id, pre, text): what stands within every tag, in order."""
-    strings = df.where("kind = 'string'").select("doc_id", F.col("pre").alias("s_pre"), F.col("post").alias("s_post"), "data")
-    tags = df.where("kind in ('tag', 'tree')").select("doc_id", "pre", "post")
-    inner = tags.join(strings, "doc_id", "left").where("s_pre is null or (s_pre > pre and s_post < post)")
-    joined = inner.groupBy("doc_id", "pre").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("s_pre", "data"))), lambda x: x["data"]), "").alias("text"))
-    return tags.select("doc_id", "pre").join(joined, ["doc_id", "pre"], "left").withColumn("text", F.coalesce("text", F.lit("")))
+    """(doc_id, pre, text): what stands within every tag, in order.
+
+    The parser counts the characters before each tag's start and end, so a
+    tag's text is a part of its document's whole text, which is put together once.
+    """
+    strings = df.where("kind = 'string'").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pre", "data"))).alias("s"))
+    whole = strings.select("doc_id", F.array_join(F.transform("s", lambda x: x["data"]), "").alias("whole"))
+    tags = df.where("kind in ('tag', 'tree')").select("doc_id", "pre", "chars", "chars_end")
+    part = F.substr(F.coalesce("whole", F.lit("")), F.col("chars") + 1, F.col("chars_end") - F.col("chars"))
+    return tags.join(whole, "doc_id", "left").select("doc_id", "pre", part.alias("text"))
 
 
 class XPathError(ValueError):
@@ -351,16 +366,24 @@ class XPath:
         self.df = with_stuck(df.where("error is null")) if "stuck" not in df.columns else df
         self._texts: DataFrame | None = None
 
-    def find(self, path: str, context: DataFrame | None = None) -> DataFrame:
-        """Distinct nodes that a path leads to from ``context`` (rows of nodes; the trees themselves if there is none)."""
+    def find(self, path: str, context: DataFrame | None = None, ordered: bool = False) -> DataFrame:
+        """Distinct nodes that a path leads to from ``context`` (rows of nodes; the trees themselves if there is none); if ``ordered``, in document order."""
         absolute, steps = parse_xpath(path)
         start = self.df.where("kind = 'tree'") if context is None or absolute else context
-        return self._walk(steps, start.select(*[F.col(x) for x in self.df.columns]))
+        found = self._walk(steps, start.select(*[F.col(x) for x in self.df.columns]))
+        return found.orderBy("doc_id", "pre") if ordered else found
 
     def matches(self, pattern: str) -> DataFrame:
-        """The nodes that match a pattern: those that it finds from some node above."""
+        """The nodes that match a pattern: those that it finds from some node above; a pattern's steps go down or stay."""
+        _, steps = parse_xpath(pattern)
+        if wrong := [s.axis for s in steps if s.axis not in ("self", "child", "stuck-child") and s != Step("descendant-or-self", "*any*")]:
+            raise XPathError(f"a pattern can't have the axis {wrong[0]}")
         return self.find(pattern if pattern.startswith("/") else f"//{pattern}")
 
+    def explain(self, path: str, mode: str = "formatted") -> None:
+        """Prints the plan of a path."""
+        self.find(path).explain(mode)
+
     def first(self, path: str) -> DataFrame:
         """Of each document the first node in document order that a path finds."""
         found = self.find(path)
@@ -448,6 +471,8 @@ class XPath:
             return df, F.coalesce(F.try_element_at("attrs", F.lit(p[1])), F.lit(""))
         if p[0] == "name":
             return df, F.coalesce("name", F.lit(""))
+        if p[0] not in ("text", "text-of"):
+            raise XPathError(f"{p[0]!r} has no value to compare")
         if "_text" not in df.columns:
             self._texts = self._texts if self._texts is not None else texts(self.df)
             df = df.join(self._texts.select("doc_id", "pre", F.col("text").alias("_text")), ["doc_id", "pre"], "left")

@@ -5,14 +5,10 @@ V1 ladder, V2 reports, V4 rules on nodes, V5 odd letters, V7 listing by owner.
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.functions.text import is_valid_cluster
+from glyphmill.functions.text import char_names, graphemes, is_valid_cluster, nfc, quote_html
 from glyphmill.operators.nodes import XPath
 
 #: Severities, worst last.
@@ -32,24 +28,23 @@ def report(messages: DataFrame) -> DataFrame:
     return messages.orderBy("doc_id", F.col("line").asc_nulls_last(), F.col("col").asc_nulls_last(), "message")
 
 
-_CLUSTER = re.compile(r"\r\n|.[̀-ͯऀ-ःऺ-ॏா-்]*", re.DOTALL)
-_PLAIN = re.compile(r"[\x00-\x7f -ɏḀ-ỿ]*\Z")
+def cluster_problems(df: DataFrame, key: str, text: str) -> DataFrame:
+    """V5: (key, line_no, at, cluster, names, highlighted_line) of the clusters that no script here has; ``at`` counts them within the line.
 
+    Lines end at carriage returns and line feeds only, each for itself.  ASCII
+    lines have no problems and are left out before anything is normalised.
+    """
+    lines = df.select(F.col(key).alias("k"), F.posexplode(F.split(text, r"[\r\n]", -1)).alias("n", "raw")).where(~F.col("raw").rlike(r"\A[\x00-\x7F]*\z"))
+    clusters = lines.select("k", "n", graphemes(nfc(F.col("raw"))).alias("gs"))
+    found = clusters.select("k", "n", "gs", F.posexplode("gs").alias("at", "cluster")).where(~is_valid_cluster(F.col("cluster")))
+    part = lambda start, size: quote_html(F.array_join(F.slice("gs", start, size), ""))
+    marked = F.concat(part(F.lit(1), F.col("at")), F.lit("<mark>"), quote_html(F.col("cluster")), F.lit("</mark>"), part(F.col("at") + 2, F.size("gs")))
+    return found.select(F.col("k").alias(key), (F.col("n") + 1).cast("long").alias("line_no"), F.col("at").cast("long").alias("at"), "cluster", char_names(F.col("cluster")).alias("names"), marked.alias("highlighted_line"))
 
-def odd_clusters(df: DataFrame, key: str, text: str) -> DataFrame:
-    """V5: (key, line_no, n) of lines with clusters that no script here has."""
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for i, text in zip(frame["k"], frame["t"], strict=True):
-                if not text or _PLAIN.match(text):
-                    continue
-                for number, line in enumerate(re.split(r"\r\n|\n|\r", text), 1):
-                    if not _PLAIN.match(line) and (n := sum(not is_valid_cluster(c) for c in _CLUSTER.findall(line))):
-                        rows.append((i, number, n))
-            yield pd.DataFrame(rows, columns=["k", "line_no", "n"]).astype({"line_no": "int64", "n": "int64"})
 
-    return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, "k long, line_no long, n long").withColumnRenamed("k", key)
+def odd_clusters(df: DataFrame, key: str, text: str) -> DataFrame:
+    """V5: (key, line_no, n): how many problems a line has."""
+    return cluster_problems(df, key, text).groupBy(key, "line_no").agg(F.count("*").alias("n"))
 
 
 def unique_attribute(nodes: DataFrame, attribute: str, rule: str) -> DataFrame:
@@ -65,8 +60,30 @@ def forbidden(nodes: DataFrame, path: str, rule: str) -> DataFrame:
 
 
 def inherited(nodes: DataFrame, attribute: str, default: str) -> DataFrame:
-    """(doc_id, pre, value): each tag's own value of an attribute, else its nearest ancestor's, else the default."""
-    tags = nodes.where("kind = 'tag'").select("doc_id", "pre", "post")
-    own = nodes.where("kind = 'tag'").select("doc_id", F.col("pre").alias("a_pre"), F.col("post").alias("a_post"), F.try_element_at("attrs", F.lit(attribute)).alias("value")).where("value is not null")
-    held = tags.join(own, "doc_id").where("a_pre <= pre and a_post >= post").groupBy("doc_id", "pre").agg(F.max_by("value", "a_pre").alias("value"))
-    return tags.select("doc_id", "pre").join(held, ["doc_id", "pre"], "left").withColumn("value", F.coalesce("value", F.lit(default)))
+    """(doc_id, pre, value): each tag's own value of an attribute, else its nearest ancestor's, else the default.
+
+    A value goes down level by level, as often as the deepest tag is deep: an
+    equality join of children with parents for each level, never tags with all
+    tags of their document.
+    """
+    tags = nodes.where("kind in ('tag', 'tree')").select("doc_id", "pre", "parent_pre", "level", "kind", F.try_element_at("attrs", F.lit(attribute)).alias("own"))
+    held = nearest_above(tags, F.col("own"))
+    return held.where("kind = 'tag'").select("doc_id", "pre", F.coalesce("value", F.lit(default)).alias("value"))
+
+
+def nearest_above(tags: DataFrame, own: Column) -> DataFrame:
+    """``tags`` (doc_id, pre, parent_pre, level) with value: ``own`` where it isn't null, else that of the nearest ancestor that has one.
+
+    Pointer jumping: each round a tag without a value looks at what its pointer
+    found so far, and takes over its value or its pointer, so the number of
+    joins is the logarithm of the greatest depth.
+    """
+    deepest = tags.agg(F.max("level")).first()[0] or 0
+    state = tags.withColumn("value", own).withColumn("jump", F.when(F.col("value").isNull(), F.col("parent_pre")))
+    reached = 1
+    while reached <= deepest + 1:
+        above = state.select("doc_id", F.col("pre").alias("jump"), F.col("value").alias("up_value"), F.col("jump").alias("up_jump"))
+        joined = state.join(above, ["doc_id", "jump"], "left")
+        state = joined.withColumn("value", F.coalesce("value", "up_value")).withColumn("jump", F.when(F.col("value").isNull(), F.col("up_jump"))).drop("up_value", "up_jump")
+        reached *= 2
+    return state.drop("jump")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions import text as T
 from glyphmill.functions.collate import sort_columns
-from glyphmill.operators import catalog, nodes, parallels, quality, relational
+from glyphmill.operators import catalog, holdings, nodes, parallels, quality, relational
 from glyphmill.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -160,6 +160,198 @@ def collect_distinct(spark, d):
     return joined.groupBy(F.col("c_mktsegment").alias("key")).agg(F.array_join(F.array_sort(F.collect_set("o_orderpriority")), "|").alias("values"))
 
 
+# ---- holdings: documents with owners, editors, languages and scripts made from their numbers
+
+_HOLDINGS_SQL = """docs as (select doc_id, source, ('f' || doc_id) as name, case when doc_id % 9 = 0 then [lang, 'x' || (doc_id % 2)] else [lang] end as langs,
+      case when doc_id % 4 = 0 then []::varchar[] when doc_id % 5 = 0 then ['latn', 'deva'] else ['latn'] end as scripts,
+      case when doc_id % 6 = 0 then []::varchar[] when doc_id % 10 = 1 then ['p' || (doc_id % 40)] else ['p' || (doc_id % 40), 'p' || (40 + doc_id % 7)] end as editors from documents),
+    owners as (select 'f' || doc_id as name, 'u' || (doc_id % 23) as git_name from documents union select 'f' || doc_id, 'u' || (doc_id % 5) from documents where doc_id % 3 = 0),
+    members as (select 'u' || c_custkey as git_name, c_custkey::varchar as member from customer where c_custkey < 12)"""
+
+
+def _documents(spark, d) -> DataFrame:
+    return table(spark, d, "documents").selectExpr(
+        "doc_id", "source", "concat('f', doc_id) as name", "case when doc_id % 9 = 0 then array(lang, concat('x', doc_id % 2)) else array(lang) end as langs",
+        "case when doc_id % 4 = 0 then cast(array() as array<string>) when doc_id % 5 = 0 then array('latn', 'deva') else array('latn') end as scripts",
+        "case when doc_id % 6 = 0 then cast(array() as array<string>) when doc_id % 10 = 1 then array(concat('p', doc_id % 40)) else array(concat('p', doc_id % 40), concat('p', 40 + doc_id % 7)) end as editors",
+    )
+
+
+def _owners(spark, d) -> tuple[DataFrame, DataFrame]:
+    documents = table(spark, d, "documents")
+    owners = documents.selectExpr("concat('f', doc_id) as name", "concat('u', doc_id % 23) as git_name").unionByName(documents.where("doc_id % 3 = 0").selectExpr("concat('f', doc_id) as name", "concat('u', doc_id % 5) as git_name")).distinct()
+    return owners, table(spark, d, "customer").where("c_custkey < 12").selectExpr("concat('u', c_custkey) as git_name", "cast(c_custkey as string) as member")
+
+
+def _languages(spark) -> tuple[DataFrame, DataFrame]:
+    codes = spark.createDataFrame([("en", "eng"), ("fr", "fra"), ("de", "deu"), ("x1", "xxx")], "code string, id string")
+    return codes, spark.createDataFrame([("eng", "English"), ("fra", "French"), ("deu", "German")], "id string, name string")
+
+
+@query(f"""with {_HOLDINGS_SQL}, codes(code, id) as (values ('en', 'eng'), ('fr', 'fra'), ('de', 'deu'), ('x1', 'xxx')), names(id, name) as (values ('eng', 'English'), ('fra', 'French'), ('deu', 'German'))
+          select doc_id, lang, codes.id as id, names.name as language from (select doc_id, unnest(langs) as lang from docs) left join codes on code = lang left join names on names.id = codes.id""")
+def language_names(spark, d):
+    named = holdings.with_names(holdings.listed(_documents(spark, d).select("doc_id", F.col("langs").alias("lang")), "lang"), "lang", *_languages(spark))
+    return named.select("doc_id", "lang", "id", F.col("name").alias("language"))
+
+
+@query(f"""with {_HOLDINGS_SQL}, l as (select doc_id, editors, unnest(langs) as lang from docs), e as (select doc_id, lang, unnest(editors) as editor from l)
+          select lang, editor, count(*) as docs from e group by all""")
+def language_editors(spark, d):
+    pairs = holdings.listed(_documents(spark, d).select("doc_id", F.col("langs").alias("lang"), F.col("editors").alias("editor")), "lang", "editor")
+    return relational.production(pairs, "lang", "editor", name="docs")
+
+
+@query(f"with {_HOLDINGS_SQL} select git_name, count(*) as files, min(docs.doc_id) as first from docs join owners using (name) group by git_name")
+def files_owners(spark, d):
+    owners, _ = _owners(spark, d)
+    return _documents(spark, d).join(owners, "name").groupBy("git_name").agg(F.count("*").alias("files"), F.min("doc_id").alias("first"))
+
+
+_OWNED_SQL = f"{_HOLDINGS_SQL}, owned as (select distinct name, source as repo, coalesce(member, '!' || git_name) as ident from docs join owners using (name) left join members using (git_name))"
+
+
+def _owned(spark, d) -> DataFrame:
+    return holdings.owned(_documents(spark, d).select("name", F.col("source").alias("repo")), *_owners(spark, d))
+
+
+@query(f"with {_OWNED_SQL} select name, repo, ident from owned")
+def owned_documents(spark, d):
+    return _owned(spark, d)
+
+
+@query(f"with {_OWNED_SQL} select '7' as owner, name from owned where ident = '7' union all select '!u17', name from owned where ident = '!u17'")
+def owner_filter(spark, d):
+    found = _owned(spark, d)
+    of = lambda ident: holdings.owned_by(found, ident).select(F.lit(ident).alias("owner"), "name")
+    return of("7").unionByName(of("!u17"))
+
+
+@query(f"""with {_OWNED_SQL}, s as (select doc_id, (case when toxic = 1 then 3 when quality = 0 then 2 when quality is null then 1 else 0 end)::bigint as status from documents left join labels using (doc_id))
+          select ident as owner, count(distinct name) filter (status >= 2) as errors, max(status) as worst from owned join s on name = 'f' || doc_id group by ident""")
+def errors_by_owner(spark, d):
+    status = status_ladder(spark, d).select(F.concat(F.lit("f"), "doc_id").alias("name"), "status")
+    return _owned(spark, d).join(status, "name").groupBy(F.col("ident").alias("owner")).agg(F.count_distinct(F.when(F.col("status") >= quality.ERROR, F.col("name"))).alias("errors"), F.max("status").alias("worst"))
+
+
+def _listed_sql(of: str, by: str, name: str) -> str:
+    return f"(select {by} as k, string_agg({of} || ':' || n, ',' order by n desc, {of}) as {name} from (select {by}, {of}, count(*) as n from (select *, unnest({of}s) as {of} from docs) group by all) group by 1)"
+
+
+@query(f"""with {_HOLDINGS_SQL} select r.source as repo, docs, langs, scripts, editors from (select source, count(*) as docs from docs group by source) r
+          left join {_listed_sql('lang', 'source', 'langs')} l on l.k = r.source left join {_listed_sql('script', 'source', 'scripts')} s on s.k = r.source
+          left join {_listed_sql('editor', 'source', 'editors')} e on e.k = r.source""")
+def repository_statistics(spark, d):
+    documents = _documents(spark, d).withColumnRenamed("source", "repo")
+    of = lambda item: holdings.counted_list(holdings.listed(documents.select("repo", f"{item}s"), f"{item}s").withColumnRenamed(f"{item}s", item), "repo", item, f"{item}s")
+    repos = relational.production(documents, "repo", name="docs")
+    return holdings.with_statistics(repos.select("repo"), "repo", repos, of("lang"), of("script"), of("editor"))
+
+
+@query(f"""with {_HOLDINGS_SQL}, e as (select *, unnest(editors) as editor from docs), people as (select 'p' || i as person from range(60) t(i))
+          select person, docs, langs, repos from people left join (select editor, count(*) as docs from e group by 1) a on a.editor = person
+          left join (select editor, string_agg(lang || ':' || n, ',' order by n desc, lang) as langs from (select editor, lang, count(*) as n from (select editor, unnest(langs) as lang from e) group by all) group by 1) b on b.editor = person
+          left join (select editor, string_agg(source || ':' || n, ',' order by n desc, source) as repos from (select editor, source, count(*) as n from e group by all) group by 1) c on c.editor = person""")
+def people_statistics(spark, d):
+    edited = holdings.listed(_documents(spark, d).withColumnRenamed("editors", "person"), "person")
+    people = spark.range(60).select(F.concat(F.lit("p"), "id").alias("person"))
+    langs = holdings.counted_list(holdings.listed(edited.select("person", F.col("langs").alias("lang")), "lang"), "person", "lang", "langs")
+    repos = holdings.counted_list(edited, "person", "source", "repos")
+    return holdings.with_statistics(people, "person", relational.production(edited, "person", name="docs"), langs, repos)
+
+
+@query(f"""with {_HOLDINGS_SQL}, l as (select source, editors, unnest(langs) as lang from docs), e as (select lang, unnest(editors) as editor from l),
+    up(id, root) as (values ('en', 'germanic'), ('de', 'germanic'), ('fr', 'romance'), ('es', 'romance'), ('en', 'ie'), ('de', 'ie'), ('fr', 'ie'), ('es', 'ie'))
+    select distinct root, lang, (select count(*) from l l2 where l2.lang = l.lang) as prod, (select count(distinct editor) from e where e.lang = l.lang) as editors, (select count(distinct source) from l l3 where l3.lang = l.lang) as repos
+    from l join up on id = lang where lang in (select lang from e)""")
+def language_view(spark, d):
+    documents = holdings.listed(_documents(spark, d).select("source", "editors", F.col("langs").alias("lang")), "lang")
+    edited = documents.select("lang", F.explode("editors").alias("editor")).groupBy("lang").agg(F.count_distinct("editor").alias("editors"))
+    repos = documents.groupBy("lang").agg(F.count_distinct("source").alias("repos"))
+    tree = spark.createDataFrame([(1, "ie", None), (2, "germanic", 1), (3, "romance", 1), (4, "en", 2), (5, "de", 2), (6, "fr", 3), (7, "es", 3)], "rid int, id string, parent int")
+    above = relational.closure(tree).where("depth > 0 and root is not null").join(tree.select("rid", F.col("id").alias("lang")), "rid").join(tree.select(F.col("rid").alias("root"), F.col("id").alias("above")), "root")
+    return above.select(F.col("above").alias("root"), "lang").join(relational.production(documents, "lang"), "lang").join(edited, "lang").join(repos, "lang").distinct()
+
+
+@query(f"""with {_HOLDINGS_SQL} select doc_id, name, source as repo, upper(source) as repo_title, n_chars as size from docs join documents using (doc_id, source) where doc_id % 9 = 0""")
+def file_details(spark, d):
+    repos = table(spark, d, "documents").select("source").distinct().select("source", F.upper("source").alias("repo_title"))
+    files = table(spark, d, "documents").select("doc_id", F.col("n_chars").alias("size"))
+    wide = _documents(spark, d).where(F.size("langs") > 1)
+    return wide.join(files, "doc_id").join(repos, "source").select("doc_id", "name", F.col("source").alias("repo"), "repo_title", "size")
+
+
+@query(f"""with {_HOLDINGS_SQL} select editor, count(*) as docs from (select unnest(editors) as editor from docs) join (select 'p' || i as person from range(44) t(i)) on person = editor group by editor""")
+def known_editors(spark, d):
+    # A left join whose right side is then required is an inner one.
+    people = spark.range(44).select(F.concat(F.lit("p"), "id").alias("editor"))
+    return relational.production(_documents(spark, d).select(F.explode("editors").alias("editor")).join(people, "editor"), "editor", name="docs")
+
+
+@query(f"""with {_HOLDINGS_SQL}, p as (select distinct lang, script from (select lang, unnest(scripts) as script from (select scripts, unnest(langs) as lang from docs)))
+          select 'lang' as side, lang as key, string_agg(script, ',' order by script) as others from p group by lang union all select 'script', script, string_agg(lang, ',' order by lang) from p group by script""")
+def language_scripts(spark, d):
+    pairs = holdings.listed(_documents(spark, d).select(F.col("langs").alias("lang"), F.col("scripts").alias("script")), "lang", "script")
+    return holdings.both_ways(pairs, "lang", "script")
+
+
+@query("""select user_id as file, string_agg(distinct event_type, ',' order by event_type) as authors, 'c' || max_by(event_id, (epoch_us(ts), 'c' || event_id)) as last_commit, max(ts) as last_modified from events group by user_id""")
+def git_metadata(spark, d):
+    commits = table(spark, d, "events").select(F.col("user_id").alias("file"), "ts", F.concat(F.lit("c"), "event_id").alias("commit"), "event_type")
+    return holdings.last_commits(commits, "file", "ts", "commit", "event_type")
+
+
+@query("""with o as (select distinct user_id as k, 'old' as v from events where event_id < 3000), n as (select user_id as k, min(event_type) as v from events where event_id >= 3000 group by 1)
+          select * from o union all select * from n where k not in (select k from o)""")
+def insert_ignore(spark, d):
+    events = table(spark, d, "events")
+    old = events.where("event_id < 3000").select(F.col("user_id").alias("k"), F.lit("old").alias("v")).distinct()
+    return holdings.insert_new(old, events.where("event_id >= 3000").select(F.col("user_id").alias("k"), F.col("event_type").alias("v")), "k")
+
+
+@query("""with o as (select user_id as k, max(event_id) as a, count(*) as b from events where event_id < 6000 group by 1), n as (select user_id as k, min(event_id) as a from events where event_id >= 4000 group by 1)
+          select coalesce(o.k, n.k) as k, coalesce(n.a, o.a) as a, b from o full join n using (k)""")
+def update_two_columns(spark, d):
+    events = table(spark, d, "events")
+    old = events.where("event_id < 6000").groupBy(F.col("user_id").alias("k")).agg(F.max("event_id").alias("a"), F.count("*").alias("b"))
+    return holdings.update_columns(old, events.where("event_id >= 4000").groupBy(F.col("user_id").alias("k")).agg(F.min("event_id").alias("a")), "k", "a")
+
+
+@query("""select c_custkey as k, greatest(1, least(c_custkey, greatest(ceil(n / 100.0), 1)))::bigint as page, greatest(ceil(n / 100.0), 1)::bigint as pages,
+            least((greatest(1, least(c_custkey, greatest(ceil(n / 100.0), 1))) - 1) * 100 + 1, n)::bigint as first, least(greatest(1, least(c_custkey, greatest(ceil(n / 100.0), 1))) * 100, n)::bigint as last
+          from (select c_custkey, (select count(*) from orders o where o.o_custkey = c.c_custkey) * 37 as n from customer c)""")
+def page_clamp(spark, d):
+    orders = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("k")).agg((F.count("*") * 37).alias("n"))
+    asked = table(spark, d, "customer").select(F.col("c_custkey").alias("k")).join(orders, "k", "left").fillna({"n": 0})
+    return asked.select("k", holdings.page_bounds(F.col("k"), F.col("n"), 100).alias("p")).select("k", "p.*")
+
+
+@query("""select event_id, '{"k":"' || json_extract_string(props, '$.k') || '","type":"' || event_type || '","user":"' || user_id || '"}' as json from events""")
+def json_compact(spark, d):
+    pairs = F.create_map(F.lit("user"), F.col("user_id").cast("string"), F.lit("type"), F.col("event_type"), F.lit("k"), F.get_json_object("props", "$.k"))
+    return table(spark, d, "events").select("event_id", holdings.json_text(pairs).alias("json"))
+
+
+@query(f"""with {_HOLDINGS_SQL} select doc_id, array_to_string(list_sort(list_filter(editors, lambda x: not list_contains(['p1', 'p2', 'p41', 'p45'], x))), ',') as others,
+            len(editors)::int as n, editors[1] as first, array_to_string(case when len(scripts) > 0 then scripts else ['source_other'] end, ',') as scripts from docs""")
+def array_functions(spark, d):
+    known = F.array(*[F.lit(x) for x in ("p1", "p2", "p41", "p45")])
+    return _documents(spark, d).select(
+        "doc_id", F.array_join(holdings.without(F.col("editors"), known), ",").alias("others"), F.size("editors").alias("n"), F.get("editors", F.lit(0)).alias("first"),
+        F.array_join(holdings.defaulted(F.col("scripts"), "source_other"), ",").alias("scripts"),
+    )
+
+
+@query("select c_custkey as key, c_name as name, c_acctbal as balance from customer")
+def jsonl_backup(spark, d):
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    at = f"{base.rstrip('/')}/backup-{uuid.uuid4().hex}"
+    holdings.backup(table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance")), "key", at)
+    return spark.read.schema("key bigint, name string, balance double").json(at)
+
+
 # ---- windows and pages
 
 @query("""select o_orderkey as key, (row_number() over (order by o_orderkey) - 1)::bigint as pos, ((row_number() over (order by o_orderkey) - 1) // 100 + 1)::bigint as page from orders""")
@@ -278,6 +470,21 @@ def jaccard_symmetric(spark, d):
     return parallels.mirrored(_pairs(spark, d))
 
 
+@query(f"""with {_PAIRS_SQL}, b as (select id1 as id from pairs union all select id2 from pairs)
+          select conv_id * 1000 + turn as id, coalesce(n, 0)::bigint as parallels from conversations left join (select id, count(*) as n from b group by id) on id = conv_id * 1000 + turn""")
+def parallels_per_passage(spark, d):
+    ids = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"))
+    return parallels.parallel_counts(_pairs(spark, d), ids, "id")
+
+
+@query(f"""with {_PAIRS_SQL}, b as (select distinct id from (select id1 as id from pairs union all select id2 from pairs))
+          select conv_id, count(*) filter (role = 'user') as users, count(*) filter (role = 'assistant') as assistants from conversations join b on id = conv_id * 1000 + turn group by conv_id""")
+def parallels_by_source(spark, d):
+    turns = table(spark, d, "conversations").select("conv_id", "role", (F.col("conv_id") * 1000 + F.col("turn")).alias("id"))
+    found = turns.join(parallels.parallel_counts(_pairs(spark, d), turns, "id").where("parallels > 0"), "id", "left_semi")
+    return found.groupBy("conv_id").agg(F.count_if(F.col("role") == "user").alias("users"), F.count_if(F.col("role") == "assistant").alias("assistants"))
+
+
 @query("""with n as (select conv_id, text, row_number() over (partition by conv_id order by turn) - 1 as ix, count(*) over (partition by conv_id) as n from conversations),
           g as (select type, size, conv_id, n, ix // size as g, string_agg(chr((97 + ix)::int), '' order by ix) as letters, string_agg(text, ' ' order by ix) as t
                 from n, (values (1, 4), (2, 2), (4, 1)) k(type, size) where (ix // size + 1) * size <= n group by all)
@@ -389,6 +596,23 @@ def match_offsets_documents(spark, d):
     return catalog.occurrences(table(spark, d, "documents").withColumn("low", F.lower("text")), "doc_id", F.col("low"), "ti")
 
 
+_FOLDED = "replace(replace(lower(text), 'ß', 'ss'), 'œ', 'oe')"
+
+
+@query(f"""with c as (select doc_id, text, string_split(text, '') as cs from documents where contains({_FOLDED}, 'ss')),
+          x as (select doc_id, unnest(cs) as c, unnest(range(0, len(cs))) as i from c),
+          f as (select doc_id, i, case when c = 'ß' then 'ss' when c in ('œ', 'Œ') then 'oe' when c in ('æ', 'Æ') then 'ae' when c in ('đ', 'Đ') then 'd' else lower(c) end as f from x),
+          p as (select doc_id, i, f, (sum(length(f)) over (partition by doc_id order by i))::bigint as stop from f),
+          w as (select doc_id, string_split(string_agg(f, '' order by i), 'ss') as parts from p group by doc_id),
+          m as (select doc_id, unnest(range(1, len(parts) + 1)) as k, unnest(parts) as part from w),
+          s as (select doc_id, (sum(length(part) + 2) over (partition by doc_id order by k) - 2)::bigint as place, k, max(k) over (partition by doc_id) as n from m),
+          h as (select s.doc_id, s.place, min(p.i) as start, max(p.i) as last from s join p on p.doc_id = s.doc_id and p.stop - length(p.f) < s.place + 2 and p.stop > s.place where k < n group by all),
+          g as (select *, coalesce(lag(last) over (partition by doc_id order by place), -1) as before from h)
+          select doc_id, greatest(start, before + 1)::bigint as start, (last - greatest(start, before + 1) + 1)::bigint as length from g where last > before""")
+def display_matches(spark, d):
+    return catalog.display_matches(table(spark, d, "documents"), "doc_id", "text", "ss")
+
+
 # ---- records with versions
 
 @query("""with b as (select user_id, max(event_id) as s from events where event_id < 6000 group by 1), n as (select user_id, max(event_id) as s from events where event_id >= 3000 group by 1)
@@ -474,8 +698,7 @@ def quote_xml(spark, d):
     return table(spark, d, "pages").select("page_id", T.quote_xml(F.col("html")).alias("quoted"))
 
 
-@query("""with b as (select *, row_number() over (order by event_id) as n from events where event_id % 50 = 0)
-          select 'report' || (user_id % 5) as report, strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M') as at, count(*)::varchar || case when count(*) = 1 then ' event' else ' events' end as n from b group by 1, 2""")
+@query("""select 'report' || (user_id % 5) as report, strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M') as at, count(*)::varchar || case when count(*) = 1 then ' event' else ' events' end as n from events group by 1, 2""")
 def formatted_counts(spark, d):
     from glyphmill.functions import web
 
@@ -505,7 +728,7 @@ def bib_duplicates(spark, d):
 # ---- trees
 
 def _nodes(spark, d) -> DataFrame:
-    return nodes.nodes(table(spark, d, "pages"), "page_id", "html", tolerant=True)
+    return nodes.kept(nodes.nodes(table(spark, d, "pages"), "page_id", "html", tolerant=True))
 
 
 def _xpath(path: str) -> Query:
@@ -515,18 +738,44 @@ def _xpath(path: str) -> Query:
     return run
 
 
+# The same trees in SQL: tokens of the page one after the other, with the stack of what is open; for pages without stray angle brackets.
+_TREE_TOKENS = """t as (select page_id, regexp_extract_all(regexp_replace(html, '<script>.*?</script>', '<script>code</script>', 'g'), '<!--.*?-->|<[^>]*>|[^<]+') as ts from pages),
+    n as (select page_id, list_transform(ts, lambda x: case when x like '<!--%' then 'c' when x like '<!%' then 'd' when x like '</%' then 'e' when x like '<%' then 's' else 't' end) as kinds, ts,
+      list_transform(ts, lambda x: regexp_extract(x, '^</?([a-z0-9]+)', 1)) as names from t),
+    w(page_id, i, pre, up, open, langs) as (
+      select page_id, 0, 0, [0], ['']::varchar[], [null]::varchar[] from n
+      union all
+      select page_id, i + 1, pre + case when k in ('s', 't', 'c') then 1 else 0 end,
+        case when k = 's' and not void then list_append(up, pre + 1) when k = 'e' and last > 0 then up[1:last - 1] else up end,
+        case when k = 's' and not void then list_append(open, name) when k = 'e' and last > 0 then open[1:last - 1] else open end,
+        case when k = 's' and not void then list_append(langs, coalesce(nullif(regexp_extract(tok, ' lang="([^"]*)"', 1), ''), langs[-1])) when k = 'e' and last > 0 then langs[1:last - 1] else langs end
+      from (select w.*, kinds[i + 1] as k, names[i + 1] as name, ts[i + 1] as tok, names[i + 1] in ('br', 'meta', 'img', 'link', 'hr', 'input') as void,
+              coalesce(list_max(list_transform(range(1, len(open) + 1), lambda j: case when open[j] = names[i + 1] then j end)), 0) as last
+            from w join n using (page_id) where i < len(ts))),
+    nodes as (select w.page_id, w.pre + 1 as pre, w.up, w.open, kinds[i + 1] as kind, names[i + 1] as name, ts[i + 1] as tok,
+        coalesce(nullif(regexp_extract(ts[i + 1], ' lang="([^"]*)"', 1), ''), w.langs[-1]) as lang from w join n using (page_id) where i < len(ts) and kinds[i + 1] in ('s', 't', 'c')),
+    tags as (select * from nodes where kind = 's')"""
+
+
+def _tree_sql(select: str) -> str:
+    return f"with recursive {_TREE_TOKENS} {select}"
+
+
 PATHS = {
-    "xpath_child": "/html/head/title",
-    "xpath_descendant": "//p",
-    "xpath_ancestor": "//p/ancestor::body",
-    "xpath_sibling": "//h1/following-sibling::p",
-    "xpath_following": "//title/following::p",
-    "xpath_stuck": "//body/stuck-child::*",
-    "xpath_predicate": "//meta[@charset='utf-8']",
-    "xpath_functions": "//p[regex('tion') and not(empty())]",
+    "xpath_child": ("/html/head/title", "select page_id, pre, name from tags where name = 'title' and open = ['', 'html', 'head']"),
+    "xpath_descendant": ("//p", "select page_id, pre, name from tags where name = 'p'"),
+    "xpath_ancestor": ("//p/ancestor::body", "select page_id, pre, name from tags b where name = 'body' and exists (from tags p where p.page_id = b.page_id and p.name = 'p' and list_contains(p.up, b.pre))"),
+    "xpath_sibling": ("//h1/following-sibling::p", "select distinct p.page_id, p.pre, p.name from tags p join tags h on h.page_id = p.page_id and h.name = 'h1' and h.up[-1] = p.up[-1] and p.pre > h.pre where p.name = 'p'"),
+    "xpath_following": ("//title/following::p", "select distinct p.page_id, p.pre, p.name from tags p join tags h on h.page_id = p.page_id and h.name = 'title' and p.pre > h.pre and not list_contains(p.up, h.pre) where p.name = 'p'"),
+    "xpath_stuck": ("//body/stuck-child::*", """select page_id, pre, name from tags t where open[-1] = 'body' and not exists
+        (from nodes o where o.page_id = t.page_id and o.up[-1] = t.up[-1] and o.pre < t.pre and (o.kind = 's' or o.kind = 't' and trim(o.tok, ' ' || chr(9) || chr(10) || chr(13)) <> ''))"""),
+    "xpath_predicate": ("//meta[@charset='utf-8']", """select page_id, pre, name from tags where name = 'meta' and tok like '% charset="utf-8"%'"""),
+    "xpath_functions": ("//p[regex('tion') and not(empty())]", """select p.page_id, p.pre, p.name from tags p join nodes s on s.page_id = p.page_id and s.kind = 't' and list_contains(s.up, p.pre)
+        where p.name = 'p' group by all having contains(string_agg(s.tok, '' order by s.pre), 'tion')"""),
 }
-for _name, _path in PATHS.items():
+for _name, (_path, _select) in PATHS.items():
     _QUERIES[_name] = _xpath(_path)
+    _SQL[_name] = _tree_sql(_select)
 _SQL["xpath_predicate_count"] = "select count(*) as n from pages where regexp_matches(html, '<meta charset=\"utf-8\">')"
 
 
@@ -547,32 +796,43 @@ def edition_displays(spark, d):
     return editions.displays(listed.select("conv_id", whole.alias("x")), "conv_id", "x").select("doc_id", "logical", "lines")
 
 
-@query()
+@query(r"""with t as (select page_id, replace(regexp_replace(replace(html, '="</p>"', '="' || chr(1) || '/p>"'), '<!--.*?-->|</?[a-zA-Z!][^>]*>', '', 'g'), chr(1), '<') as x from pages)
+          select page_id, replace(replace(replace(replace(replace(replace(replace(replace(x, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', chr(160)), '&amp;', '&') as text from t""")
 def html_text(spark, d):
     return table(spark, d, "pages").select("page_id", T.html_text(F.col("html")).alias("text"))
 
 
-@query()
+_ISSUES_SQL = """l as (select doc_id, unnest(ls) as line, unnest(range(1, len(ls) + 1)) as line_no from (select doc_id, regexp_split_to_array(replace(replace(text, 'q', 'х'), 'z', 'z̊'), '[\r\n]') as ls from documents where text is not null))"""
+
+
+@query(rf"""with {_ISSUES_SQL} select doc_id, line_no, (length(line) - length(replace(replace(line, 'х', ''), '̊', '')))::bigint as n from l where contains(line, 'х') or contains(line, '̊')""")
 def grapheme_issues(spark, d):
-    return quality.odd_clusters(table(spark, d, "documents"), "doc_id", "text")
+    # Letters that are rare in the documents stand for odd ones: a Cyrillic letter, and a letter with a mark that it doesn't take.
+    documents = table(spark, d, "documents").select("doc_id", F.replace(F.replace("text", F.lit("q"), F.lit("х")), F.lit("z"), F.lit("z̊")).alias("text"))
+    return quality.odd_clusters(documents, "doc_id", "text")
 
 
-@query()
+@query(_tree_sql("""select t.page_id as doc_id, t.pre, 'an address occurs twice' as rule from (select *, regexp_extract(tok, ' href="([^"]*)"', 1) as href, count(*) over (partition by page_id, regexp_extract(tok, ' href="([^"]*)"', 1)) as n from tags) t where trim(href) <> '' and n > 1"""))
 def rule_unique_href(spark, d):
     return quality.unique_attribute(_nodes(spark, d), "href", "an address occurs twice")
 
 
-@query()
+@query(_tree_sql("select page_id as doc_id, pre, 'a link within a link' as rule from tags where name = 'a' and list_contains(open, 'a')"))
 def rule_nested_links(spark, d):
     return quality.forbidden(_nodes(spark, d), "//a//a", "a link within a link")
 
 
-@query()
+@query(_tree_sql("select page_id as doc_id, pre, 'a paragraph within a paragraph' as rule from tags where name = 'p' and list_contains(open, 'p')"))
+def rule_nested_paragraphs(spark, d):
+    return quality.forbidden(_nodes(spark, d), "//p//p", "a paragraph within a paragraph")
+
+
+@query(_tree_sql("select page_id, pre, coalesce(lang, 'und') as lang from tags"))
 def lang_inheritance(spark, d):
     return quality.inherited(_nodes(spark, d), "lang", "und").select(F.col("doc_id").alias("page_id"), "pre", F.col("value").alias("lang"))
 
 
-@query()
+@query("""select user_id as key, value from (select user_id, max_by(value, event_id) as value, max_by(event_type, event_id) as kind from events group by user_id) where kind <> 'purchase'""")
 def stream_ingest(spark, d):
     import uuid
 

@@ -26,7 +26,17 @@ def test_folding(spark):
     assert T.fold_passage_text("na-mo’pi") == "namoapi"
     assert T.clean_passage_text("[12 x] a_b, c'd") == "a b c’d"
     assert T.clean_file_text("﻿\na  \n\n") == "a\n"
-    assert T.romanise_tamil("தமிழ்") == "tamiḻ"
+
+
+def test_scripts_clusters_and_tamil(spark):
+    clusters = {"a": (None, True), "ж": (None, False), "ә": (None, True), "Ә": (None, False), "கி": ("TAMIL", True), "తే": ("TELUGU", True), "ಕಿ": ("KANNADA", True), "ᬓᬶ": ("BALINESE", True), "कि": ("DEVANAGARI", True), "r̥": (None, True), "r̥̄": (None, True), "a̋": (None, False), "q̊": (None, False), "ə̄": (None, True), "कி": (None, False)}
+    df = spark.createDataFrame(list(clusters.items()) and [(k,) for k in clusters], "c string")
+    assert {r.c: (r.s, r.v) for r in df.select("c", T.script(F.col("c")).alias("s"), T.is_valid_cluster(F.col("c")).alias("v")).collect()} == clusters
+    words = {"தமிழ்": "tamiḻ", "ஜி": "ji", "ஸ்ரீ": "srī", "ஃ": "ḥ", "ௐ": "oṃ", "௧௦ ௱": "10 100", "கை": "kai", "ஔ": "au", "க": "ka", "abc": "abc", "அக": "aka", "ஷஹஶ": "ṣahaśa", "ஂ": "ṃ", "": ""}
+    df = spark.createDataFrame([(k,) for k in words], "c string")
+    assert {r.c: r.l for r in df.select("c", T.tamil_to_latin(F.col("c")).alias("l")).collect()} == words
+    T.register(spark)
+    assert tuple(spark.sql("select jaccard('abcd', 'bcde'), jaccard('ab', 'x'), page_from_url('http://a/b?x=1&page=12'), format_url('/texts/%s', 'a b/é')").first()) == (1 / 3, 0.0, 12, "/texts/a%20b/%C3%A9")
 
 
 def test_trigrams_and_jaccard(spark):
@@ -79,7 +89,11 @@ def test_offsets(spark):
     df = spark.createDataFrame([(1, "aXaXaXa"), (2, "none"), (3, "a.b.c")], "id int, t string")
     assert sorted(map(tuple, catalog.occurrences(df, "id", F.col("t"), "aXa").collect())) == [(1, 0, 3), (1, 4, 3)]
     assert [r.start for r in catalog.occurrences(df, "id", F.col("t"), ".").collect()] == [1, 3]
-    assert catalog.display_offsets("süße", 3, 2) == (2, 2) and catalog.display_offsets("süße", 1, 2) == (1, 2)
+    places = lambda text, term: [(m["start"], m["length"]) for m in catalog.covered(text, term)]
+    assert places("süße", "se") == [(2, 2)] and places("süße", "üs") == [(1, 2)] and places("süße", "s") == [(0, 1), (2, 1)]
+    assert places("ßß", "sss") == [(0, 2)] and places("Œuvre", "oeu") == [(0, 2)] and places("", "a") == places("a", "") == []
+    df = spark.createDataFrame([(1, "süße Süsse"), (2, None), (3, "")], "id int, t string")
+    assert sorted(map(tuple, catalog.display_matches(df, "id", "t", "SÜß").collect())) == [(1, 0, 3), (1, 5, 4)]
 
 
 def test_closure(spark):
@@ -257,6 +271,28 @@ def test_stream(spark, tmp_path):
     assert sorted(map(tuple, into.read().collect())) == [(1, 3), (3, 1)]
 
 
+def test_a_crash_loses_no_version(spark, tmp_path, monkeypatch):
+    from glyphmill.streaming import ingest
+
+    into = ingest.VersionedTable(spark, f"file://{tmp_path}/t", "k long, n long, v string")
+    change = lambda *rows: spark.createDataFrame(list(rows), "k long, n long, v string")
+    into.apply(change((1, 1, "a"), (2, 1, "b")), "k", "n", F.lit(False), 0)
+    whole = ingest.VersionedTable._point
+    monkeypatch.setattr(ingest.VersionedTable, "_point", lambda *_: (_ for _ in ()).throw(OSError("crash before the pointer")))
+    with pytest.raises(OSError):
+        into.apply(change((3, 2, "c")), "k", "n", F.lit(False), 1)
+    assert {r.k for r in into.read().collect()} == {1, 2}
+    monkeypatch.setattr(ingest.VersionedTable, "_point", whole)
+    for batch in range(1, 9):
+        into.apply(change((3, batch, f"c{batch}"), (1, batch, "x")), "k", "n", F.col("k") == 1, batch)
+        into.apply(change((9, 9, "twice")), "k", "n", F.lit(False), batch)  # came before
+        assert sorted(map(tuple, into.read().collect())) == [(2, 1, "b"), (3, batch, f"c{batch}")]
+    assert len(list(tmp_path.glob("t/v*"))) == ingest.RETAINED
+    repos = spark.createDataFrame([("a", "1", "x"), ("b", "2", "x"), ("c", "1", "y"), ("d", "1", "x")], "repo string, commit_hash string, code_hash string")
+    seen = spark.createDataFrame([("a", "1", "x"), ("b", "1", "x"), ("c", "1", "x")], "repo string, commit_hash string, code_hash string")
+    assert dict(map(tuple, ingest.due(repos, seen).collect())) == {"a": "skip", "b": "changed", "c": "all", "d": "all"}
+
+
 def test_events(spark):
     events = spark.createDataFrame([('{"repository":{"name":"r"},"commits":[{"author":{"email":"bot"}}]}',), ('{"repository":{"name":"s"},"commits":[{"author":{"email":"bot"}},{"author":{"email":"me"}}]}',), ("junk",)], "value string")
     assert [r.name for r in webhook_names(events, ["bot"]).collect()] == ["s"]
@@ -283,11 +319,17 @@ def test_editions(spark):
 
 
 def test_gaps_and_fractions():
-    from glyphmill.operators.editions import fraction, gap_views
-
-    assert gap_views("lost", "3", "character") == {"logical": "[3+]", "physical": "[***]", "full": "[3+]", "search": "..."}
-    assert gap_views()["logical"] == "[…]" and gap_views()["search"] == "....." and gap_views("lost", "2", "line", "low")["logical"] == "[ca. 2 lost lines]"
-    assert fraction("1/4") == "¼" and fraction("7/9") == "⁷⁄₉" and fraction("x") == "x"
+    from glyphmill.operators.editions import fraction, gap_views, space_view
+
+    assert gap_views("lost", "3", "character") == {"logical": "[3+]", "physical": "[***]", "full": "[3+]", "search": "...", "tip": "3 lost characters"}
+    assert gap_views()["logical"] == "[…]" and gap_views()["search"] == "....." and gap_views()["tip"] == "Unknown number of lost or illegible characters"
+    assert gap_views("lost", "2", "line", "low") == {"logical": "[ca. 2 lost lines]", "physical": "[ca. 2 lost lines]", "full": "[ca. 2 lost lines]", "search": ".....", "tip": "About 2 lost lines"}
+    assert gap_views("illegible", "1", "character", "low") == {"logical": "[ca. 1×]", "physical": "[*]", "full": "[ca. 1×]", "search": ".", "tip": "About 1 illegible character"}
+    assert gap_views("lost", "2", "component", "low") | {"tip": ""} == {"logical": "[ca. ..]", "physical": "[ca. ..]", "full": "[ca. ..]", "search": ".", "tip": ""}
+    assert gap_views("lost", "2", uncertain=True)["logical"] == "[2*]" and gap_views("lost", "x", "line", uncertain=True)["full"] == "[unknown number of possibly lost lines]"
+    assert gap_views("ellipsis") == {"logical": "…", "physical": "…", "full": "…", "search": "…", "tip": ""}
+    assert fraction("1/4") == "¼" and fraction("7/9") == "⁷⁄₉" and fraction("x") == "x" and fraction("0/3") == "↉" and fraction("1⁄2") == "½" and fraction("03/04") == "¾" and fraction("1/10") == "¹⁄₁₀"
+    assert space_view("defect") == "□" and space_view("descender", "3") == "⊔" and space_view("ascender") == "⊓" and space_view("vacat", "3") == "___" and space_view("", "x") == "_" and space_view("feature", "4") == "_"
 
 
 def test_addresses(spark):
