@@ -32,11 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import StoreWriter, batches_of, materialise, open_store, read_range, rows_of, shared_dir
+from glyphmill.llm.common import HOT_GROUPS, HOT_ROWS, StoreWriter, batches_of, materialise, open_store, read_range, rows_of, shared_dir
 
 REVISIT_BYTES = 100
 #: Lines of a compressed block of the index.
 BLOCK_LINES = 1000
+#: Bytes of records that a task reads, about, once there is enough for all tasks.
+READ_BYTES = 64 << 20
 
 # Fixed values of the format.
 VERSION = b"WARC/1.1"
@@ -118,8 +120,17 @@ def write_archives(df: DataFrame, id_col: str = "page_id", url_col: str = "url",
     folder = shared_dir(df.sparkSession)
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     rows = df.select(F.col(id_col).alias("i"), F.col(url_col).alias("u"), payload.alias("p"), F.sha2(payload.cast("binary"), 256).alias("d"), F.octet_length(payload).alias("n"))
-    firsts = rows.where(F.col("n") >= REVISIT_BYTES).groupBy("d").agg(F.min("i").alias("first"), F.count("*").alias("copies")).where("copies > 1 and first is not null").drop("copies")
-    typed = rows.join(firsts, "d", "left").select("i", "u", "p", "d", F.when(F.col("i").isNull() | (F.col("i") > F.col("first")), F.col("first")).alias("r"))
+    firsts = rows.where(F.col("n") >= REVISIT_BYTES).groupBy("d").agg(F.min("i").alias("first"), F.count("*").alias("copies")).where("copies > 1 and first is not null")
+    firsts = materialise(firsts)
+    # Payloads with very many copies, of which there are few, are known to all tasks.  Their rows, and those too short to be
+    # a revisit, go where the hash of all of the row's own values sends them, so no payload fills a task.
+    many = max(HOT_ROWS, df.count() // HOT_GROUPS)
+    hot = F.broadcast(firsts.where(F.col("copies") > many).select("d", F.col("first").alias("hot")))
+    alone = F.concat_ws(" ", "d", "i", "u")
+    keyed = rows.join(hot, "d", "left").withColumn("k", F.when(F.col("hot").isNull() & (F.col("n") >= REVISIT_BYTES), F.col("d")).otherwise(alone))
+    first = F.coalesce("hot", "first")
+    typed = keyed.join(firsts.where(F.col("copies") <= many).select(F.col("d").alias("k"), "first"), "k", "left")
+    typed = typed.select("i", "u", "p", "d", F.when(F.col("i").isNull() | (F.col("i") > first), first).alias("r"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, found = None, []
@@ -219,10 +230,18 @@ def look_up(index: CaptureIndex, urls: DataFrame, url_col: str = "url") -> DataF
 
 
 def read_captures(captures: DataFrame, id_col: str = "page_id") -> DataFrame:
-    """(id, payload_bytes, payload_digest, record_type, refers_to) of captures, each by a range read of its record."""
+    """(id, payload_bytes, payload_digest, record_type, refers_to) of captures, each by a range read of its record.
+
+    Tasks are dealt by the bytes of the records, not by those of the captures.
+    """
+    captures = materialise(captures.select("file", "offset", "length"))
+    size = captures.agg(F.sum("length")).first()[0] or 0
+    slots = 4 * captures.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, -(-size // READ_BYTES), min(slots, -(-size // (1 << 20))))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (read_page(zlib.decompress(read_range(*x), 31)) for x in rows_of(batches, "file", "offset", "length"))
         yield from batches_of(rows, pa.schema([("i", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]))
 
-    spread = captures.select("file", "offset", "length").repartition("file", "offset")  # a URL with many captures is read by many tasks
+    spread = captures.repartition(tasks, "file", "offset")  # a URL with many captures is read by many tasks
     return spread.mapInArrow(run, "i long, payload_bytes long, payload_digest string, record_type string, refers_to long").withColumnRenamed("i", id_col)
