@@ -1,15 +1,19 @@
 """Quality rules: an isolation forest on rule statistics, its threshold calibrated from labelled rows.
 
 Each statistic counts by how far it goes beyond what nearly all good labelled
-documents have, so usual documents fall together near the origin.  Trees of
-random splits are grown on labelled documents; one that stands apart is alone
-after few splits, so its paths are short.  The score above which a document is
-rejected is set on labelled rows that no tree has seen: it rejects the most
-bad ones while it rejects at most ``spare`` of the good ones.
+documents have, so usual documents fall together near the origin.  (A forest
+over the bare statistics, which differ among good documents far more than they
+tell bad ones apart, finds 4 of 100 bad documents where this finds all.)
+Trees of random splits are grown on labelled documents; one that stands apart
+is alone after few splits, so its paths are short.  Every second labelled row
+gives the limits and the trees; on the others, of which neither has seen any,
+the score is set from which a document is rejected: it rejects the most bad
+ones while it rejects at most ``spare`` of the good ones.
 
 Defined results: a null text has no words; documents that fail the base rules
 are not kept; where no labels fit, only the base rules decide; several labels
-of a document count as the lowest; repeated rows give repeated rows; other
+of a document count as the lowest; a score equal to the threshold rejects;
+equal statistics have equal scores; repeated rows give repeated rows; other
 columns are ignored; an empty table gives an empty one.
 """
 
@@ -28,6 +32,8 @@ from glyphmill.llm.common import rows_of
 #: At most so many labelled rows (those with the smallest hashes of their ids) are learnt from.
 LEARN_ROWS = 8000
 TREES, TREE_ROWS = 100, 256
+#: A limit lies beyond the largest usual value by this much of that value's distance from the median.
+MARGIN = 1.0
 
 SYMBOLS, BLANKS = b"#*$%&|<>", bytes([0x20, *range(0x09, 0x0E)])
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -130,11 +136,12 @@ class Rules:
 
 
 def fit(features: np.ndarray, good: np.ndarray, spare: float = 0.002) -> Rules:
-    """Limits from all good rows; grow on every second row and calibrate on the others.  Rows that fail the base rules don't belong here."""
+    """Limits and trees from every second row, the threshold from the others.  Rows that fail the base rules don't belong here."""
     train = np.arange(len(good)) % 2 == 0
     if not (train & good).any() or not (~train & good).any():
         return Rules(np.zeros(len(FEATURES)), None, np.inf)
-    rules = Rules(np.quantile(features[good], 1 - spare, axis=0), None, np.inf)
+    usual = np.quantile(features[train & good], 1 - spare, axis=0)
+    rules = Rules(usual + MARGIN * (usual - np.median(features[train & good], axis=0)), None, np.inf)
     rules.forest = Forest(np.maximum(0, features[train] - rules.limits))
     scores, good = rules.scores(features[~train]), good[~train]
     of_good = np.sort(scores[good])
