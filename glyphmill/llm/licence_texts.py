@@ -111,6 +111,12 @@ LICENCES = {
     "Unlicense": _UNLICENSE,
     "Zlib": _ZLIB,
 }
+# Titles that stand above these texts.
+for _id, _title in (
+    ("0BSD", "BSD Zero Clause License"), ("0BSD", "Zero-Clause BSD"), ("BSD-2-Clause", "BSD 2-Clause License"), ("BSD-2-Clause", "The 2-Clause BSD License"), ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("BSD-3-Clause", "The 3-Clause BSD License"), ("ISC", "ISC License"), ("ISC", "The ISC License"), ("MIT", "The MIT License"), ("MIT", "The MIT License (MIT)"), ("Zlib", "zlib License"), ("Zlib", "The zlib/libpng License"),
+):
+    LICENCES[f"{_id} (titled {_title})"] = f"{_title}\n\n{LICENCES[_id]}"
 
 #: Spellings and the one that stands for both, after case and punctuation are gone.
 EQUIVALENT = [

@@ -43,6 +43,17 @@ def known(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(sorted(LICENCES.items()), "licence_id string, text string")
 
 
+def known_in(spark: SparkSession, folder: str) -> DataFrame:
+    """(licence_id, text) of the licences in a folder's files (as ``Apache-2.0`` or ``GPL-3.0.txt``), beside those of ``known``; long licences come this way.
+
+    A file's name is its licence's id; a file with the text of a known licence
+    gives that text a second id, of which the first in alphabetical order counts.
+    """
+    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True)
+    name = F.regexp_replace(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1), r"\.(txt|md)$", "")
+    return files.select(name.alias("licence_id"), F.col("value").alias("text")).unionByName(known(spark))
+
+
 def scan(df: DataFrame, licences: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, canonical_chars, canonical_sha256, licence_id) of every text; the last is null if no licence has its digest."""
     digest = F.sha2(F.col("c").cast("binary"), 256).alias("canonical_sha256")
