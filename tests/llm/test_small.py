@@ -129,6 +129,42 @@ def test_forest_finds_what_stands_apart():
     assert qualityforest.fit(np.zeros((0, 6)), np.zeros(0, bool)).threshold == np.inf
 
 
+def test_scores_equal_a_plain_forest():
+    """Every tree holds all rows: each leaf's length is its depth and what its rows would still take; scores follow from these."""
+    rows = np.random.default_rng(18).exponential(1, (120, 3))
+    forest = qualityforest.Forest(rows, trees=7, tree_rows=len(rows))
+    harmonic = lambda n: sum(1 / k for k in range(1, n))
+
+    def leaf(tree, x, node=0, depth=0):
+        feature, value, child, _ = tree
+        if feature[node] < 0:
+            return node, depth
+        return leaf(tree, x, int(child[node]) + int(x[feature[node]] >= value[node]), depth + 1)
+
+    total = np.zeros(len(rows))
+    for tree in forest.trees:
+        at = [leaf(tree, x) for x in rows]
+        sizes = collections.Counter(node for node, _ in at)
+        for k, (node, depth) in enumerate(at):
+            n = sizes[node]
+            assert depth <= forest.depth and (n == 1 or depth == forest.depth)
+            rest = 0 if n < 2 else 1 if n == 2 else 2 * harmonic(n) - 2 * (n - 1) / n
+            assert abs(tree[3][node] - depth - rest) < 0.5  # the logarithm stands for the harmonic number
+            total[k] += tree[3][node]
+    assert np.allclose(forest.scores(rows), 2.0 ** (-total / 7 / qualityforest.Forest.average(120)))
+    same = qualityforest.Forest(np.ones((50, 3)))
+    assert len(set(same.scores(np.ones((5, 3))))) == 1
+
+
+def test_limits_and_trees_see_only_their_half():
+    rng = np.random.default_rng(19)
+    features, good = rng.exponential(0.01, (400, 6)), np.arange(400) % 5 > 0
+    other = features.copy()
+    other[1::2] *= 3  # the half that calibrates
+    a, b = qualityforest.fit(features, good), qualityforest.fit(other, good)
+    assert (a.limits == b.limits).all() and all((x == y).all() for s, t in zip(a.forest.trees, b.forest.trees, strict=True) for x, y in zip(s, t, strict=True))
+
+
 def test_labelled_documents_are_told_apart(spark):
     at = "/root/testdata/sf0.01"
     documents, labels = spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/labels.parquet")
@@ -201,6 +237,16 @@ def test_licences(spark, odd, empty):
     assert licences.scan(odd, licences.known(spark)).count() == len(ODD) and licences.scan(empty, licences.known(spark)).count() == 0
 
 
+def test_licences_of_a_folder(spark, tmp_path):
+    long = "Example General License\nVersion 3\n\n" + "You may use the organisation's programme as you see fit. " * 900
+    (tmp_path / "Example-3.0.txt").write_text(long)
+    (tmp_path / "Again").write_text("The MIT License\n\n" + licences.LICENCES["MIT"])
+    texts = ["Copyright 1999 X\n" + long.upper(), long.replace("organisation", "organization"), long[:-30], "ISC License\n\nCopyright (c) 2001 Y\n\n" + licences.LICENCES["ISC"], "The MIT License\n\n" + licences.LICENCES["MIT"], licences.LICENCES["Zlib"]] * 40
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.licence_id for r in licences.scan(df, licences.known_in(spark, f"file://{tmp_path}")).orderBy("doc_id").collect()]
+    assert got == ["Example-3.0", "Example-3.0", None, "ISC (titled ISC License)", "Again", "Zlib"] * 40
+
+
 # ---- mixing
 
 def test_mixture_deviates_by_less_than_a_block(spark):
@@ -308,6 +354,16 @@ def near_rows():
     return rows + [(300, "Few words"), (301, "few  WORDS"), (302, ""), (303, None), (304, rows[3][1])]
 
 
+def test_common_payloads_meet_where_they_are(spark, monkeypatch):
+    same, empty = "<p>" + "x" * 200, ""
+    rows = [(k, f"http://a.b/{k}", same if k % 3 == 0 else empty if k % 3 == 1 else f"<p>{k}" + "y" * 100) for k in range(300)] + [(None, None, same)] * 3
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    monkeypatch.setattr(warc, "HOT_ROWS", 5)
+    got = warc.read_captures(warc.look_up(warc.CaptureIndex.build(warc.write_archives(pages)), pages)).collect()
+    want = [(i, len(h), hashlib.sha256(h.encode()).hexdigest(), *(("revisit", 0) if h == same and i != 0 else ("response", None))) for i, _, h in rows]
+    assert collections.Counter(map(tuple, got)) == collections.Counter(want)
+
+
 @pytest.mark.parametrize("chunk", [5000, 4 << 20])
 def test_near_duplicates_equal_brute_force(spark, monkeypatch, chunk):
     monkeypatch.setattr(neardup, "CHUNK_BYTES", chunk)
