@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions.text import char_names, graphemes, is_valid_cluster, nfc, quote_html
 from glyphmill.operators.nodes import XPath
+from glyphmill.operators.trees import nearest_above
 
 #: Severities, worst last.
 OK, WARNING, ERROR, FATAL = range(4)
@@ -60,30 +61,7 @@ def forbidden(nodes: DataFrame, path: str, rule: str) -> DataFrame:
 
 
 def inherited(nodes: DataFrame, attribute: str, default: str) -> DataFrame:
-    """(doc_id, pre, value): each tag's own value of an attribute, else its nearest ancestor's, else the default.
-
-    A value goes down level by level, as often as the deepest tag is deep: an
-    equality join of children with parents for each level, never tags with all
-    tags of their document.
-    """
+    """(doc_id, pre, value): each tag's own value of an attribute, else its nearest ancestor's, else the default."""
     tags = nodes.where("kind in ('tag', 'tree')").select("doc_id", "pre", "parent_pre", "level", "kind", F.try_element_at("attrs", F.lit(attribute)).alias("own"))
     held = nearest_above(tags, F.col("own"))
     return held.where("kind = 'tag'").select("doc_id", "pre", F.coalesce("value", F.lit(default)).alias("value"))
-
-
-def nearest_above(tags: DataFrame, own: Column) -> DataFrame:
-    """``tags`` (doc_id, pre, parent_pre, level) with value: ``own`` where it isn't null, else that of the nearest ancestor that has one.
-
-    Pointer jumping: each round a tag without a value looks at what its pointer
-    found so far, and takes over its value or its pointer, so the number of
-    joins is the logarithm of the greatest depth.
-    """
-    deepest = tags.agg(F.max("level")).first()[0] or 0
-    state = tags.withColumn("value", own).withColumn("jump", F.when(F.col("value").isNull(), F.col("parent_pre")))
-    reached = 1
-    while reached <= deepest + 1:
-        above = state.select("doc_id", F.col("pre").alias("jump"), F.col("value").alias("up_value"), F.col("jump").alias("up_jump"))
-        joined = state.join(above, ["doc_id", "jump"], "left")
-        state = joined.withColumn("value", F.coalesce("value", "up_value")).withColumn("jump", F.when(F.col("value").isNull(), F.col("up_jump"))).drop("up_value", "up_jump")
-        reached *= 2
-    return state.drop("jump")

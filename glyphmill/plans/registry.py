@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions import text as T
 from glyphmill.functions.collate import sort_columns
-from glyphmill.operators import catalog, holdings, nodes, parallels, quality, relational
+from glyphmill.operators import catalog, holdings, nodes, parallels, quality, relational, rules, trees
 from glyphmill.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -796,6 +796,80 @@ def edition_displays(spark, d):
     return editions.displays(listed.select("conv_id", whole.alias("x")), "conv_id", "x").select("doc_id", "logical", "lines")
 
 
+# Editions made of conversations: a verse with a line for each turn, and an apparatus; with notes, gaps, numbers and languages.
+_TURNS_SQL = r"""turns as (select *, (row_number() over (partition by conv_id order by turn) - 1)::int as k from conversations)"""
+
+
+def _editions(spark, d) -> DataFrame:
+    turns = table(spark, d, "conversations").withColumn("k", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1)
+    line = F.expr("""concat('<l n="', case when conv_id % 7 = 0 then 'z' else char(97 + k) end, '"', case when k % 3 = 1 then ' enjamb="yes"' else '' end, case k % 4 when 1 then ' xml:lang="san"' when 2 then ' xml:lang="eng"' else '' end, '>',
+        quoted, '<note>on ', turn, '</note><gap', case turn % 4 when 0 then ' reason="lost"' when 1 then ' reason="illegible"' when 2 then '' else ' reason="ellipsis"' end,
+        case when conv_id % 5 > 0 then concat(' quantity="', conv_id % 5, '"') else '' end, case turn % 3 when 0 then '' when 1 then ' unit="component"' else ' unit="line"' end, case when conv_id % 2 = 0 then ' precision="low"' else '' end,
+        '/><space/><num', case when turn % 4 = 0 then ' value="3" atLeast="2" atMost="5"' when turn % 4 = 1 then ' atMost="2"' else ' value="1"' end, '/>',
+        case when turn % 5 = 0 then '<seg cert="low"/>' else '' end, '<foreign/></l>')""")
+    app = F.expr("""concat('<app loc="', k div 2, '"><lem', case when k % 2 = 0 then ' source="bib:A bib:B bib:A"' else '' end, '>', case when k % 3 = 2 then ' ' else role end, '</lem>',
+        case when k % 2 = 0 then concat('<rdg source="bib:C">r', turn, '</rdg><rdg>s</rdg>') else '' end, case when k % 4 = 3 then '<note>see there</note>' else '' end, '</app>')""")
+    listed = turns.withColumn("quoted", T.quote_xml(F.col("text"))).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("k", line.alias("l"), app.alias("a")))).alias("x"))
+    join = lambda f: F.array_join(F.transform("x", lambda x: x[f]), "")
+    whole = F.concat(F.lit("<TEI><text><body><div type='edition' n='"), "conv_id", F.lit("'><div type='textpart'><lg n='v'>"), join("l"), F.lit("</lg></div></div><div type='apparatus'><listApp>"), join("a"), F.lit("</listApp></div></body></text></TEI>"))
+    return nodes.kept(nodes.nodes(listed.select("conv_id", whole.alias("x")), "conv_id", "x"))
+
+
+@query(rf"""with {_TURNS_SQL}, c as (select *, trim(regexp_replace(translate(replace(regexp_replace(text || ' ', '\[[0-9]+.*?\]', '', 'g'), '[]', ''), '_әʼ' || chr(39) || '◉◆“”.+\,|/"॥।*!', ' ə’’'), '\s+', ' ', 'g'), ' ') as t from turns where conv_id % 7 <> 0)
+          select conv_id as doc_id, conv_id || '.v' as number, k::bigint as at, case when k % 3 = 1 and t not like '-%' then '-' || t else t end as text from c""")
+def verse_lines(spark, d):
+    return trees.verse_lines(_editions(spark, d)).select("doc_id", "number", "at", "text")
+
+
+@query(rf"""with {_TURNS_SQL}, e as (select conv_id, k, k // 2 as loc, '⟨' || (k // 2) || '⟩ ' || role || case when k % 2 = 0 then ' A B ◇ r' || turn || ' C; s' else '' end || case when k % 4 = 3 then ' • see there' when k % 2 = 0 then '.' else '' end as entry from turns where k % 3 <> 2),
+          g as (select *, case when lag(loc) over (partition by conv_id order by k) is not distinct from loc then 0 else 1 end as new from e), p as (select *, sum(new) over (partition by conv_id order by k) as paragraph from g)
+          select conv_id as doc_id, paragraph::bigint as paragraph, string_agg(entry, ' — ' order by k) as text from p group by all""")
+def apparatus_paragraphs(spark, d):
+    return trees.apparatus(_editions(spark, d)).select("doc_id", F.col("paragraph").cast("bigint").alias("paragraph"), "text")
+
+
+@query(rf"with {_TURNS_SQL} select conv_id as doc_id, (k + 1)::bigint as n, 'on ' || turn as text from turns")
+def note_numbers(spark, d):
+    return trees.numbered_notes(_editions(spark, d)).select("doc_id", "n", "text")
+
+
+@query(rf"""with {_TURNS_SQL}, g as (select conv_id, k, turn % 4 = 3 as untold, case turn % 4 when 0 then 'lost' when 1 then 'illegible' else 'lost or illegible' end as why, nullif(conv_id % 5, 0) as n,
+            case turn % 3 when 0 then 'character' when 1 then 'component' else 'line' end as unit, conv_id % 2 = 0 as low from turns),
+          w as (select *, case unit when 'component' then 'character component' else unit end || case when n = 1 then '' else 's' end as units, case when low then 'ca. ' else '' end as about, case why when 'lost' then '+' when 'illegible' then '×' else '*' end as sign from g),
+          v as (select *, case when n is null then case unit when 'character' then '[…]' else '[unknown number of ' || why || ' ' || units || ']' end when unit = 'character' then '[' || about || n || sign || ']'
+                  when unit = 'component' then '[' || about || repeat('.', n) || ']' else '[' || about || n || ' ' || why || ' ' || units || ']' end as logical from w)
+          select conv_id as doc_id, k::bigint as k, case when untold then '…' else logical end as logical, case when untold then '…' when n is not null and unit = 'character' then '[' || repeat('*', n) || ']' else logical end as physical,
+            case when untold then '…' when n is null or unit = 'line' then '.....' when unit = 'character' then repeat('.', n) else '.' end as search,
+            case when untold then '' when n is null then 'Unknown number of ' || why || ' ' || units else case when low then 'About ' else '' end || n || ' ' || why || ' ' || units end as tip from v""")
+def gap_forms(spark, d):
+    k = (F.row_number().over(Window.partitionBy("doc_id").orderBy("pre")) - 1).cast("bigint")
+    return trees.gap_forms(_editions(spark, d)).select("doc_id", k.alias("k"), "logical", "physical", "search", "tip")
+
+
+@query(rf"""with {_TURNS_SQL} select conv_id as doc_id, rule, count(*) as n from (
+            select conv_id, 'value excludes a range' as rule from turns where turn % 4 = 0 union all select conv_id, 'atMost needs atLeast' from turns where turn % 4 = 1
+            union all select conv_id, 'uncertain segments only in translations' from turns where turn % 5 = 0
+            union all select conv_id, 'a lemma alone needs a source' from turns where k % 2 = 1 and k % 4 <> 3) group by all""")
+def rule_report(spark, d):
+    found = rules.violations(_editions(spark, d), rules.inscription_rules())
+    return found.groupBy("doc_id", "rule").agg(F.count("*").alias("n"))
+
+
+@query(rf"""with {_TURNS_SQL}, l as (select conv_id, k, case k % 4 when 1 then 'sanskrit' when 2 then 'english' else 'source_other' end as language, k % 4 <> 2 as is_source from turns)
+          select conv_id as doc_id, 'l' as name, language, case when k % 4 = 2 then 'latin' else 'source_other' end as script, is_source, count(*) as n from l group by all
+          union all select conv_id, 'note', language, case when k % 4 = 2 then 'latin' else 'source_other' end, is_source, count(*) from l group by all
+          union all select conv_id, 'foreign', 'source_other', 'source_other', true, count(*) from l group by conv_id
+          union all select conv_id, 'lem', 'source_other', 'source_other', true, count(*) from l group by conv_id
+          union all select conv_id, 'note', 'eng', 'latin', false, count(*) from l where k % 4 = 3 group by conv_id
+          union all select conv_id, 'div', 'source_other', 'source_other', true, 2 from l group by conv_id union all select conv_id, 'div', 'eng', 'latin', false, 1 from l group by conv_id""")
+def edition_languages(spark, d):
+    languages = spark.createDataFrame([("san", "sanskrit", True), ("eng", "english", False)], "code string, language string, is_source boolean")
+    scripts = spark.createDataFrame([("x", "brahmi", True)], "code string, script string, script_is_source boolean")
+    editions = _editions(spark, d)
+    named = trees.assigned_languages(editions, languages, scripts).join(editions.select("doc_id", "pre", "name"), ["doc_id", "pre"]).where("name in ('l', 'note', 'foreign', 'lem', 'div')")
+    return named.groupBy("doc_id", "name", "language", "script", "is_source").agg(F.count("*").alias("n"))
+
+
 @query(r"""with t as (select page_id, replace(regexp_replace(replace(html, '="</p>"', '="' || chr(1) || '/p>"'), '<!--.*?-->|</?[a-zA-Z!][^>]*>', '', 'g'), chr(1), '<') as x from pages)
           select page_id, replace(replace(replace(replace(replace(replace(replace(replace(x, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', chr(160)), '&amp;', '&') as text from t""")
 def html_text(spark, d):

@@ -419,3 +419,33 @@ def test_passages_are_found_in_documents(spark):
         want += [(q.item_id, i, -c / 1e6, len(scored)) for c, i in scored[:50]]
     got = registry.queries()["parallels_search_documents"](spark, data).select("item_id", "doc_id", "coeff", "total").collect()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_trees_of_editions(spark):
+    from glyphmill.operators import rules, trees
+
+    xml = """<TEI><text><body><div n="1"><div><div n="3"><lg n="12"><l n="a">A b<note>no <lg><l n="a">inner</l></lg></note><space/>c</l><l n="b" enjamb="yes">'d' <gap/><del>x</del>[12 e]</l></lg>
+      <lg><l n="a">123</l></lg><lg n="2"><l n="b">z</l></lg></div></div></div><div type="apparatus"><listApp><app loc="1"><lem>  one
+      two </lem></app><app loc="1"><lem/></app><app loc="1"><lem>x</lem><rdg>y</rdg></app><app loc="2"><lem>z</lem><note>n</note></app><app loc="1"><lem>q</lem></app></listApp></div></body></text></TEI>"""
+    df = nodes.nodes(spark.createDataFrame([(1, xml), (2, "<lg><l n='a'>only</l></lg>"), (3, "<a>")], "id int, x string"), "id", "x").where("error is null")
+    lines = [(r.doc_id, r.number, r["at"], r.text) for r in trees.verse_lines(df).orderBy("doc_id", "verse", "at").collect()]
+    assert lines == [(1, "1.3.12", 0, "A b c"), (1, "1.3.12", 1, "-’d’"), (1, "1.3.?", 0, "inner"), (2, "?", 0, "only")]
+    assert [r.text for r in trees.apparatus(df).orderBy("paragraph").collect()] == ["⟨1⟩ one two — ⟨1⟩ x ◇ y.", "⟨2⟩ z • n", "⟨1⟩ q"]
+    assert [(r.n, r.text) for r in trees.numbered_notes(df).collect()] == [(1, "no inner")]
+    assert {r.rule for r in rules.letters_in_order(df).collect()} == set()
+    bad = """<TEI><div type="edition"><lg><l n="a"/><l n="a"/></lg><l/><num atLeast="1"/><date when="1" from="2"/><note>a<note>b</note></note><app/><seg rend="pun"/><fw/><pb/><fw/><lem><l/></lem></div><div type="translation"><p corresp="#x"/><seg rend="pun"/></div></TEI>"""
+    df = nodes.nodes(spark.createDataFrame([(1, bad)], "id int, x string"), "id", "x")
+    found = collections.Counter(r.rule for r in rules.violations(df, rules.inscription_rules()).collect())
+    assert found == {"a line is in a verse or stanza": 1, "atLeast needs atMost": 1, "when excludes other dates": 1, "notes cannot nest": 1, "app is in a listApp": 1, "puns only in translations": 1, "fw follows a page or another fw": 1, "a lemma has no single line": 1, "corresp only with a stanza in a translation": 1}
+    assert rules.letters_in_order(df).count() == 1
+    df = spark.createDataFrame([("INS_1.xml",), ("x",)], "n string")
+    assert [r[0] for r in df.select(rules.schema_of(F.col("n"), {"INS_": "inscription"})).collect()] == ["inscription", None]
+
+
+def test_holdings(spark):
+    from glyphmill.operators import holdings
+
+    assert [tuple(r[0]) for r in spark.createDataFrame([(0, 0), (9, 101), (2, 100), (1, 5)], "p int, t int").select(holdings.page_bounds(F.col("p"), F.col("t"), 50)).collect()] == [(1, 1, 0, 0), (3, 3, 101, 101), (2, 2, 51, 100), (1, 1, 1, 5)]
+    old, new = spark.createDataFrame([(1, "a", "b")], "k int, x string, y string"), spark.createDataFrame([(1, None), (2, "n")], "k int, x string")
+    assert sorted(map(tuple, holdings.update_columns(old, new, "k", "x").collect())) == [(1, None, "b"), (2, "n", None)]
+    assert sorted(map(tuple, holdings.insert_new(old, spark.createDataFrame([(1, "z", "z"), (3, "q", "r"), (3, "p", "r")], "k int, x string, y string"), "k").collect())) == [(1, "a", "b"), (3, "p", "r")]
