@@ -25,8 +25,13 @@ def read_jsonl(spark, path: str) -> DataFrame:
     return spark.read.text(path).select(F.from_json("value", RECORD).alias("r"), F.col("value").alias("json")).where("r.key is not null").select("r.key", "r.version", "r.data", "json")
 
 
-def sync(stored: DataFrame, modified: DataFrame, deleted: DataFrame) -> DataFrame:
-    """B1: the newest version of each key, without the deleted keys; all have (key, version, data)."""
+def sync(stored: DataFrame, modified: DataFrame, deleted: DataFrame, since: int = 1) -> DataFrame:
+    """B1: the newest version of each key, without the deleted keys; all have (key, version, data).
+
+    ``modified`` is what changed after version ``since``; from version 0 that is all, and what was stored goes.
+    """
+    if since <= 0:
+        stored = stored.limit(0)
     newest = latest(stored.unionByName(modified), "key", "version", "data")
     return newest.join(deleted.select("key"), "key", "left_anti")
 
@@ -161,15 +166,57 @@ def entry(data: Column) -> Column:
     return F.when(data["itemType"].isin(*ITEM_TYPES), F.concat(F.regexp_replace(body, r"\.\. ", ". "), F.lit(".")))
 
 
-#: Tags of titles and the classes that stand for them.
-RICH_TEXT = {"i": "italics", "b": "bold", "sub": "sub", "sup": "sup"}
+# Tags of titles and the classes that stand for them.
+RICH_TEXT = {"em": "italics", "i": "italics", "b": "bold", "sub": "sub", "sup": "sup"}
 
 
 def rich_text(c: Column) -> Column:
-    """The tags that titles may have as spans; all other tags go, their contents stay."""
+    """The tags that titles may have as spans and links, spans with their two classes; all other tags go, their contents stay; single spaces."""
+    uncased, capitals = r"""(?=[^>]*\bclass\s*=\s*["']nocase["'])""", r"""(?=[^>]*\bstyle\s*=\s*["']\s*font-variant\s*:\s*small-caps\s*;?\s*["'])"""
+    for looks, made in ((uncased + capitals, ' class="nocase smallcaps"'), (capitals, ' class="smallcaps"'), (uncased, ' class="nocase"'), (r'(?! class="(?:nocase smallcaps|smallcaps|nocase)">)', "")):
+        c = F.regexp_replace(c, rf"(?i)<span\b{looks}[^>]*>", f"<span{made}>")
     for tag, name in RICH_TEXT.items():
         c = F.regexp_replace(F.regexp_replace(c, f"(?i)<{tag}>", f'<span class="{name}">'), f"(?i)</{tag}>", "</span>")
-    return F.regexp_replace(c, r"(?i)<(?!/?span\b)[^>]*>", "")
+    c = F.regexp_replace(F.regexp_replace(c, r"(?i)<a\b([^>]*)>", "<link$1>"), r"(?i)</a>", "</link>")
+    return F.trim(F.regexp_replace(F.regexp_replace(c, r"(?i)<(?!/?(?:span|link)\b)[^>]*>", ""), r"\s+", " "))
+
+
+# Units of cited ranges, with what stands for one and for several, and the words for several.
+CITED_UNITS = {
+    "volume": ("vol.", "vols.", "volumes"), "appendix": ("appendix", "appendices", "appendices"), "book": ("book", "books", "books"), "section": ("§", "§§", "sections"), "page": ("p.", "pp.", "pages"),
+    "item": ("№", "№", "items"), "figure": ("fig.", "figs.", "figures"), "plate": ("plate", "plates", "plates"), "table": ("table", "tables", "tables"), "note": ("n.", "nn.", "notes"),
+    "part": ("part", "parts", "parts"), "entry": ("s.v.", "s.vv.", "entries"), "line": ("l.", "ll.", "lines"),
+}
+
+
+def _ranges(location: Column, words: bool) -> Column:
+    def shown(x: Column) -> Column:
+        value = F.when(x["unit"] == "page", F.replace(x["value"], F.lit("-"), F.lit("–"))).otherwise(x["value"])
+        unit = F.lit(None).cast("string")
+        for name, (one, several, spelled) in CITED_UNITS.items():
+            unit = F.when(x["unit"] == name, F.when(is_page_range(value), spelled if words else several).otherwise(name if words else one)).otherwise(unit)
+        return F.concat_ws(" " if words else "\u00a0", unit, value)  # mixed ones have no unit
+
+    return F.array_join(F.transform(location, shown), ", ")
+
+
+def cited(data: Column, form: str = "default", location: Column | None = None, siglum: Column | None = None) -> Column:
+    """A reference with the ranges cited: shorthand or name and date, only shorthand or date (``omitname``), ``ibid.``, or the siglum (``siglum``; as default if it is null)."""
+    shorthand = F.try_element_at(extra_fields(data["extra"]), F.lit("shorthand"))
+    whole = F.coalesce(shorthand, reference(data))
+    head = {"default": whole, "omitname": F.coalesce(shorthand, reference(data, "omitname")), "ibid": reference(data, "ibid"), "siglum": F.coalesce(siglum if siglum is not None else F.lit(None).cast("string"), whole)}[form]
+    return head if location is None else F.concat(head, F.when(F.size(location) > 0, F.concat(F.lit(", "), _ranges(location, False))).otherwise(""))
+
+
+def listed_entry(data: Column, location: Column | None = None, siglum: Column | None = None) -> Column:
+    """An entry with its siglum before it and the ranges cited, in words, after it."""
+    out = entry(data)
+    if siglum is not None:
+        out = F.concat(F.when(siglum.isNotNull(), F.concat(F.lit("<b>["), siglum, F.lit("]</b> "))).otherwise(""), out)
+    if location is None:
+        return out
+    ranges = _ranges(location, True)
+    return F.concat(out, F.when(F.size(location) > 0, F.concat(F.lit(" "), F.upper(F.substring(ranges, 1, 1)), F.substr(ranges, F.lit(2)), F.lit("."))).otherwise(""))
 
 
 def reference(data: Column, form: str = "default") -> Column:

@@ -22,14 +22,16 @@ def closure(df: DataFrame, node: str = "rid", parent: str = "parent", guard: int
 
     Recursive SQL; ``guard`` bounds its depth, so a cycle ends the query with an error.
     """
-    spark = df.sparkSession
-    df.select(F.col(node).alias("rid"), F.col(parent).alias("parent")).createOrReplaceTempView("closure_nodes")
-    return spark.sql(f"""
+    named = df.select(F.col(node).alias("rid"), F.col(parent).alias("parent"))
+    return df.sparkSession.sql(
+        f"""
         with recursive up(rid, root, depth) max recursion level {guard} as (
-          select rid, rid, 0 from closure_nodes
+          select rid, rid, 0 from {{nodes}}
           union all
-          select up.rid, n.parent, up.depth + 1 from up join closure_nodes n on up.root = n.rid)
-        select rid, root, depth from up""")
+          select up.rid, n.parent, up.depth + 1 from up join {{nodes}} n on up.root = n.rid)
+        select rid, root, depth from up""",
+        nodes=named,
+    )
 
 
 def below(df: DataFrame, closed: DataFrame, root: Column | int, node: str = "rid") -> DataFrame:
@@ -61,6 +63,16 @@ def positions(df: DataFrame, bucket: Column, order: list[str], name: str = "pos"
     return keyed.withColumn("_rank", rank).join(bases, "_bucket").withColumn(name, F.col("_base") + F.col("_rank") - 1).drop("_bucket", "_rank", "_base")
 
 
+def range_bucket(df: DataFrame, column: str, rows: int = 1_000_000) -> Column:
+    """A bucket for ``positions``: numbers in the order of a numeric column, about ``rows`` rows each; equal values share one."""
+    parts = -(-df.count() // rows)
+    if parts <= 1:
+        return F.lit(0)
+    steps = F.array(*[F.lit(k / parts) for k in range(1, parts)])
+    bounds = df.agg(F.percentile_approx(column, steps, 10 * parts)).first()[0] or []  # a value for each bucket
+    return F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col(column)))
+
+
 def page(df: DataFrame, order: list, number: int, size: int) -> DataFrame:
     """L1, L2: a page of rows in a total order, each with the number of all rows as ``total``."""
     total = df.agg(F.count("*").alias("total"))  # one row
@@ -112,6 +124,24 @@ def violations(rules: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def type_rules(df: DataFrame, **checks: str) -> dict[str, DataFrame]:
+    """Rows that break the checks of a table with loosely typed columns (strings), by ``column check``.
+
+    Checks: ``integer``, ``boolean`` (0 or 1), ``json``, ``json array`` or
+    ``json object``, ``length N``, ``length M N``, ``one of a b c``.  Nulls break none.
+    """
+    out = {}
+    for column, check in checks.items():
+        c, (kind, *args) = F.col(column).cast("string"), check.split()
+        variant = F.expr(f"try_parse_json(cast(`{column}` as string))")
+        fit = {
+            "integer": lambda: c.rlike(r"\A[+-]?[0-9]+\z"), "boolean": lambda: c.isin("0", "1"), "json": lambda: F.schema_of_variant(variant).like({"array": "ARRAY<%", "object": "OBJECT<%"}.get(args[0] if args else "", "%")),
+            "length": lambda: F.length(c).between(int(args[0]), int(args[-1])), "one": lambda: c.isin(*args[1:]),
+        }[kind]()
+        out[f"{column} {check}"] = df.where(c.isNotNull() & ~F.coalesce(fit, F.lit(False)))
+    return out
+
+
 def duplicates(df: DataFrame, *keys: str) -> DataFrame:
     """Keys that several rows have, with their number."""
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")

@@ -356,7 +356,8 @@ def jsonl_backup(spark, d):
 
 @query("""select o_orderkey as key, (row_number() over (order by o_orderkey) - 1)::bigint as pos, ((row_number() over (order by o_orderkey) - 1) // 100 + 1)::bigint as page from orders""")
 def row_number_page(spark, d):
-    placed = relational.positions(table(spark, d, "orders").select(F.col("o_orderkey").alias("key")), F.expr("key div 8192"), ["key"])
+    keys = table(spark, d, "orders").select(F.col("o_orderkey").alias("key"))
+    placed = relational.positions(keys, relational.range_bucket(keys, "key", 100_000), ["key"])
     return placed.select("key", "pos", F.expr("pos div 100 + 1").alias("page"))
 
 
@@ -686,6 +687,15 @@ def constraints_report(spark, d):
     })
 
 
+@query(r"""select 'props json object' as rule, count(*) as violations from events where try_cast(props as json) is null or json_type(props) <> 'OBJECT'
+          union all select 'event_type one of click view', count(*) from events where event_type not in ('click', 'view')
+          union all select 'user_id length 1 2', count(*) from events where length(user_id::varchar) not between 1 and 2
+          union all select 'value integer', count(*) from events where not regexp_full_match(value::varchar, '[+-]?[0-9]+')""")
+def type_checks(spark, d):
+    checks = {"props": "json object", "event_type": "one of click view", "user_id": "length 1 2", "value": "integer"}
+    return relational.violations(relational.type_rules(table(spark, d, "events"), **checks))
+
+
 @query("select page_id, try_cast(nullif(regexp_extract(url, '[?&]page=(\\d+)', 1), '') as int) as page from pages")
 def url_page(spark, d):
     from glyphmill.functions import web
@@ -717,6 +727,23 @@ def bib_reference(spark, d):
     return records.select("key", biblio.reference(F.col("data")).alias("reference"))
 
 
+_RANGES_SQL = "case event_id % 3 when 0 then ', p.' || chr(160) || (event_id % 50) when 1 then ', pp.' || chr(160) || (event_id % 50) || '–' || (event_id % 50 + 7) || ', n.' || chr(160) || '3' else '' end"
+
+
+@query(f"""with {_BIB_SQL}, e as (select event_id, user_id from events where event_type in ('purchase', 'click'))
+          select event_id::varchar as key, case when event_id % 11 = 0 then 'S' || event_id else 'N' || (user_id % 10) || ' ' || case when user_id % 5 = 0 then 'n.d.' else user_id::varchar end end || {_RANGES_SQL} as reference,
+            case when event_id % 11 = 0 then 'S' || event_id when user_id % 5 = 0 then 'n.d.' else user_id::varchar end || {_RANGES_SQL} as omitname, 'ibid.' || {_RANGES_SQL} as ibid,
+            coalesce(case when event_id % 4 = 0 then 'A' end, case when event_id % 11 = 0 then 'S' || event_id else 'N' || (user_id % 10) || ' ' || case when user_id % 5 = 0 then 'n.d.' else user_id::varchar end end) || {_RANGES_SQL} as siglum from e""")
+def bib_cited_ranges(spark, d):
+    from glyphmill.operators import biblio
+
+    ranges = """case version % 3 when 0 then array(named_struct('unit', 'page', 'value', cast(version % 50 as string)))
+      when 1 then array(named_struct('unit', 'page', 'value', concat(version % 50, '-', version % 50 + 7)), named_struct('unit', 'note', 'value', '3')) else cast(array() as array<struct<unit:string,value:string>>) end"""
+    records = _records(spark, d).where(F.col("data.itemType").isin("book", "journalArticle")).withColumn("at", F.expr(ranges))
+    of = lambda form, siglum=None: biblio.cited(F.col("data"), form, F.col("at"), siglum).alias(form)
+    return records.select("key", of("default").alias("reference"), of("omitname"), of("ibid"), of("siglum", F.when(F.col("version") % 4 == 0, "A")))
+
+
 @query("""select short_title as title, n from (select 'k' || json_extract_string(props, '$.k') as short_title, count(*) as n from events where event_id % 7 <> 0 group by 1) where n > 1""")
 def bib_duplicates(spark, d):
     from glyphmill.operators import biblio

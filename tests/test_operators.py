@@ -200,12 +200,18 @@ def test_bibliography(spark):
     entries = {r[0]: r[1] for r in df.select("key", biblio.entry(F.col("data"))).collect()}
     assert entries["k1"] == "Zed, F 1990. <i>t</i>. vol. 4. 2nd edition. pp. 1-2. DOI: 10.1/x." and entries["k3"] is None and entries["k6"].startswith("Y, F and F W n.d.")
     assert {r.key for r in biblio.sync(df, df.limit(0), df.where("key = 'k1'")).collect()} == {"k2", "k3", "k4", "k5", "k6"}
+    assert {r.key for r in biblio.sync(df, df.where("key = 'k3'"), df.limit(0), since=0).collect()} == {"k3"}
+    at = F.array(F.struct(F.lit("page").alias("unit"), F.lit("3-5").alias("value")), F.struct(F.lit("mixed").alias("unit"), F.lit("verse 2").alias("value")), F.struct(F.lit("entry").alias("unit"), F.lit("x").alias("value")))
+    k2 = df.where("key = 'k2'").select(biblio.cited(F.col("data"), "siglum", at, F.lit("B")), biblio.cited(F.col("data"), "default"), biblio.listed_entry(F.col("data"), at, F.lit("B"))).first()
+    assert k2[0] == "B, pp.\u00a03–5, verse 2, s.v.\u00a0x" and k2[1] == "SH" and k2[2].startswith("<b>[B]</b> Abe, F 1990.") and k2[2].endswith(". Pages 3–5, verse 2, entry x.")
 
 
 def test_rich_text(spark):
     from glyphmill.operators.biblio import ordinal_edition, rich_text
 
     assert column(spark, ["a <i>b</i> <u>c</u> <B>d</B>"], rich_text) == ['a <span class="italics">b</span> c <span class="bold">d</span>']
+    spans = ['<span style="font-variant: small-caps;">A</span>  <em>b</em>', "<span class='nocase' style='font-variant:small-caps'>x</span>", '<span class="nocase">y</span>', '<span id="q">z</span><a href="u">v</a> ']
+    assert column(spark, spans, rich_text) == ['<span class="smallcaps">A</span> <span class="italics">b</span>', '<span class="nocase smallcaps">x</span>', '<span class="nocase">y</span>', '<span>z</span><link href="u">v</link>']
     assert column(spark, ["1", "12", "23", "revised", ""], ordinal_edition) == ["1st edition", "12th edition", "23rd edition", "revised", None]
 
 
