@@ -15,7 +15,7 @@ from glyphmill.operators.relational import latest
 ITEM_TYPES = ("book", "journalArticle", "conferencePaper", "report", "bookSection", "thesis", "webpage", "document", "newspaperArticle", "dataset", "blogPost")
 SORTED_CREATORS = ("author", "editor", "translator", "contributor")
 
-MORE_FIELDS = ("publicationTitle", "journalAbbreviation", "bookTitle", "proceedingsTitle", "websiteTitle", "blogTitle", "volume", "issue", "edition", "series", "seriesNumber", "place", "publisher", "institution", "university", "thesisType", "reportType", "repository")
+MORE_FIELDS = ("publicationTitle", "journalAbbreviation", "bookTitle", "proceedingsTitle", "websiteTitle", "blogTitle", "volume", "issue", "edition", "series", "seriesNumber", "place", "publisher", "institution", "university", "thesisType", "reportType", "repository", "numberOfVolumes")
 
 RECORD = "struct<key:string,version:bigint,data:struct<itemType:string,shortTitle:string,title:string,date:string,extra:string,pages:string,DOI:string,url:string,deleted:int,creators:array<struct<creatorType:string,firstName:string,lastName:string,name:string>>,tags:array<struct<tag:string>>," + ",".join(f"{n}:string" for n in MORE_FIELDS) + ">>"
 
@@ -57,16 +57,17 @@ def creators_reference(creators: Column) -> Column:
 
 
 def extra_fields(extra: Column) -> Column:
-    """``key: value`` lines as a map with keys in lower case; the last of equal keys counts."""
-    lines = F.filter(F.split(F.coalesce(extra, F.lit("")), r"\r?\n"), lambda x: x.contains(":"))
-    pairs = F.transform(lines, lambda x: F.struct(F.lower(F.trim(F.split(x, ":", 2)[0])).alias("k"), F.trim(F.split(x, ":", 2)[1]).alias("v")))
+    """``key: value`` or ``key = value`` lines as a map, keys in lower case without spaces; the last of equal keys counts."""
+    lines = F.filter(F.split(F.coalesce(extra, F.lit("")), r"\r?\n"), lambda x: x.rlike("[:=]"))
+    clean = lambda x, k: F.trim(F.regexp_replace(F.split(x, "[:=]", 2)[k], r"\s+", " "))
+    pairs = F.transform(lines, lambda x: F.struct(F.lower(F.replace(clean(x, 0), F.lit(" "), F.lit(""))).alias("k"), clean(x, 1).alias("v")))
     last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
     return F.map_from_entries(last)
 
 
 def clean_blank(c: Column) -> Column:
     """``n.d.`` and ``n.pub.`` are no values; long dashes become hyphens."""
-    return F.when(F.lower(F.trim(c)).isin("n.d.", "n.pub.", "nd", ""), None).otherwise(F.replace(c, F.lit("–"), F.lit("-")))
+    return F.when(c.rlike(r"(?i)\A\s*(?:n\.?\s*(?:d|pub)\.?)?\s*\z"), None).otherwise(F.replace(c, F.lit("–"), F.lit("-")))
 
 
 def clean_doi(c: Column) -> Column:
@@ -76,7 +77,7 @@ def clean_doi(c: Column) -> Column:
 
 def is_page_range(c: Column) -> Column:
     """whether pages are several."""
-    return c.rlike(r"\d\s*[-–,]\s*\d")
+    return c.rlike("[-–—,]")
 
 
 def sort_key(key: Column, data: Column) -> Column:
@@ -105,22 +106,35 @@ def by_creator(records: DataFrame) -> DataFrame:
     return records.select(F.explode("data.creators").alias("c"), "key").select(name_first_last(F.col("c")).alias("creator"), F.col("c.creatorType").alias("kind"), "key")
 
 
+# ---- entries
+
+#: Fixed value: who has no name.
+ANONYMOUS = "No name"
+
+
 def _given(c: Column) -> Column:
     return F.nullif(F.trim(c), F.lit(""))
 
 
-def _around(left: str, c: Column, right: str = "") -> Column:
-    """Null if there is nothing to stand between."""
-    return F.concat(F.lit(left), _given(c), F.lit(right))
+def _stopped(text: Column, shown: Column | None = None) -> Column:
+    """A sentence: a full stop follows, unless the text has a stop with no letter or digit after it; null stays null."""
+    shown = text if shown is None else shown
+    return F.when(text.rlike(r"[.?!][^\p{L}\p{Nd}.?!]*\z"), shown).otherwise(F.concat(shown, F.lit(".")))
+
+
+def _full_name(c: Column, last_first: bool) -> Column:
+    """with what is missing of first and last name anonymous; one name if there is only that."""
+    first, last = _given(c["firstName"]), _given(c["lastName"])
+    both = F.concat_ws(", ", F.coalesce(last, F.lit(ANONYMOUS)), first) if last_first else F.concat_ws(" ", first, F.coalesce(last, F.lit(ANONYMOUS)))
+    return F.when(first.isNotNull(), both).otherwise(F.coalesce(last, _given(c["name"]), F.lit(ANONYMOUS)))
 
 
-def names_of(data: Column, kind: str) -> Column:
-    """Creators of a kind, the first by last name; null if there are none."""
-    own = F.filter(data["creators"], lambda c: c["creatorType"] == kind)
-    shown = F.transform(own, lambda c, i: F.when(i == 0, name_last_first(c)).otherwise(name_first_last(c)))
-    last = F.element_at(shown, -1)
-    listed = F.when(F.size(shown) == 1, F.get(shown, 0)).otherwise(F.concat(F.array_join(F.slice(shown, 1, F.size(shown) - 1), ", "), F.lit(" and "), last))
-    return F.when(F.size(shown) > 0, listed)
+def _people(data: Column, kinds: tuple[str, ...], last_first: bool) -> Column:
+    """Creators of some kinds in their order, ``and`` before the last of several; null if there are none."""
+    own = F.filter(data["creators"], lambda c: c["creatorType"].isin(*kinds))
+    shown = F.transform(own, lambda c, i: F.when((i == 0) & F.lit(last_first), _full_name(c, True)).otherwise(_full_name(c, False)))
+    several = F.concat(F.array_join(F.slice(shown, F.lit(1), F.size(shown) - 1), ", "), F.lit(" and "), F.element_at(shown, -1))
+    return F.when(F.size(own) == 1, F.get(shown, F.lit(0))).when(F.size(own) > 1, several)
 
 
 def ordinal_edition(c: Column) -> Column:
@@ -130,40 +144,67 @@ def ordinal_edition(c: Column) -> Column:
     return F.when(n != "", F.concat(n, suffix, F.lit(" edition"))).otherwise(_given(c))
 
 
-#: What an entry has between its title and its place, by kind of item: fields with what stands around them.
-INSIDE = {
-    "journalArticle": (("<i>", "publicationTitle", "</i>"), ("", "volume", ""), ("(", "issue", ")")),
-    "newspaperArticle": (("<i>", "publicationTitle", "</i>"), ("", "edition", "")),
-    "bookSection": (("In: <i>", "bookTitle", "</i>"), ("vol. ", "volume", ""), ("", "series", ""), ("", "seriesNumber", "")),
-    "conferencePaper": (("In: <i>", "proceedingsTitle", "</i>"), ("vol. ", "volume", ""), ("", "series", "")),
-    "book": (("vol. ", "volume", ""), ("", "series", ""), ("", "seriesNumber", "")),
-    "thesis": (("", "thesisType", ""), ("", "university", "")),
-    "report": (("", "reportType", ""), ("", "institution", "")),
-    "webpage": (("<i>", "websiteTitle", "</i>"),),
-    "blogPost": (("<i>", "blogTitle", "</i>"),),
-    "dataset": (("", "repository", ""),),
-    "document": (),
-}
-#: Kinds whose own title is that of a whole work.
-WHOLE = ("book", "thesis", "report", "document", "dataset")
+def _italic(c: Column) -> Column:
+    return F.concat(F.lit("<i>"), c, F.lit("</i>"))
+
+
+def shorthand(data: Column) -> Column:
+    return _given(F.try_element_at(extra_fields(data["extra"]), F.lit("shorthand")))
 
 
 def entry(data: Column) -> Column:
-    """An entry as markup: who, when, what, in what, where, pages, identifiers; null for kinds without one."""
-    who = F.coalesce(names_of(data, "author"), F.concat(names_of(data, "editor"), F.lit(" (ed.)")))
-    when = F.coalesce(clean_blank(data["date"]), F.lit("n.d."))
-    title = F.when(data["itemType"].isin(*WHOLE), _around("<i>", data["title"], "</i>")).otherwise(_around("“", data["title"], "”"))
-    inside = F.lit(None).cast("string")
-    for kind, fields in INSIDE.items():
-        parts = [_around(a, data[f], b) if f != "edition" else ordinal_edition(data[f]) for a, f, b in fields]
-        inside = F.when(data["itemType"] == kind, F.nullif(F.concat_ws(" ", *parts), F.lit("")) if parts else F.lit(None)).otherwise(inside)
-    editors = F.when(names_of(data, "author").isNotNull(), F.concat(F.lit("Edited by "), names_of(data, "editor")))
-    edition = F.when(data["itemType"] == "book", ordinal_edition(data["edition"]))
-    where = F.nullif(F.concat_ws(": ", _given(data["place"]), _given(data["publisher"])), F.lit(""))
-    pages = F.when(is_page_range(data["pages"]), _around("pp. ", data["pages"])).otherwise(_around("p. ", data["pages"]))
-    ids = F.coalesce(F.concat(F.lit("DOI: "), clean_doi(data["DOI"])), _around("URL: ", data["url"]))
-    body = F.concat_ws(". ", F.concat_ws(" ", who, when), title, inside, editors, edition, where, pages, ids)
-    return F.when(data["itemType"].isin(*ITEM_TYPES), F.concat(F.regexp_replace(body, r"\.\. ", ". "), F.lit(".")))
+    """An entry as markup, with the parts that its kind has (ENTRY_PARTS); null for kinds without one."""
+    short, when = shorthand(data), clean_blank(data["date"])
+    original = F.try_element_at(extra_fields(data["extra"]), F.lit("originaldate"))
+    dated = F.concat(F.coalesce(F.concat(F.lit("["), F.translate(original, "-", "–"), F.lit("] ")), F.lit("")), F.coalesce(F.translate(when, "-", "–"), F.lit("N.d.")))
+    known_date = F.when(short.isNotNull() & when.isNotNull(), dated)  # with a shorthand in front, the date comes later
+    front = lambda *kinds: F.when(short.isNotNull(), _stopped(short)).otherwise(F.concat_ws(" ", _stopped(F.coalesce(_people(data, kinds, True), F.lit(ANONYMOUS))), _stopped(dated)))
+    by = lambda word, *kinds: _stopped(F.concat(F.lit(f"{word} "), _people(data, kinds, False)))
+    late = lambda c: F.when(short.isNotNull(), c)
+    field = lambda n: _given(data[n])
+    title = field("title")
+    numbers = F.translate(clean_blank(data["pages"]), "-", "–")
+    pages = F.concat(F.when(is_page_range(data["pages"]), ", pp. ").otherwise(", p. "), numbers)
+    quoted = F.concat(F.lit("“"), _stopped(title), F.lit("”"))
+    journal = F.coalesce(field("journalAbbreviation"), field("publicationTitle"))
+    issue = F.concat_ws(" ", _italic(journal), field("volume"), F.concat(F.lit("("), field("issue"), F.lit(")")), F.concat(F.lit("("), known_date, F.lit(")")))
+    place = F.concat(F.coalesce(field("place"), F.lit("No place")), F.coalesce(F.concat(F.lit(": "), clean_blank(_given(data["publisher"]))), F.lit("")), F.coalesce(F.concat(F.lit(", "), known_date), F.lit("")), F.coalesce(pages, F.lit("")))
+    doi = F.nullif(F.regexp_extract(F.coalesce(data["DOI"], F.lit("")), r"(?:^|/|:\s*)(10\..*?)/*\s*$", 1), F.lit(""))
+    urls = F.filter(F.transform(F.split(F.coalesce(data["url"], F.lit("")), r"\s+"), lambda u: F.regexp_replace(u, ";+$", "")), lambda u: u != "")
+    links = F.array_join(F.transform(urls, lambda u: F.concat(F.lit('<link href="'), u, F.lit('">[URL]</link>'))), " ")
+    parts = {
+        "front": front("author", "editor", "bookAuthor"), "front without editors": front("author"),
+        "quoted": F.coalesce(quoted, F.lit("Untitled.")), "quoted if given": quoted, "italics": F.coalesce(_stopped(title, _italic(title)), F.lit("Untitled.")),
+        "authors": late(by("By", "author")), "all authors": late(F.concat_ws(" ", by("By", "author", "bookAuthor"), by("Edited by", "editor"))), "editors": F.nullif(F.concat_ws(" ", by("By", "bookAuthor"), by("Edited by", "editor")), F.lit("")),
+        "journal": F.when(journal.isNotNull(), _stopped(F.concat(issue, F.coalesce(pages, F.lit(""))))), "proceedings": F.concat(F.lit("In: "), _stopped(field("proceedingsTitle"), _italic(field("proceedingsTitle")))),
+        "in book": F.concat_ws(" ", F.concat(F.lit("In: "), _stopped(field("bookTitle"), _italic(field("bookTitle")))), F.when(field("bookTitle").isNotNull(), _stopped(ordinal_edition(data["edition"])))),
+        "newspaper": F.coalesce(_stopped(field("publicationTitle"), _italic(field("publicationTitle"))), F.lit("Untitled.")), "edition": _stopped(ordinal_edition(data["edition"])),
+        "volume and series": F.concat_ws(" ", _stopped(F.concat(F.lit("Vol. "), field("volume"))), F.when(field("series").isNotNull(), _stopped(F.concat_ws(" ", field("series"), field("seriesNumber")))), F.concat(field("numberOfVolumes"), F.lit(" vols."))),
+        "thesis": _stopped(F.concat_ws(", ", F.coalesce(field("thesisType"), F.lit("Thesis")), field("university"))), "place": _stopped(place), "date": _stopped(known_date),
+        "website": _stopped(field("websiteTitle")), "blog": F.concat(_italic(field("blogTitle")), F.lit(" (blog).")), "repository": _stopped(field("repository")),
+        "idents": F.concat_ws(" ", F.concat(F.lit("DOI: "), F.concat(F.lit('<link href="https://doi.org/'), doi, F.lit('">'), doi, F.lit("</link>."))), F.when(F.size(urls) > 0, F.concat(links, F.lit(".")))),
+    }
+    out = F.lit(None).cast("string")
+    for kind, names in ENTRY_PARTS.items():
+        whole = F.concat_ws(" ", *[F.nullif(parts[n], F.lit("")) for n in names])
+        out = F.when(data["itemType"] == kind, whole).otherwise(out)
+    return out
+
+
+#: The parts of an entry by kind of item, in order.
+ENTRY_PARTS = {
+    "book": ("front", "italics", "all authors", "edition", "volume and series", "place", "idents"),
+    "journalArticle": ("front", "quoted", "authors", "journal", "idents"),
+    "conferencePaper": ("front without editors", "quoted", "authors", "proceedings", "editors", "volume and series", "place", "idents"),
+    "report": ("front", "quoted", "authors", "place", "idents"),
+    "bookSection": ("front without editors", "quoted", "authors", "in book", "editors", "volume and series", "place", "idents"),
+    "thesis": ("front", "quoted", "authors", "thesis", "place", "idents"),
+    "webpage": ("front", "quoted if given", "authors", "date", "website", "idents"),
+    "document": ("front", "quoted if given", "authors", "date", "idents"),
+    "newspaperArticle": ("front", "quoted", "authors", "newspaper", "edition", "place", "idents"),
+    "dataset": ("front", "quoted", "authors", "repository", "date", "idents"),
+    "blogPost": ("front", "quoted", "authors", "date", "blog", "idents"),
+}
 
 
 # Tags of titles and the classes that stand for them.
@@ -202,9 +243,9 @@ def _ranges(location: Column, words: bool) -> Column:
 
 def cited(data: Column, form: str = "default", location: Column | None = None, siglum: Column | None = None) -> Column:
     """A reference with the ranges cited: shorthand or name and date, only shorthand or date (``omitname``), ``ibid.``, or the siglum (``siglum``; as default if it is null)."""
-    shorthand = F.try_element_at(extra_fields(data["extra"]), F.lit("shorthand"))
-    whole = F.coalesce(shorthand, reference(data))
-    head = {"default": whole, "omitname": F.coalesce(shorthand, reference(data, "omitname")), "ibid": reference(data, "ibid"), "siglum": F.coalesce(siglum if siglum is not None else F.lit(None).cast("string"), whole)}[form]
+    short = shorthand(data)
+    whole = F.coalesce(short, reference(data))
+    head = {"default": whole, "omitname": F.coalesce(short, reference(data, "omitname")), "ibid": reference(data, "ibid"), "siglum": F.coalesce(siglum if siglum is not None else F.lit(None).cast("string"), whole)}[form]
     return head if location is None else F.concat(head, F.when(F.size(location) > 0, F.concat(F.lit(", "), _ranges(location, False))).otherwise(""))
 
 

@@ -191,19 +191,40 @@ def test_quality(spark):
 def test_bibliography(spark):
     kind = f"key string, version long, data {biblio.RECORD.split('data:')[1][:-1]}"
     creator = lambda last, kind="author": (kind, "F", last, "")
-    data = lambda kind, title, extra="", date="1990", deleted=0, people=(): (kind, title, "t", date, extra, "1-2", "https://doi.org/10.1/x", "", deleted, list(people), [("t1",)], "J", "", "B", *[None] * 3, "4", "2", "2", *[None] * 9)
+    data = lambda kind, title, extra="", date="1990", deleted=0, people=(): (kind, title, "t", date, extra, "1-2", "https://doi.org/10.1/x", "", deleted, list(people), [("t1",)], "J", "", "B", *[None] * 3, "4", "2", "2", *[None] * 10)
     rows = [("k1", 1, data("book", "A", people=[creator("Zed")])), ("k2", 2, data("book", "A", "Shorthand: SH", people=[creator("Abe")])), ("k3", 3, data("podcast", "B")), ("k4", 4, data("book", " ")), ("k5", 5, data("book", "C", deleted=1)), ("k6", 6, data("thesis", "D", date="n.d.", people=[creator("X", "editor"), creator("Y"), creator("W")]))]
     df = spark.createDataFrame(rows, kind)
     assert {(r.short_title, r.key, r.sort_key) for r in biblio.admitted(df).collect()} == {("A", "k2", "SH k2"), ("D", "k6", "X, F k6")}
     got = {r.key: r for r in df.select("key", biblio.reference(F.col("data")).alias("r"), biblio.clean_doi(F.col("data.DOI")).alias("doi"), biblio.is_page_range(F.col("data.pages")).alias("pp")).collect()}
     assert got["k1"].r == "Zed 1990" and got["k6"].r == "X et al. n.d." and got["k1"].doi == "10.1/x" and got["k1"].pp
     entries = {r[0]: r[1] for r in df.select("key", biblio.entry(F.col("data"))).collect()}
-    assert entries["k1"] == "Zed, F 1990. <i>t</i>. vol. 4. 2nd edition. pp. 1-2. DOI: 10.1/x." and entries["k3"] is None and entries["k6"].startswith("Y, F and F W n.d.")
+    end = 'No place, pp.\u00a01–2. DOI: <link href="https://doi.org/10.1/x">10.1/x</link>.'
+    assert entries["k1"] == f"Zed, F. 1990. <i>t</i>. 2nd edition. Vol.\u00a04. {end}" and entries["k3"] is None and entries["k6"] == f"X, F, F Y and F W. N.d. “t.” Thesis. {end}"
+    assert entries["k2"] == "SH. <i>t</i>. By F Abe. 2nd edition. Vol.\u00a04. " + end.replace("place,", "place, 1990,")
     assert {r.key for r in biblio.sync(df, df.limit(0), df.where("key = 'k1'")).collect()} == {"k2", "k3", "k4", "k5", "k6"}
     assert {r.key for r in biblio.sync(df, df.where("key = 'k3'"), df.limit(0), since=0).collect()} == {"k3"}
     at = F.array(F.struct(F.lit("page").alias("unit"), F.lit("3-5").alias("value")), F.struct(F.lit("mixed").alias("unit"), F.lit("verse 2").alias("value")), F.struct(F.lit("entry").alias("unit"), F.lit("x").alias("value")))
     k2 = df.where("key = 'k2'").select(biblio.cited(F.col("data"), "siglum", at, F.lit("B")), biblio.cited(F.col("data"), "default"), biblio.listed_entry(F.col("data"), at, F.lit("B"))).first()
-    assert k2[0] == "B, pp.\u00a03–5, verse 2, s.v.\u00a0x" and k2[1] == "SH" and k2[2].startswith("<b>[B]</b> Abe, F 1990.") and k2[2].endswith(". Pages 3–5, verse 2, entry x.")
+    assert k2[0] == "B, pp.\u00a03–5, verse 2, s.v.\u00a0x" and k2[1] == "SH" and k2[2].startswith("<b>[B]</b> SH. <i>t</i>.") and k2[2].endswith(". Pages 3–5, verse 2, entry x.")
+
+
+def test_entries_of_all_kinds(spark):
+    names = biblio.RECORD.split("data:struct<")[1]
+    fields = [f.name for f in spark.createDataFrame([], f"d struct<{names[:-1]}").schema["d"].dataType]
+    people = [("author", "Ann", "Ash", ""), ("editor", "Ed", "Elm", ""), ("bookAuthor", "", "", "Team"), ("author", "Bo", "", "")]
+    common = {"title": "On what?", "shortTitle": "s", "date": "1990-91", "pages": "5", "creators": people, "url": "http://a; http://b", "publisher": "n.pub", "place": "Rome", "series": "Ser", "seriesNumber": "3", "volume": "7", "issue": "2", "publicationTitle": "Paper", "journalAbbreviation": "J.", "bookTitle": "Book!", "proceedingsTitle": "Proc", "websiteTitle": "Site", "blogTitle": "Blog", "university": "U", "repository": "Repo", "numberOfVolumes": "2", "edition": "revised"}
+    front, short, urls = "Ash, Ann, Ed Elm, Team and Bo No name. 1990–91.", "Ash, Ann and Bo No name. 1990–91.", '<link href="http://a">[URL]</link> <link href="http://b">[URL]</link>.'
+    place, series, title = "Rome, p.\u00a05.", "Vol.\u00a07. Ser 3. 2 vols.", "“On what?”"
+    want = {
+        "book": f"{front} <i>On what?</i> revised. {series} {place} {urls}", "journalArticle": f"{front} {title} <i>J.</i> 7 (2), p.\u00a05. {urls}", "conferencePaper": f"{short} {title} In: <i>Proc</i>. By Team. Edited by Ed Elm. {series} {place} {urls}",
+        "report": f"{front} {title} {place} {urls}", "bookSection": f"{short} {title} In: <i>Book!</i> revised. By Team. Edited by Ed Elm. {series} {place} {urls}", "thesis": f"{front} {title} Thesis, U. {place} {urls}",
+        "webpage": f"{front} {title} Site. {urls}", "document": f"{front} {title} {urls}", "newspaperArticle": f"{front} {title} <i>Paper</i>. revised. {place} {urls}", "dataset": f"{front} {title} Repo. {urls}", "blogPost": f"{front} {title} <i>Blog</i> (blog). {urls}", "podcast": None,
+    }
+    rows = [(tuple((common | {"itemType": k}).get(f) for f in fields),) for k in want]
+    got = {r[0]: r[1] for r in spark.createDataFrame(rows, f"d struct<{names[:-1]}").select("d.itemType", biblio.entry(F.col("d"))).collect()}
+    assert got == want
+    late = spark.createDataFrame([(tuple((common | {"itemType": k, "extra": "Shorthand: SH\nOriginal date: 1800"}).get(f) for f in fields),) for k in ("blogPost", "journalArticle", "document")], f"d struct<{names[:-1]}")
+    assert [r[0] for r in late.select(biblio.entry(F.col("d"))).collect()] == [f"SH. {title} By Ann Ash and Bo No name. [1800] 1990–91. <i>Blog</i> (blog). {urls}", f"SH. {title} By Ann Ash and Bo No name. <i>J.</i> 7 (2) ([1800] 1990–91), p.\u00a05. {urls}", f"SH. {title} By Ann Ash and Bo No name. [1800] 1990–91. {urls}"]
 
 
 def test_rich_text(spark):
