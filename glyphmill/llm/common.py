@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import re
 import tempfile
 import uuid
@@ -54,10 +55,13 @@ def materialise(df: DataFrame) -> DataFrame:
 
 
 def discard(spark: SparkSession, folders: list[str]) -> None:
-    """Delete folders that ``materialise`` wrote and that nothing reads any more."""
+    """Delete folders that ``materialise`` wrote and that nothing reads any more, and let Spark's cleaner find the shuffles that made them."""
     for at in folders:
         path = spark._jvm.org.apache.hadoop.fs.Path(at)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if folders:
+        gc.collect()  # the cleaner goes by what the driver's garbage collection finds, on both sides
+        spark._jvm.System.gc()
 
 
 @contextlib.contextmanager

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import batches_of, forgetting, in_written_order, join_groups, map_arrow, materialise, rows_of
+from glyphmill.llm.common import batches_of, forgetting, in_written_order, join_groups, kept_from, map_arrow, materialise, rows_of
 from glyphmill.llm.components import connected_components
 
 WORDS, HALVES = 5, 14
@@ -309,13 +309,13 @@ def _judged(df: DataFrame, id_col: str, text_col: str, percent: int) -> DataFram
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row; ``kept`` tells whether the id is the component's smallest."""
-    judged = _judged(df, id_col, text_col, percent)
+    judged, _ = kept_from(df.sparkSession, lambda: _judged(df, id_col, text_col, percent))
     return judged.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("component_id").eqNullSafe(F.col("id")).alias("kept"))
 
 
 def unlike(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """``df`` with one row of each component, one with its smallest id; rows without words and rows of a null id all stay."""
-    judged = materialise(_judged(df, id_col, text_col, percent))
+    judged, _ = kept_from(df.sparkSession, lambda: _judged(df, id_col, text_col, percent))
     # Of a component that has its smallest id with several texts, the one with the least hash stays.
     chosen = judged.where("component is not null and id = component_id").groupBy("component").agg(F.min("t").alias("t"), F.count("*").alias("n"))
     first = judged.where("component is not null and id = component_id").select("id", "t", "component").distinct()

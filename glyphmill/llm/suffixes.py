@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import batches_of, materialise, rows_of
+from glyphmill.llm.common import batches_of, kept_from, materialise, rows_of
 
 LENGTH, GRAM = 100, 32
 SPAN = LENGTH - GRAM + 1  # anchors that a window can have
@@ -456,7 +456,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     unique = rows.where("id is not null").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
     if not unique:
         docs = materialise(docs.groupBy("id").agg(F.min("text").alias("text")))
-    marks = repeat_marks(docs).groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("marks"))
+    # Written, so that what led to them can go before the texts are shuffled again.
+    marks, _ = kept_from(df.sparkSession, lambda: repeat_marks(docs))
+    marks = marks.groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("marks"))
     marked = rows.join(marks, "id", "left") if unique else rows.join(docs.join(marks, "id"), ["id", "text"], "left")
     extra = [(f"own_{k}", df.schema[c].dataType.simpleString()) for k, c in enumerate(carry or ())]
     types = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
