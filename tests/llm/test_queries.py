@@ -1,13 +1,17 @@
 """The registered queries: against SQL where there is some, and the pipeline against brute force."""
 
 import hashlib
+import itertools
 import os
+import zlib
 
 import duckdb
+import numpy as np
+import public_tokenizers
 import pytest
 
 import corpus_pipeline
-from glyphmill.llm import pfair, queries
+from glyphmill.llm import langmix, pfair, queries, tiff
 from tests.llm.test_small import brute_components, brute_removal
 
 DATA = "/root/testdata/sf0.001"
@@ -31,6 +35,64 @@ def test_removal_and_near_duplicates_on_documents(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows)
 
 
+def documents_of(spark):
+    return sorted(((r.doc_id, r.text or "") for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()))
+
+
+def test_languages_equal_all_sets_tried(spark):
+    """Every document's language is the largest part of the best of all sets of languages by penalised likelihood, by plain EM."""
+    documents = spark.read.parquet(f"{DATA}/documents.parquet")
+    model = langmix.learn(documents.where(~langmix.held_out()))
+    got = {r.doc_id: r for r in queries.op1_language_mixture(spark, DATA).collect()}
+    for i, text in documents_of(spark):
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
+        if not langmix._LETTER.search(text):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0)
+            continue
+        counts = langmix.trigram_counts(text).astype(float)
+        seen = np.flatnonzero(counts)
+        counts, probs, best = counts[seen], model.probs[:, seen], None
+        for size in range(1, len(model.names) + 1):
+            for chosen in itertools.combinations(range(len(model.names)), size):
+                share, p = np.full(size, 1 / size), probs[list(chosen)]
+                for _ in range(60 if size > 1 else 0):
+                    share = share * (p @ (counts / (share @ p))) / counts.sum()
+                value = counts @ np.log(share @ p) - model.penalty * np.log(counts.sum()) * (size - 1)
+                if best is None or value > best[0]:
+                    best = (value, model.names[chosen[int(np.argmax(share))]], share.max())
+        assert got[i].lang_pred == best[1] and abs(got[i].score - best[2]) < 0.05
+
+
+def test_pictures_equal_their_payloads(spark):
+    got = {r.doc_id: r for r in queries.op2_tiff_pages(spark, DATA).collect()}
+    for i, text in documents_of(spark):
+        raw = text.encode()
+        payload = raw + bytes(64 - len(raw) % 64 if len(raw) % 64 or not raw else 0)
+        image = np.frombuffer(payload, np.uint8).reshape(-1, 64).astype(int)
+        bright = "".join("1" if 64 * c > image.sum() else "0" for c in image.sum(axis=0))
+        feature = f"{-(-len(image) // 1024)}:{100 * image.sum() // image.size}:{int(bright, 2):016x}"
+        stored = tiff.store(payload)
+        assert tuple(got[i]) == (i, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), feature)
+        assert b"".join(image.tobytes() for _, image, _ in tiff.read_pages(stored)) == payload
+
+
+def test_tokens_equal_the_libraries(spark):
+    tokenizers, tiktoken = pytest.importorskip("tokenizers"), pytest.importorskip("tiktoken")
+    words = tokenizers.Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    ranks = queries.bpe.codec(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).ranks
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    files = {r.doc_id: r for r in queries.op7_token_files(spark, DATA).collect()}
+    bytes_ = {r.doc_id: r for r in queries.op10_byte_bpe(spark, DATA).collect()}
+    start = 0
+    for i, text in documents_of(spark):
+        ids = [*words.encode(text, add_special_tokens=False).ids, 2]
+        assert (files[i].start, files[i].n_tokens, files[i].ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+        ids = library.encode_ordinary(text)
+        assert tuple(bytes_[i]) == (i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+    assert len(files) == len(bytes_) == 200
+
+
 def test_pipeline(spark):
     documents = spark.read.parquet(f"{DATA}/documents.parquet")
     docs = documents
