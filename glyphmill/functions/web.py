@@ -2,24 +2,23 @@
 
 from __future__ import annotations
 
-from urllib.parse import quote, urljoin
+from urllib.parse import urljoin
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from glyphmill.functions.text import Batched
 
-
-def _format_url(s: str | None) -> str | None:
-    return None if s is None else quote(s, safe="/:")
-
-
-_quoted = Batched(_format_url)
+#: What the form encoding writes otherwise than an address's path does.
+PATH_SPELLINGS = (("+", "%20"), ("*", "%2A"), ("%7E", "~"), ("%2F", "/"), ("%3A", ":"))
 
 
 def format_url(template: str, *args: Column) -> Column:
-    """``printf`` with the arguments, then percent signs for all but letters, digits, ``/`` and ``:``."""
-    return _quoted(F.printf(F.lit(template), *args) if args else F.lit(template))
+    """``printf`` with the arguments, then percent signs for all but letters, digits, ``-._~``, ``/`` and ``:``."""
+    out = F.url_encode(F.printf(F.lit(template), *args) if args else F.lit(template))
+    for form, path in PATH_SPELLINGS:
+        out = F.replace(out, F.lit(form), F.lit(path))
+    return out
 
 
 def count_of(n: Column, unit: str) -> Column:
@@ -39,8 +38,8 @@ def format_commit(commit: Column) -> Column:
 
 
 def page_of(url: Column) -> Column:
-    """the number in ``page=``."""
-    return F.try_to_number(F.nullif(F.regexp_extract(url, r"[?&]page=(\d+)", 1), F.lit("")), F.lit("999999999")).cast("int")
+    """the number in ``page=``; null if there is none or it is too long for a bigint."""
+    return F.regexp_extract(url, r"[?&]page=(\d+)", 1).try_cast("bigint")
 
 
 def dictionary_of(url: Column) -> Column:

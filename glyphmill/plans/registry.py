@@ -449,6 +449,71 @@ def jaccard_pairs_scalar(spark, d):
     return s.join(nxt, "item_id").select(F.col("item_id").alias("id1"), "id2", (F.floor(T.jaccard(F.col("g"), F.col("h")) * 1e6 + 1e-7) / 1e6).alias("coeff"))
 
 
+@query(r"""select conv_id, turn, upper(substr(w, 1, 1)) || lower(substr(w, 2)) || substr(text, length(w) + 1) as sentence, regexp_replace(text, '\s+', ' ', 'g') as squeezed, length_grapheme(text)::int as graphemes,
+            case role when 'user' then true when 'assistant' then false end as boolean,
+            trim(replace(regexp_replace(replace(lower(text), chr(39), '’'), '[^\p{L}\p{M}\s’]', '', 'g'), '’', 'a'), ' ' || chr(10)) as folded,
+            trim(regexp_replace(translate(replace(regexp_replace(text, '\[[0-9]+.*?\]', '', 'g'), '[]', ''), '_әʼ' || chr(39) || '◉◆“”.+\,|/"॥।*!', ' ə’’'), '\s+', ' ', 'g'), ' ') as clean,
+            trim(regexp_replace(text || ' ', '[ \t]+(\n|$)', '\1', 'g'), chr(10)) || chr(10) as filed,
+            'ka' || turn || 'k' || turn % 2 as latin
+          from (select *, regexp_extract(text, '^(\S*)', 1) as w from conversations)""")
+def text_values(spark, d):
+    turns = table(spark, d, "conversations")
+    tamil = F.concat(F.lit("க"), F.translate(F.col("turn").cast("string"), "0123456789", "௦௧௨௩௪௫௬௭௮௯"), F.lit("க்"), F.translate((F.col("turn") % 2).cast("string"), "01", "௦௧"))
+    return turns.select(
+        "conv_id", "turn", T.sentence_case(F.col("text")).alias("sentence"), T.squeeze(F.col("text")).alias("squeezed"), F.size(T.graphemes(F.col("text"))).alias("graphemes"),
+        T.to_boolean(F.when(F.col("role") == "user", " Yes").when(F.col("role") == "assistant", "OFF").otherwise("?")).alias("boolean"),
+        T.fold_passage(F.replace("text", F.lit("'"), F.lit("’"))).alias("folded"), T.clean_passage(F.col("text")).alias("clean"), T.clean_file(F.col("text")).alias("filed"), T.tamil_to_latin(tamil).alias("latin"),
+    )
+
+
+@query("""select page_id, '/pages/' || replace(replace(url_encode(url), '%2F', '/'), '%3A', ':') as address, regexp_replace(regexp_extract(url, '([^/]*)$', 1), '(.)[.][^.]*$', '\\1') as base,
+            substr(md5(url), 1, 7) as commit, replace(html, 'href="/', 'href="https://a.b/') as html from pages""")
+def address_values(spark, d):
+    from glyphmill.functions import web
+
+    pages = table(spark, d, "pages")
+    return pages.select("page_id", web.format_url("/pages/%s", F.col("url")).alias("address"), web.base_name(F.col("url")).alias("base"), web.format_commit(F.md5(F.col("url").cast("binary"))).alias("commit"), web.absolute_links("https://a.b/c/")(F.col("html")).alias("html"))
+
+
+@query("""select event_id, '10.' || user_id || '/x' as doi, case when event_id % 3 > 0 then user_id || case when user_id % 100 in (11, 12, 13) then 'th' when user_id % 10 = 1 then 'st' when user_id % 10 = 2 then 'nd' when user_id % 10 = 3 then 'rd' else 'th' end || ' edition' else 'revised' end as edition,
+            event_id % 2 = 0 as several, case event_id % 2 when 0 then '⏑–' || event_id || '⏓||' else '⏖|⏑' end as pattern from events""")
+def entry_values(spark, d):
+    from glyphmill.functions import prosody
+    from glyphmill.operators import biblio
+
+    events = table(spark, d, "events").where("event_id > 9 or event_id <= 9")
+    edition = F.when(F.col("event_id") % 3 > 0, F.col("user_id").cast("string")).otherwise("revised")
+    pages = F.when(F.col("event_id") % 2 == 0, F.concat("user_id", F.lit("–9"))).otherwise(F.col("user_id").cast("string"))
+    pattern = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("-+0"), F.lpad(F.col("event_id").cast("string"), 7, "0"), F.lit("=॥"))).otherwise("2।-")
+    return events.select("event_id", biblio.clean_doi(F.concat(F.lit("https://doi.org/10."), "user_id", F.lit("/x"))).alias("doi"), biblio.ordinal_edition(edition).alias("edition"), biblio.is_page_range(pages).alias("several"), F.regexp_replace(prosody.render_pattern(pattern), "0*([0-9]+)", "$1").alias("pattern"))
+
+
+@query("""select 'r' || r_regionkey as name, r_regionkey % 2 = 0 as textual, r_name as title, null as dh_id from region union all select n_name, null, null, 'm' || n_nationkey from nation""")
+def tab_tables(spark, d):
+    import uuid
+
+    from glyphmill.sources import readers
+
+    base = f"{(spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/tables-{uuid.uuid4().hex}"
+    line = lambda *cells: F.concat_ws("\t", *cells).alias("value")
+    table(spark, d, "region").select(line(F.concat(F.lit("r"), "r_regionkey"), F.when(F.col("r_regionkey") % 2 == 0, "true").otherwise("false"), F.concat(F.lit("  "), "r_name"))).write.text(f"{base}/repos")
+    table(spark, d, "nation").select(line("n_name", F.concat(F.lit("m"), "n_nationkey"))).write.text(f"{base}/names")
+    repos = readers.repositories(spark, f"{base}/repos").select("name", "textual", "title", F.lit(None).cast("string").alias("dh_id"))
+    return repos.unionByName(readers.git_names(spark, f"{base}/names").select(F.col("git_name").alias("name"), F.lit(None).cast("boolean").alias("textual"), F.lit(None).cast("string").alias("title"), "dh_id"))
+
+
+@query("""select user_id::varchar as name, case when user_id < 5 then 'repository' else 'junk' end as action, count(*) as n from events where event_type <> 'error' group by 1, 2 union all select 'all', 'all', 1 union all select 'bib', 'bib', 1""")
+def routed_events(spark, d):
+    from glyphmill.streaming import ingest
+
+    events = table(spark, d, "events")
+    push = F.to_json(F.struct(F.struct(F.col("user_id").cast("string").alias("name")).alias("repository"), F.array(F.struct(F.struct(F.when(F.col("event_type") == "error", "robot@x").otherwise("a@b").alias("email")).alias("author"))).alias("commits")))
+    pushed = ingest.webhook_names(events.select(push.alias("value")), ["robot@x"]).select(F.concat(F.lit(" "), "name").alias("value"))
+    lines = pushed.unionByName(spark.createDataFrame([("all",), ("bib",)], "value string"))
+    known = spark.range(5).select(F.col("id").cast("string").alias("repo"))
+    return ingest.routed(lines, known).groupBy("name", "action").agg(F.count("*").alias("n"))
+
+
 # ---- parallel passages
 
 _PAIRS_SQL = f"""s as (select conv_id * 1000 + turn as id, {_TRIGRAMS_SQL.format('lower(text)')} as g from conversations),
@@ -700,7 +765,7 @@ def type_checks(spark, d):
 def url_page(spark, d):
     from glyphmill.functions import web
 
-    return table(spark, d, "pages").select("page_id", web.page_of(F.col("url")).alias("page"))
+    return table(spark, d, "pages").select("page_id", web.page_of(F.col("url")).try_cast("int").alias("page"))
 
 
 @query("select page_id, replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') as quoted from pages")
@@ -811,6 +876,29 @@ def xpath_predicate_count(spark, d):
     return _xpath("//meta[@charset='utf-8']")(spark, d).agg(F.count_distinct("page_id").alias("n"))
 
 
+AXES = {
+    "xpath_parent": ("//li/parent::ul", "select distinct u.page_id, u.pre, u.name from tags u join tags l on l.page_id = u.page_id and l.name = 'li' and l.up[-1] = u.pre where u.name = 'ul'"),
+    "xpath_preceding": ("//h1/preceding::a", "select distinct p.page_id, p.pre, p.name from tags p join tags h on h.page_id = p.page_id and h.name = 'h1' and p.pre < h.pre and not list_contains(h.up, p.pre) where p.name = 'a'"),
+    "xpath_self": ("//li/self::li[a]/ancestor-or-self::li", "select distinct l.page_id, l.pre, l.name from tags l join tags a on a.page_id = l.page_id and a.name = 'a' and a.up[-1] = l.pre where l.name = 'li'"),
+    "xpath_preceding_sibling": ("//article/preceding-sibling::div", "select distinct p.page_id, p.pre, p.name from tags p join tags h on h.page_id = p.page_id and h.name = 'article' and p.up[-1] = h.up[-1] and p.pre < h.pre where p.name = 'div'"),
+    "xpath_glob": ("//a[glob('*e', text()) or @href='/The']", "select a.page_id, a.pre, a.name from tags a left join nodes s on s.page_id = a.page_id and s.kind = 't' and list_contains(s.up, a.pre) where a.name = 'a' group by all having coalesce(string_agg(s.tok, '' order by s.pre), '') like '%e' or any_value(a.tok) = '<a href=\"/The\">'"),
+}
+for _name, (_path, _select) in AXES.items():
+    _QUERIES[_name] = _xpath(_path)
+    _SQL[_name] = _tree_sql(_select)
+
+
+@query(_tree_sql("select page_id, pre, name from tags where name = 'title' and open = ['', 'html', 'head']"))
+def xpath_locate(spark, d):
+    return nodes.locate(_nodes(spark, d), "/html[1]/head[1]/title[1]").select(F.col("doc_id").alias("page_id"), "pre", "name")
+
+
+@query(_tree_sql("select page_id, pre, name from tags where name in ('a', 'li') and open[-1] in ('li', 'ul')"))
+def xpath_patterns(spark, d):
+    found = nodes.XPath(_nodes(spark, d))
+    return found.matches("ul/li").unionByName(found.matches("li/a")).select(F.col("doc_id").alias("page_id"), "pre", "name")
+
+
 @query("""with l as (select conv_id, turn, trim(regexp_replace(replace(text, chr(39), '’'), '\\s+', ' ', 'g'), ' ') as t from conversations)
           select conv_id as doc_id, string_agg(t, chr(10) order by turn) filter (t <> '') as logical, count(*)::int as lines from l group by conv_id""")
 def edition_displays(spark, d):

@@ -36,15 +36,17 @@ def report_entries(nodes: DataFrame, item: str = "INSCRIPTION") -> DataFrame:
 
 
 def spreadsheet_rows(nodes: DataFrame) -> DataFrame:
-    """(doc_id, sheet, row, cells): the rows of a flat spreadsheet; a cell repeats as often as its attribute says (at most 1000 times)."""
+    """(doc_id, sheet, row, cells): the rows of a flat spreadsheet; a cell repeats as often as its attribute says; empty ones at a row's end go."""
     text = texts(nodes)
     tags = nodes.where("name in ('table', 'table-row', 'table-cell')").join(text, ["doc_id", "pre"])
     order = Window.partitionBy("doc_id").orderBy("pre").rowsBetween(Window.unboundedPreceding, 0)
     last = lambda name: F.last(F.when(F.col("name") == name, F.col("pre")), ignorenulls=True).over(order)
     placed = tags.select("doc_id", "pre", "name", "attrs", "text", last("table").alias("sheet"), last("table-row").alias("row"))
-    times = F.least(F.coalesce(F.try_element_at("attrs", F.lit("number-columns-repeated")).cast("int"), F.lit(1)), F.lit(1000))
+    times = F.coalesce(F.try_element_at("attrs", F.lit("number-columns-repeated")).cast("int"), F.lit(1))
     cells = placed.where("name = 'table-cell'").select("doc_id", "sheet", "row", "pre", normalize_space(F.col("text")).alias("t"), times.alias("times"))
     listed = cells.groupBy("doc_id", "sheet", "row").agg(F.sort_array(F.collect_list(F.struct("pre", "t", "times"))).alias("l"))
+    # Sheets say that thousands of empty cells follow the last filled one.
+    listed = listed.withColumn("l", F.filter("l", lambda x, i: F.exists(F.slice("l", i + 1, F.size("l")), lambda y: y["t"] != "")))
     return listed.select("doc_id", "sheet", "row", F.flatten(F.transform("l", lambda x: F.array_repeat(x["t"], x["times"]))).alias("cells"))
 
 
