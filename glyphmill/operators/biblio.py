@@ -184,11 +184,11 @@ def entry(data: Column) -> Column:
         "website": _stopped(field("websiteTitle")), "blog": F.concat(_italic(field("blogTitle")), F.lit(" (blog).")), "repository": _stopped(field("repository")),
         "idents": F.concat_ws(" ", F.concat(F.lit("DOI: "), F.concat(F.lit('<link href="https://doi.org/'), doi, F.lit('">'), doi, F.lit("</link>."))), F.when(F.size(urls) > 0, F.concat(links, F.lit(".")))),
     }
-    out = F.lit(None).cast("string")
-    for kind, names in ENTRY_PARTS.items():
-        whole = F.concat_ws(" ", *[F.nullif(parts[n], F.lit("")) for n in names])
-        out = F.when(data["itemType"] == kind, whole).otherwise(out)
-    return out
+    # Each part is made once, under its name; the kind's list of names puts them together.
+    named = F.create_map(*[x for n, part in parts.items() for x in (F.lit(n), F.nullif(part, F.lit("")))])
+    order = F.try_element_at(F.create_map(*[x for kind, names in ENTRY_PARTS.items() for x in (F.lit(kind), F.array(*map(F.lit, names)))]), data["itemType"])
+    whole = F.transform(F.array(named), lambda made: F.concat_ws(" ", F.transform(order, lambda n: F.try_element_at(made, n))))[0]
+    return F.when(data["itemType"].isin(*ENTRY_PARTS), whole)
 
 
 #: The parts of an entry by kind of item, in order.

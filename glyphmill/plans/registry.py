@@ -166,7 +166,7 @@ _HOLDINGS_SQL = """docs as (select doc_id, source, ('f' || doc_id) as name, case
       case when doc_id % 4 = 0 then []::varchar[] when doc_id % 5 = 0 then ['latn', 'deva'] else ['latn'] end as scripts,
       case when doc_id % 6 = 0 then []::varchar[] when doc_id % 10 = 1 then ['p' || (doc_id % 40)] else ['p' || (doc_id % 40), 'p' || (40 + doc_id % 7)] end as editors from documents),
     owners as (select 'f' || doc_id as name, 'u' || (doc_id % 23) as git_name from documents union select 'f' || doc_id, 'u' || (doc_id % 5) from documents where doc_id % 3 = 0),
-    members as (select 'u' || c_custkey as git_name, c_custkey::varchar as member from customer where c_custkey < 12)"""
+    members as (select 'u' || c_custkey as git_name, c_custkey::varchar as member from customer where c_mktsegment in ('BUILDING', 'MACHINERY'))"""
 
 
 def _documents(spark, d) -> DataFrame:
@@ -180,7 +180,7 @@ def _documents(spark, d) -> DataFrame:
 def _owners(spark, d) -> tuple[DataFrame, DataFrame]:
     documents = table(spark, d, "documents")
     owners = documents.selectExpr("concat('f', doc_id) as name", "concat('u', doc_id % 23) as git_name").unionByName(documents.where("doc_id % 3 = 0").selectExpr("concat('f', doc_id) as name", "concat('u', doc_id % 5) as git_name")).distinct()
-    return owners, table(spark, d, "customer").where("c_custkey < 12").selectExpr("concat('u', c_custkey) as git_name", "cast(c_custkey as string) as member")
+    return owners, table(spark, d, "customer").where("c_mktsegment in ('BUILDING', 'MACHINERY')").selectExpr("concat('u', c_custkey) as git_name", "cast(c_custkey as string) as member")
 
 
 def _languages(spark) -> tuple[DataFrame, DataFrame]:
@@ -220,11 +220,11 @@ def owned_documents(spark, d):
     return _owned(spark, d)
 
 
-@query(f"with {_OWNED_SQL} select '7' as owner, name from owned where ident = '7' union all select '!u17', name from owned where ident = '!u17'")
+@query(f"with {_OWNED_SQL} select '4' as owner, name from owned where ident = '4' union all select '!u20', name from owned where ident = '!u20'")
 def owner_filter(spark, d):
     found = _owned(spark, d)
     of = lambda ident: holdings.owned_by(found, ident).select(F.lit(ident).alias("owner"), "name")
-    return of("7").unionByName(of("!u17"))
+    return of("4").unionByName(of("!u20"))
 
 
 @query(f"""with {_OWNED_SQL}, s as (select doc_id, (case when toxic = 1 then 3 when quality = 0 then 2 when quality is null then 1 else 0 end)::bigint as status from documents left join labels using (doc_id))
@@ -273,7 +273,7 @@ def language_view(spark, d):
     return above.select(F.col("above").alias("root"), "lang").join(relational.production(documents, "lang"), "lang").join(edited, "lang").join(repos, "lang").distinct()
 
 
-@query(f"""with {_HOLDINGS_SQL} select doc_id, name, source as repo, upper(source) as repo_title, n_chars as size from docs join documents using (doc_id, source) where doc_id % 9 = 0""")
+@query(f"""with {_HOLDINGS_SQL} select doc_id, name, source as repo, upper(source) as repo_title, n_chars as size from docs join documents using (doc_id, source) where len(langs) > 1""")
 def file_details(spark, d):
     repos = table(spark, d, "documents").select("source").distinct().select("source", F.upper("source").alias("repo_title"))
     files = table(spark, d, "documents").select("doc_id", F.col("n_chars").alias("size"))
@@ -481,7 +481,7 @@ def entry_values(spark, d):
     from glyphmill.functions import prosody
     from glyphmill.operators import biblio
 
-    events = table(spark, d, "events").where("event_id > 9 or event_id <= 9")
+    events = table(spark, d, "events")
     edition = F.when(F.col("event_id") % 3 > 0, F.col("user_id").cast("string")).otherwise("revised")
     pages = F.when(F.col("event_id") % 2 == 0, F.concat("user_id", F.lit("–9"))).otherwise(F.col("user_id").cast("string"))
     pattern = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("-+0"), F.lpad(F.col("event_id").cast("string"), 7, "0"), F.lit("=॥"))).otherwise("2।-")
@@ -809,6 +809,103 @@ def bib_cited_ranges(spark, d):
     return records.select("key", of("default").alias("reference"), of("omitname"), of("ibid"), of("siglum", F.when(F.col("version") % 4 == 0, "A")))
 
 
+@query(f"""with {_BIB_SQL}, e as (select event_id, event_type, user_id, case when user_id % 5 = 0 then 'N.d.' else user_id::varchar || '.' end as dated, case when user_id % 5 = 0 then '' else ', ' || user_id end as later from events where event_type in ('purchase', 'click'))
+          select event_id::varchar as key, case when event_id % 11 = 0 then 'S' || event_id || '. Untitled. By A N' || (user_id % 10) || '.' || case when event_type = 'purchase' then ' No place' || later || '.' else '' end
+            else 'N' || (user_id % 10) || ', A. ' || dated || ' Untitled.' || case when event_type = 'purchase' then ' No place.' else '' end end as entry from e""")
+def bib_entries(spark, d):
+    from glyphmill.operators import biblio
+
+    whole = _records(spark, d).select(F.from_json(F.to_json(F.struct("key", "version", "data")), biblio.RECORD).alias("r")).select("r.*")
+    return whole.select("key", biblio.entry(F.col("data")).alias("entry")).where("entry is not null")
+
+
+@query("select 'A N' || (user_id % 10) as creator, 'author' as kind, count(*) as n from events group by 1")
+def bib_creators(spark, d):
+    from glyphmill.operators import biblio
+
+    return biblio.by_creator(_records(spark, d)).groupBy("creator", "kind").agg(F.count("*").alias("n"))
+
+
+def _scratch(spark, name: str) -> str:
+    """A new folder that executors share."""
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("""select event_id::varchar as key, event_id as version, case event_type when 'purchase' then 'book' when 'click' then 'journalArticle' else event_type end as kind, 'A N' || (user_id % 10) as creator from events""")
+def jsonl_records(spark, d):
+    from glyphmill.operators import biblio
+
+    at = _scratch(spark, "records")
+    _records(spark, d).select(F.to_json(F.struct("key", "version", "data"))).write.text(at)
+    return biblio.read_jsonl(spark, at).select("key", "version", F.col("data.itemType").alias("kind"), biblio.name_first_last(F.get("data.creators", F.lit(0))).alias("creator"))
+
+
+@query("""select 'd' || n_regionkey as dictionary, n_nationkey::int as page, k::int as n, n_name || ' ' || k as head from nation, range(1, 4) t(k) where n_regionkey in (1, 2)""")
+def dictionary_entries(spark, d):
+    from glyphmill.sources import collections
+
+    at = _scratch(spark, "dictionaries")
+    entry = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda k: F.concat(F.lit("<hw>"), "n_name", F.lit("  "), k.cast("string"), F.lit("</hw> text <i>x</i>"))), "")
+    table(spark, d, "nation").select(F.concat_ws("\t", F.concat(F.lit("d"), "n_regionkey"), "n_nationkey", F.concat(F.lit("before "), entry))).write.text(at)
+    return collections.dictionary_entries(collections.dictionary_pages(spark, at, "d[12]")).select("dictionary", "page", "n", "head")
+
+
+@query("""select c_custkey::varchar as id, case when c_custkey % 3 = 0 then c_name else 'F ' || c_name end as print_name, case when c_custkey % 3 = 0 then c_name else c_name || ', F' end as inverted_name,
+            case when c_custkey % 4 = 0 then c_mktsegment end as affiliation, case when c_custkey % 5 = 0 then '000-' || c_custkey end as orcid from customer""")
+def members_read(spark, d):
+    from glyphmill.sources import readers
+
+    customer = table(spark, d, "customer")
+    person = F.expr("""concat('<person xml:id="https://x/', c_custkey, '"><persName>', case when c_custkey % 3 = 0 then concat('<name>', c_name, '</name>') else concat('<forename> F </forename><surname>', c_name, '</surname>') end, '</persName>',
+        case when c_custkey % 4 = 0 then concat('<affiliation>', c_mktsegment, '</affiliation>') else '' end, case when c_custkey % 5 = 0 then concat('<idno type="ORCID">https://orcid.org/000-', c_custkey, '</idno>') else '' end, '</person>')""")
+    lists = customer.groupBy(F.expr("c_custkey div 100").alias("k")).agg(F.concat(F.lit("<listPerson>"), F.array_join(F.array_sort(F.collect_list(person)), ""), F.lit("</listPerson>")).alias("x"))
+    return readers.members(nodes.nodes(lists, "k", "x")).select("id", "print_name", "inverted_name", "affiliation", "orcid")
+
+
+@query("""select conv_id as doc_id, 'r' || conv_id as ref, last_value(case when role = 'user' then 'at ' || turn end ignore nulls) over w as heading, last_value(case when turn % 3 = 0 then turn::varchar end ignore nulls) over w as page, 'i' || turn as text
+          from conversations window w as (partition by conv_id order by turn)""")
+def reports_read(spark, d):
+    from glyphmill.sources import collections
+
+    part = F.expr("""concat(case when role = 'user' then concat('<H2> at  ', turn, '</H2>') else '' end, case when turn % 3 = 0 then concat('<pb n="', turn, '"/>') else '' end, '<INSCRIPTION>i', turn, '</INSCRIPTION>')""")
+    docs = table(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", part.alias("x")))).alias("l"))
+    xml = F.concat(F.lit('<doc><arie n="1" ref="r'), "conv_id", F.lit('">'), F.array_join(F.transform("l", lambda x: x["x"]), ""), F.lit("</arie></doc>"))
+    return collections.report_entries(nodes.nodes(docs.select("conv_id", xml.alias("x")), "conv_id", "x")).select("doc_id", "ref", "heading", "page", "text")
+
+
+@query("""select conv_id as doc_id, row_number() over (partition by conv_id order by turn)::int as n, case when turn % 2 = 0 then role || '|' || role || '|' || turn else role || '||' || turn end as cells from conversations""")
+def spreadsheets_read(spark, d):
+    from glyphmill.sources import collections
+
+    row = F.expr("""concat('<table-row><table-cell', case when turn % 2 = 0 then ' number-columns-repeated="2"' else '' end, '><p>', role, '</p></table-cell>', case when turn % 2 = 1 then '<table-cell/>' else '' end, '<table-cell><p>', turn, '</p></table-cell><table-cell number-columns-repeated="16000"/></table-row>')""")
+    docs = table(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", row.alias("x")))).alias("l"))
+    xml = F.concat(F.lit("<spreadsheet><table>"), F.array_join(F.transform("l", lambda x: x["x"]), ""), F.lit("</table></spreadsheet>"))
+    rows = collections.spreadsheet_rows(nodes.kept(nodes.nodes(docs.select("conv_id", xml.alias("x")), "conv_id", "x")))
+    return rows.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("row")).alias("n"), F.array_join("cells", "|").alias("cells"))
+
+
+@query("""select (1000 * n_nationkey)::int as first, (1000 * n_nationkey + 255)::int as last, n_name as name from nation""")
+def ranges_read(spark, d):
+    from glyphmill.sources import readers
+
+    at = _scratch(spark, "ranges")
+    code = lambda c: F.lpad(F.hex(c), 4, "0")
+    lines = table(spark, d, "nation").select(F.concat(code(1000 * F.col("n_nationkey")), F.lit(".."), code(1000 * F.col("n_nationkey") + 255), F.lit("; "), "n_name", F.lit("  # a remark")))
+    lines.unionByName(spark.createDataFrame([("# all ranges",), ("",)], "s string").toDF(lines.columns[0])).write.text(at)
+    return readers.unicode_ranges(spark, at)
+
+
+@query("""with n as (select c_nationkey, c_custkey as key, case c_custkey % 4 when 0 then '<i>' || c_name || '</i>' when 1 then lower(c_name) when 2 then c_name end as name from customer)
+          select key, row_number() over (partition by c_nationkey order by name is null, regexp_replace(lower(regexp_replace(coalesce(name, ''), '<[^>]*>', '', 'g')), '[^a-z0-9]', '', 'g'), key)::bigint as place from n""")
+def collated_order(spark, d):
+    name = F.when(F.col("c_custkey") % 4 == 0, F.concat(F.lit("<i>"), "c_name", F.lit("</i>"))).when(F.col("c_custkey") % 4 == 1, F.lower("c_name")).when(F.col("c_custkey") % 4 == 2, F.col("c_name"))
+    rows = table(spark, d, "customer").select("c_nationkey", F.col("c_custkey").alias("key"), name.alias("name"))
+    return rows.select("key", F.row_number().over(Window.partitionBy("c_nationkey").orderBy(*sort_columns(F.col("name"), F.col("key"), markup=True))).cast("bigint").alias("place"))
+
+
 @query("""select short_title as title, n from (select 'k' || json_extract_string(props, '$.k') as short_title, count(*) as n from events where event_id % 7 <> 0 group by 1) where n > 1""")
 def bib_duplicates(spark, d):
     from glyphmill.operators import biblio
