@@ -360,15 +360,19 @@ def _axis(axis: str, c, t) -> Column:
 
 
 class XPath:
-    """Finds nodes; ``df`` has all documents' nodes (``with_stuck`` if stuck axes are used, ``texts`` if text() is)."""
+    """Finds nodes; ``df`` has all documents' nodes.  What sticks to what is only looked up for paths with such an axis, texts for paths that ask for them."""
 
     def __init__(self, df: DataFrame):
-        self.df = with_stuck(df.where("error is null")) if "stuck" not in df.columns else df
+        self.df = df.where("error is null")
         self._texts: DataFrame | None = None
 
     def find(self, path: str, context: DataFrame | None = None, ordered: bool = False) -> DataFrame:
         """Distinct nodes that a path leads to from ``context`` (rows of nodes; the trees themselves if there is none); if ``ordered``, in document order."""
         absolute, steps = parse_xpath(path)
+        if "stuck-" in path and "stuck" not in self.df.columns:
+            self.df = with_stuck(self.df)
+        if context is not None and set(self.df.columns) - set(context.columns):
+            context = self.df.join(context.select("doc_id", "pre"), ["doc_id", "pre"], "left_semi")
         start = self.df.where("kind = 'tree'") if context is None or absolute else context
         found = self._walk(steps, start.select(*[F.col(x) for x in self.df.columns]))
         return found.orderBy("doc_id", "pre") if ordered else found
