@@ -44,11 +44,11 @@ def shared_dir(spark: SparkSession) -> str:
 _open_blocks: list[list[str]] = []
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: later steps neither redo it nor lose it with an executor."""
+def materialise(df: DataFrame, **options) -> DataFrame:
+    """Write ``df`` to the shared folder (``options``: the writer's) and read it back: later steps neither redo it nor lose it with an executor."""
     spark = df.sparkSession
     at = shared_dir(spark)
-    df.write.parquet(at)
+    df.write.options(**options).parquet(at)
     for block in _open_blocks[-1:]:
         block.append(at)
     return spark.read.schema(df.schema).parquet(at)

@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphmill.llm import bpe, langmix, licences, neardup, pfair, qualityforest, suffixes, tiff, tokenfiles, warc
+from glyphmill.llm import bpe, fingerprints, langmix, lexical, licences, neardup, periodic, pfair, qualityforest, suffixes, tiff, tokenfiles, warc
 from glyphmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +63,18 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = Non
     return bpe.round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(lexical.build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
+def op12_prefix_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edits(table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.collapse(table(spark, sf_dir, "documents"), periodic.planted)
+
+
 OP5_SQL = """
 with p as (select page_id, sha256(coalesce(html, '')) as d, strlen(coalesce(html, ''))::bigint as n from pages),
 f as (select d, min(page_id) as first from p where n >= 100 group by d)
@@ -110,6 +122,9 @@ def queries() -> dict[str, Query]:
         "op8_near_duplicates": op8_near_duplicates,
         "op9_isolation_forest": op9_isolation_forest,
         "op10_byte_bpe": op10_byte_bpe,
+        "op11_lexical_search": op11_lexical_search,
+        "op12_prefix_hashes": op12_prefix_hashes,
+        "op13_periodic_runs": op13_periodic_runs,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -121,4 +136,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_warc_index": OP5_SQL,
         "op6_pfair_mixture": pfair.ORACLE,
         "op8_near_duplicates": OP8_SQL,
+        "op11_lexical_search": lexical.ORACLE,
+        "op13_periodic_runs": periodic.ORACLE,
     }
