@@ -8,8 +8,13 @@ penalty.  The likelihood is concave in the proportions, so what a further
 language can add is at most its slope there: documents whose slopes all lie
 within the penalty need no iteration at all, and lose nothing by it.
 
+How well a text fits is its mean log-likelihood per trigram under its mixture.
+Texts of languages that weren't learnt, or of none, fit far worse than any
+that were; ``least_fit`` sets the limit halfway between the least usual fit of
+labelled texts that weren't learnt from and that of trigrams drawn at random.
+
 Defined results: null texts and texts without a letter are ``und`` with score
-0, as is every text when nothing could be learnt; ties go to the language
+0 and a null fit, as is every text when nothing could be learnt; ties go to the language
 first in alphabetical order; repeated rows give repeated rows; other columns
 stay, unless they are called like one that is made, which takes their place;
 an empty table gives an empty one.
@@ -34,6 +39,8 @@ BITS = 14
 LEARN_DOCS = 4000
 #: Each letter stands in three trigrams, so evidence counts threefold; the penalty does too.
 OVERLAP = 3.0
+#: The part of labelled texts whose fits are unusual; about so many texts give the limit, and not fewer than the second number.
+UNUSUAL, FIT_DOCS, FIT_LEAST = 0.001, 20_000, 100
 
 _LETTER = re.compile(r"[^\W\d_]")
 _FOLD = bytes(c if chr(c).isalpha() or c >= 128 else 32 for c in range(256))
@@ -57,8 +64,12 @@ class Mixture:
 
     def infer(self, text: str) -> dict[str, float]:
         """Proportion by language of the set that the penalised likelihood selects, largest first."""
+        return self.infer_with_fit(text)[0]
+
+    def infer_with_fit(self, text: str) -> tuple[dict[str, float], float | None]:
+        """The proportions, and the mean log-likelihood of a trigram under them."""
         if not self.names or not _LETTER.search(text):
-            return {}
+            return {}, None
         counts = trigram_counts(text)
         seen = np.flatnonzero(counts)
         counts, probs = counts[seen].astype(float), self.probs[:, seen]
@@ -77,7 +88,8 @@ class Mixture:
             if counts @ np.log(new / mixed) <= penalty:
                 break
             chosen, share, mixed = wider, tried, new
-        return dict(sorted(((self.names[k], float(s)) for k, s in zip(chosen, share, strict=True)), key=lambda x: (-x[1], x[0])))
+        parts = dict(sorted(((self.names[k], float(s)) for k, s in zip(chosen, share, strict=True)), key=lambda x: (-x[1], x[0])))
+        return parts, float(counts @ np.log(mixed) / total)
 
     @staticmethod
     def _maximise(probs: np.ndarray, counts: np.ndarray, share: np.ndarray, rounds: int = 200) -> np.ndarray:
@@ -117,18 +129,30 @@ def learn(df: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
 
 
 def predict(df: DataFrame, model: Mixture, text_col: str = "text") -> DataFrame:
-    """``df`` with lang_pred and score: the largest part's language and proportion; and mixture, all parts as a map."""
+    """``df`` with lang_pred and score: the largest part's language and proportion; mixture, all parts as a map; and fit."""
 
     def work(texts: list[str | None]):
         for text in texts:
-            parts = model.infer(text or "")
+            parts, fit = model.infer_with_fit(text or "")
             lang, score = next(iter(parts.items()), ("und", 0.0))
-            yield lang, min(score, 1.0), list(parts.items())
+            yield lang, min(score, 1.0), list(parts.items()), fit
 
-    made = {"lang_pred", "score", "mixture"}
+    made = {"lang_pred", "score", "mixture", "fit"}
     if text_col in made:
         raise ValueError(f"the text's column can't be called {text_col}")
-    return with_columns(df.drop(*[c for c in df.columns if c.lower() in made]), text_col, "lang_pred string, score double, mixture map<string,double>", work)
+    return with_columns(df.drop(*[c for c in df.columns if c.lower() in made]), text_col, "lang_pred string, score double, mixture map<string,double>, fit double", work)
+
+
+def least_fit(df: DataFrame, model: Mixture, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> float:
+    """The fit below which a text is in none of the model's languages, by the labelled texts of ``df``, which it must not have learnt from.
+
+    About FIT_DOCS of them are drawn by a hash of their ids; with fewer than
+    FIT_LEAST there is no limit.
+    """
+    rows = df.select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.col(text_col).alias("t")).where("l is not null and t is not null")
+    drawn = rows.where(F.pmod(F.xxhash64("i"), F.lit(1_000_000)) < min(1.0, FIT_DOCS / max(1, rows.count())) * 1e6).select("t")
+    low, n = predict(drawn, model, "t").select(F.percentile_approx("fit", UNUSUAL, 10_000), F.count("fit")).first()
+    return (low + float(np.log(model.probs).mean(axis=1).max())) / 2 if n >= FIT_LEAST else float("-inf")
 
 
 def held_out(id_col: str = "doc_id", folds: int = 5) -> Column:

@@ -9,13 +9,12 @@ deadline; so at any slot each source is less than one block from its weight.
 A source's later blocks follow in later cycles; when a source has ended, its
 slots stay empty and the others keep their order.
 
-Shares are the integer weights themselves (``resolution`` None), so nothing is
-rounded and the bound holds for the target weights at any length; a cycle then
-has as many slots as the weights' sum, for square roots of sizes at most
-sqrt(sources * documents).  With a ``resolution`` weights are first rounded to
-that many shares, and the bound holds for the rounded ones only.
+Shares are the integer weights themselves, so nothing is rounded and the bound
+holds for the target weights at any length; a cycle then has as many slots as
+the weights' sum, for square roots of sizes at most sqrt(sources * documents).
 
-The cycle is made once, from the shares alone.  Positions within a source come
+The cycle is made once, from the shares alone; it is broadcast up to
+BROADCAST_SLOTS slots and joined by shuffle beyond.  Positions within a source come
 from ranks within buckets of the hash and running sums of bucket sizes, so a
 source of any size is spread over tasks, as are rows without an id.
 
@@ -36,7 +35,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 from pyspark.sql.types import DataType
 
-BLOCK_DOCS, RESOLUTION = 8, 1000
+from glyphmill.llm.common import materialise
+
+BLOCK_DOCS = 8
+#: Slots of a cycle that may be broadcast.
+BROADCAST_SLOTS = 500_000
 #: About so many rows share a bucket of the hash.
 BUCKET_ROWS = 512
 #: Slots whose picks are listed together, so that lists stay short while they grow.
@@ -49,14 +52,10 @@ def _has_map(kind: DataType) -> bool:
     return "map<" in kind.simpleString() or "variant" in kind.simpleString()
 
 
-def shares(counts: DataFrame, weight: str, resolution: int | None = RESOLUTION) -> DataFrame:
-    """One row: sorted source keys, the shares of each (at least 1), and their sum; ``weight`` is SQL over key and n."""
-    share = "w" if resolution is None else f"({resolution} * w) div greatest(total, 1L)"
-    weighted = counts.selectExpr("key", f"cast({weight} as bigint) as w")
-    total = weighted.agg(F.sum("w").alias("total"))  # one row
+def shares(counts: DataFrame, weight: str) -> DataFrame:
+    """One row: sorted source keys, the shares of each (its weight, at least 1), and their sum; ``weight`` is SQL over key and n."""
     return (
-        weighted.crossJoin(F.broadcast(total))  # by that one row
-        .selectExpr("key", f"greatest(1L, {share}) as c")
+        counts.selectExpr("key", f"greatest(1L, cast({weight} as bigint)) as c")
         .agg(F.sort_array(F.collect_list(F.struct("key", "c"))).alias("s"))
         .selectExpr("s.key as keys", "s.c as c", "cast(size(s) as bigint) as n", "aggregate(s.c, 0L, (a, x) -> a + x) as cycle")
         .where("n > 0")
@@ -85,11 +84,10 @@ def cycle(shared: DataFrame) -> DataFrame:
     return numbered.join(sources, "pick").select("key", "j", "c", "cycle", "slot_in_cycle")
 
 
-def mix(df: DataFrame, weight: str = "floor(sqrt(n))", source_col: str = "source", id_col: str = "doc_id", block_docs: int = BLOCK_DOCS, resolution: int | None = RESOLUTION) -> DataFrame:
+def mix(df: DataFrame, weight: str = "floor(sqrt(n))", source_col: str = "source", id_col: str = "doc_id", block_docs: int = BLOCK_DOCS) -> DataFrame:
     """``df`` with block (of its source), slot and place (in the slot); the mixture is its rows by slot and place.
 
-    ``weight`` is a source's target weight, as SQL over its key and its number of documents ``n``;
-    with a ``resolution`` of None weights are met exactly.
+    ``weight`` is a source's target weight, as SQL over its key and its number of documents ``n``.
     """
     own = [c for c in df.columns if c.lower() not in ("block", "slot", "place")]
     text = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
@@ -101,7 +99,10 @@ def mix(df: DataFrame, weight: str = "floor(sqrt(n))", source_col: str = "source
     keyed = keyed.withColumn("bucket", F.concat(F.substring("hash", 1, digits), spread))
     sizes = keyed.groupBy("key", "bucket").agg(F.count("*").alias("rows"))
     before = sizes.select("key", "bucket", F.coalesce(F.sum("rows").over(Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    slots = cycle(shares(sizes.groupBy("key").agg(F.sum("rows").alias("n")), weight, resolution))
+    counts = materialise(sizes.groupBy("key").agg(F.sum("rows").alias("n")))  # a row for each source
+    length = counts.selectExpr(f"sum(greatest(1L, cast({weight} as bigint)))").first()[0] or 0
+    small = F.broadcast if length <= BROADCAST_SLOTS else lambda df: df
+    slots = cycle(shares(counts, weight))
     rank = F.row_number().over(Window.partitionBy("key", "bucket").orderBy("hash", "id", F.lpad(F.hex("alike"), 16, "0")))
     placed = (
         keyed.withColumn("rank", rank.cast("long")).join(before, ["key", "bucket"])
@@ -109,9 +110,8 @@ def mix(df: DataFrame, weight: str = "floor(sqrt(n))", source_col: str = "source
         .withColumn("block", F.expr(f"seq div {block_docs}"))
     )
     shared = slots.groupBy("key").agg(F.first("c").alias("c"), F.first("cycle").alias("cycle"))
-    # Broadcast: a row for each source, and one for each slot of the cycle (see above).
-    numbered = placed.join(F.broadcast(shared), "key").withColumn("j", F.expr("block % c"))
-    return numbered.join(F.broadcast(slots.select("key", "j", "slot_in_cycle")), ["key", "j"]).select(
+    numbered = placed.join(small(shared), "key").withColumn("j", F.expr("block % c"))
+    return numbered.join(small(slots.select("key", "j", "slot_in_cycle")), ["key", "j"]).select(
         *[F.col(f"own_{k}").alias(c) for k, c in enumerate(own)],
         "block", F.expr("(block div c) * cycle + slot_in_cycle").alias("slot"), F.expr(f"seq % {block_docs}").alias("place"),
     )
@@ -120,8 +120,7 @@ def mix(df: DataFrame, weight: str = "floor(sqrt(n))", source_col: str = "source
 #: The query over ``documents``, for DuckDB.
 ORACLE = f"""
 with recursive counts as (select source, count(*) as n from documents group by source),
-weighted as (select coalesce('=' || source, '') as key, source, cast(floor(sqrt(n)) as bigint) as w from counts),
-shared as (select key, source, greatest(1, ({RESOLUTION} * w) // (select greatest(sum(w), 1) from weighted))::bigint as c from weighted),
+shared as (select coalesce('=' || source, '') as key, source, greatest(1, cast(floor(sqrt(n)) as bigint))::bigint as c from counts),
 numbered as (select key, source, c, row_number() over (order by key) as i from shared),
 lists as (select list(c order by i) as cs, count(*) as n, sum(c)::bigint as w from numbered),
 steps as (

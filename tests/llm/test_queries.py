@@ -129,7 +129,7 @@ def test_the_mixture_is_the_order_of_the_result(spark, monkeypatch):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     (unmixed, _), (mixed, _) = kept[-2:]
     assert len(mixed.inputFiles()) > 1
-    want = [r.doc_id for r in pfair.mix(unmixed, resolution=None).orderBy("slot", "place").collect()]
+    want = [r.doc_id for r in pfair.mix(unmixed).orderBy("slot", "place").collect()]
     assert [r.doc_id for r in got] == want and [r.position for r in got] == list(range(len(want)))
     assert want != [r.doc_id for r in unmixed.collect()] and want != sorted(want)
 

@@ -255,9 +255,8 @@ def test_mixture_deviates_by_less_than_a_block(spark):
     got = pfair.mix(spark.createDataFrame(rows, "doc_id long, source string"), block_docs=1).collect()
     assert len(got) == len(rows) and len({r.slot for r in got}) == len(rows)
     share = {k: int(n**0.5) for k, n in sizes.items()}
-    parts = {k: max(1, 1000 * v // sum(share.values())) for k, v in share.items()}
-    cycle = sum(parts.values())
-    for source, part in parts.items():
+    cycle = sum(share.values())
+    for source, part in share.items():
         slots = sorted(r.slot for r in got if r.source == source)
         for j, slot in enumerate(slots):
             assert j * cycle // part <= slot < -(-(j + 1) * cycle // part)  # between release and deadline
@@ -266,7 +265,7 @@ def test_mixture_deviates_by_less_than_a_block(spark):
 def test_mixture_meets_the_true_weights(spark):
     sizes = {"big": 9000, **{f"s{k}": 40 + 7 * k for k in range(25)}, None: 1}
     rows = [(i, s) for s, n in sizes.items() for i in range(n)]
-    got = pfair.mix(spark.createDataFrame(rows, "doc_id long, source string"), block_docs=1, resolution=None).collect()
+    got = pfair.mix(spark.createDataFrame(rows, "doc_id long, source string"), block_docs=1).collect()
     weights = {k: int(n**0.5) for k, n in sizes.items()}
     total = sum(weights.values())
     slots = {k: sorted(r.slot for r in got if r.source == k) for k in sizes}
@@ -280,7 +279,7 @@ def test_mixture_meets_the_true_weights(spark):
 
 def test_mixture_of_many_sources(spark):
     counts = spark.createDataFrame([("=big", 5_000_000), *((f"={k}", 5000) for k in range(1999))], "key string, n long")
-    shared = pfair.shares(counts, "floor(sqrt(n))", None).first()
+    shared = pfair.shares(counts, "floor(sqrt(n))").first()
     assert dict(zip(shared["keys"], shared["c"], strict=True))["=big"] == 2236 and shared["cycle"] == 2236 + 1999 * 70
 
 
@@ -529,7 +528,7 @@ def test_clashing_columns(spark):
 
 def test_many_sources_and_rows_without_ids(spark):
     counts = spark.range(1_000_000, 1_000_003).selectExpr("concat('=', id) as key", "1L as n")
-    shared = pfair.shares(counts, "n", None).selectExpr("keys", "c", "n", "cycle")
+    shared = pfair.shares(counts, "n").selectExpr("keys", "c", "n", "cycle")
     assert sorted(r.slot_in_cycle for r in pfair.cycle(shared).collect()) == [0, 1, 2]
     rows = spark.range(3000).selectExpr("case when id % 3 > 0 then id end as doc_id", "concat('s', id % 2) as source", "id as n")
     got = pfair.mix(rows, block_docs=1).collect()
