@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from glyphmill.functions import text as T
 from glyphmill.functions.collate import sort_columns
 from glyphmill.operators import catalog, holdings, nodes, parallels, quality, relational, rules, trees
-from glyphmill.session import table
+from glyphmill.session import shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -344,10 +344,7 @@ def array_functions(spark, d):
 
 @query("select c_custkey as key, c_name as name, c_acctbal as balance from customer")
 def jsonl_backup(spark, d):
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    at = f"{base.rstrip('/')}/backup-{uuid.uuid4().hex}"
+    at = _scratch(spark, "backup")
     holdings.backup(table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance")), "key", at)
     return spark.read.schema("key bigint, name string, balance double").json(at)
 
@@ -490,11 +487,9 @@ def entry_values(spark, d):
 
 @query("""select 'r' || r_regionkey as name, r_regionkey % 2 = 0 as textual, r_name as title, null as dh_id from region union all select n_name, null, null, 'm' || n_nationkey from nation""")
 def tab_tables(spark, d):
-    import uuid
-
     from glyphmill.sources import readers
 
-    base = f"{(spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/tables-{uuid.uuid4().hex}"
+    base = _scratch(spark, "tables")
     line = lambda *cells: F.concat_ws("\t", *cells).alias("value")
     table(spark, d, "region").select(line(F.concat(F.lit("r"), "r_regionkey"), F.when(F.col("r_regionkey") % 2 == 0, "true").otherwise("false"), F.concat(F.lit("  "), "r_name"))).write.text(f"{base}/repos")
     table(spark, d, "nation").select(line("n_name", F.concat(F.lit("m"), "n_nationkey"))).write.text(f"{base}/names")
@@ -828,10 +823,7 @@ def bib_creators(spark, d):
 
 def _scratch(spark, name: str) -> str:
     """A new folder that executors share."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return shared_folder(spark, name)
 
 
 @query("""select event_id::varchar as key, event_id as version, case event_type when 'purchase' then 'book' when 'click' then 'journalArticle' else event_type end as kind, 'A N' || (user_id % 10) as creator from events""")
@@ -1120,12 +1112,9 @@ def lang_inheritance(spark, d):
 
 @query("""select user_id as key, value from (select user_id, max_by(value, event_id) as value, max_by(event_type, event_id) as kind from events group by user_id) where kind <> 'purchase'""")
 def stream_ingest(spark, d):
-    import uuid
-
     from glyphmill.streaming.ingest import VersionedTable, ingest
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    at = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = _scratch(spark, "stream")
     schema = table(spark, d, "events").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
     into = VersionedTable(spark, at, "user_id bigint, event_id bigint, value double")
@@ -1140,9 +1129,16 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.page(counted, [*sort_columns(F.col("source"), F.col("doc_id"))], 1, catalog.PER_PAGE)
 
 
+def _all() -> None:
+    """The queries of the other modules add themselves when these are imported."""
+    from glyphmill.plans import searching  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    _all()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _all()
     return dict(_SQL)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -18,3 +21,18 @@ def session(master: str | None = None, shuffle_partitions: int | None = None, **
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's URI under ``spark.checkpoint.dir``, which driver and executors share.
+
+    Only a session on one machine may be without that setting: then a temporary
+    folder of this machine is set as its checkpoint folder.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: a folder that driver and executors share is needed")
+        base = "file://" + tempfile.mkdtemp(prefix="glyphmill-")
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
