@@ -1,9 +1,8 @@
 """What editions hold, as joins and windows over the rows of their trees: verses, apparatus, notes, languages.
 
 Every function takes ``nodes`` rows of any number of documents.  What a node
-has from its ancestors comes by pointer jumping: as many joins of children
-with ancestors as the logarithm of the greatest depth, never nodes with all
-nodes of their document.
+has from its ancestors or its children comes from one pass in document order
+with a stack of the open nodes, never from nodes met with all of their document.
 """
 
 from __future__ import annotations
@@ -13,35 +12,21 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions.text import clean_passage, normalize_space
 from glyphmill.operators.nodes import texts
+from glyphmill.operators.tours import Open, carried_down, down_and_up
 
 #: Elements of a verse line whose text is none of the line's.
 NO_TEXT = ("rdg", "note", "milestone", "pb", "lb", "gap", "del", "label")
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
-def _rounds(tags: DataFrame) -> int:
-    deepest = tags.agg(F.max("level")).first()[0] or 0
-    return max(1, (deepest + 1).bit_length())
-
-
 def nearest_above(tags: DataFrame, own: Column, name: str = "value") -> DataFrame:
-    """``tags`` (doc_id, pre, parent_pre, level) with ``own`` where it isn't null, else that of the nearest ancestor that has one."""
-    state = tags.withColumn(name, own).withColumn("_jump", F.when(F.col(name).isNull(), F.col("parent_pre")))
-    for _ in range(_rounds(tags)):
-        above = state.select("doc_id", F.col("pre").alias("_jump"), F.col(name).alias("_value"), F.col("_jump").alias("_next"))
-        joined = state.join(above, ["doc_id", "_jump"], "left")
-        state = joined.withColumn("_jump", F.when(F.col(name).isNull() & F.col("_value").isNull(), F.col("_next"))).withColumn(name, F.coalesce(name, "_value")).drop("_value", "_next")
-    return state.drop("_jump")
+    """``tags`` (doc_id, pre, level, ...) with ``own`` where it isn't null, else that of the nearest ancestor that has one."""
+    return carried_down(tags.withColumn(name, own), name, lambda above, value: above if value is None else value)
 
 
 def joined_above(tags: DataFrame, own: Column, separator: str, name: str = "value") -> DataFrame:
-    """``tags`` with ``own`` of all ancestors from the root down and of the tag itself, those that are null left out; empty if there is none."""
-    state = tags.withColumn(name, F.coalesce(own, F.lit(""))).withColumn("_jump", F.col("parent_pre"))
-    for _ in range(_rounds(tags)):
-        above = state.select("doc_id", F.col("pre").alias("_jump"), F.col(name).alias("_value"), F.col("_jump").alias("_next"))
-        joined = state.join(above, ["doc_id", "_jump"], "left")
-        state = joined.withColumn("_jump", F.col("_next")).withColumn(name, F.concat_ws(separator, F.nullif("_value", F.lit("")), F.nullif(F.col(name), F.lit("")))).drop("_value", "_next")
-    return state.drop("_jump")
+    """``tags`` with ``own`` of all ancestors from the root down and of the tag itself, those that are null or empty left out; empty if there is none."""
+    return carried_down(tags.withColumn(name, own), name, lambda above, value: separator.join(x for x in (above, value) if x))
 
 
 def attribute(name: str) -> Column:
@@ -163,28 +148,88 @@ def gap_forms(nodes: DataFrame) -> DataFrame:
 #: Names of what is in some source language, and of the script of translations.
 SOURCE_LANGUAGE, SOURCE_SCRIPT, STUDY_SCRIPT = "source_other", "source_other", "latin"
 FORCED = ("foreign", "lem", "rdg")
+#: Elements whose ``xml:lang`` counts; a heading tells nothing of what it stands in.
+SENSITIVE = ("div", "note", "p", "ab", "lg", "q", "head", "quote", "label", "foreign", "seg", "lem", "rdg", "ex")
+HEADING = "head"
+
+_SPOKEN = ["doc_id", "level", "pre", "kind", "name", "forced", "language", "is_source", "script", "script_is_source"]
+
+
+def _spoken_text() -> Column:
+    return (F.col("kind") == "string") & F.col("data").rlike(r"(?U)\S")
 
 
 def assigned_languages(nodes: DataFrame, languages: DataFrame, scripts: DataFrame, default: tuple[str, str] = ("eng", STUDY_SCRIPT)) -> DataFrame:
     """(doc_id, pre, language, script, is_source) of every tag.
 
     ``languages`` (code, language, is_source) and ``scripts`` (code, script,
-    script_is_source) say what ``xml:lang`` and ``rendition`` mean.  A tag
-    without its own has its nearest ancestor's.  Foreign words, lemmas,
-    readings and editions are always in a source language and script.  Where
-    the language alone changes between source and study, the script starts anew.
+    script_is_source) say what ``xml:lang`` (up to its hyphen) and the last
+    class in ``rendition`` mean.  On the way down a tag has what it says itself,
+    if it is one whose ``xml:lang`` counts, else its parent's.  Foreign words,
+    lemmas, readings and editions are always in a source language and script.
+    Where the language alone changes between source and study, the script
+    starts anew.  On the way up a tag takes the language of its children, tags
+    but headings and texts that aren't blank, if all have the same one.
     """
-    tags = _tags(nodes).withColumn("code", attribute("xml:lang")).withColumn("scode", attribute("rendition"))
-    told = tags.join(F.broadcast(languages), "code", "left").join(F.broadcast(scripts.withColumnRenamed("code", "scode")), "scode", "left")  # lists of languages and scripts
-    forced = F.col("name").isin(*FORCED) | ((F.col("name") == "div") & (attribute("type") == "edition"))
-    own = F.when(forced, F.struct(F.when(F.col("is_source"), F.col("language")).otherwise(SOURCE_LANGUAGE).alias("language"), F.lit(True).alias("is_source"))).when(F.col("language").isNotNull(), F.struct("language", "is_source"))
-    spoken = nearest_above(told.withColumn("forced", forced), own, "spoken").withColumn("spoken", F.coalesce("spoken", F.struct(F.lit(default[0]).alias("language"), F.lit(False).alias("is_source"))))
-    above = spoken.select("doc_id", F.col("pre").alias("parent_pre"), F.col("spoken.is_source").alias("from_source"))
-    spoken = spoken.join(above, ["doc_id", "parent_pre"], "left")
-    to_source, from_source = F.col("spoken.is_source"), F.coalesce("from_source", F.lit(False))
-    event = (
-        F.when(F.col("forced"), F.when(F.col("script_is_source"), F.col("script")).otherwise(SOURCE_SCRIPT)).when(F.col("script").isNotNull(), F.col("script"))
-        .when(F.col("language").isNotNull() & from_source & ~to_source, STUDY_SCRIPT).when(F.col("language").isNotNull() & ~from_source & to_source, SOURCE_SCRIPT)
-    )
-    written = nearest_above(spoken.select("doc_id", "pre", "parent_pre", "level", "name", "spoken", event.alias("event")), F.col("event"), "written")
-    return written.where("name is not null").select("doc_id", "pre", F.col("spoken.language").alias("language"), F.coalesce("written", F.lit(default[1])).alias("script"), F.col("spoken.is_source").alias("is_source"))
+    code = F.substring_index(attribute("xml:lang"), "-", 1)
+    classes = F.filter(F.split(F.trim(attribute("rendition")), r"\s+"), lambda x: x.startswith("class:"))
+    # A class given without the word before it counts too.
+    scode = F.coalesce(F.nullif(F.replace(F.try_element_at(classes, F.lit(-1)), F.lit("class:"), F.lit("")), F.lit("undetermined")), F.when(~attribute("rendition").contains("class:"), attribute("rendition")))
+    told = nodes.where(F.col("kind").isin("tag", "tree") | _spoken_text()).withColumn("code", code).withColumn("scode", scode)
+    told = told.join(F.broadcast(languages), "code", "left").join(F.broadcast(scripts.withColumnRenamed("code", "scode")), "scode", "left")  # lists of languages and scripts
+    forced = F.coalesce(F.col("name").isin(*FORCED) | ((F.col("name") == "div") & (attribute("type") == "edition")), F.lit(False))
+    first = (*default, False)
+
+    def down(parent: Open | None, row: tuple) -> tuple:
+        _, _, _, kind, name, forced, language, is_source, script, script_is_source = row
+        above = parent.value if parent else first
+        if kind != "tag" or not forced and name not in SENSITIVE:
+            return above
+        if forced:
+            return language if is_source else SOURCE_LANGUAGE, script if script_is_source else SOURCE_SCRIPT, True
+        if language is None and script is None:
+            return above
+        source = above[2] if language is None else bool(is_source)
+        if script is None:
+            script = above[1] if source == above[2] else SOURCE_SCRIPT if source else STUDY_SCRIPT
+        return above[0] if language is None else language, script, source
+
+    def up(node: Open) -> tuple:
+        doc, _, pre, kind, name, *_ = node.row
+        if kind == "string":
+            return node.value, None
+        value = node.value
+        if kind == "tag" and len({v[:2] for v in node.given}) == 1:
+            value = min(node.given)
+        return (None if name == HEADING else value), (doc, pre, *value) if kind == "tag" else None
+
+    rows = told.withColumn("forced", forced)
+    return down_and_up(rows, _SPOKEN, f"doc_id {dict(nodes.dtypes)['doc_id']}, pre long, language string, script string, is_source boolean", down, up)
+
+
+#: Layout that is no language, and the text in it that is one; what has no language; the language of pages.
+LAYOUT, IN_LAYOUT, NO_LANGUAGE, PAGE_LANGUAGE = ("npage", "nline", "ncell"), ("span", "fw-contents"), "zxx latin", "eng latin"
+
+
+def completed_languages(nodes: DataFrame) -> DataFrame:
+    """(doc_id, pre, lang) of the tags of internal documents that have a text of their own.
+
+    A tag has its own ``lang``, else its parent's, at last that of pages.  Page,
+    line and cell marks and all in them are no language, but for the running
+    text in them, which has the language around the mark.
+    """
+    tags = _tags(nodes)
+    own = F.struct(F.col("name"), attribute("lang").alias("lang"), attribute("class").alias("class"), F.lit(False).alias("mark"))
+
+    def step(above, row):
+        lang, mark = (above["lang"], above["mark"]) if above else (PAGE_LANGUAGE, False)
+        if mark and (row["name"], row["class"]) != IN_LAYOUT:
+            return {**row, "lang": lang, "mark": True}
+        if row["name"] in LAYOUT:
+            return {**row, "lang": lang, "mark": True}
+        return {**row, "lang": row["lang"] or lang, "mark": False}
+
+    spoken = carried_down(tags.withColumn("spoken", own), "spoken", step).where("name is not null")
+    with_text = nodes.where(_spoken_text()).select("doc_id", F.col("parent_pre").alias("pre")).distinct()
+    lang = F.when(F.col("spoken.mark"), NO_LANGUAGE).otherwise(F.col("spoken.lang"))
+    return spoken.join(with_text, ["doc_id", "pre"], "left_semi").select("doc_id", "pre", lang.alias("lang"))

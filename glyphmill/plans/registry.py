@@ -1059,13 +1059,11 @@ def rule_report(spark, d):
     return found.groupBy("doc_id", "rule").agg(F.count("*").alias("n"))
 
 
-@query(rf"""with {_TURNS_SQL}, l as (select conv_id, k, case k % 4 when 1 then 'sanskrit' when 2 then 'english' else 'source_other' end as language, k % 4 <> 2 as is_source from turns)
-          select conv_id as doc_id, 'l' as name, language, case when k % 4 = 2 then 'latin' else 'source_other' end as script, is_source, count(*) as n from l group by all
-          union all select conv_id, 'note', language, case when k % 4 = 2 then 'latin' else 'source_other' end, is_source, count(*) from l group by all
-          union all select conv_id, 'foreign', 'source_other', 'source_other', true, count(*) from l group by conv_id
-          union all select conv_id, 'lem', 'source_other', 'source_other', true, count(*) from l group by conv_id
-          union all select conv_id, 'note', 'eng', 'latin', false, count(*) from l where k % 4 = 3 group by conv_id
-          union all select conv_id, 'div', 'source_other', 'source_other', true, 2 from l group by conv_id union all select conv_id, 'div', 'eng', 'latin', false, 1 from l group by conv_id""")
+# Lines are no elements whose xml:lang counts; where no note of the apparatus is in English, its lemmas and readings make it a source.
+@query(rf"""with {_TURNS_SQL}, l as (select conv_id, k from turns), c as (select conv_id, count(*) as n, count(*) filter (k % 4 = 3) as notes from l group by conv_id)
+          select conv_id as doc_id, unnest(['l', 'note', 'foreign', 'lem']) as name, 'source_other' as language, 'source_other' as script, true as is_source, n from c
+          union all select conv_id, 'note', 'eng', 'latin', false, notes from c where notes > 0
+          union all select conv_id, 'div', 'source_other', 'source_other', true, case when notes = 0 then 3 else 2 end from c union all select conv_id, 'div', 'eng', 'latin', false, 1 from c where notes > 0""")
 def edition_languages(spark, d):
     languages = spark.createDataFrame([("san", "sanskrit", True), ("eng", "english", False)], "code string, language string, is_source boolean")
     scripts = spark.createDataFrame([("x", "brahmi", True)], "code string, script string, script_is_source boolean")
@@ -1131,7 +1129,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _all() -> None:
     """The queries of the other modules add themselves when these are imported."""
-    from glyphmill.plans import searching, streams  # noqa: F401
+    from glyphmill.plans import passes, searching, streams  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
