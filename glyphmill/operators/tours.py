@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 
 def in_order(rows: DataFrame) -> DataFrame:
@@ -19,8 +20,13 @@ def in_order(rows: DataFrame) -> DataFrame:
     return rows.repartition("doc_id").sortWithinPartitions("doc_id", "pre")
 
 
-def carried_down(rows: DataFrame, name: str, step: Callable[[object, object], object]) -> DataFrame:
-    """``rows`` (doc_id, pre, level, ...) in which the column ``name`` becomes step(the parent's new value, its own); a root's parent has None."""
+def carried_down(rows: DataFrame, name: str, step: Callable[[object, object], object], shown: Callable[[object], object] | None = None, kind: str | None = None) -> DataFrame:
+    """``rows`` (doc_id, pre, level, ...) in which the column ``name`` becomes step(the parent's new value, its own); a root's parent has None.
+
+    ``shown`` of a value, of the type ``kind`` (DDL), goes into the column, if values are not of its own type.
+    """
+    kinds = StructType([StructField(f.name, rows.sparkSession.createDataFrame([], f"x {kind}").schema[0].dataType) if kind and f.name == name else f for f in rows.schema])
+    made = rows.sparkSession.createDataFrame([], kinds).limit(0).toArrow().schema.field(name) if kind else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_levels: list[tuple[int, object]] = []
@@ -34,11 +40,12 @@ def carried_down(rows: DataFrame, name: str, step: Callable[[object, object], ob
                     open_levels.pop()
                 value = step(open_levels[-1][1] if open_levels else None, own)
                 open_levels.append((level, value))
-                out.append(value)
+                out.append(shown(value) if shown else value)
             at = batch.schema.get_field_index(name)
-            yield batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
+            field = made or batch.schema.field(at)
+            yield batch.set_column(at, field, pa.array(out, field.type))
 
-    return in_order(rows).mapInArrow(run, rows.schema)
+    return in_order(rows).mapInArrow(run, kinds)
 
 
 class Open:
