@@ -9,12 +9,12 @@ to the pairs of halves, which changes no table's buckets of two and more.
 
 Documents that share a table key are candidates.  A bucket's members are tied
 to its smallest one; the components of these ties are clusters.  Within a
-cluster every document is compared with every other one, on full sets, through
-an index from shingles to documents, unless both are known to be in one
-component or the triangle inequality of the Jaccard distance rules a link out.  Clusters of over ``CHUNK_BYTES`` of text are dealt out: each chunk
-also gets the cluster's pivots, so what hangs together in several chunks is
-found through them; documents left outside the cluster's largest component are
-then compared with all chunks, block by block.
+cluster documents meet by the rarest of their shingles, of which linked ones
+share some, and are then compared on full sets, unless they are known to be in
+one component.  Clusters of over ``CHUNK_BYTES`` of text are dealt out: each
+chunk also gets the cluster's pivots, so what hangs together in several chunks
+is found through them; documents left outside the cluster's largest component
+then meet all chunks, block by block.
 
 Defined results: texts without words have the empty set and no links; rows of
 a null id have no links; texts with equal sets are compared once; rows with
@@ -119,42 +119,79 @@ def candidate_ties(signed: DataFrame) -> DataFrame:
 
 
 class SetIndex:
-    """Shingle sets of a group of documents, and for each shingle the documents that have it."""
+    """Shingle sets of a group of documents, and who has what.
 
-    def __init__(self, sets: list[np.ndarray]):
-        self.sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-        ends = np.cumsum(self.sizes)
-        self.starts = ends - self.sizes
-        _, self.shingle = np.unique(np.concatenate(sets), return_inverse=True)
+    Two linked documents share at least ``percent`` of each one's shingles, so
+    with all shingles in one order, the rarest first, the heads of their lists
+    share one: heads of all but ``percent`` of a list, and one more.  Only heads
+    are indexed, so what many documents share brings none of them together as
+    long as they have rarer shingles.
+    """
+
+    def __init__(self, sets: list[np.ndarray], percent: int = PERCENT):
+        self.percent, self.sizes = percent, np.fromiter(map(len, sets), np.int64, len(sets))
+        self.ends = np.cumsum(self.sizes)
+        self.starts = self.ends - self.sizes
+        _, shingle, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        order = np.argsort(count, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
         owner = np.repeat(np.arange(len(sets)), self.sizes)
-        self.holders = owner[np.argsort(self.shingle, kind="stable")]
-        self.count = np.bincount(self.shingle)
+        #: Each document's shingles by rank, ascending; a rank's document frequency only falls behind higher ranks'.
+        self.shingle = rank[shingle]
+        self.shingle = self.shingle[np.lexsort((self.shingle, owner))]
+        self.marked = np.zeros(len(order), bool)
+        head = self.sizes - -(-percent * self.sizes // 100) + 1
+        self.head_ends = self.starts + np.minimum(head, self.sizes)
+        at = np.arange(len(owner)) < np.repeat(self.head_ends, self.sizes)
+        heads, held = self.shingle[at], owner[at]
+        by_shingle = np.argsort(heads, kind="stable")
+        self.holders = held[by_shingle]
+        self.count = np.bincount(heads, minlength=len(order))
         self.first = np.cumsum(self.count) - self.count
 
-    def overlaps(self, k: int) -> np.ndarray:
-        """How many shingles each document shares with document k."""
-        own = self.shingle[self.starts[k] : self.starts[k] + self.sizes[k]]
+    def _holders(self, own: np.ndarray) -> np.ndarray:
+        """The documents in whose heads any of the shingles stands."""
         count = self.count[own]
         ends = np.cumsum(count)
-        at = np.arange(ends[-1]) + np.repeat(self.first[own] - ends + count, count)
-        return np.bincount(self.holders[at], minlength=len(self.sizes))
-
-    def linked(self, k: int, percent: int = PERCENT) -> np.ndarray:
-        """Which documents are linked with document k (itself among them)."""
-        both = self.overlaps(k)
-        return 100 * both >= percent * (self.sizes + self.sizes[k] - both)
-
-
-def group_components(index: SetIndex, percent: int = PERCENT) -> np.ndarray:
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.first[own] - ends + count, count)
+        return np.unique(self.holders[at])
+
+    def linked(self, k: int, component: np.ndarray | None = None, mixed: np.ndarray | None = None) -> np.ndarray:
+        """The documents linked with document k, itself among them; with ``component`` only those of another, by the ``mixed`` shingles."""
+        own = self.shingle[self.starts[k] : self.head_ends[k]]
+        others = self._holders(own if mixed is None else own[mixed[own]])
+        if component is not None:
+            others = others[component[others] != component[k]]
+        size = self.sizes[others]
+        others = others[(100 * size >= self.percent * self.sizes[k]) & (100 * self.sizes[k] >= self.percent * size)]
+        if not len(others):
+            return others
+        whole = self.shingle[self.starts[k] : self.ends[k]]
+        self.marked[whole] = True
+        sizes = self.sizes[others]
+        ends = np.cumsum(sizes)
+        at = np.arange(ends[-1]) + np.repeat(self.starts[others] - ends + sizes, sizes)
+        both = np.add.reduceat(self.marked[self.shingle[at]], ends - sizes, dtype=np.int64)
+        self.marked[whole] = False
+        return others[100 * both >= self.percent * (sizes + self.sizes[k] - both)]
+
+    def mixed(self, component: np.ndarray) -> np.ndarray:
+        """The shingles that stand in heads of several components."""
+        out, held = np.zeros(len(self.count), bool), np.flatnonzero(self.count)
+        own = component[self.holders]
+        if len(held):
+            out[held] = np.minimum.reduceat(own, self.first[held]) != np.maximum.reduceat(own, self.first[held])
+        return out
+
+
+def group_components(index: SetIndex) -> np.ndarray:
     """The number of each document's component, counted by its first document.
 
     A component is grown from each document that none has reached, as long as
-    that finds more: the documents asked are compared with all others.  A link
-    that this can miss is between two documents not asked, which two asked ones
-    brought into different components; the distance of those two, less their
-    distances from them, must then be within the limit (the triangle inequality
-    of the Jaccard distance).  All such documents but those of the largest
-    component are asked as well.
+    that finds more.  Links that this misses are between documents not asked;
+    all of these but the largest component's then ask the other components,
+    whose documents share a shingle of their heads with them.
     """
     n = len(index.sizes)
     root = np.arange(n)
@@ -164,25 +201,12 @@ def group_components(index: SetIndex, percent: int = PERCENT) -> np.ndarray:
             root[k] = k = root[root[k]]
         return int(k)
 
-    inside, asked = np.zeros(n, bool), np.zeros(n, bool)
-    bringer, distance = np.arange(n), np.zeros(n)
-    pivots: dict[int, np.ndarray] = {}
-
-    def ask(k: int) -> np.ndarray:
-        both = index.overlaps(k)
-        union = index.sizes + index.sizes[k] - both
-        asked[k] = True
-        pivots[k] = apart = (1 - both / union).astype(np.float32)
-        near = np.flatnonzero(100 * both >= percent * union)
-        new = near[~inside[near]]
-        inside[new] = True
-        bringer[new], distance[new] = k, apart[new]
-        roots = np.unique([find(k), *np.unique(root[near])])
-        roots = sorted({find(int(r)) for r in roots})
+    def join(k: int, near: np.ndarray) -> None:
+        roots = sorted({find(k), *(find(int(r)) for r in np.unique(root[near]))})
         root[roots] = roots[0]
-        root[new] = roots[0]
-        return new
+        root[near] = roots[0]
 
+    inside, asked = np.zeros(n, bool), np.zeros(n, bool)
     for start in range(n):
         if inside[start]:
             continue
@@ -190,23 +214,21 @@ def group_components(index: SetIndex, percent: int = PERCENT) -> np.ndarray:
         queue, idle = [start], 0
         while queue and idle < 3:
             k = queue.pop()
-            new = ask(k).tolist()
-            queue += new
-            idle = 0 if new else idle + 1
-        if len(pivots) > 64:  # their distances are only needed from documents that brought others
-            brought = set(np.unique(bringer[~asked & inside]).tolist())
-            for k in [k for k in pivots if k not in brought]:
-                del pivots[k]
+            near = index.linked(k)
+            asked[k] = True
+            new = near[~inside[near]]
+            inside[new] = True
+            join(k, near)
+            queue += new.tolist()
+            idle = 0 if len(new) else idle + 1
     component = np.array([find(k) for k in range(n)])
     quiet = np.flatnonzero(~asked)
-    if len(quiet) and len(sizes := np.bincount(component[quiet], minlength=n).nonzero()[0]) > 1:
-        largest = sizes[np.argmax(np.bincount(component[quiet], minlength=n)[sizes])]
-        reach = {int(p): float(distance[quiet[bringer[quiet] == p]].max()) for p in np.unique(bringer[quiet])}
-        limit = 1 - percent / 100 + 1e-6
+    if len(quiet) and len(own := np.unique(component[quiet])) > 1:
+        sizes = np.bincount(component[quiet], minlength=n)
+        largest, mixed = own[np.argmax(sizes[own])], index.mixed(component)
         for k in quiet[component[quiet] != largest].tolist():
-            mine = pivots[int(bringer[k])]
-            if any(find(p) != find(k) and mine[p] - distance[k] - far <= limit for p, far in reach.items()):
-                ask(k)
+            if len(near := index.linked(k, component, mixed)):
+                join(k, near)
         component = np.array([find(k) for k in range(n)])
     return component
 
@@ -225,7 +247,7 @@ def _roots(percent: int):
     def work(rows: list[tuple]) -> Iterator[tuple]:
         # Pivots first, then by id: a component's name is its first pivot, else its smallest id.
         rows.sort(key=lambda r: (not r[1], r[0]))
-        found = group_components(SetIndex([shingles(t) for _, _, t in rows]), percent)
+        found = group_components(SetIndex([shingles(t) for _, _, t in rows], percent))
         for (i, _, _), k in zip(rows, found, strict=True):
             yield i, rows[k][0]
 
@@ -235,10 +257,10 @@ def _roots(percent: int):
 def _outer_links(percent: int):
     def work(rows: list[tuple]) -> Iterator[tuple]:
         # (id, component, asks, text): documents that ask are compared with all; one link to each component is enough.
-        index = SetIndex([shingles(r[3]) for r in rows])
+        index = SetIndex([shingles(r[3]) for r in rows], percent)
         for k, (i, own, asks, _) in enumerate(rows):
             if asks:
-                near = {rows[x][1] for x in np.flatnonzero(index.linked(k, percent))}
+                near = {rows[x][1] for x in index.linked(k)}
                 yield from ((i, c) for c in near if c != own)
 
     return work
