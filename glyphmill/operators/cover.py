@@ -98,10 +98,11 @@ def text_places(nodes: DataFrame) -> DataFrame:
 def cells(nodes: DataFrame) -> DataFrame:
     """(doc_id, page, line, cell, page_n, line_n, cell_n, phantom, start, stop, text): every cell with its interval of the edition's text."""
     rows = placed(nodes)
-    begun = F.bool_or((F.col("unit") == CELL) & F.col("phantom"))
+    # A cell's page and line are those at its start; its rows go on to the marks that start the next one.
+    at_start = lambda c: F.max(F.when(F.col("unit") == CELL, F.col(c)))
     pieces = F.sort_array(F.collect_list(F.when(F.col("data").isNotNull(), F.struct("pre", "data"))))
     grouped = rows.where("cell > 0").groupBy("doc_id", "cell").agg(
-        F.max("page").alias("page"), F.max("line").alias("line"), *[F.max_by(f"{u}_n", F.struct("at", "sub", "pre")).alias(f"{u}_n") for u in UNITS],
-        F.coalesce(begun, F.lit(False)).alias("phantom"), F.min(F.when(F.col("unit") == CELL, F.col("start"))).alias("start"), F.array_join(pieces["data"], "").alias("text"),
+        *[at_start(c).alias(c) for c in ("page", "line", "phantom", *(f"{u}_n" for u in UNITS))],
+        F.min(F.when(F.col("unit") == CELL, F.col("start"))).alias("start"), F.array_join(pieces["data"], "").alias("text"),
     )
     return grouped.withColumn("stop", F.col("start") + F.length("text"))

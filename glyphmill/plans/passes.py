@@ -115,7 +115,7 @@ def _marked(spark, d) -> DataFrame:
         union all select conv_id, -9, 0, 'page', null, true, null from f where first is distinct from 'page' union all select conv_id, -9, 1, 'line', null, true, null from f where first is null or first = 'cell'
         union all select conv_id, -9, 2, 'cell', null, true, null from f where first is null union all select conv_id, k, sub * 10, null, null, false, data from e where data is not null),
   r as (select *, count(*) filter (unit = 'page') over w as page, count(*) filter (unit = 'line') over w as line, count(*) filter (unit = 'cell') over w as cell, k * 100 + sub as o, sum(coalesce(length(data), 0)) over w - coalesce(length(data), 0) as start from s window w as (partition by conv_id order by k, sub)),
-  l as (select conv_id, cell, max(page) as page, max(line) as line, bool_or(unit = 'cell' and phantom) as phantom, min(start) filter (unit = 'cell') as start, coalesce(string_agg(data, '' order by o) filter (data is not null), '') as text from r where cell > 0 group by conv_id, cell)
+  l as (select conv_id, cell, max(page) filter (unit = 'cell') as page, max(line) filter (unit = 'cell') as line, bool_or(unit = 'cell' and phantom) as phantom, min(start) filter (unit = 'cell') as start, coalesce(string_agg(data, '' order by o) filter (data is not null), '') as text from r where cell > 0 group by conv_id, cell)
   select l.conv_id as doc_id, l.page, l.line, l.cell, coalesce(l.phantom, false) as phantom, l.start::bigint as start, (l.start + length(text))::bigint as stop, text, coalesce(p.n, '') as page_n, coalesce(i.n, '') as line_n, coalesce(c.n, '') as cell_n
   from l join r p on p.conv_id = l.conv_id and p.unit = 'page' and p.page = l.page join r i on i.conv_id = l.conv_id and i.unit = 'line' and i.line = l.line join r c on c.conv_id = l.conv_id and c.unit = 'cell' and c.cell = l.cell""")
 def page_line_cells(spark, d):

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions import text as T
 from glyphmill.functions.collate import sort_columns
-from glyphmill.operators import catalog, holdings, nodes, parallels, quality, relational, rules, trees
+from glyphmill.operators import catalog, cover, holdings, nodes, parallels, quality, relational, rules, trees
 from glyphmill.session import shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -133,6 +133,11 @@ def anti_join(spark, d):
     return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
+@query("select doc_id from documents where doc_id not in (select doc_id from labels)")
+def anti_join_labels(spark, d):
+    return table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left_anti").select("doc_id")
+
+
 @query("select n_nationkey from nation where n_regionkey in (select r_regionkey from region where r_name like 'A%')")
 def semi_join(spark, d):
     return table(spark, d, "nation").join(table(spark, d, "region").where("r_name like 'A%'"), F.col("n_regionkey") == F.col("r_regionkey"), "left_semi").select("n_nationkey")
@@ -991,13 +996,13 @@ def xpath_patterns(spark, d):
 @query("""with l as (select conv_id, turn, trim(regexp_replace(replace(text, chr(39), '’'), '\\s+', ' ', 'g'), ' ') as t from conversations)
           select conv_id as doc_id, string_agg(t, chr(10) order by turn) filter (t <> '') as logical, count(*)::int as lines from l group by conv_id""")
 def edition_displays(spark, d):
-    from glyphmill.operators import editions
-
-    # A conversation is an edition: a verse with a line for each turn.
+    # A conversation is an edition: a verse with a line for each turn, of which blank ones aren't shown.
     line = F.concat(F.lit("<l><lb n='"), "turn", F.lit("'/>"), T.quote_xml(F.col("text")), F.lit("</l>"))
     listed = table(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", line.alias("x")))).alias("l"))
     whole = F.concat(F.lit("<TEI><text><body><div type='edition'><lg>"), F.array_join(F.transform("l", lambda x: x["x"]), ""), F.lit("</lg></div></body></text></TEI>"))
-    return editions.displays(listed.select("conv_id", whole.alias("x")), "conv_id", "x").select("doc_id", "logical", "lines")
+    found = cover.cells(nodes.nodes(listed.select("conv_id", whole.alias("x")), "conv_id", "x")).groupBy("doc_id", "line").agg(F.array_join(F.sort_array(F.collect_list(F.struct("cell", "text")))["text"], "").alias("text"))
+    shown = found.withColumn("text", F.nullif(T.normalize_space(F.replace("text", F.lit("'"), F.lit("’"))), F.lit("")))
+    return shown.groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("line", "text"))))["text"], "\n").alias("logical"), F.count("*").cast("int").alias("lines"))
 
 
 # Editions made of conversations: a verse with a line for each turn, and an apparatus; with notes, gaps, numbers and languages.
@@ -1075,7 +1080,8 @@ def edition_languages(spark, d):
 @query(r"""with t as (select page_id, replace(regexp_replace(replace(html, '="</p>"', '="' || chr(1) || '/p>"'), '<!--.*?-->|</?[a-zA-Z!][^>]*>', '', 'g'), chr(1), '<') as x from pages)
           select page_id, replace(replace(replace(replace(replace(replace(replace(replace(x, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', chr(160)), '&amp;', '&') as text from t""")
 def html_text(spark, d):
-    return table(spark, d, "pages").select("page_id", T.html_text(F.col("html")).alias("text"))
+    rows = _nodes(spark, d)
+    return nodes.texts(rows).join(rows.where("kind = 'tree'").select("doc_id", "pre"), ["doc_id", "pre"]).select(F.col("doc_id").alias("page_id"), "text")
 
 
 _ISSUES_SQL = """l as (select doc_id, unnest(ls) as line, unnest(range(1, len(ls) + 1)) as line_no from (select doc_id, regexp_split_to_array(replace(replace(text, 'q', 'х'), 'z', 'z̊'), '[\r\n]') as ls from documents where text is not null))"""
@@ -1129,7 +1135,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _all() -> None:
     """The queries of the other modules add themselves when these are imported."""
-    from glyphmill.plans import checks, passes, searching, streams  # noqa: F401
+    from glyphmill.plans import checks, passages, passes, searching, streams  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -87,7 +87,8 @@ def test_every_text_has_its_places(spark):
     assert [(r.doc_id, r.page, r.line, r.cell, r.page_n, r.line_n, r.cell_n, r.data) for r in got] == want
     for r in cover.cells(tree(spark, texts)).collect():
         whole = "".join(e for e in docs[r.doc_id] if isinstance(e, str))
-        assert whole[r.start : r.stop] == r.text and r.page and r.line
+        own = [(x.page, x.line, x.page_n, x.line_n, x.cell_n) for x in got if (x.doc_id, x.cell) == (r.doc_id, r.cell)]
+        assert whole[r.start : r.stop] == r.text and set(own) <= {(r.page, r.line, r.page_n, r.line_n, r.cell_n)} and r.page and r.line
 
 
 PATTERNS = ["/html/head", "head/title", "li/a", "ul/li", "div//p", "article//a", "html//li/a", "p", "a", "body/*", "*"]
