@@ -75,16 +75,37 @@ def verse_lines(nodes: DataFrame) -> DataFrame:
 
 # ---- apparatus and notes
 
-def apparatus(nodes: DataFrame) -> DataFrame:
-    """(doc_id, list_pre, paragraph, text): the entries of each ``listApp`` that have a lemma with text.
+def sigla(nodes: DataFrame) -> DataFrame:
+    """(doc_id, ref, siglum) of the bibliographies in editions: items with a short name of their own, the first of those that point to one work."""
+    tags = _tags(nodes)
+    items = tags.where("name = 'bibl'").select("doc_id", F.col("pre").alias("item"), attribute("n").alias("siglum")).where("siglum is not null")
+    works = tags.where("name = 'ptr'").select("doc_id", F.col("parent_pre").alias("item"), "pre", F.regexp_replace(attribute("target"), "^bib:", "").alias("ref")).where("ref is not null")
+    return works.join(items, ["doc_id", "item"]).groupBy("doc_id", "ref").agg(F.min_by("siglum", "pre").alias("siglum"))
+
+
+def _resolved(parts: DataFrame, nodes: DataFrame, works: DataFrame | None) -> DataFrame:
+    """``parts`` (doc_id, pre, sources) with each source by its siglum, else as the bibliography ``works`` (ref, shown) shows it, else as it is."""
+    told = parts.select("doc_id", "pre", F.posexplode("sources").alias("at", "ref")).join(sigla(nodes), ["doc_id", "ref"], "left")
+    shown = F.coalesce("siglum", "ref")
+    if works is not None:
+        told, shown = told.join(works.select("ref", F.col("shown").alias("_work")), "ref", "left"), F.coalesce("siglum", "_work", "ref")
+    named = told.groupBy("doc_id", "pre").agg(F.sort_array(F.collect_list(F.struct("at", shown.alias("shown"))))["shown"].alias("named"))
+    return parts.join(named, ["doc_id", "pre"], "left").withColumn("sources", F.coalesce("named", F.array().cast("array<string>"))).drop("named")
+
+
+def apparatus(nodes: DataFrame, works: DataFrame | None = None) -> DataFrame:
+    """(doc_id, list_pre, paragraph, text): the entries of each ``listApp`` that have a lemma with text.
 
     Consecutive entries of one place share a paragraph (W4).  An entry is its
-    place, lemma, readings and notes, lemma and readings with their sources.
+    place, first lemma, readings and notes, lemma and readings with their
+    sources: the siglum that the edition's bibliography gives, else the form
+    that ``works`` (ref, shown; one row for each ref) has, else the reference.
     """
     words = texts(nodes).withColumn("text", normalize_space(F.col("text")))
     tags = _tags(nodes)
     sources = F.array_distinct(F.filter(F.transform(F.split(F.coalesce(attribute("source"), F.lit("")), r"\s+"), lambda x: F.regexp_replace(x, "^bib:", "")), lambda x: x != ""))
     parts = tags.where("name in ('lem', 'rdg', 'note')").select("doc_id", "pre", F.col("parent_pre").alias("app"), "name", sources.alias("sources")).join(words, ["doc_id", "pre"])
+    parts = _resolved(parts, nodes, works)
     shown = F.concat_ws(" ", F.nullif("text", F.lit("")), F.when(F.col("name") != "note", F.nullif(F.array_join("sources", " "), F.lit(""))))
     listed = F.sort_array(F.collect_list(F.struct("pre", "name", shown.alias("shown"), "text")))
     grouped = parts.groupBy("doc_id", "app").agg(listed.alias("parts"))
@@ -98,7 +119,7 @@ def apparatus(nodes: DataFrame) -> DataFrame:
         F.when(readings, F.concat(F.lit(" ◇ "), joined("rdg", "; "), F.when(notes, "").otherwise("."))).otherwise(""),
         F.when(notes, F.concat(F.lit(" • "), joined("note", " • "))).otherwise(""),
     )
-    filled = apps.join(grouped, ["doc_id", "app"]).where(F.coalesce(F.get(of("lem"), F.lit(0))["text"], F.lit("")) != "").withColumn("entry", entry)
+    filled = apps.join(grouped, ["doc_id", "app"]).where(F.exists(of("lem"), lambda x: x["text"] != "")).withColumn("entry", entry)
     w = Window.partitionBy("doc_id", "list_pre").orderBy("app")
     begins = (~F.lag("loc").over(w).eqNullSafe(F.col("loc"))).cast("int")
     marked = filled.withColumn("_new", begins).withColumn("paragraph", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
