@@ -279,10 +279,14 @@ def display_matches(df: DataFrame, key: str, text: str, term: str) -> DataFrame:
 
 def covered(display: str, term: str) -> list[dict]:
     """The places in ``display`` of a folded term's occurrences from the left."""
-    folded = [fold_expansion(c) for c in display]
-    ends = list(itertools.accumulate(map(len, folded)))
-    whole, out, done = "".join(folded), [], 0  # characters of ``display`` before ``done`` are covered
+    whole, out, done = fold_expansion(display), [], 0  # characters of ``display`` before ``done`` are covered
     at = whole.find(term) if term else -1
+    if len(whole) == len(display):  # every character stands for one
+        while at >= 0:
+            out.append({"start": at, "length": len(term)})
+            at = whole.find(term, at + len(term))
+        return out
+    ends = list(itertools.accumulate(len(fold_expansion(c)) for c in display)) if at >= 0 else []
     while at >= 0:
         first = max(bisect_right(ends, at), done)
         after = bisect_left(ends, at + len(term)) + 1
@@ -293,6 +297,6 @@ def covered(display: str, term: str) -> list[dict]:
     return out
 
 
-def fold_expansion(c: str) -> str:
-    """A single character's folded form, marks kept."""
-    return c.casefold().replace("œ", "oe").replace("æ", "ae").replace("đ", "d")
+def fold_expansion(text: str) -> str:
+    """The folded form of each character, marks kept; none depends on its neighbours."""
+    return text.casefold().replace("œ", "oe").replace("æ", "ae").replace("đ", "d")

@@ -29,13 +29,21 @@ def report(messages: DataFrame) -> DataFrame:
     return messages.orderBy("doc_id", F.col("line").asc_nulls_last(), F.col("col").asc_nulls_last(), "message")
 
 
+#: What a cluster of several characters has one of (marks, joiners and other format characters, jamo, flags, skin tones, letters that go before others), or a Cyrillic letter.
+SUSPICIOUS = (
+    r"[\p{M}\p{Cf}\x{1100}-\x{11FF}\x{A960}-\x{A97F}\x{D7B0}-\x{D7FF}\x{FF9E}\x{FF9F}\x{1F1E6}-\x{1F1FF}\x{1F3FB}-\x{1F3FF}\x{0D4E}\x{110BD}\x{110CD}\x{111C2}\x{111C3}\x{1193F}\x{11941}"
+    r"\x{11A3A}\x{11A84}-\x{11A89}\x{11D46}\x{11F02}\p{InCyrillic}\x{0500}-\x{052F}\x{1C80}-\x{1C8F}\x{1D2B}\x{1D78}\x{2DE0}-\x{2DFF}\x{A640}-\x{A69F}\x{1E030}-\x{1E08F}]"
+)
+
+
 def cluster_problems(df: DataFrame, key: str, text: str) -> DataFrame:
     """V5: (key, line_no, at, cluster, names, highlighted_line) of the clusters that no script here has; ``at`` counts them within the line.
 
-    Lines end at carriage returns and line feeds only, each for itself.  ASCII
-    lines have no problems and are left out before anything is normalised.
+    Lines end at carriage returns and line feeds only, each for itself.  Lines
+    of single letters, none of them Cyrillic, have no problems and are left out
+    before anything is normalised.
     """
-    lines = df.select(F.col(key).alias("k"), F.posexplode(F.split(text, r"[\r\n]", -1)).alias("n", "raw")).where(~F.col("raw").rlike(r"\A[\x00-\x7F]*\z"))
+    lines = df.select(F.col(key).alias("k"), F.posexplode(F.split(text, r"[\r\n]", -1)).alias("n", "raw")).where(F.col("raw").rlike(SUSPICIOUS))
     clusters = lines.select("k", "n", graphemes(nfc(F.col("raw"))).alias("gs"))
     found = clusters.select("k", "n", "gs", F.posexplode("gs").alias("at", "cluster")).where(~is_valid_cluster(F.col("cluster")))
     part = lambda start, size: quote_html(F.array_join(F.slice("gs", start, size), ""))

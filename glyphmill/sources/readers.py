@@ -85,13 +85,14 @@ REGISTERS = ("idhal", "idref", "orcid", "viaf", "wikidata")
 
 def members(nodes: DataFrame) -> DataFrame:
     """(id, name array, affiliation, a column for each of REGISTERS, print_name, inverted_name) from the nodes of a list of members; numbers are the last parts of addresses."""
-    from glyphmill.operators.nodes import XPath, texts
+    from glyphmill.operators.nodes import texts
+    from glyphmill.operators.trees import nearest_above
 
-    find, text = XPath(nodes), texts(nodes)
-    persons = find.find("//person").select("doc_id", "pre", "post", F.try_element_at("attrs", F.lit("xml:id")).alias("id"))
     part = F.when(F.col("name") == "idno", F.lower(F.try_element_at("attrs", F.lit("type")))).otherwise(F.col("name"))
-    parts = nodes.where("name in ('name', 'forename', 'surname', 'affiliation', 'idno')").select("doc_id", F.col("pre").alias("p"), F.col("post").alias("q"), part.alias("part")).join(text.withColumnRenamed("pre", "p"), ["doc_id", "p"])
-    inside = persons.join(parts, "doc_id").where("p > pre and q < post")
+    tags = nodes.where("kind in ('tag', 'tree')").select("doc_id", "pre", "level", "name", part.alias("part"), F.when(F.col("name") == "person", F.try_element_at("attrs", F.lit("xml:id"))).alias("own"))
+    within = nearest_above(tags, F.col("own"), "id")
+    parts = within.where("name in ('name', 'forename', 'surname', 'affiliation', 'idno') and id is not null").select("doc_id", "pre", "id", "part")
+    inside = parts.join(texts(nodes), ["doc_id", "pre"]).withColumnRenamed("pre", "p")
     named = inside.groupBy("id").agg(F.sort_array(F.collect_list(F.when(F.col("part").isin("name", "forename", "surname"), F.struct("p", F.trim("text").alias("t"))))).alias("n"), F.max(F.when(F.col("part") == "affiliation", F.trim("text"))).alias("affiliation"), *[F.max(F.when(F.col("part") == r, F.element_at(F.split(F.trim("text"), "/"), -1))).alias(r) for r in REGISTERS])
     return named.select(F.element_at(F.split("id", "/"), -1).alias("id"), F.transform("n", lambda x: x["t"]).alias("name"), "affiliation", *REGISTERS).withColumns(names("name"))
 
