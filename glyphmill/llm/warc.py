@@ -187,19 +187,29 @@ class CaptureIndex:
         shards = materialise(sorted_rows.mapInArrow(run, "first binary, last binary, directory string")).collect()  # one for each task
         return cls([(bytes(r["first"]), r["directory"]) for r in sorted(shards, key=lambda r: (bytes(r["first"]), bytes(r["last"])))])
 
-    def find(self, key: str) -> Iterator[tuple[str, int | None, str, int, int]]:
-        """(key, id, file, offset, length) of a key's captures."""
+    def blocks(self, key: str) -> Iterator[tuple[str, int, int]]:
+        """(file, offset, length) of the blocks that can have a key's captures."""
         want = key.encode()
         # A key may begin in the shard before the first that starts with it, and go on in later ones.
         for at in range(max(0, bisect_left(self.firsts, want) - 1), bisect_right(self.firsts, want)):
             file, firsts, ranges = _directory(self.shards[at][1])
             for block in range(max(0, bisect_left(firsts, want) - 1), bisect_right(firsts, want)):
-                lines = _block(file, *ranges[block])
-                for k in range(bisect_left(lines, want + b"\t"), len(lines)):
-                    own, i, archive, offset, length = lines[k].split(b"\t")
-                    if own != want:
-                        break
-                    yield key, int(i) if i else None, archive.decode(), int(offset), int(length)
+                yield file, *ranges[block]
+
+    def find(self, key: str) -> Iterator[tuple[str, int | None, str, int, int]]:
+        """(key, id, file, offset, length) of a key's captures."""
+        for block in self.blocks(key):
+            yield from captures_in(key, *block)
+
+
+def captures_in(key: str, file: str, offset: int, length: int) -> Iterator[tuple[str, int | None, str, int, int]]:
+    """A key's captures in a block, whose lines are bisected."""
+    want, lines = key.encode(), _block(file, offset, length)
+    for k in range(bisect_left(lines, want + b"\t"), len(lines)):
+        own, i, archive, at, size = lines[k].split(b"\t")
+        if own != want:
+            return
+        yield key, int(i) if i else None, archive.decode(), int(at), int(size)
 
 
 @lru_cache(maxsize=4)
@@ -217,16 +227,26 @@ def _block(uri: str, offset: int, length: int) -> list[bytes]:
 
 
 def look_up(index: CaptureIndex, urls: DataFrame, url_col: str = "url") -> DataFrame:
-    """The captures of each row's URL; rows in key order share blocks."""
+    """The captures of each row's URL.
+
+    Keys are looked up in key order, so they share directories; what they need
+    is dealt by block, so a key with very many captures is read by many tasks.
+    """
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from batches_of(((reversed_host_key(u),) for (u,) in rows_of(batches, "u")), pa.schema([("key", pa.string())]))
 
+    def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = ((key, *block) for (key,) in rows_of(batches, "key") for block in index.blocks(key))
+        yield from batches_of(found, pa.schema([("key", pa.string()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = (x for (key,) in rows_of(batches, "key") for x in index.find(key))
+        found = (x for row in rows_of(batches, "key", "file", "offset", "length") for x in captures_in(*row))
         yield from batches_of(found, pa.schema([("key", pa.string()), ("id", pa.int64()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())]))
 
     asked = urls.select(F.col(url_col).alias("u")).mapInArrow(keys, "key string").distinct()
-    return asked.repartitionByRange("key").sortWithinPartitions("key").mapInArrow(run, "key string, id long, file string, offset long, length long")
+    located = asked.repartitionByRange("key").sortWithinPartitions("key").mapInArrow(locate, "key string, file string, offset long, length long")
+    dealt = located.repartition("file", "offset").sortWithinPartitions("file", "offset", "key")
+    return dealt.mapInArrow(run, "key string, id long, file string, offset long, length long")
 
 
 def read_captures(captures: DataFrame, id_col: str = "page_id") -> DataFrame:
