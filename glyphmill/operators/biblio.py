@@ -256,8 +256,9 @@ def listed_entry(data: Column, location: Column | None = None, siglum: Column |
         out = F.concat(F.when(siglum.isNotNull(), F.concat(F.lit("<b>["), siglum, F.lit("]</b> "))).otherwise(""), out)
     if location is None:
         return out
-    ranges = _ranges(location, True)
-    return F.concat(out, F.when(F.size(location) > 0, F.concat(F.lit(" "), F.upper(F.substring(ranges, 1, 1)), F.substr(ranges, F.lit(2)), F.lit("."))).otherwise(""))
+    # Through an array, so that the ranges' expression stands in the plan once.
+    said = F.transform(F.array(_ranges(location, True)), lambda r: F.concat(F.lit(" "), F.upper(F.substring(r, 1, 1)), F.substr(r, F.lit(2)), F.lit(".")))
+    return F.concat(out, F.when(F.size(location) > 0, F.get(said, F.lit(0))).otherwise(""))
 
 
 def reference(data: Column, form: str = "default") -> Column:

@@ -113,3 +113,14 @@ def without(a: Column, b: Column) -> Column:
 def defaulted(array: Column, default: str) -> Column:
     """Q9: an array that is null or empty gets a default element."""
     return F.when(F.coalesce(F.size(array), F.lit(0)) > 0, array).otherwise(F.array(F.lit(default)))
+
+
+#: Fixed value: what is done with a repository's files, in order.
+STEPS = ("delete", "insert", "update")
+
+
+def processing_order(changes: DataFrame, repo: str = "repo", action: str = "action", name: str = "name") -> DataFrame:
+    """(repo, position, action, name): a repository's files as they are dealt with, deletions first, then new and changed ones, each by name; what is kept has no place."""
+    step = F.array_position(F.array(*[F.lit(s) for s in STEPS]), F.col(action))
+    position = F.row_number().over(Window.partitionBy(repo).orderBy(step, name)).cast("long")
+    return changes.where(F.col(action).isin(*STEPS)).select(repo, position.alias("position"), action, name)

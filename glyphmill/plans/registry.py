@@ -1135,7 +1135,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _all() -> None:
     """The queries of the other modules add themselves when these are imported."""
-    from glyphmill.plans import checks, passages, passes, searching, streams  # noqa: F401
+    from glyphmill.plans import checks, passages, passes, reading, searching, streams  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
