@@ -816,7 +816,7 @@ def bib_entries(spark, d):
     from glyphmill.operators import biblio
 
     whole = _records(spark, d).select(F.from_json(F.to_json(F.struct("key", "version", "data")), biblio.RECORD).alias("r")).select("r.*")
-    return whole.select("key", biblio.entry(F.col("data")).alias("entry")).where("entry is not null")
+    return whole.where(F.col("data.itemType").isin(*biblio.ITEM_TYPES)).select("key", biblio.entry(F.col("data")).alias("entry"))
 
 
 @query("select 'A N' || (user_id % 10) as creator, 'author' as kind, count(*) as n from events group by 1")
