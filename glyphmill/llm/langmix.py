@@ -13,6 +13,8 @@ Texts of languages that weren't learnt, or of none, fit far worse than any
 that were; ``least_fit`` sets the limit halfway between the least usual fit of
 labelled texts that weren't learnt from and that of trigrams drawn at random.
 
+Models count the trigrams of all labelled texts given, and the limit all fits.
+
 Defined results: null texts and texts without a letter are ``und`` with score
 0 and a null fit, as is every text when nothing could be learnt; ties go to the language
 first in alphabetical order; repeated rows give repeated rows; other columns
@@ -35,12 +37,10 @@ from glyphmill.llm.common import rows_of, with_columns
 
 #: Hash buckets of the trigrams, as a power of two.
 BITS = 14
-#: About so many documents of a language are learnt from, drawn by a hash of their ids.
-LEARN_DOCS = 4000
 #: Each letter stands in three trigrams, so evidence counts threefold; the penalty does too.
 OVERLAP = 3.0
-#: The part of labelled texts whose fits are unusual; about so many texts give the limit, and not fewer than the second number.
-UNUSUAL, FIT_DOCS, FIT_LEAST = 0.001, 20_000, 100
+#: The part of labelled texts whose fits are unusual, the fewest texts that give the limit, and the steps of one unit of fit it is exact to.
+UNUSUAL, FIT_LEAST, FIT_STEPS = 0.001, 100, 1000
 
 _LETTER = re.compile(r"[^\W\d_]")
 _FOLD = bytes(c if chr(c).isalpha() or c >= 128 else 32 for c in range(256))
@@ -103,26 +103,25 @@ class Mixture:
         return share
 
 
-def learn(df: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", learn_docs: int = LEARN_DOCS) -> Mixture:
-    """Models of all languages in ``lang_col``, from about ``learn_docs`` documents of each (all, if there are fewer)."""
-    rows = df.select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.col(text_col).alias("t")).where("l is not null and t is not null")
-    sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}  # a row for each language
-    if not sizes:
-        return Mixture([], np.zeros((0, 1 << BITS)))
-    kept = F.create_map(*[F.lit(x) for k, n in sorted(sizes.items()) for x in (k, min(1.0, learn_docs / n) * 1e6)])
-    sample = rows.where(F.pmod(F.xxhash64("i"), F.lit(1_000_000)) < kept[F.col("l")])
+def learn(df: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Mixture:
+    """Models of all languages in ``lang_col``, from all of their texts."""
+    rows = df.select(F.col(lang_col).alias("l"), F.col(text_col).alias("t")).where("l is not null and t is not null")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, np.ndarray] = {}
         for lang, text in rows_of(batches, "l", "t"):
-            found[lang] = found.get(lang, 0) + trigram_counts(text)
+            counts = trigram_counts(text)
+            if lang in found:
+                found[lang] += counts
+            else:
+                found[lang] = counts
         if found:
             yield pa.RecordBatch.from_pydict({"l": list(found), "n": [x.astype("<i8").tobytes() for x in found.values()]})
 
     def add(key, frame):
         return pd.DataFrame({"l": [key[0]], "n": [sum(np.frombuffer(x, "<i8") for x in frame["n"]).tobytes()]})
 
-    parts = sample.select("l", "t").mapInArrow(count, "l string, n binary").groupBy("l").applyInPandas(add, "l string, n binary")
+    parts = rows.mapInArrow(count, "l string, n binary").groupBy("l").applyInPandas(add, "l string, n binary")
     got = {r["l"]: np.frombuffer(bytes(r["n"]), "<i8") for r in parts.collect()}  # 2^BITS counts for each language
     names = sorted(got)
     return Mixture(names, np.array([got[k] for k in names], float).reshape(len(names), 1 << BITS))
@@ -143,16 +142,20 @@ def predict(df: DataFrame, model: Mixture, text_col: str = "text") -> DataFrame:
     return with_columns(df.drop(*[c for c in df.columns if c.lower() in made]), text_col, "lang_pred string, score double, mixture map<string,double>, fit double", work)
 
 
-def least_fit(df: DataFrame, model: Mixture, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> float:
-    """The fit below which a text is in none of the model's languages, by the labelled texts of ``df``, which it must not have learnt from.
+def least_fit(df: DataFrame, model: Mixture, lang_col: str = "lang", text_col: str = "text") -> float:
+    """The fit below which a text is in none of the model's languages, by all labelled texts of ``df``, which it must not have learnt from.
 
-    About FIT_DOCS of them are drawn by a hash of their ids; with fewer than
-    FIT_LEAST there is no limit.
+    Fits are counted by steps, so that the limit does not depend on how the rows
+    lie; with fewer than FIT_LEAST there is no limit.
     """
-    rows = df.select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.col(text_col).alias("t")).where("l is not null and t is not null")
-    drawn = rows.where(F.pmod(F.xxhash64("i"), F.lit(1_000_000)) < min(1.0, FIT_DOCS / max(1, rows.count())) * 1e6).select("t")
-    low, n = predict(drawn, model, "t").select(F.percentile_approx("fit", UNUSUAL, 10_000), F.count("fit")).first()
-    return (low + float(np.log(model.probs).mean(axis=1).max())) / 2 if n >= FIT_LEAST else float("-inf")
+    texts = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("t"))
+    steps = predict(texts, model, "t").where("fit is not null").groupBy(F.floor(F.col("fit") * FIT_STEPS).alias("step")).agg(F.count("*").alias("n"))
+    counted = sorted((r["step"], r["n"]) for r in steps.collect())  # a row for each step: fits lie between 0 and some -24
+    ends = np.cumsum([n for _, n in counted])
+    if not counted or ends[-1] < FIT_LEAST:
+        return float("-inf")
+    low = counted[int(np.searchsorted(ends, UNUSUAL * ends[-1]))][0] / FIT_STEPS
+    return (low + float(np.log(model.probs).mean(axis=1).max())) / 2
 
 
 def held_out(id_col: str = "doc_id", folds: int = 5) -> Column:
@@ -162,5 +165,5 @@ def held_out(id_col: str = "doc_id", folds: int = 5) -> Column:
 
 def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Learn from the folds that are not held out, then predict every text."""
-    model = learn(df.where(~held_out(id_col)), lang_col, id_col, text_col)
+    model = learn(df.where(~held_out(id_col)), lang_col, text_col)
     return predict(df.select(id_col, text_col), model, text_col).withColumn("held_out", held_out(id_col)).drop(text_col)

@@ -37,3 +37,18 @@ def test_fit_is_the_mean_log_likelihood(spark):
     assert langmix.least_fit(docs.limit(50), model) == float("-inf")
     assert langmix.least_fit(docs.limit(0), langmix.learn(docs.limit(0))) == float("-inf")
     assert langmix.predict(spark.createDataFrame([(1, None), (2, "1 2")], "doc_id long, text string"), model).where("fit is null and score = 0").count() == 2
+
+
+def test_models_and_limit_come_from_all_labelled_texts(spark):
+    pick, words = random.Random(3), ["casa", "perro", "verde", "luna", "tres", "mesa"]
+    texts = [" ".join(pick.choices(words, k=8)) for _ in range(26_000)]
+    odd = pick.sample(range(len(texts)), 60)
+    for n, k in enumerate(odd):  # ever less of a text is in the language
+        texts[k] = "".join(pick.choices("bcdfghjklm", k=n + 5)) + " " + texts[k]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'xx' as lang")
+    model = langmix.learn(docs)
+    counts = sum(map(langmix.trigram_counts, texts)) + 0.5
+    assert model.names == ["xx"] and np.array_equal(model.probs, (counts / counts.sum())[None])
+    fits = np.sort([model.infer_with_fit(t)[1] for t in texts])
+    least = np.floor(fits[26 - 1] * langmix.FIT_STEPS) / langmix.FIT_STEPS  # 0.1 % of the texts fit no better
+    assert langmix.least_fit(docs, model) == langmix.least_fit(docs.repartition(7), model) == (least + np.log(model.probs).mean(axis=1).max()) / 2
