@@ -30,14 +30,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from glyphmill.llm.common import batches_of, chunks, forgetting, map_arrow, open_store, rows_of
+from glyphmill.llm.common import batches_of, chunks, forgetting, giving_back, map_arrow, open_store, rows_of
 
 #: Parts of texts that a task keeps before its memory of them is emptied, and the longest part kept.
 MEMO_ENTRIES, MEMO_CHARS = 400_000, 48
 #: Pieces of more bytes are encoded one by one.
 SHORT = 64
 #: Characters of text whose new pieces are encoded together.
-TOGETHER = 8 << 20
+TOGETHER = 2 << 20
 
 
 class RankBitmap:
@@ -299,4 +299,4 @@ def round_trip(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_
         yield from forgetting(own.memo, batches_of(rows, pa.schema([("i", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), *((c, pa.int64()) for c in more)])))
 
     rows = df.selectExpr(f"`{id_col}` as i", f"`{text_col}` as t", *(f"`{c}`" for c in more))
-    return map_arrow(rows, run, "i long, n_tokens long, ids_sha256 string, decoded_sha256 string" + "".join(f", `{c}` long" for c in more)).withColumnRenamed("i", id_col)
+    return map_arrow(rows, giving_back(run), "i long, n_tokens long, ids_sha256 string, decoded_sha256 string" + "".join(f", `{c}` long" for c in more)).withColumnRenamed("i", id_col)

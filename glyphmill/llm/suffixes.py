@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import batches_of, kept_from, materialise, rows_of
+from glyphmill.llm.common import batches_of, giving_back, kept_from, materialise, rows_of
 
 LENGTH, GRAM = 100, 32
 SPAN = LENGTH - GRAM + 1  # anchors that a window can have
@@ -279,7 +279,7 @@ def _anchors(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
 
         yield from batches_of(rows(), pa.schema([("bucket", pa.int32()), ("marks", pa.bool_()), ("entries", pa.binary())]), lambda r: len(r[2]))
 
-    return docs.mapInArrow(run, "bucket int, marks boolean, entries binary")
+    return docs.mapInArrow(giving_back(run), "bucket int, marks boolean, entries binary")
 
 
 def _hot_anchors(docs: DataFrame) -> tuple[np.ndarray, int]:
@@ -312,7 +312,7 @@ def _hot_anchors(docs: DataFrame) -> tuple[np.ndarray, int]:
 
         yield from batches_of(rows(), pa.schema([("h", pa.int64()), ("n", pa.int64())]))
 
-    counted = docs.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    counted = docs.mapInArrow(giving_back(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     counted = materialise(counted.where(f"h is null or n >= {HOT_CONTEXTS}"))
     total = counted.where("h is null").agg(F.sum("n")).first()[0] or 0
     rows = counted.where(f"h is not null and n >= {max(HOT_CONTEXTS, total // (2 * HOT_PARTS))}").collect()  # at most 2 HOT_PARTS
@@ -345,7 +345,7 @@ def _meet(anchored: DataFrame) -> DataFrame:
             more = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.bool_())] if h is None else [pa.array(h.view(np.int64)), pa.array(pos.astype(np.int32)), pa.array(apart)]
             yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(lo), pa.array(lo + wide.astype(np.int32)), *more], schema=schema)
 
-    return anchored.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "id long, lo int, hi int, h long, pos int, apart boolean")
+    return anchored.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(giving_back(run), "id long, lo int, hi int, h long, pos int, apart boolean")
 
 
 def _contexts(docs: DataFrame, asked: DataFrame) -> DataFrame:
@@ -385,7 +385,7 @@ def _contexts(docs: DataFrame, asked: DataFrame) -> DataFrame:
 
         yield from batches_of(rows(), _CONTEXTS, lambda r: 168, most=20_000)
 
-    return docs.join(lists, "id").select("id", "text", "asked").mapInArrow(run, "h long, id long, pos int, before binary, after binary")
+    return docs.join(lists, "id").select("id", "text", "asked").mapInArrow(giving_back(run), "h long, id long, pos int, before binary, after binary")
 
 
 _CONTEXTS = pa.schema([("h", pa.int64()), ("id", pa.int64()), ("pos", pa.int32()), ("before", pa.binary()), ("after", pa.binary())])
@@ -420,7 +420,7 @@ def _compare(contexts: DataFrame, block: int = 20_000) -> DataFrame:
 
         yield from batches_of(rows(), _MARKS, most=50_000)
 
-    return contexts.repartition("h").sortWithinPartitions("h", "before", "after", "id", "pos").mapInArrow(run, "id long, lo int, hi int")
+    return contexts.repartition("h").sortWithinPartitions("h", "before", "after", "id", "pos").mapInArrow(giving_back(run), "id long, lo int, hi int")
 
 
 def _cut(rows: Iterator[tuple]) -> Iterator[tuple]:
@@ -474,7 +474,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         yield from batches_of(rows(), types, (lambda r: len(r[5] or "")) if carry is not None else None)
 
     kinds = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if carry is not None else "") + "".join(f", {n} {k}" for n, k in extra)
-    out = marked.select("id", "text", "marks", *names).mapInArrow(run, kinds).withColumnRenamed("id", id_col)
+    out = marked.select("id", "text", "marks", *names).mapInArrow(giving_back(run), kinds).withColumnRenamed("id", id_col)
     return out.withColumnsRenamed(dict(zip(names, carry or (), strict=True)))
 
 
