@@ -107,7 +107,7 @@ def signatures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def candidate_ties(signed: DataFrame) -> DataFrame:
-    """(a, b): each table bucket's members tied to its smallest; ``signed`` (node, first, second) has a row for each distinct set."""
+    """(a, b), repeated for each table: each bucket's members tied to its smallest; ``signed`` (node, first, second) has a row for each distinct set."""
     halves = signed.select("node", F.posexplode("first").alias("i", "x"))
     shared = halves.groupBy("i", "x").agg(F.count("*").alias("n")).where("n > 1")
     mine = join_groups(halves, shared, ["i", "x"], HALVES * signed.count()).groupBy("node").agg(F.collect_list("i").alias("mine"))  # at most HALVES
@@ -115,7 +115,7 @@ def candidate_ties(signed: DataFrame) -> DataFrame:
     second = second.select("node", "i", F.get("first", "i").alias("x"), F.posexplode("second").alias("j", "y"))
     keyed = materialise(second.select("node", F.xxhash64("i", "x", "j", "y").alias("key")))
     least = keyed.groupBy("key").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1")
-    return join_groups(keyed, least, ["key"], keyed.count()).where("node <> b").groupBy(F.col("node").alias("a"), "b").agg(F.lit(1)).select("a", "b")
+    return join_groups(keyed, least, ["key"], keyed.count()).where("node <> b").select(F.col("node").alias("a"), "b")
 
 
 class SetIndex:
