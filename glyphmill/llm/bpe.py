@@ -24,13 +24,14 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from glyphmill.llm.common import batches_of, chunks, forgetting, giving_back, map_arrow, open_store, rows_of
+from glyphmill.llm.common import batches_of, chunks, forgetting, giving_back, map_arrow, open_store, rows_of, without_collection
 
 #: Parts of texts that a task keeps before its memory of them is emptied, and the longest part kept.
 MEMO_ENTRIES, MEMO_CHARS = 400_000, 48
@@ -82,6 +83,7 @@ class BpeCodec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.bytes_of = {i: b for b, i in ranks.items()}
+        self.name_of = {i: str(i) for i in self.bytes_of}
         self.queue = RankBitmap(max(ranks.values(), default=0) + 1)
         self.memo: dict[str, tuple[str, int, bytes]] = {}
         pairs = sorted((ranks[token[:k]] << 32 | ranks[token[k:]], rank) for token, rank in ranks.items() for k in range(1, len(token)) if token[:k] in ranks and token[k:] in ranks)
@@ -170,7 +172,8 @@ class BpeCodec:
             at = at[rank[at] >> 6 == word]
             if not len(at):
                 continue
-            key = np.unique((owner[at] << 6 | rank[at] & 63) << 32 | at)
+            key = np.sort((owner[at] << 6 | rank[at] & 63) << 32 | at)
+            key = key[np.append(True, key[1:] != key[:-1])]
             at, own = key & 0xFFFFFFFF, key >> 38
             lead = np.append(True, own[1:] != own[:-1])
             if len(rest := at[~lead]):
@@ -233,21 +236,28 @@ class BpeCodec:
         first, *rest = text.split(" ")
         return ([first] if first else []) + [" " + x for x in rest]
 
+    @without_collection
     def round_trip(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """For each text: number of ids; SHA-256 of the ids in decimal, joined by commas; SHA-256 of the bytes they decode to."""
-        memo = self.memo
+        memo, name = self.memo, self.name_of.__getitem__
         if len(memo) >= MEMO_ENTRIES:
             memo.clear()
-        new = dict.fromkeys(p for text in texts for p in self.parts(text) if p not in memo)
-        split = [self.pattern.findall(part) for part in new]
-        pieces = list(dict.fromkeys(x for xs in split for x in xs))
-        ids_of = dict(zip(pieces, self.encode_pieces([x.encode() for x in pieces]), strict=True))
+        parted = list(map(self.parts, texts))
+        new = list(dict.fromkeys(filterfalse(memo.__contains__, chain.from_iterable(parted))))
+        split = list(map(self.pattern.findall, new))
+        pieces = list(dict.fromkeys(chain.from_iterable(split)))
+        found = {}
+        for piece, ids in zip(pieces, self.encode_pieces(list(map(str.encode, pieces))), strict=True):
+            found[piece] = ",".join(map(name, ids)), len(ids), self.decode(ids)
         for part, xs in zip(new, split, strict=True):
-            ids = ids_of[xs[0]] if len(xs) == 1 else [i for x in xs for i in ids_of[x]]
-            memo[part] = ",".join(map(str, ids)), len(ids), self.decode(ids)
+            if len(xs) == 1:
+                memo[part] = found[xs[0]]
+            else:
+                names, counts, data = zip(*map(found.__getitem__, xs), strict=True)
+                memo[part] = ",".join(names), sum(counts), b"".join(data)
         out = []
-        for text in texts:
-            names, counts, data = zip(*map(memo.__getitem__, self.parts(text)), strict=True) if text else ((), (), ())
+        for parts in parted:
+            names, counts, data = zip(*map(memo.__getitem__, parts), strict=True) if parts else ((), (), ())
             out.append((sum(counts), hashlib.sha256(",".join(names).encode()).hexdigest(), hashlib.sha256(b"".join(data)).hexdigest()))
         for part in new:
             if len(part) > MEMO_CHARS:
