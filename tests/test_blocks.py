@@ -67,3 +67,11 @@ def test_long_sets_share_blocks_with_fewer_rows(spark, monkeypatch):
     rows = list(enumerate(texts_of(120, 9)))
     df = spark.createDataFrame(rows, "id long, t string")
     assert sorted(map(tuple, parallels.similar_pairs(df, "id", F.col("t"), block_rows=50).collect())) == brute(rows)
+
+
+def test_mirrored_pairs_are_found_once(spark):
+    rows = list(enumerate(texts_of(400, 13)))
+    df = spark.createDataFrame(rows, "id long, t string")
+    sent, got = shuffled(spark, lambda: sorted((r.id, r.id2) for r in parallels.mirrored(parallels.similar_pairs(df, "id", F.col("t"), block_rows=20)).collect()))
+    assert got == sorted([(a, b) for a, b, *_ in brute(rows)] + [(b, a) for a, b, *_ in brute(rows)])
+    assert sent < 3 * len(rows)
