@@ -75,3 +75,19 @@ def test_mirrored_pairs_are_found_once(spark):
     sent, got = shuffled(spark, lambda: sorted((r.id, r.id2) for r in parallels.mirrored(parallels.similar_pairs(df, "id", F.col("t"), block_rows=20)).collect()))
     assert got == sorted([(a, b) for a, b, *_ in brute(rows)] + [(b, a) for a, b, *_ in brute(rows)])
     assert sent < 3 * len(rows)
+
+
+def test_stored_pairs_stay_where_they_are(spark):
+    rows = list(enumerate(texts_of(500, 17)))
+    df = spark.createDataFrame(rows, "id long, t string")
+    stored = spark.createDataFrame(brute(rows), "id1 long, id2 long, inter long, total long")
+    changed = spark.createDataFrame([(k,) for k in range(0, 500, 9)], "id long")
+    now = df.where("id % 18 <> 0").withColumn("t", F.when(F.col("id") % 9 == 0, F.concat("t", "t")).otherwise(F.col("t")))
+    with_threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sent, got = shuffled(spark, lambda: sorted(map(tuple, parallels.updated_pairs(stored, now, changed, "id", F.col("t")).collect())))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", with_threshold)
+    assert got == brute([(i, t + t if i % 9 == 0 else t) for i, t in rows if i % 18])
+    assert sent < 10 * len(rows) < stored.count()
