@@ -39,6 +39,19 @@ def test_rows_are_shuffled_once(spark):
     assert sent < 3 * len(rows)  # before, every row went to each block that its block met
 
 
+def test_counts_send_no_pairs(spark):
+    rows = list(enumerate(texts_of(500)))
+    df = spark.createDataFrame(rows, "id long, t string")
+    want = {}
+    for a, b, *_ in brute(rows):
+        want[a], want[b] = want.get(a, 0) + 1, want.get(b, 0) + 1
+    sent, got = shuffled(spark, lambda: {r.id: r.parallels for r in parallels.similar_counts(df, "id", F.col("t"), block_rows=100).collect()})
+    assert got == want and sum(want.values()) > 20 * len(rows)
+    assert sent < 20 * len(rows)
+    counted = parallels.parallel_counts(parallels.similar_counts(df, "id", F.col("t")), df, "id").collect()
+    assert sorted((r.id, r.parallels) for r in counted) == [(i, want.get(i, 0)) for i, _ in rows]
+
+
 def test_repeated_and_missing_keys_and_groups(spark):
     rows = [(None, "abcdef"), (1, "abcdef"), (1, "abcdef"), (2, "abcdef"), (3, None), (4, ""), (5, "abcdxx"), (6, "a\U00010400bcd\U00010400")]
     df = spark.createDataFrame(rows, "id long, t string")
