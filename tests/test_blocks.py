@@ -104,3 +104,29 @@ def test_stored_pairs_stay_where_they_are(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", with_threshold)
     assert got == brute([(i, t + t if i % 9 == 0 else t) for i, t in rows if i % 18])
     assert sent < 10 * len(rows) < stored.count()
+
+
+def test_counting_queries_send_no_pairs(spark, tmp_path):
+    from glyphmill.plans import registry
+
+    rows = [(k // 4 * 1000 + k % 4, t) for k, t in enumerate(texts_of(480, 19))]
+    turns = spark.createDataFrame([(i // 1000, i % 1000, "user" if i % 2 else "assistant", t) for i, t in rows], "conv_id long, turn long, role string, text string")
+    turns.write.parquet(f"{tmp_path}/conversations.parquet")
+    found = brute(rows)
+    want = {i: 0 for i, _ in rows}
+    for a, b, *_ in found:
+        want[a], want[b] = want[a] + 1, want[b] + 1
+    sent, got = shuffled(spark, lambda: {r.id: r.parallels for r in registry.queries()["parallels_per_passage"](spark, str(tmp_path)).collect()})
+    assert got == want and sent < 10 * len(rows) < len(found)
+    sent, got = shuffled(spark, lambda: {r.conv_id: (r.users, r.assistants) for r in registry.queries()["parallels_by_source"](spark, str(tmp_path)).collect()})
+    own = [i for i, n in want.items() if n]
+    assert got == {c: (sum(i // 1000 == c and i % 2 == 1 for i in own), sum(i // 1000 == c and i % 2 == 0 for i in own)) for c in {i // 1000 for i in own}}
+    assert sent < 10 * len(rows)
+
+
+def test_counting_queries_make_no_pairs(spark):
+    from glyphmill.plans import registry
+
+    for name in ("parallels_per_passage", "parallels_by_source"):
+        assert "id1#" not in registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "id1#" in registry.queries()["jaccard_selfjoin"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
