@@ -2,8 +2,9 @@
 
 The index has a row for each segment of documents: their ids and lengths, the
 segment's terms, and for each term the documents that hold it (as gaps) with
-its occurrences there.  A task searches its segments one after the other for
-all queries.  For a query it first sums the weighted parts of its short lists
+its occurrences there.  Tasks write these rows to the shared folder and read
+them there one at a time; Spark's own rows only say where they are.  A task
+searches its segments one after the other for all queries.  For a query it first sums the weighted parts of its short lists
 into accumulators, which then are one bounded iterator among those of the long
 lists.  Together they are walked by ascending document, a block of documents at
 a time for the sake of numpy: a block whose bounds add up to less than the k-th
@@ -35,21 +36,21 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import BATCH_ROWS, batches_of, materialise, open_store, rows_of
+from glyphmill.llm.common import StoreWriter, batches_of, giving_back, map_arrow, materialise, open_store, rows_of, shared_dir
 
 #: The weight's scale, and the parts of a score.
 SCALE, SATURATED, PER_TF, PER_LENGTH = 1000, 1_000_000_000, 1000, 8
 BASE, SLOPE = 100, 75
 #: Bytes of text in a segment; documents of a block; a list is short that holds less than one of so many of the segment's documents.
 SEGMENT_BYTES, BLOCK, SHORT = 8 << 20, 512, 16
-#: Queries that a task reads at a time.
-QUERY_ROWS = 2000
+#: Queries and their terms that a task reads at a time; segments that a task searches.
+QUERY_ROWS, TERM_ROWS, TASK_SEGMENTS = 2000, 50_000, 4
 
 #: A-Z to lower case; bytes below 0x80 but digits and letters to blanks.
 _FOLD = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in bytes(range(256)).lower())
 
 SEGMENT = pa.schema([("ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("terms", pa.list_(pa.binary())), ("counts", pa.list_(pa.int32())), ("gaps", pa.list_(pa.int32())), ("tfs", pa.list_(pa.int32())), ("n_docs", pa.int64()), ("n_terms", pa.int64())])
-SEGMENT_KINDS = "ids array<bigint>, lengths array<int>, terms array<binary>, counts array<int>, gaps array<int>, tfs array<int>, n_docs long, n_terms long"
+LISTED = pa.schema([("file", pa.string()), ("number", pa.int64()), ("n_docs", pa.int64()), ("n_terms", pa.int64())])
 
 
 def terms_of(text: bytes) -> list[bytes]:
@@ -82,9 +83,10 @@ def _segment(ids: list[int | None], found: list[np.ndarray], terms: Numbers) ->
 
 
 def build(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The index of all terms of all texts, written to the shared folder."""
+    """The index of all terms of all texts, written to the shared folder: (file, number, n_docs, n_terms) of every segment."""
+    folder = shared_dir(df.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, found, terms, size = [], [], Numbers(), 0
         for doc, text in rows_of(batches, "i", "t"):
             words = terms_of(text or b"")
@@ -99,9 +101,35 @@ def build(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
         if ids:
             yield _segment(ids, found, terms)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, made = None, []
+        for segment in segments(batches):
+            if out is None:
+                out = StoreWriter(folder, ".arrow")
+                writer = pa.ipc.new_file(out.out, SEGMENT, options=pa.ipc.IpcWriteOptions(compression="zstd"))
+            writer.write_batch(segment)
+            made.append((out.uri, len(made), *(segment.column(n)[0].as_py() for n in ("n_docs", "n_terms"))))
+        if out is not None:
+            writer.close()
+            out.close()
+        yield from batches_of(iter(made), LISTED)
+
     rows = df.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("binary").alias("t"))
-    # Small row groups: a reader holds the segments of a whole one.
-    return materialise(rows.mapInArrow(run, SEGMENT_KINDS), **{"parquet.block.size": 16 << 20})
+    return materialise(map_arrow(rows, giving_back(run), "file string, number long, n_docs long, n_terms long"))
+
+
+def _stored(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """The listed segments, one at a time; of other columns than those asked for nothing is read."""
+    fields = sorted(SEGMENT.get_field_index(c) for c in columns)
+    for uri, number in rows_of(batches, "file", "number"):
+        fs, path = open_store(uri)
+        with fs.open_input_file(path) as f:
+            yield pa.ipc.open_file(f, options=pa.ipc.IpcReadOptions(included_fields=fields)).get_batch(number)
+
+
+def _dealt(index: DataFrame) -> DataFrame:
+    """The list of segments, a few for each task."""
+    return index.repartition(max(1, -(-index.count() // TASK_SEGMENTS)))
 
 
 # ---- the queries
@@ -115,8 +143,16 @@ def weighted(index: DataFrame, queries: DataFrame, id_col: str, text_col: str, n
 
     numbered = queries.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("query"), F.col(text_col).cast("binary").alias("t"))
     asked = materialise(numbered.mapInArrow(run, "row long, query long, term binary, times long"))
-    held = index.select(F.explode(F.arrays_zip("terms", "counts")).alias("x")).select(F.col("x.terms").alias("term"), F.col("x.counts").alias("df"))
-    held = held.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
+    files = materialise(asked.select("term").distinct()).inputFiles()
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for segment in _stored(batches, ("terms", "counts")):
+            terms, counts = (segment.column(n).flatten() for n in ("terms", "counts"))
+            for block in _stored_rows(files, ["term"], TERM_ROWS):
+                known = pc.is_in(terms, value_set=block.column("term"))
+                yield pa.RecordBatch.from_arrays([terms.filter(known), counts.filter(known).cast(pa.int64())], names=["term", "df"])
+
+    held = _dealt(index).mapInArrow(counted, "term binary, df long").groupBy("term").agg(F.sum("df").alias("df"))
     weight = F.floor(F.lit(float(SCALE)) * F.log((2 * F.lit(n_docs) + 2) / (2 * F.col("df") + 1))).cast("long")
     parts = asked.join(held, "term").withColumn("weight", weight * F.col("times")).where("weight > 0")
     return parts.groupBy("row", "query").agg(F.collect_list(F.struct("term", "weight")).alias("x")).select("row", "query", F.col("x.term").alias("terms"), F.col("x.weight").alias("weights"))
@@ -222,12 +258,11 @@ class Segment:
         return docs[order], scores[order]
 
 
-def _query_blocks(files: list[str]) -> Iterator[pa.Table]:
+def _stored_rows(files: list[str], columns: list[str], rows: int) -> Iterator[pa.RecordBatch]:
     for uri in files:
         fs, path = open_store(uri)
         with fs.open_input_file(path) as f:
-            for batch in pq.ParquetFile(f).iter_batches(QUERY_ROWS, columns=["row", "query", "terms", "weights"]):
-                yield batch
+            yield from pq.ParquetFile(f).iter_batches(rows, columns=columns)
 
 
 def _searched(segment: Segment, queries: pa.RecordBatch, kth: dict[int, np.ndarray], top: int) -> Iterator[tuple]:
@@ -249,7 +284,6 @@ def _searched(segment: Segment, queries: pa.RecordBatch, kth: dict[int, np.ndarr
 
 def search(index: DataFrame, queries: DataFrame, top: int = 10, query_id: str = "item_id", query_text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(query_id, rank, id_col, score) of each query's ``top`` best documents."""
-    spark = index.sparkSession
     n_docs, n_terms = index.agg(F.coalesce(F.sum("n_docs"), F.lit(0)), F.coalesce(F.sum("n_terms"), F.lit(0))).first()
     files = materialise(weighted(index, queries, query_id, query_text, n_docs)).inputFiles()
     schema = pa.schema([("row", pa.int64()), ("query", pa.int64()), ("doc", pa.int64()), ("score", pa.int64())])
@@ -258,21 +292,15 @@ def search(index: DataFrame, queries: DataFrame, top: int = 10, query_id: str =
         kth: dict[int, np.ndarray] = {}
 
         def found() -> Iterator[tuple]:
-            for batch, k in ((b, k) for b in batches for k in range(b.num_rows)):
-                row = batch.slice(k, 1)
-                lists = {name: row.column(name).flatten() for name in ("ids", "lengths", "terms", "counts", "gaps", "tfs")}
-                numbers = (lists[name].to_numpy() for name in ("lengths", "counts", "gaps", "tfs"))
-                lengths, counts, gaps, tfs = numbers
+            for row in _stored(batches, ("ids", "lengths", "terms", "counts", "gaps", "tfs")):
+                lists = {name: row.column(name).flatten() for name in row.schema.names}
+                lengths, counts, gaps, tfs = (lists[name].to_numpy() for name in ("lengths", "counts", "gaps", "tfs"))
                 segment = Segment(lists["ids"].to_pylist(), lengths, lists["terms"], counts, gaps, tfs, n_docs, n_terms)
-                yield from itertools.chain.from_iterable(_searched(segment, q, kth, top) for q in _query_blocks(files))
+                yield from itertools.chain.from_iterable(_searched(segment, q, kth, top) for q in _stored_rows(files, ["row", "query", "terms", "weights"], QUERY_ROWS))
 
         yield from batches_of(found(), schema)
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # a row is a segment
-    try:
-        found = materialise(index.mapInArrow(run, "row long, query long, doc long, score long"))
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    found = materialise(_dealt(index).mapInArrow(giving_back(run), "row long, query long, doc long, score long"))
     by_score = Window.partitionBy("row", "query").orderBy(F.desc("score"), F.asc_nulls_last("doc"))
     ranked = found.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= top)
     return ranked.select(F.col("query").alias(query_id), F.col("rank").cast("int").alias("rank"), F.col("doc").alias(id_col), "score")
