@@ -23,10 +23,13 @@ characters match nothing, as in the catalogue.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -38,6 +41,8 @@ from glyphmill.operators.catalog import LEAST_TERM, Exact, Op, Term, condition
 BLOCK_BITS, SEGMENT_BITS = 12, 33
 #: Blocks that are scored first, to find the least score of a page.
 FIRST_BLOCKS = 4
+#: Lines that a Python stage gets at a time.
+BATCH_LINES = 1000
 LISTS = "gram string, block long, n int, most int, places array<int>, tfs array<int>, part int"
 #: What a word is.
 WORD = r"[\p{L}\p{N}]+"
@@ -183,27 +188,60 @@ def facets(found: DataFrame, names: list[str]) -> DataFrame:
 
 
 def snippets(df: DataFrame, key: str, text: str, fold: Callable[[Column], Column], weights: dict[str, int], width: int = 120) -> DataFrame:
-    """(key, start, n_matches, snippet): of each text the stretch of at most ``width`` characters, from one match to another, that weighs most; the first of equal ones.
+    """(key, line, start, n_matches, snippet): of each text the stretch of at most ``width`` characters, from one match to another, that weighs most; the first of equal ones.
 
     Matches are words of the displayed text whose folded form is asked for, so
     places are those of the display.  A snippet is filled up with the words that
     follow and stays within its paragraph (a line of the text); "[...]" marks
-    where the paragraph goes on.
+    where the paragraph goes on.  Texts are read twice, first for the forms in
+    which the words are written; only snippets are shuffled.
     """
-    lines = df.select(key, F.posexplode(F.split(text, "\n")).alias("line", "t"))
-    parts = F.regexp_extract_all("t", F.lit(rf"({WORD}|[^\p{{L}}\p{{N}}]+)"), F.lit(1))
-    cut = lines.select(key, "line", F.length("t").alias("size"), F.posexplode(parts).alias("k", "part"))
-    own = Window.partitionBy(key, "line").orderBy("k")
-    placed = cut.select("*", (F.sum(F.length("part")).over(own) - F.length("part")).alias("start"), F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]), fold(F.col("part"))), F.lit(0)).alias("w"))
-    matches = placed.where("w > 0").withColumn("stop", F.col("start") + F.length("part"))
-    # A match belongs to the stretch that begins at another one if it ends within its width; longer words alone are stretches too.
-    ahead = Window.partitionBy(key, "line").orderBy("start").rangeBetween(Window.currentRow, width)
-    within = F.filter(F.collect_list(F.struct("start", "stop", "w")).over(ahead), lambda m: (m["stop"] <= F.col("start") + width) | (m["start"] == F.col("start")))
-    sums = matches.select(key, "line", "start", "size", F.size(within).alias("n_matches"), F.aggregate(within, F.lit(0), lambda a, m: a + m["w"]).alias("weight"))
-    first = Window.partitionBy(key).orderBy(F.desc("weight"), "line", "start")
-    best = sums.withColumn("row", F.row_number().over(first)).where("row = 1")
-    inside = placed.select(key, "line", F.col("start").alias("at"), (F.col("start") + F.length("part")).alias("to"), "part")
-    chosen = inside.join(best.drop("row"), [key, "line"]).where((F.col("at") >= F.col("start")) & ((F.col("to") <= F.col("start") + width) | (F.col("at") == F.col("start"))))
-    joined = chosen.groupBy(key, "line", "start", "size", "n_matches", "weight").agg(F.array_join(F.sort_array(F.collect_list(F.struct("at", "part")))["part"], "").alias("body"))
-    before, after = F.when(F.col("start") > 0, "[...]").otherwise(""), F.when(F.col("start") + F.length("body") < F.col("size"), "[...]").otherwise("")
-    return joined.select(key, F.col("line").cast("long").alias("line"), F.col("start").cast("long").alias("start"), F.col("n_matches").cast("long").alias("n_matches"), F.concat(before, "body", after).alias("snippet"))
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_LINES))
+    lines = df.select(key, F.monotonically_increasing_id().alias("row"), F.posexplode(F.split(text, "\n")).alias("line", "t"))
+    cut = lines.select(F.col(key).alias("key"), "row", F.col("line").cast("long").alias("line"), F.regexp_extract_all("t", F.lit(rf"({WORD}|[^\p{{L}}\p{{N}}]+)"), F.lit(1)).alias("parts"))
+
+    def different(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("parts").flatten().unique()], names=["part"])
+
+    forms = cut.select("parts").mapInArrow(different, "part string")
+    weighed = forms.select("part", F.try_element_at(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]), fold(F.col("part"))).cast("long").alias("w"))
+    asked = weighed.where("w > 0").distinct().collect()  # a row for each way to write a word that is asked for
+    written, worth = pa.array([r["part"] for r in asked], pa.string()), np.array([r["w"] for r in asked], np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _heaviest(batch, written, worth, width)
+
+    kinds = f"key {df.schema[key].dataType.simpleString()}, line long, start long, n_matches long, weight long, snippet string"
+    first = Window.partitionBy("key").orderBy(F.desc("weight"), "line", "start")
+    best = cut.mapInArrow(run, kinds).withColumn("row", F.row_number().over(first)).where("row = 1")
+    return best.select(F.col("key").alias(key), "line", "start", "n_matches", "snippet")
+
+
+def _heaviest(batch: pa.RecordBatch, written: pa.Array, worth: np.ndarray, width: int) -> pa.RecordBatch:
+    """The best snippet of each text that has lines in the batch; places are counted through all its lines."""
+    lists = batch.column("parts")
+    parts, edges = lists.flatten(), np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))))
+    stops = np.concatenate(([0], np.cumsum(pc.utf8_length(parts).to_numpy(zero_copy_only=False), dtype=np.int64)))  # of each part, one place on
+    form = pc.index_in(parts, value_set=written).fill_null(-1).to_numpy(zero_copy_only=False)
+    at = np.flatnonzero(form >= 0)
+    line = np.searchsorted(edges, at, "right") - 1
+    begin, end, start = stops[edges[line]], stops[edges[line + 1]], stops[at]
+    # A match belongs to the stretch that begins at another one if it ends within its width; a longer word alone is a stretch too.
+    reach, own = np.minimum(start + width, end), np.arange(len(at))
+    last = np.maximum(np.searchsorted(stops[at + 1], reach, "right"), own + 1)
+    sums = np.concatenate(([0], np.cumsum(worth[form[at]])))
+    weight = sums[last] - sums[own]
+    rows = batch.column("row").to_numpy()[line]
+    order = np.lexsort((at, -weight, rows))
+    best = order[np.flatnonzero(np.diff(rows[order], prepend=-1))]
+    ends = np.maximum(np.searchsorted(stops[1:], reach[best], "right"), at[best] + 1)
+    shown = []
+    for k, stop in zip(best.tolist(), ends.tolist(), strict=True):
+        body = "".join(parts.slice(at[k], stop - at[k]).to_pylist())
+        shown.append(("[...]" if start[k] > begin[k] else "") + body + ("[...]" if stops[stop] < end[k] else ""))
+    lined = line[best]
+    columns = batch.column("key").take(pa.array(lined)), batch.column("line").take(pa.array(lined)), pa.array((start - begin)[best]), pa.array((last - own)[best]), pa.array(weight[best]), pa.array(shown, pa.string())
+    return pa.RecordBatch.from_arrays(list(columns), names=["key", "line", "start", "n_matches", "weight", "snippet"])
